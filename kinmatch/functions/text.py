@@ -92,6 +92,12 @@ def unit(address: Column) -> Column:
     return F.upper(F.regexp_replace(F.regexp_extract(address, UNIT_PATTERN, 0), r"\s+", " "))
 
 
+def unit_label(address: Column) -> Column:
+    """Type and number as written, '' if the address names no unit."""
+    parts = F.concat_ws(" ", F.regexp_extract(address, UNIT_PATTERN, 1), F.regexp_extract(address, UNIT_PATTERN, 2))
+    return F.trim(parts)
+
+
 def third_last_piece(address: Column) -> Column:
     """Third comma piece from the end; in ``STREET, CITY, ST ZIP`` this is the street line."""
     return F.coalesce(strip(F.try_element_at(F.split(address, ","), F.lit(-3))), F.lit(""))

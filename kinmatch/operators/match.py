@@ -144,6 +144,13 @@ def _search_rows(df: DataFrame, specs: list[MatchSpec], cutoffs: dict[str, float
     return df.select(F.col("row_id").alias("id"), F.inline(F.array(*entries)))
 
 
+def top_k(a: DataFrame, b: DataFrame, spec: MatchSpec, k: int = CANDIDATES, cutoff: float | None = None) -> DataFrame:
+    """First stage alone: (match_type, a_id, b_id, stage1, rank) of the ``k`` best master rows per input row."""
+    cutoff = CUTOFF_SHARE * spec.threshold if cutoff is None else cutoff
+    found = top_k_similar(_search_rows(a, [spec], {spec.name: cutoff}), _search_rows(b, [spec]), k)
+    return found.withColumnRenamed("kind", "match_type")
+
+
 def candidates(
     a: DataFrame,
     b: DataFrame,
