@@ -1,6 +1,6 @@
 """String scores as columns, from 0 to 100.
 
-The kernel-backed scores are Arrow UDFs: a batch of pairs goes through the
+Arguments are SQL expressions.  The kernel-backed scores are Arrow UDFs: a batch of pairs goes through the
 vectorised kernel at once.  A null on either side gives null and costs nothing,
 so callers pass null where a score is not needed.
 """
@@ -35,42 +35,37 @@ def _token_set(left: pd.Series, right: pd.Series) -> pd.Series:
     return _batch_scores(left, right, tokens=True)
 
 
-def ratio(a: Column, b: Column) -> Column:
+def ratio(a: str, b: str) -> Column:
     """Normalised indel similarity: 100 · 2·LCS / (len a + len b); two empty strings give 100."""
-    return _ratio(a, b)
+    return _ratio(F.expr(a), F.expr(b))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
+def token_set_ratio(a: str, b: str) -> Column:
     """Similarity of the distinct token sets; 0 if either side has no token."""
-    return _token_set(text.token_key(a), text.token_key(b))
+    return _token_set(F.expr(text.token_key(a)), F.expr(text.token_key(b)))
 
 
-def token_sort_ratio(a: Column, b: Column) -> Column:
+def token_sort_ratio(a: str, b: str) -> Column:
     """Ratio of the sorted tokens."""
-    return _ratio(text.sorted_tokens(a), text.sorted_tokens(b))
+    return _ratio(F.expr(text.sorted_tokens(a)), F.expr(text.sorted_tokens(b)))
 
 
-def lcs_native(a: Column, b: Column) -> Column:
+def lcs_native(a: str, b: str) -> Column:
     """LCS length with built-in functions only, for strings of at most 61 characters.
 
     Slower than the kernel; the tests use it as an independent check.
     """
-    full = F.shiftleft(F.lit(1).cast("bigint"), 61) - F.lit(1)
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
-    places = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.expr("1L").alias("one"), i.alias("i")))
-
-    def mask(c):
-        hit = F.filter(places, lambda p: p["c"] == c)
-        return F.aggregate(hit, F.lit(0).cast("bigint"), lambda acc, p: acc + F.call_function("shiftleft", p["one"], p["i"]))
-
-    def step(state, c):
-        used = state.bitwiseAND(mask(c))
-        return (state + used).bitwiseOR(state - used).bitwiseAND(full)
-
-    end = F.aggregate(F.filter(F.split(b, ""), lambda c: c != ""), full, step)
-    return F.lit(61) - F.bit_count(end)
-
-
-def round2(c: Column) -> Column:
+    full = "shiftleft(1L, 61) - 1L"
+    mask = (
+        f"aggregate(sequence(1, length({a})), 0L, (m, i) -> "
+        f"IF(substr({a}, i, 1) = c, m | shiftleft(1L, i - 1), m))"
+    )
+    step = f"(((s + (s & {mask})) | (s - (s & {mask}))) & ({full}))"
+    chars = f"array_remove(split({b}, ''), '')"
+    end = f"aggregate({chars}, {full}, (s, c) -> {step})"
+    return F.expr(f"IF({a} = '' OR {b} = '', 0, CAST(61 - bit_count({end}) AS INT))")
+
+
+def round2(c: str) -> Column:
     """Two decimals, ties to even, as Python's ``round``."""
-    return F.bround(c, 2)
+    return F.expr(f"bround({c}, 2)")

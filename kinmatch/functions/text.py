@@ -1,9 +1,10 @@
-"""Text columns: stripping, token lists, name and address parts."""
+"""Text columns: stripping, token lists, name and address parts.
 
-from __future__ import annotations
+Every function takes SQL expressions and gives one back, for ``selectExpr`` or
+``F.expr``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Unit words that may name a part of a building.
 UNIT_WORDS = (
@@ -30,94 +31,93 @@ UNIT_PATTERNS = {
 UNIT_PATTERN = UNIT_PATTERNS["blank_both_sides"][0]
 
 
-def strip(c: Column) -> Column:
+def strip(c: str) -> str:
     """Remove white space, Unicode included, from both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return rf"regexp_replace({c}, r'(?U)^\s+|\s+$', '')"
 
 
-def fold(c: Column) -> Column:
+def fold(c: str) -> str:
     """Null to empty, upper case, stripped."""
-    return strip(F.upper(F.coalesce(c.cast("string"), F.lit(""))))
+    return strip(f"upper(coalesce(CAST({c} AS STRING), ''))")
 
 
-def tokens(c: Column) -> Column:
-    """Sorted distinct white-space tokens."""
-    return F.array_sort(F.array_distinct(F.array_remove(F.split(c, r"(?U)\s+"), "")))
+def _words(c: str) -> str:
+    return rf"array_remove(split({c}, r'(?U)\s+'), '')"
 
 
-def token_key(c: Column) -> Column:
-    """Tokens joined by blanks: strings with equal keys have equal token-set scores."""
-    return F.array_join(tokens(c), " ")
+def token_key(c: str) -> str:
+    """Sorted distinct tokens joined by blanks: equal keys have equal token-set scores."""
+    return f"array_join(array_sort(array_distinct({_words(c)})), ' ')"
 
 
-def sorted_tokens(c: Column) -> Column:
+def sorted_tokens(c: str) -> str:
     """All white-space tokens, repeats included, sorted and joined."""
-    return F.array_join(F.array_sort(F.array_remove(F.split(c, r"(?U)\s+"), "")), " ")
+    return f"array_join(array_sort({_words(c)}), ' ')"
 
 
-def replace_all(c: Column, pairs) -> Column:
+def replace_all(c: str, pairs) -> str:
     for old, new in pairs:
-        c = F.replace(c, F.lit(old), F.lit(new))
+        c = f"replace({c}, '{old}', '{new}')"
     return c
 
 
 # --- address parts -------------------------------------------------------
 
 
-def house_digits(address: Column) -> Column:
+def house_digits(address: str) -> str:
     """Leading digits without leading zeros; null if the address does not start with a digit."""
-    digits = F.regexp_extract(strip(address), r"^(\d+)", 1)
-    return F.when(digits != "", F.regexp_replace(digits, r"^0+(?=\d)", ""))
+    digits = rf"regexp_extract({strip(address)}, r'^0*(\d+)', 1)"
+    return f"nullif({digits}, '')"
 
 
-def house_number(address: Column) -> Column:
-    return house_digits(address).try_cast("decimal(38,0)")
+def house_number(address: str) -> str:
+    return f"try_cast({house_digits(address)} AS DECIMAL(38, 0))"
 
 
-def street_name(address: Column) -> Column:
+def street_name(address: str) -> str:
     """Text between the house number and the first comma."""
-    return strip(F.substring_index(F.regexp_replace(strip(address), r"(?U)^\d+\s*", ""), ",", 1))
+    return strip(rf"substring_index(regexp_replace({strip(address)}, r'(?U)^\d+\s*', ''), ',', 1)")
 
 
-def unit_type(address: Column) -> Column:
-    return F.upper(F.regexp_extract(address, UNIT_PATTERN, 1))
+def unit_type(address: str) -> str:
+    return f"upper(regexp_extract({address}, r'{UNIT_PATTERN}', 1))"
 
 
-def unit_number(address: Column) -> Column:
-    return F.upper(F.regexp_extract(address, UNIT_PATTERN, 2))
+def unit_number(address: str) -> str:
+    return f"upper(regexp_extract({address}, r'{UNIT_PATTERN}', 2))"
 
 
-def unit(address: Column) -> Column:
+def unit(address: str) -> str:
     """Type and number as one text, '' if the address names no unit."""
-    return F.upper(F.regexp_replace(F.regexp_extract(address, UNIT_PATTERN, 0), r"\s+", " "))
+    return rf"upper(regexp_replace(regexp_extract({address}, r'{UNIT_PATTERN}', 0), r'\s+', ' '))"
 
 
-def unit_label(address: Column) -> Column:
+def unit_label(address: str) -> str:
     """Type and number as written, '' if the address names no unit."""
-    parts = F.concat_ws(" ", F.regexp_extract(address, UNIT_PATTERN, 1), F.regexp_extract(address, UNIT_PATTERN, 2))
-    return F.trim(parts)
+    parts = (f"regexp_extract({address}, r'{UNIT_PATTERN}', {i})" for i in (1, 2))
+    return f"trim(concat_ws(' ', {', '.join(parts)}))"
 
 
-def third_last_piece(address: Column) -> Column:
+def third_last_piece(address: str) -> str:
     """Third comma piece from the end; in ``STREET, CITY, ST ZIP`` this is the street line."""
-    return F.coalesce(strip(F.try_element_at(F.split(address, ","), F.lit(-3))), F.lit(""))
+    return f"coalesce({strip(f'try_element_at(split({address}, chr(44)), -3)')}, '')"
 
 
-def city_piece(address: Column) -> Column:
+def city_piece(address: str) -> str:
     """Second comma piece from the end: the city in ``STREET, CITY, ST ZIP``."""
-    return F.coalesce(strip(F.try_element_at(F.split(address, ","), F.lit(-2))), F.lit(""))
+    return f"coalesce({strip(f'try_element_at(split({address}, chr(44)), -2)')}, '')"
 
 
 # --- name parts ----------------------------------------------------------
 
 
-def display_name(first: Column, last: Column) -> Column:
-    return strip(F.concat(first, F.lit(" "), last))
+def display_name(first: str, last: str) -> str:
+    return strip(f"concat({first}, ' ', {last})")
 
 
-def first_word(name: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.split(strip(name), r"(?U)\s+"), F.lit(1)), F.lit(""))
+def first_word(name: str) -> str:
+    return rf"coalesce(try_element_at(split({strip(name)}, r'(?U)\s+'), 1), '')"
 
 
-def last_word(name: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.split(strip(name), r"(?U)\s+"), F.lit(-1)), F.lit(""))
+def last_word(name: str) -> str:
+    return rf"coalesce(try_element_at(split({strip(name)}, r'(?U)\s+'), -1), '')"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scorers, text
 from ..plans.specs import SPECS
+from .coverage import every_type
 
 # Score levels of the distribution report.
 LEVELS = (100, 95, 90, 85, 80, 75, 70)
@@ -15,69 +16,61 @@ LEVELS = (100, 95, 90, 85, 80, 75, 70)
 def score_summary(results: DataFrame, types=tuple(SPECS)) -> DataFrame:
     """Count, lowest, highest and mean score per match type; a type without results has count 0."""
     stats = results.groupBy("match_type").agg(
-        F.count("*").alias("matches"),
-        F.min("match_score").alias("min_score"),
-        F.max("match_score").alias("max_score"),
-        F.round(F.avg("match_score"), 2).alias("avg_score"),
+        F.expr("count(*) AS n"),
+        F.expr("min(match_score) AS min_score"),
+        F.expr("max(match_score) AS max_score"),
+        F.expr("round(avg(match_score), 2) AS avg_score"),
     )
-    names = F.array(*(F.lit(t) for t in types))
-    every = results.sparkSession.range(1).select(F.explode(names).alias("match_type"))
-    joined = every.join(stats, "match_type", "left")
-    return joined.select("match_type", F.coalesce("matches", F.lit(0)).alias("matches"), "min_score", "max_score", "avg_score")
+    joined = every_type(results, types).join(stats, "match_type", "left")
+    return joined.selectExpr("match_type", "coalesce(n, 0L) AS matches", "min_score", "max_score", "avg_score")
 
 
 def score_distribution(results: DataFrame, levels=LEVELS) -> DataFrame:
     """How many results, and which share, reach each level, per match type."""
-    counts = [F.count_if(F.col("match_score") >= x).alias(str(x)) for x in levels]
-    wide = results.groupBy("match_type").agg(F.count("*").alias("total"), *counts)
-    entries = F.array(*(F.struct(F.lit(x).alias("level"), F.col(str(x)).alias("matches")) for x in levels))
     # Counted in one aggregation, then turned to rows: the results are not multiplied by the levels.
-    return wide.select("match_type", "total", F.inline(entries)).select(
-        "match_type", "level", "matches", F.round(100.0 * F.col("matches") / F.col("total"), 1).alias("pct")
+    entries = ", ".join(f"struct({x} AS level, count_if(match_score >= {x}) AS matches)" for x in levels)
+    wide = results.groupBy("match_type").agg(F.expr("count(*) AS total"), F.expr(f"array({entries}) AS entries"))
+    return wide.selectExpr("match_type", "total", "inline(entries)").selectExpr(
+        "match_type", "level", "matches", "round(100D * matches / total, 1) AS pct"
     )
 
 
-def _parts(results: DataFrame) -> DataFrame:
-    """Add the parts the rules look at, each evaluated once."""
-    houses = [
-        text.house_digits(F.col(f"address_{s}")).try_cast("decimal(38,0)").alias(f"house_{s}") for s in ("a", "b")
-    ]
-    streets = [text.street_name(F.col(f"address_{s}")).alias(f"street_{s}") for s in ("a", "b")]
-    units = [text.unit_label(F.col(f"address_{s}")).alias(f"unit_{s}") for s in ("a", "b")]
-    return results.select("*", *houses, *streets, *units)
-
-
-def _finding(problem: str, when: Column, part_a: Column, part_b: Column) -> Column:
-    parts = F.struct(
-        F.lit(problem).alias("problem"), part_a.cast("string").alias("part_a"), part_b.cast("string").alias("part_b")
-    )
-    return F.when(when, parts)
-
-
-def _flag(df: DataFrame, columns: list[str], findings: list[Column]) -> DataFrame:
-    return df.select(*columns, F.array_compact(F.array(*findings)).alias("problems"))
-
-
-def findings(flagged: DataFrame) -> DataFrame:
-    """One row per problem of a flagged result."""
-    return flagged.select(
-        "match_type", F.col("match_score").alias("score"), "a_row", "b_row", F.inline("problems")
-    ).select("match_type", "problem", "score", "a_row", "b_row", "part_a", "part_b")
-
+# --- audits --------------------------------------------------------------
 
-def _same_house() -> Column:
-    # House number zero counts as none.
-    return (F.col("house_a") == F.col("house_b")) & (F.col("house_a") != 0)
+SAME_HOUSE = "(house_a = house_b AND house_a <> 0)"  # house number zero counts as none
+OTHER_STREET = "street_a <> street_b"
+OTHER_UNIT_TYPE = (
+    "(unit_a <> '' AND unit_b <> '' AND substring_index(unit_a, ' ', 1) <> substring_index(unit_b, ' ', 1))"
+)
 
 
-def _unit_types_differ() -> Column:
-    type_a, type_b = F.substring_index("unit_a", " ", 1), F.substring_index("unit_b", " ", 1)
-    return (F.col("unit_a") != "") & (F.col("unit_b") != "") & (type_a != type_b)
+def _unrelated(part: str) -> str:
+    """Different, and neither contains the other (an empty text is contained in every text)."""
+    a, b = f"{part}_a", f"{part}_b"
+    return f"({a} <> {b} AND NOT contains({a}, {b}) AND NOT contains({b}, {a}))"
 
 
-def _unrelated(a: Column, b: Column) -> Column:
-    """Different, and neither contains the other (an empty text is contained in every text)."""
-    return (a != b) & ~F.contains(a, b) & ~F.contains(b, a)
+def _with_parts(results: DataFrame, piece=text.third_last_piece) -> DataFrame:
+    """Add the parts the rules look at, each evaluated once."""
+    parts = {
+        "house": lambda s: text.house_number(f"address_{s}"),
+        "street": lambda s: text.street_name(f"address_{s}"),
+        "unit": lambda s: text.unit_label(f"address_{s}"),
+        "piece": lambda s: piece(f"address_{s}"),
+        "first": lambda s: text.first_word(f"name_{s}"),
+        "last": lambda s: text.last_word(f"name_{s}"),
+    }
+    return results.selectExpr("*", *(f"{f(s)} AS {n}_{s}" for n, f in parts.items() for s in "ab"))
+
+
+def _flag(df: DataFrame, columns: list[str], rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Add ``problems``: for every (problem, condition, part) rule that holds, its name and the two parts."""
+    found = ", ".join(
+        f"IF({condition}, struct('{problem}' AS problem, CAST({part}_a AS STRING) AS part_a, "
+        f"CAST({part}_b AS STRING) AS part_b), NULL)"
+        for problem, condition, part in rules
+    )
+    return df.selectExpr(*(f"`{c}`" for c in columns), f"array_compact(array({found})) AS problems")
 
 
 def audit_first(results: DataFrame, true_city: bool = False) -> DataFrame:
@@ -86,94 +79,60 @@ def audit_first(results: DataFrame, true_city: bool = False) -> DataFrame:
     The city rule compares the third comma piece from the end, which is the
     street line in ``STREET, CITY, ST ZIP``; ``true_city`` compares the city.
     """
-    piece = text.city_piece if true_city else text.third_last_piece
-    score = F.col("match_score")
-    df = _parts(results).select(
-        "*", piece(F.col("address_a")).alias("piece_a"), piece(F.col("address_b")).alias("piece_b")
-    )
-    both_houses = (F.col("house_a") != 0) & (F.col("house_b") != 0)
+    far = "(house_a <> 0 AND house_b <> 0 AND abs(house_a - house_b) > 50)"
     rules = [
-        _finding(
-            "same_house_diff_street",
-            _same_house() & (F.col("street_a") != F.col("street_b")) & (score > 70),
-            F.col("street_a"),
-            F.col("street_b"),
-        ),
-        _finding("diff_property_types", _unit_types_differ() & (score > 50), F.col("unit_a"), F.col("unit_b")),
-        _finding(
-            "diff_house_numbers",
-            both_houses & (F.abs(F.col("house_a") - F.col("house_b")) > 50) & (score > 70),
-            F.col("house_a"),
-            F.col("house_b"),
-        ),
-        _finding("diff_cities", (F.col("piece_a") != F.col("piece_b")) & (score > 60), F.col("piece_a"), F.col("piece_b")),
+        ("same_house_diff_street", f"{SAME_HOUSE} AND {OTHER_STREET} AND match_score > 70", "street"),
+        ("diff_property_types", f"{OTHER_UNIT_TYPE} AND match_score > 50", "unit"),
+        ("diff_house_numbers", f"{far} AND match_score > 70", "house"),
+        ("diff_cities", "piece_a <> piece_b AND match_score > 60", "piece"),
     ]
-    return _flag(df, results.columns, rules)
+    piece = text.city_piece if true_city else text.third_last_piece
+    return _flag(_with_parts(results, piece), results.columns, rules)
 
 
 def audit_revised(results: DataFrame) -> DataFrame:
     """Add ``problems`` by the revised rule set: each match type has rules of its own."""
-    score, kind = F.col("match_score"), F.col("match_type")
-    named = _parts(results).select(
-        "*",
-        *(f(F.col(f"name_{s}")).alias(f"{n}_{s}") for s in ("a", "b") for n, f in _NAME_PARTS),
-    )
-    suspect = (
-        (kind == "FullAddress") & _same_house() & (F.col("street_a") != F.col("street_b")) & (score > 80)
-    )
-    street_a = text.replace_all(F.upper("street_a"), text.AUDIT_ABBREVIATIONS)
-    street_b = text.replace_all(F.upper("street_b"), text.AUDIT_ABBREVIATIONS)
+    suspect = f"match_type = 'FullAddress' AND {SAME_HOUSE} AND {OTHER_STREET} AND match_score > 80"
+    short_a, short_b = (text.replace_all(f"upper(street_{s})", text.AUDIT_ABBREVIATIONS) for s in "ab")
     # Only suspects reach the kernel; two equal streets have ratio 100.
-    df = named.select("*", scorers.ratio(F.when(suspect, street_a), street_b).alias("street_ratio"))
+    rated = _with_parts(results).select("*", scorers.ratio(f"IF({suspect}, {short_a}, NULL)", short_b).alias("_streets"))
+    names = f"{_unrelated('first')} AND {_unrelated('last')}"
     rules = [
-        _finding(
-            "completely_diff_names",
-            (kind == "FullName")
-            & (score > 80)
-            & _unrelated(F.col("first_a"), F.col("first_b"))
-            & _unrelated(F.col("last_a"), F.col("last_b")),
-            F.col("name_a"),
-            F.col("name_b"),
-        ),
-        _finding("diff_streets_same_house", F.col("street_ratio") <= 85, F.col("street_a"), F.col("street_b")),
-        _finding(
-            "diff_property_types",
-            (kind == "FullAddress") & _unit_types_differ() & (score > 20),
-            F.col("unit_a"),
-            F.col("unit_b"),
-        ),
-        _finding(
-            "diff_last_names",
-            (kind == "LastNameAddress") & (score > 80) & _unrelated(F.col("last_a"), F.col("last_b")),
-            F.col("last_a"),
-            F.col("last_b"),
-        ),
+        ("completely_diff_names", f"match_type = 'FullName' AND match_score > 80 AND {names}", "name"),
+        ("diff_streets_same_house", "_streets <= 85", "street"),
+        ("diff_property_types", f"match_type = 'FullAddress' AND {OTHER_UNIT_TYPE} AND match_score > 20", "unit"),
+        ("diff_last_names", f"match_type = 'LastNameAddress' AND match_score > 80 AND {_unrelated('last')}", "last"),
     ]
-    return _flag(df, results.columns, rules)
+    return _flag(rated, results.columns, rules)
 
 
-_NAME_PARTS = (("first", text.first_word), ("last", text.last_word))
+def findings(flagged: DataFrame) -> DataFrame:
+    """One row per problem of a flagged result."""
+    return flagged.selectExpr(
+        "match_type", "match_score AS score", "a_row", "b_row", "inline(problems) AS (problem, part_a, part_b)"
+    ).select("match_type", "problem", "score", "a_row", "b_row", "part_a", "part_b")
 
 
 def audit_summary(flagged: DataFrame, types=tuple(SPECS)) -> DataFrame:
     """Matches, findings and success rate per match type; the rate counts findings, not rows."""
-    counts = flagged.groupBy("match_type").agg(
-        F.count("*").alias("matches"), F.sum(F.size("problems")).alias("problems")
-    )
-    names = F.array(*(F.lit(t) for t in types))
-    every = flagged.sparkSession.range(1).select(F.explode(names).alias("match_type"))
-    m, p = F.coalesce("matches", F.lit(0)), F.coalesce("problems", F.lit(0))
-    rate = F.when(m > 0, F.round(100.0 * (m - p) / m, 1)).otherwise(F.lit(0.0))
-    return every.join(counts, "match_type", "left").select(
-        "match_type", m.alias("matches"), p.alias("problems"), rate.alias("success_rate")
+    counts = flagged.groupBy("match_type").agg(F.expr("count(*) AS m"), F.expr("sum(size(problems)) AS p"))
+    return (
+        every_type(flagged, types)
+        .join(counts, "match_type", "left")
+        .selectExpr(
+            "match_type",
+            "coalesce(m, 0L) AS matches",
+            "coalesce(p, 0L) AS problems",
+            "IF(m > 0, round(100D * (m - p) / m, 1), 0D) AS success_rate",
+        )
     )
 
 
 def problem_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("match_type", "problem").agg(F.count("*").alias("cases"))
+    return found.groupBy("match_type", "problem").agg(F.expr("count(*) AS cases"))
 
 
 def problem_samples(found: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` findings per match type and problem, best scores first."""
-    order = Window.partitionBy("match_type", "problem").orderBy(F.desc("score"), "a_row")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    place = "row_number() OVER (PARTITION BY match_type, problem ORDER BY score DESC, a_row) AS place"
+    return found.selectExpr("*", place).where(f"place <= {int(n)}")

@@ -17,25 +17,24 @@ EXPECTATIONS = {
 
 def calibrate_threshold(pairs: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Halfway between the lowest GOOD and the highest BAD score; null if either is missing."""
-    is_good, is_bad = F.col(label) == "GOOD", F.col(label) == "BAD"
     ends = pairs.agg(
-        F.min(F.when(is_good, F.col(score))).alias("min_good"), F.max(F.when(is_bad, F.col(score))).alias("max_bad")
+        F.expr(f"min({score}) FILTER (WHERE {label} = 'GOOD') AS min_good"),
+        F.expr(f"max({score}) FILTER (WHERE {label} = 'BAD') AS max_bad"),
     )
-    return ends.select("min_good", "max_bad", ((F.col("min_good") + F.col("max_bad")) / 2).alias("suggested"))
+    return ends.selectExpr("min_good", "max_bad", "(min_good + max_bad) / 2 AS suggested")
 
 
 def with_verdict(pairs: DataFrame, score: str = "score", label: str = "label", rules=None) -> DataFrame:
     """Add ``passed``; null for a label without a rule."""
-    passed = F.lit(None).cast("boolean")
-    for name, (operator, bound) in (rules or EXPECTATIONS).items():
-        ok = F.col(score) <= bound if operator == "<=" else F.col(score) >= bound
-        passed = F.when(F.col(label) == name, ok).otherwise(passed)
-    return pairs.withColumn("passed", passed)
+    cases = " ".join(
+        f"WHEN '{name}' THEN {score} {operator} {bound}D" for name, (operator, bound) in (rules or EXPECTATIONS).items()
+    )
+    return pairs.selectExpr("*", f"CASE {label} {cases} END AS passed")
 
 
 def check_expectations(pairs: DataFrame, score: str = "score", label: str = "label", rules=None) -> DataFrame:
     """Passed and failed pairs per label."""
-    checked = with_verdict(pairs, score, label, rules)
-    return checked.groupBy(F.col(label).alias("label")).agg(
-        F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed")
+    checked = with_verdict(pairs.selectExpr(f"{label} AS label", f"{score} AS score"), rules=rules)
+    return checked.groupBy("label").agg(
+        F.expr("count_if(passed) AS passed"), F.expr("count_if(NOT passed) AS failed")
     )

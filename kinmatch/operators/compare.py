@@ -18,43 +18,37 @@ def diff_tables(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> Da
     right_columns = [c for c in right.columns if c != row_id]
     common = [c for c in left_columns if c in right_columns]
     alone = [c for c in left_columns + right_columns if c not in common]
-    a = left.select(F.col(row_id), F.struct(*(F.col(f"`{c}`") for c in common)).alias("a"))
-    b = right.select(F.col(row_id), F.struct(*(F.col(f"`{c}`") for c in common)).alias("b"))
-    joined = a.join(b, row_id, "full_outer")
-    changed = F.array_compact(
-        F.array(
-            *(F.when(~F.col("a").getField(c).eqNullSafe(F.col("b").getField(c)), F.lit(c)) for c in common),
-            *(F.lit(c) for c in alone),
+    a, b = (
+        df.selectExpr(f"`{row_id}`", f"struct({', '.join(f'`{c}`' for c in common)}) AS {side}")
+        for side, df in (("a", left), ("b", right))
+    )
+    changed = [f"IF(a.`{c}` <=> b.`{c}`, NULL, '{c}')" for c in common] + [f"'{c}'" for c in alone]
+    return (
+        a.join(b, row_id, "full_outer")
+        .selectExpr(
+            f"`{row_id}`",
+            "CASE WHEN b IS NULL THEN 'left' WHEN a IS NULL THEN 'right' ELSE 'both' END AS side",
+            f"array_join(array_sort(array({', '.join(changed)})), ',') AS changed",
         )
+        .where("side <> 'both' OR changed <> ''")
     )
-    side = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").otherwise("both")
-    out = joined.select(row_id, side.alias("side"), F.array_join(F.array_sort(changed), ",").alias("changed"))
-    return out.where((F.col("side") != "both") | (F.col("changed") != ""))
 
 
 def diff_summary(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataFrame:
     """One row: whether the tables are identical, how many rows differ, and the first of them."""
     diff = diff_tables(left, right, row_id)
     same_columns = set(left.columns) == set(right.columns)
-    found = diff.agg(F.count("*").alias("different_rows"), F.min(row_id).alias("first_different_row"))
-    return found.select(
-        ((F.col("different_rows") == 0) & F.lit(same_columns)).alias("is_identical"),
-        "different_rows",
-        "first_different_row",
-    )
+    found = diff.agg(F.expr("count(*) AS different_rows"), F.expr(f"min(`{row_id}`) AS first_different_row"))
+    identical = f"different_rows = 0 AND {str(same_columns).lower()}"
+    return found.selectExpr(f"{identical} AS is_identical", "different_rows", "first_different_row")
 
 
 def compare_unit_patterns(addresses: DataFrame, key: str, address: str, patterns=None) -> DataFrame:
     """What each unit pattern finds in each address, one row per address and pattern."""
-    patterns = patterns or text.UNIT_PATTERNS
-    a = F.col(address)
-    entries = [
-        F.struct(
-            F.lit(name).alias("pattern"),
-            F.regexp_extract(a, regex, 0).alias("found"),
-            (F.regexp_extract(a, regex, kind) if kind else F.lit("")).alias("unit_type"),
-            F.regexp_extract(a, regex, number).alias("unit_number"),
-        )
-        for name, (regex, kind, number) in patterns.items()
-    ]
-    return addresses.select(F.col(key), a.alias("address"), F.inline(F.array(*entries)))
+    entries = ", ".join(
+        f"struct('{name}' AS pattern, regexp_extract(`{address}`, r'{regex}', 0) AS found, "
+        + (f"regexp_extract(`{address}`, r'{regex}', {kind})" if kind else "''")
+        + f" AS unit_type, regexp_extract(`{address}`, r'{regex}', {number}) AS unit_number)"
+        for name, (regex, kind, number) in (patterns or text.UNIT_PATTERNS).items()
+    )
+    return addresses.selectExpr(f"`{key}`", f"`{address}` AS address", f"inline(array({entries}))")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,22 +31,21 @@ GRID = (
 )
 
 
-def _grams(c: Column, config: CosineConfig) -> Column:
-    lowered = F.lower(c)
+def _grams(c: str, config: CosineConfig) -> str:
+    """SQL expression for the n-grams of a string."""
     if config.analyzer == "char":
-        flat = F.regexp_replace(lowered, r"(?U)\s\s+", " ")
-        units = F.array_remove(F.split(flat, ""), "")
-        glue = ""
+        flat = rf"regexp_replace(lower({c}), r'(?U)\s\s+', ' ')"
+        sizes = (
+            f"IF(length({flat}) >= {n}, transform(sequence(1, length({flat}) - {n - 1}), i -> substr({flat}, i, {n})), array())"
+            for n in range(config.smallest, config.largest + 1)
+        )
     else:
-        units = F.regexp_extract_all(lowered, F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
-        glue = " "
-
-    def of_size(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.size(units) - (n - 1))
-        grams = F.transform(places, lambda i: F.array_join(F.slice(units, i, n), glue))
-        return F.when(F.size(units) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*(of_size(n) for n in range(config.smallest, config.largest + 1)))
+        words = rf"regexp_extract_all(lower({c}), r'(?U)(\b\w\w+\b)', 1)"
+        sizes = (
+            f"IF(size({words}) >= {n}, transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')), array())"
+            for n in range(config.smallest, config.largest + 1)
+        )
+    return f"concat({', '.join(sizes)})"
 
 
 def cosine_scores(pairs: DataFrame, key: str, a: str, b: str, configs=(ADDRESS,)) -> DataFrame:
@@ -56,54 +55,41 @@ def cosine_scores(pairs: DataFrame, key: str, a: str, b: str, configs=(ADDRESS,)
     so both aggregations find their rows in place.  Pairs with an empty string,
     or without any n-gram, score 0.
     """
-    tasks = pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = pairs.select(F.col(key), F.col(a).alias("_a"), F.col(b).alias("_b")).repartition(int(tasks), key)
-    entries = [
-        F.struct(F.lit(c.name).alias("config"), _sided(c).alias("grams")) for c in configs
-    ]
-    by_config = placed.select(key, F.inline(F.array(*entries)))
-    grams = by_config.select(key, "config", F.inline_outer("grams"))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pairs.selectExpr(f"`{key}`", f"`{a}` AS _a", f"`{b}` AS _b").repartition(tasks, key)
+    usable = "_a <> '' AND _b <> ''"
+    sided = {
+        c.name: "concat("
+        + ", ".join(f"transform({_grams(f'_{s}', c)}, g -> struct(g AS gram, '{s}' AS side))" for s in "ab")
+        + ")"
+        for c in configs
+    }
+    entries = ", ".join(f"struct('{n}' AS config, IF({usable}, {g}, array()) AS grams)" for n, g in sided.items())
+    by_config = placed.selectExpr(f"`{key}`", f"inline(array({entries}))")
+    grams = by_config.selectExpr(f"`{key}`", "config", "inline_outer(grams)")
     counts = grams.groupBy(key, "config", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("n_a"), F.count_if(F.col("side") == 1).alias("n_b")
+        F.expr("count_if(side = 'a') AS n_a"), F.expr("count_if(side = 'b') AS n_b")
     )
     counts = _limit_features(counts, key, configs)
-    both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
     # With two documents a gram is in one of them or in both.
-    idf = F.when(both, F.log(F.lit(3.0 / 3.0)) + 1).otherwise(F.log(F.lit(3.0 / 2.0)) + 1)
-    sublinear = F.col("config").isin([c.name for c in configs if c.sublinear])
+    idf = "IF(n_a > 0 AND n_b > 0, 1D, ln(1.5D) + 1)"
+    sublinear = ", ".join(f"'{c.name}'" for c in configs if c.sublinear) or "''"
 
-    def weight(n: Column) -> Column:
-        tf = F.when(sublinear, 1 + F.log(n)).otherwise(n.cast("double"))
-        return F.when(n > 0, tf * idf).otherwise(F.lit(0.0))
+    def weight(n: str) -> str:
+        return f"CASE WHEN {n} = 0 THEN 0D WHEN config IN ({sublinear}) THEN (1 + ln({n})) * {idf} ELSE {n} * {idf} END"
 
-    weights = counts.select(key, "config", weight(F.col("n_a")).alias("w_a"), weight(F.col("n_b")).alias("w_b"))
+    weights = counts.selectExpr(f"`{key}`", "config", f"{weight('n_a')} AS w_a", f"{weight('n_b')} AS w_b")
     sums = weights.groupBy(key, "config").agg(
-        F.sum(F.col("w_a") * F.col("w_b")).alias("dot"),
-        F.sum(F.col("w_a") * F.col("w_a")).alias("sq_a"),
-        F.sum(F.col("w_b") * F.col("w_b")).alias("sq_b"),
+        F.expr("sum(w_a * w_b) AS dot"), F.expr("sqrt(sum(w_a * w_a)) * sqrt(sum(w_b * w_b)) AS norm")
     )
-    length = F.sqrt("sq_a") * F.sqrt("sq_b")
-    cosine = F.when(length > 0, 100.0 * F.col("dot") / length).otherwise(F.lit(0.0))
-    return sums.select(key, "config", F.bround(cosine, 2).alias("cosine"))
-
-
-def _sided(config: CosineConfig) -> Column:
-    def side(name: str, number: int) -> Column:
-        return F.transform(
-            _grams(F.col(name), config), lambda g: F.struct(g.alias("gram"), F.lit(number).alias("side"))
-        )
-
-    usable = (F.col("_a") != "") & (F.col("_b") != "")
-    nothing = F.array().cast("array<struct<gram:string,side:int>>")
-    return F.when(usable, F.concat(side("_a", 0), side("_b", 1))).otherwise(nothing)
+    return sums.selectExpr(f"`{key}`", "config", "bround(IF(norm > 0, 100D * dot / norm, 0D), 2) AS cosine")
 
 
 def _limit_features(counts: DataFrame, key: str, configs) -> DataFrame:
     """Keep the most frequent grams of a pair where a configuration limits them."""
-    limits = [(c.name, c.max_features) for c in configs if c.max_features]
+    limits = " ".join(f"WHEN '{c.name}' THEN {c.max_features}" for c in configs if c.max_features)
     if not limits:
         return counts
-    limit = F.create_map(*(x for n, m in limits for x in (F.lit(n), F.lit(m))))[F.col("config")]
-    common_first = Window.partitionBy(key, "config").orderBy(F.desc(F.col("n_a") + F.col("n_b")), "gram")
-    ranked = counts.withColumn("_place", F.row_number().over(common_first))
-    return ranked.where(limit.isNull() | (F.col("_place") <= limit)).drop("_place")
+    place = f"row_number() OVER (PARTITION BY `{key}`, config ORDER BY n_a + n_b DESC, gram) AS _place"
+    kept = f"_place <= coalesce(CASE config {limits} END, _place)"
+    return counts.selectExpr("*", place).where(kept).drop("_place")

@@ -1,80 +1,96 @@
-"""Which input rows found a match, and which did not."""
+"""Which input rows found a match, which did not, and what lower thresholds would add."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.specs import SPECS
-from .match import best_of, to_results
+from ..plans.specs import CUTOFF_SHARE, SPECS
+from .match import best_of, by_type, to_results
 
 # The lower thresholds a sweep compares with the default ones.
 LOWER_THRESHOLDS = {"FullName": 70.0, "LastNameAddress": 60.0, "FullAddress": 65.0}
 
 
-def _type_table(df: DataFrame, types) -> DataFrame:
-    """A row per match type, so that types without any result still show up."""
-    names = F.array(*(F.lit(t) for t in types))
-    return df.sparkSession.range(1).select(F.explode(names).alias("match_type"))
+def _default_thresholds() -> dict[str, float]:
+    return {s.name: s.threshold for s in SPECS.values()}
+
+
+def _names(types) -> str:
+    return "array(" + ", ".join(f"'{t}'" for t in types) + ")"
+
+
+def every_type(df: DataFrame, types) -> DataFrame:
+    """A row per match type, so that a type without any result still shows up."""
+    return df.sparkSession.range(1).selectExpr(f"explode({_names(types)}) AS match_type")
 
 
 def unmatched(raw_input: DataFrame, results: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Raw input rows without a result of any type, original row number first."""
-    matched = results.select((F.col("a_row") - 2).alias("_matched"))
-    left = raw_input.join(matched, F.col(row_id) == F.col("_matched"), "left_anti")
-    others = [c for c in raw_input.columns if c != row_id]
-    return left.select((F.col(row_id) + 2).alias("Original_Row_Number"), *(F.col(f"`{c}`") for c in others))
+    matched = results.selectExpr(f"a_row - 2 AS `{row_id}`")
+    left = raw_input.join(matched, row_id, "left_anti")
+    others = [f"`{c}`" for c in raw_input.columns if c != row_id]
+    return left.selectExpr(f"`{row_id}` + 2 AS Original_Row_Number", *others)
 
 
 def coverage(records: DataFrame, results: DataFrame, types=tuple(SPECS)) -> DataFrame:
     """Matched and unmatched input rows per match type, and over all types as ``ALL``."""
     # One row per input row first; everything else is a count over those rows.
-    by_row = results.groupBy("a_row").agg(
-        *(F.count_if(F.col("match_type") == t).alias(t) for t in types), F.count("*").alias("ALL")
+    per_type = [F.expr(f"count_if(match_type = '{t}') AS `{t}`") for t in types]
+    by_row = results.groupBy("a_row").agg(*per_type, F.expr("count(*) AS ALL"))
+    entries = ", ".join(
+        f"struct('{t}' AS match_type, coalesce(sum(`{t}`), 0L) AS results, count_if(`{t}` > 0) AS matched)"
+        for t in (*types, "ALL")
     )
-    names = [*types, "ALL"]
-    counts = by_row.agg(
-        *(
-            F.struct(
-                F.lit(t).alias("match_type"),
-                F.coalesce(F.sum(t), F.lit(0)).alias("results"),
-                F.count_if(F.col(t) > 0).alias("matched"),
-            ).alias(t)
-            for t in names
-        )
-    ).select(F.inline(F.array(*names)))
-    total = records.agg(F.count("*").alias("input_rows"))  # a single row
-    missing = F.col("input_rows") - F.col("matched")
-    return counts.join(F.broadcast(total)).select(
+    counts = by_row.agg(F.expr(f"array({entries}) AS entries")).selectExpr("inline(entries)")
+    total = records.agg(F.expr("count(*) AS input_rows"))  # a single row
+    return counts.join(F.broadcast(total)).selectExpr(
         "match_type",
         "input_rows",
         "results",
         "matched",
-        missing.alias("unmatched"),
-        F.round(100.0 * missing / F.col("input_rows"), 1).alias("unmatched_pct"),
+        "input_rows - matched AS unmatched",
+        "round(100D * (input_rows - matched) / input_rows, 1) AS unmatched_pct",
     )
 
 
 def unmatched_samples(records: DataFrame, results: DataFrame, n: int = 3, types=tuple(SPECS)) -> DataFrame:
     """The first ``n`` unmatched input rows per match type."""
-    matched = results.select(F.col("match_type"), (F.col("a_row") - 2).alias("row_id")).distinct()
-    wanted = records.withColumn("match_type", F.explode(F.array(*(F.lit(t) for t in types))))
+    matched = results.selectExpr("match_type", "a_row - 2 AS row_id")
+    wanted = records.selectExpr(
+        "row_id",
+        f"{text.display_name('First_Name', 'Last_Name')} AS name",
+        "FullAddress AS address",
+        f"explode({_names(types)}) AS match_type",
+    )
     missing = wanted.join(matched, ["match_type", "row_id"], "left_anti")
-    first = Window.partitionBy("match_type").orderBy("row_id")
     return (
-        missing.withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= n)
-        .select(
-            "match_type",
-            "place",
-            (F.col("row_id") + 2).alias("a_row"),
-            text.display_name(F.col("First_Name"), F.col("Last_Name")).alias("name"),
-            F.col("FullAddress").alias("address"),
-        )
+        missing.selectExpr("*", "row_number() OVER (PARTITION BY match_type ORDER BY row_id) AS place")
+        .where(f"place <= {int(n)}")
+        .selectExpr("match_type", "place", "row_id + 2 AS a_row", "name", "address")
     )
 
 
+def row_counts(**tables: DataFrame) -> DataFrame:
+    """Row count of each table."""
+    counts = [df.agg(F.expr("count(*) AS rows")).selectExpr(f"'{n}' AS table_name", "rows") for n, df in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def lowest_matches(results: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` lowest results."""
+    return results.orderBy("match_score", "a_row", "match_type").limit(n)
+
+
+def below_perfect(results: DataFrame) -> DataFrame:
+    """Results below 100 per match type."""
+    return results.groupBy("match_type").agg(F.expr("count_if(match_score < 100) AS below_100"))
+
+
 # --- thresholds ----------------------------------------------------------
 
 
@@ -85,67 +101,39 @@ def at_thresholds(scored: DataFrame, levels: dict[str, list[float]]) -> DataFram
     Each level repeats the candidate cutoff, which a plain filter on a lower
     run's results would miss.
     """
-    entries = [
-        F.struct(F.lit(t).alias("t"), F.lit(float(x)).alias("threshold")) for t, xs in levels.items() for x in xs
-    ]
-    mine = F.filter(F.array(*entries), lambda e: e["t"] == F.col("match_type"))
-    leveled = scored.select("*", F.explode(F.transform(mine, lambda e: e["threshold"])).alias("threshold"))
-    able = leveled.where(F.col("stage1") >= 0.8 * F.col("threshold"))
-    return best_of(able, F.col("threshold"), keys=("match_type", "a_id", "threshold"))
+    cases = " ".join(f"WHEN '{t}' THEN array({', '.join(f'{float(x)!r}D' for x in xs)})" for t, xs in levels.items())
+    leveled = scored.selectExpr("*", f"explode(CASE match_type {cases} END) AS threshold")
+    able = leveled.where(f"stage1 >= {CUTOFF_SHARE}D * threshold")
+    return best_of(able, "threshold", keys=("match_type", "a_id", "threshold"))
 
 
 def threshold_sweep(scored: DataFrame, current: dict[str, float] | None = None, lower=None) -> DataFrame:
     """Matches at the current and at the lower threshold per match type, and how many are gained."""
-    current = current or {s.name: s.threshold for s in SPECS.values()}
-    lower = lower or LOWER_THRESHOLDS
-    levels = {t: [current[t], lower[t]] for t in current}
-    best = at_thresholds(scored, levels).select("match_type", "threshold")
-    per_type = F.create_map(*(x for t in current for x in (F.lit(t), F.lit(float(current[t])))))
-    is_current = F.col("threshold") == per_type[F.col("match_type")]
+    current, lower = current or _default_thresholds(), lower or LOWER_THRESHOLDS
+    best = at_thresholds(scored, {t: [current[t], lower[t]] for t in current})
     counts = best.groupBy("match_type").agg(
-        F.count_if(is_current).alias("at_current"), F.count_if(~is_current).alias("at_lower")
+        F.expr(f"count_if(threshold = {by_type(current)}) AS n_current"),
+        F.expr(f"count_if(threshold = {by_type(lower)}) AS n_lower"),
     )
-    limits = F.create_map(*(x for t in lower for x in (F.lit(t), F.lit(float(lower[t])))))
     return (
-        _type_table(scored, current)
+        every_type(scored, current)
         .join(counts, "match_type", "left")
-        .select(
+        .selectExpr(
             "match_type",
-            per_type[F.col("match_type")].alias("current_threshold"),
-            limits[F.col("match_type")].alias("lower_threshold"),
-            F.coalesce("at_current", F.lit(0)).alias("at_current"),
-            F.coalesce("at_lower", F.lit(0)).alias("at_lower"),
-            (F.coalesce("at_lower", F.lit(0)) - F.coalesce("at_current", F.lit(0))).alias("gained"),
+            f"{by_type(current)} AS current_threshold",
+            f"{by_type(lower)} AS lower_threshold",
+            "coalesce(n_current, 0L) AS at_current",
+            "coalesce(n_lower, 0L) AS at_lower",
+            "coalesce(n_lower, 0L) - coalesce(n_current, 0L) AS gained",
         )
     )
 
 
 def gained_examples(scored: DataFrame, current=None, lower=None, lowest: int = 10, n: int = 3) -> DataFrame:
     """Of the ``lowest`` results at the lower thresholds, the first ``n`` below the current ones."""
-    current = current or {s.name: s.threshold for s in SPECS.values()}
-    lower = lower or LOWER_THRESHOLDS
+    current, lower = current or _default_thresholds(), lower or LOWER_THRESHOLDS
     results = to_results(at_thresholds(scored, {t: [lower[t]] for t in lower}))
-    limit = F.create_map(*(x for t in current for x in (F.lit(t), F.lit(float(current[t])))))[F.col("match_type")]
-    order = Window.partitionBy("match_type").orderBy("match_score", "a_row")
-    ranked = results.withColumn("place", F.row_number().over(order)).where(F.col("place") <= lowest)
-    # Lowest first: those below the current threshold are the first ones.
-    return ranked.where((F.col("match_score") < limit) & (F.col("place") <= n))
-
-
-def lowest_matches(results: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` lowest results."""
-    return results.orderBy("match_score", "a_row", "match_type").limit(n)
-
-
-def below_perfect(results: DataFrame) -> DataFrame:
-    """Results below 100 per match type."""
-    return results.groupBy("match_type").agg(F.count_if(F.col("match_score") < 100).alias("below_100"))
-
-
-def row_counts(**tables: DataFrame) -> DataFrame:
-    """Row count of each table."""
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    place = "row_number() OVER (PARTITION BY match_type ORDER BY match_score, a_row) AS place"
+    # In this order the results below the current threshold come first.
+    ranked = results.selectExpr("*", place).where(f"place <= {min(lowest, n)}")
+    return ranked.where(f"match_score < {by_type(current)}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scorers, text
@@ -24,9 +24,9 @@ NAMES = ("First_Name", "Last_Name", "FullAddress")
 
 
 def with_address_score(
-    df: DataFrame, a: Column, b: Column, name: str = "address_score", unit_in_street_only: bool = False
+    df: DataFrame, a: str, b: str, name: str = "address_score", unit_in_street_only: bool = False
 ) -> DataFrame:
-    """Add the rule-based score of two addresses; null if either is null.
+    """Add the rule-based score of two addresses (SQL expressions); null if either is null.
 
     House numbers decide first: if both are present and differ, the token-set
     score is scaled down by their distance; if one is missing it is taken as it
@@ -36,70 +36,58 @@ def with_address_score(
     By default a unit is looked for in the whole address, where the state ``FL``
     followed by a ZIP reads as a floor; ``unit_in_street_only`` avoids that.
     """
-    kept = df.columns
+    kept = [f"`{c}`" for c in df.columns]
 
-    def scope(c):
-        return F.substring_index(c, ",", 1) if unit_in_street_only else c
+    def unit(c):
+        return text.unit(f"substring_index({c}, ',', 1)" if unit_in_street_only else c)
 
     def street(c):
         return text.replace_all(text.street_name(c), text.MATCH_ABBREVIATIONS)
 
     # Every part is a column of its own, so that no expression is evaluated twice.
-    parts = df.select("*", a.alias("_a"), b.alias("_b")).select(
+    parts = df.selectExpr("*", f"{a} AS _a", f"{b} AS _b").selectExpr(
         "*",
-        text.house_digits(F.col("_a")).alias("_house_a"),
-        text.house_digits(F.col("_b")).alias("_house_b"),
-        (text.unit(scope(F.col("_a"))) == text.unit(scope(F.col("_b")))).alias("_same_unit"),
-        street(F.col("_a")).alias("_street_a"),
-        street(F.col("_b")).alias("_street_b"),
+        *(f"{text.house_digits(f'_{s}')} AS _house_{s}" for s in "ab"),
+        *(f"{unit(f'_{s}')} AS _unit_{s}" for s in "ab"),
+        *(f"{street(f'_{s}')} AS _street_{s}" for s in "ab"),
     )
-    house_a, house_b = F.col("_house_a"), F.col("_house_b")
     # Digits too long for a decimal are simply far apart.
-    apart = F.abs(house_a.try_cast("decimal(38,0)") - house_b.try_cast("decimal(38,0)"))
-    branches = parts.select(
+    apart = "abs(try_cast(_house_a AS DECIMAL(38, 0)) - try_cast(_house_b AS DECIMAL(38, 0)))"
+    branches = parts.selectExpr(
         "*",
-        F.when(house_a.isNull() | house_b.isNull(), "no house number")
-        .when((house_a == house_b) & ~F.col("_same_unit"), "other unit")
-        .when(house_a == house_b, "same house")
-        .when(apart <= 2, "next door")
-        .when(apart <= 10, "near")
-        .otherwise("far")
-        .alias("_branch"),
+        f"""CASE WHEN _a IS NULL OR _b IS NULL THEN 'none'
+                 WHEN _house_a IS NULL OR _house_b IS NULL THEN 'no house number'
+                 WHEN _house_a = _house_b AND _unit_a <> _unit_b THEN 'other unit'
+                 WHEN _house_a = _house_b THEN 'same house'
+                 WHEN {apart} <= 2 THEN 'next door'
+                 WHEN {apart} <= 10 THEN 'near'
+                 ELSE 'far' END AS _branch""",
     )
-    branch = F.col("_branch")
-    same_house = branch == "same house"
-    by_tokens = branch.isin("no house number", "next door", "near", "far")
     # A null argument keeps the kernel from scoring a pair whose branch does not need it.
+    same_house, by_tokens = "_branch = 'same house'", "_branch IN ('no house number', 'next door', 'near', 'far')"
     scored = branches.select(
         "*",
-        scorers.token_set_ratio(F.when(by_tokens, F.col("_a")), F.col("_b")).alias("_tokens"),
-        scorers.ratio(F.when(same_house, F.col("_a")), F.col("_b")).alias("_whole"),
-        scorers.token_set_ratio(F.when(same_house, F.col("_street_a")), F.col("_street_b")).alias("_streets"),
+        scorers.token_set_ratio(f"IF({by_tokens}, _a, NULL)", "_b").alias("_tokens"),
+        scorers.ratio(f"IF({same_house}, _a, NULL)", "_b").alias("_whole"),
+        scorers.token_set_ratio(f"IF({same_house}, _street_a, NULL)", "_street_b").alias("_streets"),
     )
-    whole, tokens = F.col("_whole"), F.col("_tokens")
-    score = (
-        F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.lit(None).cast("double"))
-        .when(branch == "no house number", tokens)
-        .when(branch == "other unit", F.lit(0.0))
-        .when(same_house & (F.col("_streets") < 78), F.least(whole * 0.7, F.lit(65.0)))
-        .when(same_house, whole)
-        .when(branch == "next door", F.least(tokens * 0.8, F.lit(85.0)))
-        .when(branch == "near", F.least(tokens * 0.5, F.lit(60.0)))
-        .otherwise(F.least(tokens * 0.2, F.lit(30.0)))
-    )
-    return scored.select(*(F.col(f"`{c}`") for c in kept), score.alias(name))
+    score = """CASE _branch WHEN 'none' THEN CAST(NULL AS DOUBLE)
+                            WHEN 'no house number' THEN _tokens
+                            WHEN 'other unit' THEN 0D
+                            WHEN 'same house' THEN IF(_streets < 78, least(_whole * 0.7D, 65D), _whole)
+                            WHEN 'next door' THEN least(_tokens * 0.8D, 85D)
+                            WHEN 'near' THEN least(_tokens * 0.5D, 60D)
+                            ELSE least(_tokens * 0.2D, 30D) END"""
+    return scored.selectExpr(*kept, f"{score} AS `{name}`")
 
 
-def combined_score(parts: Iterable[Column]) -> Column:
+def combined_score(parts: Iterable[str]) -> str:
     """Mean of the parts, or 0 if any part is 0."""
     parts = list(parts)
     if len(parts) == 1:
         return parts[0]
-    total = sum(parts[1:], parts[0])
-    positive = parts[0] > 0
-    for p in parts[1:]:
-        positive = positive & (p > 0)
-    return F.when(positive, total / len(parts)).otherwise(F.lit(0.0))
+    positive = " AND ".join(f"{p} > 0" for p in parts)
+    return f"IF({positive}, ({' + '.join(parts)}) / {len(parts)}, 0D)"
 
 
 def _specs(match_types) -> list[MatchSpec]:
@@ -109,25 +97,20 @@ def _specs(match_types) -> list[MatchSpec]:
 def _with_scores(pairs: DataFrame, specs: list[MatchSpec], **address_options) -> DataFrame:
     """Add the final score of every (match_type, record a, record b) row."""
 
-    def wanted(part: str, column: str) -> Column:
-        types = [s.name for s in specs if part in s.parts]
-        return F.when(F.col("match_type").isin(types), F.col(column))
+    def wanted(part: str, column: str) -> str:
+        types = ", ".join(f"'{s.name}'" for s in specs if part in s.parts)
+        return f"IF(match_type IN ({types}), {column}, NULL)"
 
     needed = {p for s in specs for p in s.parts}
-    scored = pairs
     if "address" in needed:
-        scored = with_address_score(
-            scored, wanted("address", "a_FullAddress"), F.col("b_FullAddress"), **address_options
-        )
+        pairs = with_address_score(pairs, wanted("address", "a_FullAddress"), "b_FullAddress", **address_options)
     names = [(p, c) for p, c in (("first", "First_Name"), ("last", "Last_Name")) if p in needed]
-    scored = scored.select(
-        "*", *(scorers.token_set_ratio(wanted(p, f"a_{c}"), F.col(f"b_{c}")).alias(f"{p}_score") for p, c in names)
-    )
-    score = F.lit(None).cast("double")
-    for s in specs:
-        mine = combined_score(F.col(f"{p}_score") for p in s.parts)
-        score = F.when(F.col("match_type") == s.name, mine).otherwise(score)
-    return scored.withColumn("score", score)
+    if names:
+        pairs = pairs.select(
+            "*", *(scorers.token_set_ratio(wanted(p, f"a_{c}"), f"b_{c}").alias(f"{p}_score") for p, c in names)
+        )
+    cases = " ".join(f"WHEN '{s.name}' THEN {combined_score(f'{p}_score' for p in s.parts)}" for s in specs)
+    return pairs.selectExpr("*", f"CASE match_type {cases} END AS score")
 
 
 # --- candidates ----------------------------------------------------------
@@ -137,11 +120,9 @@ def _search_rows(df: DataFrame, specs: list[MatchSpec], cutoffs: dict[str, float
     """One row per record and match type: (kind, id, search[, cutoff])."""
     entries = []
     for s in specs:
-        fields = [F.lit(s.name).alias("kind"), s.search_string().alias("search")]
-        if cutoffs is not None:
-            fields.append(F.lit(float(cutoffs[s.name])).alias("cutoff"))
-        entries.append(F.struct(*fields))
-    return df.select(F.col("row_id").alias("id"), F.inline(F.array(*entries)))
+        cutoff = f", {float(cutoffs[s.name])!r}D AS cutoff" if cutoffs is not None else ""
+        entries.append(f"struct('{s.name}' AS kind, {s.search_string()} AS search{cutoff})")
+    return df.selectExpr("row_id AS id", f"inline(array({', '.join(entries)}))")
 
 
 def top_k(a: DataFrame, b: DataFrame, spec: MatchSpec, k: int = CANDIDATES, cutoff: float | None = None) -> DataFrame:
@@ -175,7 +156,7 @@ def candidates(
     found = found.withColumnRenamed("kind", "match_type")
 
     def record(df, side):
-        return df.select(F.col("row_id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in NAMES))
+        return df.selectExpr(f"row_id AS {side}_id", *(f"{c} AS {side}_{c}" for c in NAMES))
 
     small = a_rows * k * len(specs) <= BROADCAST_ROWS
     left = found.join(record(a, "a"), "a_id")
@@ -186,30 +167,30 @@ def candidates(
     return _with_scores(pairs, specs, **address_options)
 
 
-def best_of(scored: DataFrame, threshold: Column, keys=("match_type", "a_id")) -> DataFrame:
+def best_of(scored: DataFrame, threshold: str, keys=("match_type", "a_id")) -> DataFrame:
     """Per key the first best-scored candidate, if its unrounded score reaches ``threshold``."""
-    ahead = F.struct("score", -F.col("rank"))
-    row = F.struct(*(F.col(c) for c in scored.columns if c not in keys))
-    best = scored.groupBy(*keys).agg(F.max_by(row, ahead).alias("best")).select(*keys, "best.*")
+    row = ", ".join(f"`{c}`" for c in scored.columns if c not in keys)
+    best = scored.groupBy(*keys).agg(F.expr(f"max_by(struct({row}), struct(score, -rank)) AS best"))
     # Filtering only now keeps the optimizer from copying the scoring into a filter below.
-    return best.where((F.col("score") > 0) & (F.col("score") >= threshold))
+    return best.selectExpr(*keys, "best.*").where(f"score > 0 AND score >= {threshold}")
 
 
-def _threshold_column(specs: list[MatchSpec], thresholds: dict[str, float]) -> Column:
-    pairs = [x for s in specs for x in (F.lit(s.name), F.lit(float(thresholds.get(s.name, s.threshold))))]
-    return F.create_map(*pairs)[F.col("match_type")]
+def by_type(values: dict[str, float]) -> str:
+    """SQL expression for a number that depends on the match type."""
+    cases = " ".join(f"WHEN '{t}' THEN {float(x)!r}D" for t, x in values.items())
+    return f"CASE match_type {cases} END"
 
 
 def to_results(best: DataFrame) -> DataFrame:
-    return best.select(
+    return best.selectExpr(
         "match_type",
-        scorers.round2(F.col("score")).alias("match_score"),
-        (F.col("a_id") + 2).alias("a_row"),
-        (F.col("b_id") + 2).alias("b_row"),
-        text.display_name(F.col("a_First_Name"), F.col("a_Last_Name")).alias("name_a"),
-        text.display_name(F.col("b_First_Name"), F.col("b_Last_Name")).alias("name_b"),
-        F.col("a_FullAddress").alias("address_a"),
-        F.col("b_FullAddress").alias("address_b"),
+        "bround(score, 2) AS match_score",
+        "a_id + 2 AS a_row",
+        "b_id + 2 AS b_row",
+        f"{text.display_name('a_First_Name', 'a_Last_Name')} AS name_a",
+        f"{text.display_name('b_First_Name', 'b_Last_Name')} AS name_b",
+        "a_FullAddress AS address_a",
+        "b_FullAddress AS address_b",
     )
 
 
@@ -227,7 +208,7 @@ def match_all(a: DataFrame, b: DataFrame, match_types=None, thresholds=None, k:
     specs = _specs(match_types)
     thresholds = thresholds or {}
     scored = candidates(a, b, specs, thresholds, k, **options)
-    return to_results(best_of(scored, _threshold_column(specs, thresholds)))
+    return to_results(best_of(scored, by_type({s.name: thresholds.get(s.name, s.threshold) for s in specs})))
 
 
 def by_score(results: DataFrame) -> DataFrame:
@@ -241,6 +222,6 @@ def score_pairs(pairs: DataFrame, a: str, b: str, which=("ratio", "token_set", "
     unknown = [w for w in which if w not in plain and w != "address"]
     if unknown:
         raise ValueError(f"Unknown score: {unknown[0]}")
-    columns = [plain[w](F.col(a), F.col(b)).alias(f"{w}_score") for w in which if w in plain]
+    columns = [plain[w](a, b).alias(f"{w}_score") for w in which if w in plain]
     scored = pairs.select("*", *columns)
-    return with_address_score(scored, F.col(a), F.col(b)) if "address" in which else scored
+    return with_address_score(scored, a, b) if "address" in which else scored

@@ -22,7 +22,7 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -59,16 +59,15 @@ def grid_for(a: DataFrame, b: DataFrame) -> Grid:
     return Grid.plan(a.count(), b.count(), a.sparkSession.sparkContext.defaultParallelism)
 
 
-def _block(columns: list[str], blocks: int):
-    return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
+def _keyed(rows: DataFrame, *others: str) -> DataFrame:
+    return rows.selectExpr("kind", "id", f"{text.token_key('search')} AS token_key", *others)
 
 
-def _distinct_keys(rows: DataFrame, k: int) -> DataFrame:
+def _distinct_keys(keyed: DataFrame, k: int) -> DataFrame:
     """One row per (kind, token key) with its ``k`` lowest ids in order."""
-    by_key = Window.partitionBy("kind", "token_key").orderBy("id")
-    kept = rows.withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= k)
-    ids = F.array_sort(F.collect_list("id"))
-    return kept.groupBy("kind", "token_key").agg(ids.alias("ids"))
+    place = "row_number() OVER (PARTITION BY kind, token_key ORDER BY id) AS place"
+    kept = keyed.selectExpr("*", place).where(f"place <= {int(k)}")
+    return kept.groupBy("kind", "token_key").agg(F.expr("array_sort(collect_list(id)) AS ids"))
 
 
 def _cell_function(k: int):
@@ -102,33 +101,38 @@ def top_k_similar(a: DataFrame, b: DataFrame, k: int = 10, grid: Grid | None = N
     lower ``b_id``.
     """
     grid = grid or grid_for(a, b)
-    left_rows = a.select("kind", "id", text.token_key(F.col("search")).alias("token_key"), "cutoff")
-    left = left_rows.groupBy("kind", "token_key").agg(F.min("cutoff").alias("cutoff"))
-    right = _distinct_keys(b.select("kind", "id", text.token_key(F.col("search")).alias("token_key")), k)
+    left_rows = _keyed(a, "cutoff")
+    left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"))
+    right = _distinct_keys(_keyed(b), k)
 
-    cells = left.withColumn("left_block", _block(["token_key"], grid.left)).withColumn(
-        "right_block", F.explode(F.sequence(F.lit(0), F.lit(grid.right - 1)))
+    key = ["kind", "left_block", "right_block"]
+    cells = left.selectExpr(
+        "*",
+        f"CAST(pmod(xxhash64(token_key), {grid.left}) AS INT) AS left_block",
+        f"explode(sequence(0, {grid.right - 1})) AS right_block",
     )
-    blocks = right.withColumn("right_block", _block(["token_key"], grid.right)).withColumn(
-        "left_block", F.explode(F.sequence(F.lit(0), F.lit(grid.left - 1)))
+    blocks = right.selectExpr(
+        "*",
+        "element_at(ids, 1) AS first_id",
+        f"CAST(pmod(xxhash64(token_key), {grid.right}) AS INT) AS right_block",
+        f"explode(sequence(0, {grid.left - 1})) AS left_block",
     )
-    key = ["kind", "left_block", "right_block"]
     partitions = grid.partitions(a.sparkSession.sparkContext.defaultParallelism)
-    cells = cells.repartition(partitions, *key)
-    blocks = blocks.withColumn("first_id", F.element_at("ids", 1)).repartition(partitions, *key)
     id_type = b.schema["id"].dataType.simpleString()
     scored = (
-        cells.groupBy(*key)
-        .cogroup(blocks.groupBy(*key))
+        cells.repartition(partitions, *key)
+        .groupBy(*key)
+        .cogroup(blocks.repartition(partitions, *key).groupBy(*key))
         .applyInArrow(_cell_function(k), f"kind string, token_key string, ids array<{id_type}>, score double")
     )
-    best_first = Window.partitionBy("kind", "token_key").orderBy(F.desc("score"), F.element_at("ids", 1))
-    best_keys = scored.withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= k)
-    ranked = Window.partitionBy("kind", "token_key").orderBy(F.desc("stage1"), "b_id")
+    by_key = "PARTITION BY kind, token_key ORDER BY"
+    best_keys = scored.selectExpr(
+        "*", f"row_number() OVER ({by_key} score DESC, element_at(ids, 1)) AS place"
+    ).where(f"place <= {int(k)}")
     best_rows = (
-        best_keys.select("kind", "token_key", F.explode("ids").alias("b_id"), F.col("score").alias("stage1"))
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= k)
+        best_keys.selectExpr("kind", "token_key", "explode(ids) AS b_id", "score AS stage1")
+        .selectExpr("*", f"row_number() OVER ({by_key} stage1 DESC, b_id) AS rank")
+        .where(f"rank <= {int(k)}")
     )
-    pairs = left_rows.join(best_rows, ["kind", "token_key"]).where(F.col("stage1") >= F.col("cutoff"))
-    return pairs.select("kind", F.col("id").alias("a_id"), "b_id", "stage1", "rank")
+    pairs = left_rows.join(best_rows, ["kind", "token_key"]).where("stage1 >= cutoff")
+    return pairs.selectExpr("kind", "id AS a_id", "b_id", "stage1", "rank")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import text
 
@@ -15,14 +14,15 @@ SECOND_LINE = "Address 2"
 
 def standardize(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Give ``row_id``, the six required columns and ``FullAddress``; drop all others."""
-    df = df.withColumnsRenamed(RENAMES)
-    missing = [c for c in REQUIRED if c not in df.columns]
+    source = {RENAMES.get(c, c): f"`{c}`" for c in df.columns}
+    missing = [c for c in REQUIRED if c not in source]
     if missing:
         raise KeyError(f"Missing required column: {missing[0]}")
-    if SECOND_LINE in df.columns:
-        line1 = F.coalesce(F.col("Address1").cast("string"), F.lit(""))
-        line2 = text.strip(F.coalesce(F.col(f"`{SECOND_LINE}`").cast("string"), F.lit("")))
-        df = df.withColumn("Address1", F.concat(line1, F.lit(" "), line2))
-    plain = df.select(F.col(row_id).cast("bigint").alias("row_id"), *(text.fold(F.col(c)).alias(c) for c in REQUIRED))
-    full = F.concat("Address1", F.lit(", "), "City", F.lit(", "), "State", F.lit(" "), "Zip")
-    return plain.withColumn("FullAddress", F.btrim(full, F.lit(", ")))
+    if SECOND_LINE in source:
+        line2 = text.strip(f"coalesce(CAST({source[SECOND_LINE]} AS STRING), '')")
+        source["Address1"] = f"concat(coalesce(CAST({source['Address1']} AS STRING), ''), ' ', {line2})"
+    plain = df.selectExpr(
+        f"CAST(`{row_id}` AS BIGINT) AS row_id", *(f"{text.fold(source[c])} AS {c}" for c in REQUIRED)
+    )
+    full = "btrim(concat(Address1, ', ', City, ', ', State, ' ', Zip), ', ')"
+    return plain.selectExpr("*", f"{full} AS FullAddress")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scorers, text
@@ -28,44 +28,42 @@ def _records(spark, sf_dir):
 
 def _both(spark, sf_dir, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     a, b = _records(spark, sf_dir)
-    first, second = (f(df).select(F.lit(side).alias("side"), "*") for side, df in (("input", a), ("master", b)))
+    first, second = (f(df).selectExpr(f"'{side}' AS side", "*") for side, df in (("input", a), ("master", b)))
     return first.unionByName(second)
 
 
 def _search(df: DataFrame) -> DataFrame:
-    entries = [F.struct(F.lit(s.name).alias("match_type"), s.search_string().alias("search")) for s in SPECS.values()]
-    return df.select("row_id", F.inline(F.array(*entries)))
+    entries = ", ".join(f"struct('{s.name}' AS match_type, {s.search_string()} AS search)" for s in SPECS.values())
+    return df.selectExpr("row_id", f"inline(array({entries}))")
 
 
 def _parts(df: DataFrame) -> DataFrame:
-    named = df.select(
+    named = df.selectExpr(
         "row_id",
-        F.col("FullAddress").alias("a"),
-        text.street_name(F.col("FullAddress")).alias("street"),
-        text.display_name(F.col("First_Name"), F.col("Last_Name")).alias("display_name"),
+        "FullAddress AS a",
+        f"{text.street_name('FullAddress')} AS street",
+        f"{text.display_name('First_Name', 'Last_Name')} AS display_name",
     )
-    a, street = F.col("a"), F.col("street")
-    return named.select(
+    return named.selectExpr(
         "row_id",
-        text.house_number(a).cast("bigint").alias("house"),
+        f"CAST({text.house_number('a')} AS BIGINT) AS house",
         "street",
-        text.unit_type(a).alias("unit_type"),
-        text.unit_number(a).alias("unit_number"),
-        text.replace_all(street, text.MATCH_ABBREVIATIONS).alias("short_street"),
-        text.replace_all(F.upper(street), text.AUDIT_ABBREVIATIONS).alias("audit_street"),
-        text.third_last_piece(a).alias("third_last"),
-        text.city_piece(a).alias("city"),
+        f"{text.unit_type('a')} AS unit_type",
+        f"{text.unit_number('a')} AS unit_number",
+        f"{text.replace_all('street', text.MATCH_ABBREVIATIONS)} AS short_street",
+        f"{text.replace_all('upper(street)', text.AUDIT_ABBREVIATIONS)} AS audit_street",
+        f"{text.third_last_piece('a')} AS third_last",
+        f"{text.city_piece('a')} AS city",
         "display_name",
-        text.first_word(F.col("display_name")).alias("first_word"),
-        text.last_word(F.col("display_name")).alias("last_word"),
+        f"{text.first_word('display_name')} AS first_word",
+        f"{text.last_word('display_name')} AS last_word",
     )
 
 
 def _top_k(match_type: str) -> Query:
     def query(spark, sf_dir):
-        a, b = _records(spark, sf_dir)
-        found = match.top_k(a, b, spec_of(match_type))
-        return found.select("match_type", "a_id", "b_id", scorers.round2(F.col("stage1")).alias("stage1"), "rank")
+        found = match.top_k(*_records(spark, sf_dir), spec_of(match_type))
+        return found.selectExpr("match_type", "a_id", "b_id", "bround(stage1, 2) AS stage1", "rank")
 
     return query
 
@@ -88,24 +86,17 @@ def _on_results(f: Callable[[DataFrame], DataFrame]) -> Query:
 def _partners(spark, sf_dir) -> DataFrame:
     """Every input row next to the master row it was derived from."""
     a, b = _records(spark, sf_dir)
-    left = a.select(
-        F.col("row_id").alias("pair_id"),
-        F.col("FullAddress").alias("a"),
-        text.display_name(F.col("First_Name"), F.col("Last_Name")).alias("name_a"),
-        (F.col("row_id") * 15 + F.col("row_id") % 15).alias("key"),
-    )
-    right = b.select(
-        F.col("row_id").alias("key"),
-        F.col("FullAddress").alias("b"),
-        text.display_name(F.col("First_Name"), F.col("Last_Name")).alias("name_b"),
+    name = text.display_name("First_Name", "Last_Name")
+    left = a.selectExpr(
+        "row_id AS pair_id", "FullAddress AS a", f"{name} AS name_a", "row_id * 15 + row_id % 15 AS key"
     )
+    right = b.selectExpr("row_id AS key", "FullAddress AS b", f"{name} AS name_b")
     return left.join(right, "key").drop("key")
 
 
 def _score_pairs(spark, sf_dir):
     scored = match.score_pairs(_partners(spark, sf_dir).select("pair_id", "a", "b"), "a", "b")
-    names = [c for c in scored.columns if c.endswith("_score")]
-    return scored.select("pair_id", "a", "b", *(scorers.round2(F.col(c)).alias(c) for c in names))
+    return scored.selectExpr(*(f"bround({c}, 2) AS {c}" if c.endswith("_score") else c for c in scored.columns))
 
 
 def _unmatched(spark, sf_dir):
@@ -117,29 +108,20 @@ def _swept(spark, sf_dir):
     return match.candidates(*_records(spark, sf_dir), thresholds=coverage.LOWER_THRESHOLDS)
 
 
-def _variation() -> Column:
-    return F.col("pair_id") % 10
-
-
 def _calibrate(spark, sf_dir):
-    label = F.when(_variation().isin(5, 6, 8, 9), "BAD").otherwise("GOOD")
-    pairs = _partners(spark, sf_dir).select(label.alias("label"), scorers.token_set_ratio(F.col("a"), F.col("b")).alias("score"))
-    return calibrate.calibrate_threshold(pairs).select(
-        *(scorers.round2(F.col(c)).alias(c) for c in ("min_good", "max_bad", "suggested"))
-    )
+    label = "IF(pair_id % 10 IN (5, 6, 8, 9), 'BAD', 'GOOD') AS label"
+    pairs = _partners(spark, sf_dir).select(F.expr(label), scorers.token_set_ratio("a", "b").alias("score"))
+    found = calibrate.calibrate_threshold(pairs)
+    return found.selectExpr(*(f"bround({c}, 2) AS {c}" for c in found.columns))
 
 
 def _expectations(spark, sf_dir):
-    v = _variation()
-    label = (
-        F.when(v.isin(5, 6, 8), "FIXED")
-        .when(v == 9, "LOW")
-        .when(v == 7, "DIFFERENT")
-        .when(v.isin(2, 3), "PRESERVE")
-        .otherwise("HIGH")
+    label = """CASE WHEN pair_id % 10 IN (5, 6, 8) THEN 'FIXED' WHEN pair_id % 10 = 9 THEN 'LOW'
+                    WHEN pair_id % 10 = 7 THEN 'DIFFERENT' WHEN pair_id % 10 IN (2, 3) THEN 'PRESERVE'
+                    ELSE 'HIGH' END AS label"""
+    return calibrate.check_expectations(
+        match.with_address_score(_partners(spark, sf_dir).selectExpr("*", label), "a", "b", "score")
     )
-    pairs = match.with_address_score(_partners(spark, sf_dir).withColumn("label", label), F.col("a"), F.col("b"), "score")
-    return calibrate.check_expectations(pairs)
 
 
 def _roles(spark, sf_dir):

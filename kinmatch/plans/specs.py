@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..functions import text
 
 FALLBACK_THRESHOLD = 80.0
@@ -28,9 +25,9 @@ class MatchSpec:
     parts: tuple[str, ...]
     threshold: float = FALLBACK_THRESHOLD
 
-    def search_string(self) -> Column:
-        joined = F.concat_ws(" ", *(F.col(c) for c in self.search))
-        return text.strip(joined) if len(self.search) > 1 else joined
+    def search_string(self) -> str:
+        joined = f"concat_ws(' ', {', '.join(self.search)})"
+        return text.strip(joined) if len(self.search) > 1 else self.search[0]
 
 
 FULL_NAME = MatchSpec("FullName", ("First_Name", "Last_Name"), ("first", "last"), 85.0)
