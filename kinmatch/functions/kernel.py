@@ -10,6 +10,7 @@ one character of the right-hand string.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 WORD = 64
 # Elements held in one temporary array; keeps the working set near the CPU caches.
@@ -25,27 +26,33 @@ class Block:
     whole string counts as a single token, which gives plain string comparison.
     """
 
-    def __init__(self, texts: list[str], tokens: bool, vocabulary: dict[str, int]):
-        parts = [t.split(" ") if t else [] for t in texts] if tokens else [[t] for t in texts]
-        counts = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        flat = [t for p in parts for t in p]
-        ids = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in flat), np.int32, len(flat))
-        sizes = np.fromiter(map(len, flat), np.int32, len(flat)) + np.int32(1)
-        row = np.repeat(np.arange(len(parts)), counts)
-        slot = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.n = len(parts)
+    def __init__(self, texts: list[str], tokens: bool):
+        if tokens:
+            self.words = " ".join(filter(None, texts)).split(" ") if any(texts) else []
+            counts = np.fromiter((t.count(" ") + 1 if t else 0 for t in texts), np.int64, len(texts))
+        else:
+            self.words = texts
+            counts = np.ones(len(texts), np.int64)
+        sizes = np.fromiter(map(len, self.words), np.int32, len(self.words)) + np.int32(1)
+        row = np.repeat(np.arange(len(texts)), counts)
+        slot = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.n = len(texts)
         self.width = max(int(counts.max(initial=0)), 1)
         # One row per token slot, one column per string.
-        self.token = np.full((self.width, self.n), -1, np.int32)
-        self.token[slot, row] = ids
+        self.place = (slot, row)
         self.size = np.zeros((self.width, self.n), np.int32)
-        self.size[slot, row] = sizes
+        self.size[self.place] = sizes
         self.total = self.size.sum(axis=0, dtype=np.int64)  # characters, blanks in front included
         self.offset = np.cumsum(self.total) - self.total
         self.start = self.offset + np.cumsum(self.size, axis=0) - self.size
-        text = "".join([" " + t for t in flat])
+        text = " " + " ".join(self.words) if self.words else ""
         self.char = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         self.char_slot = np.repeat(slot, sizes).astype(np.int32)
+        self.token = np.full((self.width, self.n), -1, np.int32)
+
+    def name_tokens(self, ids, padding: int) -> None:
+        self.token[:] = padding
+        self.token[self.place] = ids
 
     def spots(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the characters of ``rows``: index into rows, place in the string, index into ``char``."""
@@ -57,9 +64,15 @@ class Block:
 
 def encode(left: list[str], right: list[str], tokens: bool) -> tuple[Block, Block, int]:
     """Encode both sides over one shared vocabulary and a dense alphabet."""
-    vocabulary: dict[str, int] = {}
-    a, b = Block(left, tokens, vocabulary), Block(right, tokens, vocabulary)
-    b.token[b.token < 0] = -2  # padding never equals padding
+    a, b = Block(left, tokens), Block(right, tokens)
+    if tokens:
+        ids = pa.array(a.words + b.words, pa.large_string()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        # Padding never equals a token or the other side's padding.
+        a.name_tokens(ids[: len(a.words)], -1)
+        b.name_tokens(ids[len(a.words) :], -2)
+    else:
+        a.name_tokens(0, -1)
+        b.name_tokens(0, -2)
     seen = np.zeros(max(a.char.max(initial=0), b.char.max(initial=0)) + 1, bool)
     seen[a.char] = True
     seen[b.char] = True
@@ -229,7 +242,10 @@ class _Bounds:
         small = max(a.total.max(initial=0), b.total.max(initial=0)) < 256
         self.kind = np.uint8 if small else np.int32
         self.a_count = self._count(a, alphabet)
-        self.b_count = np.ascontiguousarray(self._count(b, alphabet).T)
+        b_count = np.ascontiguousarray(self._count(b, alphabet).T)
+        # capped[c][j - 1] is min(count in the right string, j), for the counts j the left side has.
+        most = self.a_count.max(axis=0, initial=0)
+        self.capped = [[np.minimum(b_count[c], self.kind(j + 1)) for j in range(m)] for c, m in enumerate(most)]
         used = b.token >= 0
         owner = np.broadcast_to(np.arange(b.n), b.token.shape)[used]
         by_token = np.argsort(b.token[used], kind="stable")
@@ -252,10 +268,8 @@ class _Bounds:
         a, b = self.a, self.b
         counts = self.a_count[rows]
         overlap = np.zeros((len(counts), b.n), self.kind)
-        buffer = np.empty_like(overlap)
-        for c in np.flatnonzero(counts.any(axis=0)):
-            np.minimum(counts[:, c, None], self.b_count[c], out=buffer)
-            overlap += buffer
+        for i, c in zip(*np.nonzero(counts)):
+            overlap[i] += self.capped[c][counts[i, c] - 1]
         shared = np.zeros((len(counts), b.n), np.int32)
         token, size = a.token[:, rows].T, a.size[:, rows].T
         low = np.searchsorted(self.posting_token, token, side="left")
@@ -313,33 +327,61 @@ def best_pairs(left: list[str], right: list[str], cutoff: np.ndarray, order: np.
     return found[0]
 
 
+def pairs_between(left: list[str], right: list[str], low: float, high: float, order: np.ndarray, n: int):
+    """Per left string the ``n`` right strings of lowest ``order`` with a token-set ratio between the bounds.
+
+    Both bounds are exclusive.  Returns (left index, right index, score).
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for begin in range(0, len(right) if left else 0, RIGHT_PART):
+        a, b, alphabet = encode(left, right[begin : begin + RIGHT_PART], tokens=True)
+        bounds = _Bounds(a, b, alphabet)
+        step = max(1, BUDGET // b.n)
+        for first in range(0, a.n, step):
+            rows = slice(first, min(first + step, a.n))
+            spot = np.flatnonzero(bounds.of(rows) > low - SLACK)
+            row, col = spot // b.n + first, spot % b.n
+            score = compare(a, b, alphabet, row, col, True)
+            ok = (score > low) & (score < high)
+            found.append((row[ok], col[ok] + begin, score[ok]))
+        row, col, score = (np.concatenate(x) for x in zip(*found))
+        rank = np.lexsort((order[col], row))
+        kept = rank[_place(row[rank]) < n]
+        found = [(row[kept], col[kept], score[kept])]
+    return found[0]
+
+
 def _promising(a, b, alphabet, bounds, rows, cutoff, best, k):
     """Score the pairs of some left strings that may still matter; ``best`` is updated in place."""
     bound = bounds.of(rows)
     first = rows.start
     found = []
+
+    def score_where(chosen, rows_):
+        spot = np.flatnonzero(chosen)
+        row, col = rows_[spot // b.n], spot % b.n
+        score = compare(a, b, alphabet, row + first, col, True)
+        found.append((row + first, col, score))
+        bound[row, col] = -1  # done
+        _raise(best, row, score, k)
+
+    def required():
+        return np.maximum(cutoff, best.min(axis=1)).astype(np.float32) - np.float32(SLACK)
+
     probe = 3 * k
-    while True:
-        need = np.maximum(cutoff, best.min(axis=1)).astype(np.float32) - np.float32(SLACK)
-        able = bound >= need[:, None]
-        crowded = np.flatnonzero(np.count_nonzero(able, axis=1) > 2 * probe)
-        if 2 * probe >= b.n or not len(crowded):
+    while 2 * probe < b.n:
+        need = required()
+        crowded = np.flatnonzero(np.count_nonzero(bound >= need[:, None], axis=1) > 2 * probe)
+        if not len(crowded):
             break
         # Score the most promising ones first; the k-th best raises the bar for the rest.
-        top = np.argpartition(-bound[crowded], probe - 1, axis=1)[:, :probe]
-        row = np.repeat(crowded, probe)
-        top = top.ravel()
-        ok = able[row, top]
-        row, top = row[ok], top[ok]
-        score = compare(a, b, alphabet, row + first, top, True)
-        found.append((row + first, top, score))
-        bound[row, top] = -1  # done
-        _raise(best, row, score, k)
+        # Every sixteenth bound tells well enough where the most promising ones begin.
+        some = bound[crowded, ::16]
+        at = max(1, probe * some.shape[1] // b.n)
+        level = np.partition(some, some.shape[1] - at, axis=1)[:, some.shape[1] - at]
+        score_where(bound[crowded] >= np.maximum(level, need[crowded])[:, None], crowded)
         probe *= 4
-    row, col = np.nonzero(able)
-    score = compare(a, b, alphabet, row + first, col, True)
-    _raise(best, row, score, k)
-    found.append((row + first, col, score))
+    score_where(bound >= required()[:, None], np.arange(len(bound)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 

@@ -116,19 +116,21 @@ def _with_scores(pairs: DataFrame, specs: list[MatchSpec], **address_options) ->
 # --- candidates ----------------------------------------------------------
 
 
-def _search_rows(df: DataFrame, specs: list[MatchSpec], cutoffs: dict[str, float] | None = None) -> DataFrame:
-    """One row per record and match type: (kind, id, search[, cutoff])."""
+def search_rows(
+    df: DataFrame, specs: list[MatchSpec], cutoffs: dict[str, float] | None = None, carry: Iterable[str] = ()
+) -> DataFrame:
+    """One row per record and match type: (kind, id, search[, cutoff]) and the expressions in ``carry``."""
     entries = []
     for s in specs:
         cutoff = f", {float(cutoffs[s.name])!r}D AS cutoff" if cutoffs is not None else ""
         entries.append(f"struct('{s.name}' AS kind, {s.search_string()} AS search{cutoff})")
-    return df.selectExpr("row_id AS id", f"inline(array({', '.join(entries)}))")
+    return df.selectExpr("row_id AS id", *carry, f"inline(array({', '.join(entries)}))")
 
 
 def top_k(a: DataFrame, b: DataFrame, spec: MatchSpec, k: int = CANDIDATES, cutoff: float | None = None) -> DataFrame:
     """First stage alone: (match_type, a_id, b_id, stage1, rank) of the ``k`` best master rows per input row."""
     cutoff = CUTOFF_SHARE * spec.threshold if cutoff is None else cutoff
-    found = top_k_similar(_search_rows(a, [spec], {spec.name: cutoff}), _search_rows(b, [spec]), k)
+    found = top_k_similar(search_rows(a, [spec], {spec.name: cutoff}), search_rows(b, [spec]), k)
     return found.withColumnRenamed("kind", "match_type")
 
 
@@ -152,15 +154,13 @@ def candidates(
     a_rows, b_rows = a.count(), b.count()
     cores = a.sparkSession.sparkContext.defaultParallelism
     grid = Grid.plan(a_rows, b_rows, cores)
-    found = top_k_similar(_search_rows(a, specs, cutoffs), _search_rows(b, specs), k, grid)
+    # The input's own columns travel with it, so only the master is looked up again.
+    a_columns, b_columns = ([f"{c} AS {side}_{c}" for c in NAMES] for side in "ab")
+    found = top_k_similar(search_rows(a, specs, cutoffs, a_columns), search_rows(b, specs), k, grid)
     found = found.withColumnRenamed("kind", "match_type")
-
-    def record(df, side):
-        return df.selectExpr(f"row_id AS {side}_id", *(f"{c} AS {side}_{c}" for c in NAMES))
-
+    # A candidate table of known small size goes to the master's tasks; a larger one is left to the optimizer.
     small = a_rows * k * len(specs) <= BROADCAST_ROWS
-    left = found.join(record(a, "a"), "a_id")
-    pairs = record(b, "b").join(F.broadcast(left) if small else left, "b_id")
+    pairs = b.selectExpr("row_id AS b_id", *b_columns).join(F.broadcast(found) if small else found, "b_id")
     # Spread by input row before scoring: the best-row aggregation then needs no shuffle of its own.
     tasks = min(32 * cores, max(cores, math.ceil(a_rows * k * len(specs) / PAIRS_PER_TASK)))
     pairs = pairs.repartition(tasks, "match_type", "a_id")

@@ -13,7 +13,8 @@ The plan, for any size of either side:
 3. In a cell, character counts and shared tokens give an upper bound for each
    pair; only pairs that may reach the cutoff and the running k-th best are
    scored.  A cell gives out at most ``k`` rows per left key, never its pairs.
-4. Rank the cells' rows per left key and keep ``k``.
+4. Rank the cells' rows per left key, keep ``k``, and give them back to the left
+   rows of that key.  Keys with very many left rows are salted for that join.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.kernel import best_pairs
+from ..functions.kernel import best_pairs, pairs_between
 
-LEFT_BLOCK = 4096
+LEFT_BLOCK = 16384
 RIGHT_BLOCK = 131072
+HOT_KEY_ROWS = 100_000  # left rows of one key that one task may hold
 MIN_LEFT_BLOCK = 64  # smaller blocks cost more in overhead than they gain in spread
 
 
@@ -39,6 +41,7 @@ class Grid:
 
     left: int
     right: int
+    left_rows: int | None = None
 
     @staticmethod
     def plan(left_rows: int, right_rows: int, cores: int) -> Grid:
@@ -47,7 +50,7 @@ class Grid:
         # With few cells, cut the left side finer so that every core has some.  The right side
         # stays whole: the more a cell sees of it, the more its k-th best rules out.
         spread = min(math.ceil(cores / right), math.ceil(left_rows / MIN_LEFT_BLOCK))
-        return Grid(max(left, spread), right)
+        return Grid(max(left, spread), right, left_rows)
 
     def partitions(self, cores: int) -> int:
         """Tasks that share the cells: enough to keep hashed cells apart, but not without end."""
@@ -70,14 +73,15 @@ def _distinct_keys(keyed: DataFrame, k: int) -> DataFrame:
     return kept.groupBy("kind", "token_key").agg(F.expr("array_sort(collect_list(id)) AS ids"))
 
 
-def _cell_function(k: int):
+def _cell_function(choose):
+    """Turn ``choose(left keys, cutoffs, right keys, first ids)`` into a function of two Arrow tables."""
+
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, col, score = best_pairs(
+        row, col, score = choose(
             left["token_key"].to_pylist(),
-            right["token_key"].to_pylist(),
             left["cutoff"].to_numpy(),
+            right["token_key"].to_pylist(),
             right["first_id"].to_numpy(),
-            k,
         )
         ids = right["ids"].take(pa.array(col))
         return pa.table(
@@ -92,16 +96,56 @@ def _cell_function(k: int):
     return cell
 
 
+def _join_back(left_rows: DataFrame, best_rows: DataFrame, rows: int | None) -> DataFrame:
+    """Join the best rows of every key to all left rows of that key."""
+    key = ["kind", "token_key"]
+    if rows is not None and rows <= HOT_KEY_ROWS:
+        return left_rows.join(best_rows, key)
+    # Of n rows at most n / HOT_KEY_ROWS keys can be hot, so their list is short.
+    parts = f"CAST(ceil(count(*) / {HOT_KEY_ROWS}) AS INT) AS parts"
+    hot = F.broadcast(left_rows.groupBy(*key).agg(F.expr(parts)).where("parts > 1"))
+    salted = left_rows.join(hot, key, "left").selectExpr(
+        *(f"`{c}`" for c in left_rows.columns), "CAST(pmod(xxhash64(id), coalesce(parts, 1)) AS INT) AS salt"
+    )
+    spread = best_rows.join(hot, key, "left").selectExpr(
+        *(f"`{c}`" for c in best_rows.columns), "explode(sequence(0, coalesce(parts, 1) - 1)) AS salt"
+    )
+    return salted.join(spread, [*key, "salt"]).drop("salt")
+
+
 def top_k_similar(a: DataFrame, b: DataFrame, k: int = 10, grid: Grid | None = None) -> DataFrame:
     """For every row of ``a`` the ``k`` rows of ``b`` with the best token-set ratio.
 
     ``a`` has columns (kind, id, search, cutoff), ``b`` has (kind, id, search).
     Only rows of equal ``kind`` are compared, and only scores of at least
-    ``cutoff`` count.  Returns (kind, a_id, b_id, stage1, rank); ties go to the
-    lower ``b_id``.
+    ``cutoff`` count.  Returns (kind, a_id, b_id, stage1, rank) and whatever
+    other columns ``a`` has; ties go to the lower ``b_id``.
+    """
+
+    def choose(keys, cutoffs, right_keys, first_ids):
+        return best_pairs(keys, right_keys, cutoffs, first_ids, k)
+
+    return _grid_join(a, b, k, grid, choose, best_first=True)
+
+
+def similar_between(
+    a: DataFrame, b: DataFrame, low: float, high: float, n: int, grid: Grid | None = None
+) -> DataFrame:
+    """For every row of ``a`` the first ``n`` rows of ``b`` with a token-set ratio between the bounds.
+
+    Both bounds are exclusive.  Columns as in :func:`top_k_similar`.
     """
+
+    def choose(keys, cutoffs, right_keys, first_ids):
+        return pairs_between(keys, right_keys, low, high, first_ids, n)
+
+    return _grid_join(a, b, n, grid, choose, best_first=False)
+
+
+def _grid_join(a: DataFrame, b: DataFrame, k: int, grid: Grid | None, choose, best_first: bool) -> DataFrame:
     grid = grid or grid_for(a, b)
-    left_rows = _keyed(a, "cutoff")
+    carried = [f"`{c}`" for c in a.columns if c not in ("kind", "id", "search", "cutoff")]
+    left_rows = _keyed(a, "cutoff", *carried)
     left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"))
     right = _distinct_keys(_keyed(b), k)
 
@@ -123,16 +167,17 @@ def top_k_similar(a: DataFrame, b: DataFrame, k: int = 10, grid: Grid | None = N
         cells.repartition(partitions, *key)
         .groupBy(*key)
         .cogroup(blocks.repartition(partitions, *key).groupBy(*key))
-        .applyInArrow(_cell_function(k), f"kind string, token_key string, ids array<{id_type}>, score double")
+        .applyInArrow(_cell_function(choose), f"kind string, token_key string, ids array<{id_type}>, score double")
+    )
+    by_key = "PARTITION BY kind, token_key ORDER BY" + (" score DESC," if best_first else "")
+    best_keys = scored.selectExpr("*", f"row_number() OVER ({by_key} element_at(ids, 1)) AS place").where(
+        f"place <= {int(k)}"
     )
-    by_key = "PARTITION BY kind, token_key ORDER BY"
-    best_keys = scored.selectExpr(
-        "*", f"row_number() OVER ({by_key} score DESC, element_at(ids, 1)) AS place"
-    ).where(f"place <= {int(k)}")
     best_rows = (
-        best_keys.selectExpr("kind", "token_key", "explode(ids) AS b_id", "score AS stage1")
-        .selectExpr("*", f"row_number() OVER ({by_key} stage1 DESC, b_id) AS rank")
+        best_keys.selectExpr("kind", "token_key", "explode(ids) AS b_id", "score")
+        .selectExpr("*", f"row_number() OVER ({by_key} b_id) AS rank")
         .where(f"rank <= {int(k)}")
+        .withColumnRenamed("score", "stage1")
     )
-    pairs = left_rows.join(best_rows, ["kind", "token_key"]).where("stage1 >= cutoff")
-    return pairs.selectExpr("kind", "id AS a_id", "b_id", "stage1", "rank")
+    pairs = _join_back(left_rows, best_rows, grid.left_rows).where("stage1 >= cutoff")
+    return pairs.selectExpr("kind", "id AS a_id", "b_id", "stage1", "rank", *carried)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scorers, text
-from ..operators import audit, calibrate, compare, cosine, coverage, match
+from ..operators import audit, calibrate, compare, cosine, coverage, match, near
 from ..operators.standardize import standardize
 from ..sources import tables
 from . import people
@@ -169,6 +169,8 @@ def registered() -> dict[str, Query]:
         "gained_examples": lambda s, d: coverage.gained_examples(_swept(s, d)),
         "calibrate_threshold": _calibrate,
         "check_expectations": _expectations,
+        "near_matches": lambda s, d: near.near_matches(*_records(s, d)),
+        "near_match_examples": lambda s, d: near.near_matches(*_records(s, d), limit=20),
         "diff_tables": lambda s, d: compare.diff_tables(*_records(s, d)),
         "diff_summary": lambda s, d: compare.diff_summary(*_records(s, d)),
         "profile_tables": lambda s, d: tables.profile_tables(dict(zip(("input", "master"), _raw(s, d)))),

@@ -201,15 +201,18 @@ class Sql:
             parts.append(f"SELECT '{t}' AS kind, row_id AS id, {tokens(joined)} AS toks FROM {table}")
         return self.add(f"search_{side}", " UNION ALL ".join(parts))
 
-    def top_k(self, types, cutoffs: dict[str, float], k: int = 10) -> str:
+    def pair_scores(self, types) -> str:
+        """Token-set score of every pair of distinct token lists."""
         a, b = self.search("input", types), self.search("master", types)
         keys = self.add(
             "key_pairs",
             f"""SELECT a.kind, a.toks AS tp, b.toks AS tq FROM (SELECT DISTINCT kind, toks FROM {a}) a
  JOIN (SELECT DISTINCT kind, toks FROM {b}) b ON a.kind = b.kind""",
         )
-        scores = self.token_set_of_lists("key_scores", keys, "kind, tp, tq")
-        # token_set_of_lists joins on its keys' remainders only, so its keys may be lists
+        return self.token_set_of_lists("key_scores", keys, "kind, tp, tq")
+
+    def top_k(self, types, cutoffs: dict[str, float], k: int = 10) -> str:
+        a, b, scores = self.search("input", types), self.search("master", types), self.pair_scores(types)
         case = " ".join(f"WHEN '{t}' THEN {float(cutoffs[t])!r}" for t in types)
         return self.add(
             "top_k",
@@ -538,6 +541,18 @@ def oracle_statements() -> dict[str, str]:
  WHERE side <> 'both' OR changed <> ''""",
         )
 
+    for name, limit in (("near_matches", 1), ("near_match_examples", 20)):
+        s = Sql()
+        types = ("FullName", "FullAddress", "LastNameAddress")
+        scores = s.pair_scores(types)
+        a, b = s.search("input", types), s.search("master", types)
+        order = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(types))
+        out[name] = s.query(
+            f"""SELECT a.id + 2 AS a_row, b.id + 2 AS b_row, a.kind AS match_type, round_even(s.score, 2) AS score
+ FROM {a} a JOIN {scores} s ON s.kind = a.kind AND s.tp = a.toks JOIN {b} b ON b.kind = s.kind AND b.toks = s.tq
+ WHERE s.score > 85 AND s.score < 99.99 ORDER BY a.id, b.id, CASE a.kind {order} END LIMIT {limit}"""
+        )
+
     s = Sql()
     out["diff_tables"] = s.query(f"SELECT * FROM {diff(s)}")
     s = Sql()
