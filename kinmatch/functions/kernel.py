@@ -72,7 +72,7 @@ def encode(left: list[str], right: list[str], tokens: bool) -> tuple[Block, Bloc
         b.name_tokens(ids[len(a.words) :], -2)
     else:
         a.name_tokens(0, -1)
-        b.name_tokens(0, -2)
+        b.name_tokens(1, -2)
     seen = np.zeros(max(a.char.max(initial=0), b.char.max(initial=0)) + 1, bool)
     seen[a.char] = True
     seen[b.char] = True
@@ -234,6 +234,94 @@ def pair_scores(left: list[str], right: list[str], tokens: bool) -> np.ndarray:
     return compare(a, b, alphabet, row, col, tokens)
 
 
+def partial_scores(left: list[str], right: list[str]) -> np.ndarray:
+    """Best plain ratio of the shorter string against any window of the longer one.
+
+    Windows are as long as the shorter string, or cut off by either end of the
+    longer one.  Strings of equal length are tried both ways round.
+    """
+    swap = [len(x) > len(y) for x, y in zip(left, right)]
+    short = [y if s else x for x, y, s in zip(left, right, swap)]
+    long_ = [x if s else y for x, y, s in zip(left, right, swap)]
+    result = _window_scores(short, long_)
+    equal = np.flatnonzero([len(x) == len(y) for x, y in zip(left, right)])
+    if len(equal):
+        turned = _window_scores([long_[i] for i in equal], [short[i] for i in equal])
+        result[equal] = np.maximum(result[equal], turned)
+    return result
+
+
+def _window_scores(short: list[str], long_: list[str]) -> np.ndarray:
+    a_index = {t: i for i, t in enumerate(dict.fromkeys(short))}
+    b_index = {t: i for i, t in enumerate(dict.fromkeys(long_))}
+    a, b, alphabet = encode(list(a_index), list(b_index), tokens=False)
+    row = np.fromiter((a_index[t] for t in short), np.int64, len(short))
+    col = np.fromiter((b_index[t] for t in long_), np.int64, len(long_))
+    len_a, len_b = a.total[row] - 1, b.total[col] - 1
+    result = np.where(len_b == 0, 100.0, 0.0)  # an empty string is like an empty one only
+    some = np.flatnonzero(len_a > 0)
+    order = some[np.lexsort((row[some], -(-a.total[row[some]] // WORD)))]
+    windows = len_a + len_b - 1
+    cost = windows[order] * (len_a[order] // 8 + 8)
+    for part in _batches(a, row[order], cost, alphabet) if len(order) else ():
+        pick = order[part]
+        rows, local = np.unique(row[pick], return_inverse=True)
+        masks = _Masks(a, rows, alphabet)
+        pair = np.repeat(np.arange(len(pick)), windows[pick])
+        first = np.cumsum(windows[pick]) - windows[pick]
+        shift = np.arange(len(pair)) - first[pair] - (len_a[pick] - 1)[pair]
+        begin = np.maximum(shift, 0)
+        length = np.minimum(shift + len_a[pick][pair], len_b[pick][pair]) - begin
+        keep = masks.by_slot[:, 0, :][:, local[pair]].copy()
+        keep[0] &= ~np.uint64(1)  # without the blank in front
+        lcs = _fold(masks, local[pair], keep, b.char, (b.offset[col[pick]] + 1)[pair] + begin, length)
+        both = len_a[pick][pair] + length
+        score = 100.0 - 100.0 * (both - 2 * lcs) / both
+        result[pick] = np.maximum.reduceat(score, first)
+    return result
+
+
+def _sorted_words(t: str) -> str:
+    return " ".join(sorted(t.split()))
+
+
+def _word_key(t: str) -> str:
+    return " ".join(sorted(set(t.split())))
+
+
+def weighted_scores(left: list[str], right: list[str]) -> np.ndarray:
+    """Weighted maximum of the other scores, chosen by how much the lengths differ.
+
+    Below a length ratio of 1.5 whole strings and tokens are compared; from
+    there on windows count as well, and less beyond a ratio of 8.
+    """
+    len_a, len_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (left, right))
+    shorter, longer = np.minimum(len_a, len_b), np.maximum(len_a, len_b)
+    result = np.zeros(len(left))
+    alike = np.flatnonzero((shorter > 0) & (longer < 1.5 * shorter))
+    apart = np.flatnonzero((shorter > 0) & (longer >= 1.5 * shorter))
+
+    def over(pick, score, form=str):
+        return score([form(left[i]) for i in pick], [form(right[i]) for i in pick])
+
+    def plain(x, y):
+        return pair_scores(x, y, tokens=False)
+
+    def token_set(x, y):
+        return pair_scores(x, y, tokens=True)
+
+    by_words = np.maximum(over(alike, plain, _sorted_words), over(alike, token_set, _word_key))
+    result[alike] = np.maximum(over(alike, plain), by_words * 0.95)
+    scale = np.where(longer[apart] <= 8 * shorter[apart], 0.9, 0.6)
+    common = np.array([not set(left[i].split()).isdisjoint(right[i].split()) for i in apart], bool)
+    windows = np.full(len(apart), 100.0)
+    rest = apart[~common]
+    windows[~common] = np.maximum(over(rest, partial_scores, _sorted_words), over(rest, partial_scores, _word_key))
+    best = np.maximum(over(apart, partial_scores) * scale, windows * 0.95 * scale)
+    result[apart] = np.maximum(over(apart, plain), best)
+    return result
+
+
 class _Bounds:
     """Upper bounds of the token-set ratio from character counts and shared tokens."""
 
@@ -297,6 +385,7 @@ class _Bounds:
         bound *= 200
         bound[(len_a[:, 0] == 0)] = 0
         bound[:, len_b == 0] = 0
+        self.overlap, self.shared = overlap, shared
         return bound
 
 
@@ -327,23 +416,38 @@ def best_pairs(left: list[str], right: list[str], cutoff: np.ndarray, order: np.
     return found[0]
 
 
-def pairs_between(left: list[str], right: list[str], low: float, high: float, order: np.ndarray, n: int):
-    """Per left string the ``n`` right strings of lowest ``order`` with a token-set ratio between the bounds.
+def pairs_between(
+    left: list[str], right: list[str], low: float, high: float, order: np.ndarray, n: int, weighted: bool = False
+):
+    """Per left string the ``n`` right strings of lowest ``order`` that score between the bounds.
 
-    Both bounds are exclusive.  Returns (left index, right index, score).
+    Both bounds are exclusive.  The score is the token-set ratio of two token
+    keys or, if ``weighted``, the weighted score of two strings.  Returns (left
+    index, right index, score).
     """
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for begin in range(0, len(right) if left else 0, RIGHT_PART):
-        a, b, alphabet = encode(left, right[begin : begin + RIGHT_PART], tokens=True)
-        bounds = _Bounds(a, b, alphabet)
-        step = max(1, BUDGET // b.n)
-        for first in range(0, a.n, step):
-            rows = slice(first, min(first + step, a.n))
-            spot = np.flatnonzero(bounds.of(rows) > low - SLACK)
-            row, col = spot // b.n + first, spot % b.n
-            score = compare(a, b, alphabet, row, col, True)
-            ok = (score > low) & (score < high)
-            found.append((row[ok], col[ok] + begin, score[ok]))
+        part = right[begin : begin + RIGHT_PART]
+        bounds = _weighted_bounds(left, part) if weighted else _Bounds(*encode(left, part, tokens=True)).of
+        step = max(1, BUDGET // len(part))
+        # Right strings in the wanted order, so that the first hits are the ones to keep.
+        ranked = np.argsort(order[begin : begin + len(part)], kind="stable")
+        for first in range(0, len(left), step):
+            able = bounds(slice(first, min(first + step, len(left))))[:, ranked] > low - SLACK
+            spot = np.flatnonzero(able)
+            row, col = spot // len(part), ranked[spot % len(part)]
+            missing = np.full(len(able), n)
+            batch = 4 * n
+            while len(row):
+                now = _place(row) < batch
+                texts = [left[i] for i in row[now] + first], [part[j] for j in col[now]]
+                score = weighted_scores(*texts) if weighted else pair_scores(*texts, tokens=True)
+                ok = (score > low) & (score < high)
+                found.append((row[now][ok] + first, col[now][ok] + begin, score[ok]))
+                missing -= np.bincount(row[now][ok], minlength=len(missing))
+                later = ~now & (missing > 0)[row]
+                row, col = row[later], col[later]
+                batch *= 4
         row, col, score = (np.concatenate(x) for x in zip(*found))
         rank = np.lexsort((order[col], row))
         kept = rank[_place(row[rank]) < n]
@@ -351,6 +455,32 @@ def pairs_between(left: list[str], right: list[str], low: float, high: float, or
     return found[0]
 
 
+def _weighted_bounds(left: list[str], right: list[str]):
+    """Function from left rows to upper bounds of their weighted scores with all right strings."""
+    whole, ordered, keyed = (
+        _Bounds(*encode([form(t) for t in left], [form(t) for t in right], tokens))
+        for form, tokens in ((str, False), (_sorted_words, False), (_word_key, True))
+    )
+    len_a, len_b = (np.fromiter(map(len, side), np.float32, len(side)) for side in (left, right))
+
+    def of(rows):
+        by_chars = np.maximum(whole.of(rows), ordered.of(rows))
+        by_tokens = keyed.of(rows)
+        a, b = len_a[rows, None], len_b
+        shorter, longer = np.minimum(a, b), np.maximum(a, b)
+        alike = np.maximum(by_chars, by_tokens * np.float32(0.95))
+        # A window can hold at most the characters both strings have.
+        most = whole.overlap.astype(np.float32)
+        least = np.minimum(keyed.a.total[rows, None], keyed.b.total) - 1
+        window = 200 * most / np.maximum(least + most, 1)
+        scale = np.where(longer <= 8 * shorter, np.float32(0.9), np.float32(0.6))
+        window_tokens = np.where(keyed.shared > 0, 100, window) * np.float32(0.95)
+        apart = np.maximum(by_chars, np.maximum(window, window_tokens) * scale)
+        return np.where(shorter == 0, 0, np.where(longer < 1.5 * shorter, alike, apart))
+
+    return of
+
+
 def _promising(a, b, alphabet, bounds, rows, cutoff, best, k):
     """Score the pairs of some left strings that may still matter; ``best`` is updated in place."""
     bound = bounds.of(rows)

@@ -14,25 +14,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import text
-from .kernel import pair_scores
+from .kernel import pair_scores, partial_scores, weighted_scores
 
 
-def _batch_scores(left: pd.Series, right: pd.Series, tokens: bool) -> pd.Series:
+def _batch_scores(left: pd.Series, right: pd.Series, score) -> pd.Series:
     result = np.full(len(left), np.nan)  # NaN leaves as null
     given = (left.notna() & right.notna()).to_numpy()
     if given.any():
-        result[given] = pair_scores(left[given].tolist(), right[given].tolist(), tokens)
+        result[given] = score(left[given].tolist(), right[given].tolist())
     return pd.Series(result)
 
 
 @F.pandas_udf(DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batch_scores(left, right, tokens=False)
+    return _batch_scores(left, right, lambda a, b: pair_scores(a, b, tokens=False))
 
 
 @F.pandas_udf(DoubleType())
 def _token_set(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _batch_scores(left, right, tokens=True)
+    return _batch_scores(left, right, lambda a, b: pair_scores(a, b, tokens=True))
+
+
+@F.pandas_udf(DoubleType())
+def _partial(left: pd.Series, right: pd.Series) -> pd.Series:
+    return _batch_scores(left, right, partial_scores)
+
+
+@F.pandas_udf(DoubleType())
+def _weighted(left: pd.Series, right: pd.Series) -> pd.Series:
+    return _batch_scores(left, right, weighted_scores)
 
 
 def ratio(a: str, b: str) -> Column:
@@ -50,6 +60,16 @@ def token_sort_ratio(a: str, b: str) -> Column:
     return _ratio(F.expr(text.sorted_tokens(a)), F.expr(text.sorted_tokens(b)))
 
 
+def partial_ratio(a: str, b: str) -> Column:
+    """Best ratio of the shorter string against any window of the longer one."""
+    return _partial(F.expr(a), F.expr(b))
+
+
+def weighted_ratio(a: str, b: str) -> Column:
+    """Weighted maximum of the other scores, chosen by how much the lengths differ."""
+    return _weighted(F.expr(a), F.expr(b))
+
+
 def lcs_native(a: str, b: str) -> Column:
     """LCS length with built-in functions only, for strings of at most 61 characters.
 

@@ -41,18 +41,19 @@ def fold(c: str) -> str:
     return strip(f"upper(coalesce(CAST({c} AS STRING), ''))")
 
 
-def _words(c: str) -> str:
+def words(c: str) -> str:
+    """Array of the white-space tokens."""
     return rf"array_remove(split({c}, r'(?U)\s+'), '')"
 
 
 def token_key(c: str) -> str:
     """Sorted distinct tokens joined by blanks: equal keys have equal token-set scores."""
-    return f"array_join(array_sort(array_distinct({_words(c)})), ' ')"
+    return f"array_join(array_sort(array_distinct({words(c)})), ' ')"
 
 
 def sorted_tokens(c: str) -> str:
     """All white-space tokens, repeats included, sorted and joined."""
-    return f"array_join(array_sort({_words(c)}), ' ')"
+    return f"array_join(array_sort({words(c)}), ' ')"
 
 
 def replace_all(c: str, pairs) -> str:

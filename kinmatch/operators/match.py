@@ -216,12 +216,20 @@ def by_score(results: DataFrame) -> DataFrame:
     return results.orderBy("match_type", F.desc("match_score"), "a_row", "b_row")
 
 
-def score_pairs(pairs: DataFrame, a: str, b: str, which=("ratio", "token_set", "token_sort", "address")) -> DataFrame:
+PAIR_SCORES = ("ratio", "partial", "token_sort", "token_set", "weighted", "address")
+
+
+def score_pairs(pairs: DataFrame, a: str, b: str, which: Iterable[str] = PAIR_SCORES) -> DataFrame:
     """Add one column per requested score for the strings in columns ``a`` and ``b``."""
-    plain = {"ratio": scorers.ratio, "token_set": scorers.token_set_ratio, "token_sort": scorers.token_sort_ratio}
-    unknown = [w for w in which if w not in plain and w != "address"]
+    plain = {
+        "ratio": scorers.ratio,
+        "partial": scorers.partial_ratio,
+        "token_sort": scorers.token_sort_ratio,
+        "token_set": scorers.token_set_ratio,
+        "weighted": scorers.weighted_ratio,
+    }
+    unknown = [w for w in which if w not in PAIR_SCORES]
     if unknown:
         raise ValueError(f"Unknown score: {unknown[0]}")
-    columns = [plain[w](a, b).alias(f"{w}_score") for w in which if w in plain]
-    scored = pairs.select("*", *columns)
+    scored = pairs.select("*", *(plain[w](a, b).alias(f"{w}_score") for w in which if w in plain))
     return with_address_score(scored, a, b) if "address" in which else scored

@@ -20,18 +20,20 @@ def near_matches(
     limit: int = 1,
     band: tuple[float, float] = BAND,
     input_rows: int | None = None,
+    weighted: bool = True,
     row_id: str = "row_id",
 ) -> DataFrame:
     """The first ``limit`` pairs whose search strings score inside the band.
 
     Pairs are taken by input row, then master row, then match type.
     ``input_rows`` looks at that many first input rows only; by default all are.
+    The score is the weighted one, or else the token-set ratio.
     """
     if input_rows is not None:
         a = a.where(f"{row_id} < {int(input_rows)}")
     specs = [SPECS[t] for t in TYPE_ORDER]
     strings = search_rows(a, specs, {s.name: 0.0 for s in specs})
-    found = similar_between(strings, search_rows(b, specs), *band, limit)
+    found = similar_between(strings, search_rows(b, specs), *band, limit, weighted)
     tried = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TYPE_ORDER))
     return (
         found.selectExpr("a_id", "b_id", "kind AS match_type", "stage1 AS score", f"CASE kind {tried} END AS tried")

@@ -35,6 +35,9 @@ HOT_KEY_ROWS = 100_000  # left rows of one key that one task may hold
 MIN_LEFT_BLOCK = 64  # smaller blocks cost more in overhead than they gain in spread
 
 
+TOKEN_KEY = text.token_key("search")
+
+
 @dataclass(frozen=True)
 class Grid:
     """Number of hash blocks per side."""
@@ -62,8 +65,8 @@ def grid_for(a: DataFrame, b: DataFrame) -> Grid:
     return Grid.plan(a.count(), b.count(), a.sparkSession.sparkContext.defaultParallelism)
 
 
-def _keyed(rows: DataFrame, *others: str) -> DataFrame:
-    return rows.selectExpr("kind", "id", f"{text.token_key('search')} AS token_key", *others)
+def _keyed(rows: DataFrame, key: str, *others: str) -> DataFrame:
+    return rows.selectExpr("kind", "id", f"{key} AS token_key", *others)
 
 
 def _distinct_keys(keyed: DataFrame, k: int) -> DataFrame:
@@ -129,27 +132,30 @@ def top_k_similar(a: DataFrame, b: DataFrame, k: int = 10, grid: Grid | None = N
 
 
 def similar_between(
-    a: DataFrame, b: DataFrame, low: float, high: float, n: int, grid: Grid | None = None
+    a: DataFrame, b: DataFrame, low: float, high: float, n: int, weighted: bool = False, grid: Grid | None = None
 ) -> DataFrame:
-    """For every row of ``a`` the first ``n`` rows of ``b`` with a token-set ratio between the bounds.
+    """For every row of ``a`` the first ``n`` rows of ``b`` that score between the bounds, both exclusive.
 
-    Both bounds are exclusive.  Columns as in :func:`top_k_similar`.
+    The score is the token-set ratio or, if ``weighted``, the weighted one,
+    which depends on the whole strings.  Columns as in :func:`top_k_similar`.
     """
 
     def choose(keys, cutoffs, right_keys, first_ids):
-        return pairs_between(keys, right_keys, low, high, first_ids, n)
+        return pairs_between(keys, right_keys, low, high, first_ids, n, weighted)
 
-    return _grid_join(a, b, n, grid, choose, best_first=False)
+    return _grid_join(a, b, n, grid, choose, best_first=False, key="search" if weighted else TOKEN_KEY)
 
 
-def _grid_join(a: DataFrame, b: DataFrame, k: int, grid: Grid | None, choose, best_first: bool) -> DataFrame:
+def _grid_join(
+    a: DataFrame, b: DataFrame, k: int, grid: Grid | None, choose, best_first: bool, key: str = TOKEN_KEY
+) -> DataFrame:
     grid = grid or grid_for(a, b)
     carried = [f"`{c}`" for c in a.columns if c not in ("kind", "id", "search", "cutoff")]
-    left_rows = _keyed(a, "cutoff", *carried)
+    left_rows = _keyed(a, key, "cutoff", *carried)
     left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"))
-    right = _distinct_keys(_keyed(b), k)
+    right = _distinct_keys(_keyed(b, key), k)
 
-    key = ["kind", "left_block", "right_block"]
+    cell = ["kind", "left_block", "right_block"]
     cells = left.selectExpr(
         "*",
         f"CAST(pmod(xxhash64(token_key), {grid.left}) AS INT) AS left_block",
@@ -164,9 +170,9 @@ def _grid_join(a: DataFrame, b: DataFrame, k: int, grid: Grid | None, choose, be
     partitions = grid.partitions(a.sparkSession.sparkContext.defaultParallelism)
     id_type = b.schema["id"].dataType.simpleString()
     scored = (
-        cells.repartition(partitions, *key)
-        .groupBy(*key)
-        .cogroup(blocks.repartition(partitions, *key).groupBy(*key))
+        cells.repartition(partitions, *cell)
+        .groupBy(*cell)
+        .cogroup(blocks.repartition(partitions, *cell).groupBy(*cell))
         .applyInArrow(_cell_function(choose), f"kind string, token_key string, ids array<{id_type}>, score double")
     )
     by_key = "PARTITION BY kind, token_key ORDER BY" + (" score DESC," if best_first else "")

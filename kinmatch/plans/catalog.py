@@ -170,7 +170,8 @@ def registered() -> dict[str, Query]:
         "calibrate_threshold": _calibrate,
         "check_expectations": _expectations,
         "near_matches": lambda s, d: near.near_matches(*_records(s, d)),
-        "near_match_examples": lambda s, d: near.near_matches(*_records(s, d), limit=20),
+        "near_matches_token_set": lambda s, d: near.near_matches(*_records(s, d), weighted=False),
+        "near_match_examples": lambda s, d: near.near_matches(*_records(s, d), limit=20, weighted=False),
         "diff_tables": lambda s, d: compare.diff_tables(*_records(s, d)),
         "diff_summary": lambda s, d: compare.diff_summary(*_records(s, d)),
         "profile_tables": lambda s, d: tables.profile_tables(dict(zip(("input", "master"), _raw(s, d)))),

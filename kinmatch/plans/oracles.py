@@ -139,6 +139,24 @@ class Sql:
  ELSE 1e2 - 1e2 * (length(x) + length(y) - 2 * n) / (length(x) + length(y)) END AS score FROM {lcs}""",
         )
 
+    def partial(self, name: str, pairs: str) -> str:
+        """(p, q, score) of the best window; strings must not be empty."""
+        both = self.add(
+            f"{name}_both",
+            f"""SELECT DISTINCT p, q, p AS s, q AS t FROM {pairs} WHERE length(p) <= length(q)
+ UNION SELECT DISTINCT p, q, q, p FROM {pairs} WHERE length(q) <= length(p)""",
+        )
+        windows = self.add(
+            f"{name}_windows",
+            f"""SELECT p AS p0, q AS q0, s AS p, substr(t, greatest(i, 0) + 1, least(i + length(s), length(t)) - greatest(i, 0)) AS q
+ FROM (SELECT *, unnest(range(1 - length(s), length(t))) AS i FROM {both})""",
+        )
+        scores = self.ratio(f"{name}_ratio", windows)
+        return self.add(
+            name,
+            f"SELECT p0 AS p, q0 AS q, max(score) AS score FROM {windows} w JOIN {scores} r ON r.p = w.p AND r.q = w.q GROUP BY p0, q0",
+        )
+
     def token_set(self, name: str, pairs: str) -> str:
         lists = self.add(
             f"{name}_lists",
@@ -421,13 +439,24 @@ def oracle_statements() -> dict[str, str]:
     s = Sql()
     pairs = s.add("pairs", f"SELECT pair_id, a AS p, b AS q FROM {s.partners()}")
     sorted_ = "array_to_string(list_sort(list_filter(string_split_regex({c}, '\\s+'), lambda t: t <> '')), ' ')"
-    sorts = s.add("sorted_pairs", f"SELECT p AS a, q AS b, {sorted_.format(c='p')} AS p, {sorted_.format(c='q')} AS q FROM {pairs}")
+    sorts = s.add("sorted_pairs", f"SELECT DISTINCT p AS a, q AS b, {sorted_.format(c='p')} AS p, {sorted_.format(c='q')} AS q FROM {pairs}")
+    keys = s.add("key_strings", f"SELECT DISTINCT p AS a, q AS b, array_to_string({tokens('p')}, ' ') AS p, array_to_string({tokens('q')}, ' ') AS q FROM {pairs}")
     r, t, o, d = s.ratio("r", pairs), s.token_set("t", pairs), s.ratio("o", sorts), s.address("d", pairs)
+    n, no, nk = s.partial("n", pairs), s.partial("no", sorts), s.partial("nk", keys)
+    all_ = s.add(
+        "all_scores",
+        f"""SELECT pair_id, x.p AS a, x.q AS b, r.score AS r, n.score AS n, o.score AS o, t.score AS t, d.score AS d,
+ greatest(length(x.p), length(x.q)) / CAST(least(length(x.p), length(x.q)) AS DOUBLE) AS apart,
+ CASE WHEN list_has_any({tokens('x.p')}, {tokens('x.q')}) THEN 1e2 ELSE greatest(no.score, nk.score) END AS w
+ FROM {pairs} x JOIN {r} r ON r.p = x.p AND r.q = x.q JOIN {t} t ON t.p = x.p AND t.q = x.q JOIN {n} n ON n.p = x.p AND n.q = x.q
+ JOIN {sorts} z ON z.a = x.p AND z.b = x.q JOIN {o} o ON o.p = z.p AND o.q = z.q JOIN {no} no ON no.p = z.p AND no.q = z.q
+ JOIN {keys} k ON k.a = x.p AND k.b = x.q JOIN {nk} nk ON nk.p = k.p AND nk.q = k.q JOIN {d} d ON d.p = x.p AND d.q = x.q""",
+    )
+    scale = "CASE WHEN apart <= 8 THEN 9e-1 ELSE 6e-1 END"
+    weighted = f"CASE WHEN apart < 1.5 THEN greatest(r, greatest(o, t) * 95e-2) ELSE greatest(r, n * {scale}, w * 95e-2 * {scale}) END"
+    columns = {"ratio": "r", "partial": "n", "token_sort": "o", "token_set": "t", "weighted": weighted, "address": "d"}
     out["score_pairs"] = s.query(
-        f"""SELECT pair_id, x.p AS a, x.q AS b, round_even(r.score, 2) AS ratio_score, round_even(t.score, 2) AS token_set_score,
- round_even(o.score, 2) AS token_sort_score, round_even(d.score, 2) AS address_score
- FROM {pairs} x JOIN {r} r ON r.p = x.p AND r.q = x.q JOIN {t} t ON t.p = x.p AND t.q = x.q
- JOIN (SELECT DISTINCT * FROM {sorts}) z ON z.a = x.p AND z.b = x.q JOIN {o} o ON o.p = z.p AND o.q = z.q JOIN {d} d ON d.p = x.p AND d.q = x.q"""
+        f"SELECT pair_id, a, b, {', '.join(f'round_even({x}, 2) AS {c}_score' for c, x in columns.items())} FROM {all_}"
     )
 
     s = Sql()
@@ -541,7 +570,7 @@ def oracle_statements() -> dict[str, str]:
  WHERE side <> 'both' OR changed <> ''""",
         )
 
-    for name, limit in (("near_matches", 1), ("near_match_examples", 20)):
+    for name, limit in (("near_matches_token_set", 1), ("near_match_examples", 20)):
         s = Sql()
         types = ("FullName", "FullAddress", "LastNameAddress")
         scores = s.pair_scores(types)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinmatch.functions import scorers
-from kinmatch.functions.kernel import best_pairs, pair_scores, pairs_between
+from kinmatch.functions.kernel import best_pairs, pair_scores, pairs_between, partial_scores
 
 texts = st.text(alphabet="AB1 ,é", max_size=90)
 
@@ -66,6 +66,22 @@ def test_pairs_between_equals_brute_force():
         assert sorted(int(order[j]) for j in col[row == i]) == inside[:3]
 
 
+def test_weighted_pairs_between_equal_brute_force(monkeypatch):
+    from kinmatch.functions import kernel
+
+    monkeypatch.setattr(kernel, "RIGHT_PART", 61)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("ABCD") for _ in range(rnd.randint(1, 6)))
+    make = lambda: "  ".join(word() for _ in range(rnd.choice([0, 1, 2, 3, 4, 15])))
+    left, right = [make() for _ in range(30)], [make() for _ in range(150)]
+    order = np.random.default_rng(4).permutation(len(right))
+    for low, high in ((60.0, 90.0), (85.0, 99.99)):
+        row, col, _ = pairs_between(left, right, low, high, order, 2, weighted=True)
+        for i, a in enumerate(left):
+            inside = sorted(int(order[j]) for j, b in enumerate(right) if low < textbook.weighted(a, b) < high)
+            assert sorted(int(order[j]) for j in col[row == i]) == inside[:2]
+
+
 def test_native_agrees_with_kernel(spark):
     rnd = random.Random(7)
     make = lambda: "".join(rnd.choice("ABCD ") for _ in range(rnd.randint(0, 40)))
@@ -89,3 +105,21 @@ def test_symmetry_and_self(spark):
 def test_token_sort(spark):
     pairs = spark.createDataFrame([("B A A", "A B"), ("X", "X")], "a string, b string")
     assert [r[0] for r in pairs.select(scorers.token_sort_ratio("a", "b")).collect()] == [textbook.ratio("A A B", "A B"), 100.0]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(texts, texts), min_size=1, max_size=10))
+def test_partial_equals_textbook(pairs):
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert list(partial_scores(left, right)) == [textbook.partial(a, b) for a, b in pairs]
+
+
+def test_weighted(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("ABC") for _ in range(rnd.randint(1, 5)))
+    make = lambda: " ".join(word() for _ in range(rnd.choice([0, 1, 2, 3, 12])))
+    df = spark.createDataFrame([(make(), make()) for _ in range(150)] + [(None, "A")], "a string, b string")
+    got = df.select("a", "b", scorers.weighted_ratio("a", "b").alias("w")).collect()
+    assert got[-1].w is None
+    for r in got[:-1]:
+        assert r.w == pytest.approx(textbook.weighted(r.a, r.b), abs=1e-9), (r.a, r.b)

@@ -133,4 +133,6 @@ def test_near_matches(people):
     # Row 1 against master row 1: names near, full address equal.
     assert (got[0].a_row, got[0].b_row, got[0].match_type) == (3, 3, "FullName")
     assert 85 < got[0].score < 100
+    by_tokens = near_matches(a, b, limit=2, weighted=False).collect()
+    assert [(r.a_row, r.b_row, r.match_type) for r in by_tokens][0] == (3, 3, "FullName")
     assert near_matches(a, b, input_rows=1).count() == 0
