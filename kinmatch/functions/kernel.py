@@ -9,14 +9,16 @@ one character of the right-hand string.
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 
 WORD = 64
 # Elements held in one temporary array; keeps the working set near the CPU caches.
 BUDGET = 1 << 18
-# Right-hand strings that are encoded and bounded together.
-RIGHT_PART = 1 << 14
+# Strings of one side that are encoded and bounded together.
+PART = 1 << 14
 
 
 class Block:
@@ -224,8 +226,31 @@ def _remainder_lcs(a, b, alphabet, row, col, in_a, in_b):
     return _fold(masks, local, keep, b.char.take(spot), np.cumsum(length) - length, length)
 
 
+def _parts(texts: list[str]):
+    """Split strings into runs of like token count, so that a few long ones do not widen all tables."""
+    counts = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+    order = np.argsort(counts, kind="stable")
+    begin = 0
+    while begin < len(order):
+        end = min(begin + PART, len(order))
+        while end > begin + 1 and counts[order[end - 1]] * (end - begin) > 16 * PART:
+            end = begin + max(1, (end - begin) // 2)
+        yield order[begin:end]
+        begin = end
+
+
 def pair_scores(left: list[str], right: list[str], tokens: bool) -> np.ndarray:
-    """Scores of a list of pairs; equal strings are encoded once."""
+    """Scores of a list of pairs."""
+    if not tokens:
+        return _pair_scores(left, right, tokens)
+    result = np.zeros(len(left))
+    for part in _parts([max(x, y, key=lambda t: t.count(" ")) for x, y in zip(left, right)]):
+        result[part] = _pair_scores([left[i] for i in part], [right[i] for i in part], tokens)
+    return result
+
+
+def _pair_scores(left: list[str], right: list[str], tokens: bool) -> np.ndarray:
+    """The same for one part; equal strings are encoded once."""
     a_index = {t: i for i, t in enumerate(dict.fromkeys(left))}
     b_index = {t: i for i, t in enumerate(dict.fromkeys(right))}
     a, b, alphabet = encode(list(a_index), list(b_index), tokens)
@@ -330,10 +355,10 @@ class _Bounds:
         small = max(a.total.max(initial=0), b.total.max(initial=0)) < 256
         self.kind = np.uint8 if small else np.int32
         self.a_count = self._count(a, alphabet)
-        b_count = np.ascontiguousarray(self._count(b, alphabet).T)
-        # capped[c][j - 1] is min(count in the right string, j), for the counts j the left side has.
-        most = self.a_count.max(axis=0, initial=0)
-        self.capped = [[np.minimum(b_count[c], self.kind(j + 1)) for j in range(m)] for c, m in enumerate(most)]
+        self.b_count = np.ascontiguousarray(self._count(b, alphabet).T)
+        # capped[c][j - 1] is min(count in the right string, j), for the small counts j the left side has.
+        most = np.minimum(self.a_count.max(axis=0, initial=0), 8)
+        self.capped = [[np.minimum(self.b_count[c], self.kind(j + 1)) for j in range(m)] for c, m in enumerate(most)]
         used = b.token >= 0
         owner = np.broadcast_to(np.arange(b.n), b.token.shape)[used]
         by_token = np.argsort(b.token[used], kind="stable")
@@ -357,7 +382,8 @@ class _Bounds:
         counts = self.a_count[rows]
         overlap = np.zeros((len(counts), b.n), self.kind)
         for i, c in zip(*np.nonzero(counts)):
-            overlap[i] += self.capped[c][counts[i, c] - 1]
+            count, levels = counts[i, c], self.capped[c]
+            overlap[i] += levels[count - 1] if count <= len(levels) else np.minimum(self.b_count[c], count)
         shared = np.zeros((len(counts), b.n), np.int32)
         token, size = a.token[:, rows].T, a.size[:, rows].T
         low = np.searchsorted(self.posting_token, token, side="left")
@@ -403,15 +429,18 @@ def best_pairs(left: list[str], right: list[str], cutoff: np.ndarray, order: np.
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     # best[i] holds the k highest scores seen so far for left string i.
     best = np.full((len(left), k), -1.0)
-    for begin in range(0, len(right) if left else 0, RIGHT_PART):
-        part = right[begin : begin + RIGHT_PART]
-        a, b, alphabet = encode(left, part, tokens=True)
+    for lefts, rights in product(_parts(left), _parts(right)):
+        a, b, alphabet = encode([left[i] for i in lefts], [right[i] for i in rights], tokens=True)
         bounds = _Bounds(a, b, alphabet)
+        bar, high = cutoff[lefts], best[lefts]
         step = max(1, BUDGET // b.n)
+        fresh = []
         for first in range(0, a.n, step):
             rows = slice(first, min(first + step, a.n))
-            row, col, score = _promising(a, b, alphabet, bounds, rows, cutoff[rows], best[rows], k)
-            found.append((row, col + begin, score))
+            fresh.append(_promising(a, b, alphabet, bounds, rows, bar[rows], high[rows], k))
+        best[lefts] = high
+        row, col, score = (np.concatenate(x) for x in zip(*fresh))
+        found.append(_keep_best(lefts[row], rights[col], score, cutoff, order, k))
         found = [_keep_best(*(np.concatenate(x) for x in zip(*found)), cutoff, order, k)]
     return found[0]
 
@@ -426,24 +455,24 @@ def pairs_between(
     index, right index, score).
     """
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for begin in range(0, len(right) if left else 0, RIGHT_PART):
-        part = right[begin : begin + RIGHT_PART]
-        bounds = _weighted_bounds(left, part) if weighted else _Bounds(*encode(left, part, tokens=True)).of
-        step = max(1, BUDGET // len(part))
+    for lefts, rights in product(_parts(left), _parts(right)):
+        x, y = [left[i] for i in lefts], [right[i] for i in rights]
+        bounds = _weighted_bounds(x, y) if weighted else _Bounds(*encode(x, y, tokens=True)).of
+        step = max(1, BUDGET // len(y))
         # Right strings in the wanted order, so that the first hits are the ones to keep.
-        ranked = np.argsort(order[begin : begin + len(part)], kind="stable")
-        for first in range(0, len(left), step):
-            able = bounds(slice(first, min(first + step, len(left))))[:, ranked] > low - SLACK
+        ranked = np.argsort(order[rights], kind="stable")
+        for first in range(0, len(x), step):
+            able = bounds(slice(first, min(first + step, len(x))))[:, ranked] > low - SLACK
             spot = np.flatnonzero(able)
-            row, col = spot // len(part), ranked[spot % len(part)]
+            row, col = spot // len(y), ranked[spot % len(y)]
             missing = np.full(len(able), n)
             batch = 4 * n
             while len(row):
                 now = _place(row) < batch
-                texts = [left[i] for i in row[now] + first], [part[j] for j in col[now]]
+                texts = [x[i] for i in row[now] + first], [y[j] for j in col[now]]
                 score = weighted_scores(*texts) if weighted else pair_scores(*texts, tokens=True)
                 ok = (score > low) & (score < high)
-                found.append((row[now][ok] + first, col[now][ok] + begin, score[ok]))
+                found.append((lefts[row[now][ok] + first], rights[col[now][ok]], score[ok]))
                 missing -= np.bincount(row[now][ok], minlength=len(missing))
                 later = ~now & (missing > 0)[row]
                 row, col = row[later], col[later]

@@ -35,7 +35,7 @@ def score_distribution(results: DataFrame, levels=LEVELS) -> DataFrame:
     )
 
 
-# --- audits --------------------------------------------------------------
+# --- audits: problem names, score bounds and distances are fixed values ---
 
 SAME_HOUSE = "(house_a = house_b AND house_a <> 0)"  # house number zero counts as none
 OTHER_STREET = "street_a <> street_b"

@@ -36,20 +36,18 @@ def unmatched(raw_input: DataFrame, results: DataFrame, row_id: str = "row_id")
 
 def coverage(records: DataFrame, results: DataFrame, types=tuple(SPECS)) -> DataFrame:
     """Matched and unmatched input rows per match type, and over all types as ``ALL``."""
-    # One row per input row first; everything else is a count over those rows.
     per_type = [F.expr(f"count_if(match_type = '{t}') AS `{t}`") for t in types]
     by_row = results.groupBy("a_row").agg(*per_type, F.expr("count(*) AS ALL"))
+    # One row per input row; everything else is a count over those rows.
+    every_row = records.selectExpr("row_id + 2 AS a_row").join(by_row, "a_row", "left")
     entries = ", ".join(
-        f"struct('{t}' AS match_type, coalesce(sum(`{t}`), 0L) AS results, count_if(`{t}` > 0) AS matched)"
+        f"struct('{t}' AS match_type, count(*) AS input_rows, coalesce(sum(`{t}`), 0L) AS results, "
+        f"count_if(`{t}` > 0) AS matched)"
         for t in (*types, "ALL")
     )
-    counts = by_row.agg(F.expr(f"array({entries}) AS entries")).selectExpr("inline(entries)")
-    total = records.agg(F.expr("count(*) AS input_rows"))  # a single row
-    return counts.join(F.broadcast(total)).selectExpr(
-        "match_type",
-        "input_rows",
-        "results",
-        "matched",
+    counts = every_row.agg(F.expr(f"array({entries}) AS entries")).selectExpr("inline(entries)")
+    return counts.selectExpr(
+        "*",
         "input_rows - matched AS unmatched",
         "round(100D * (input_rows - matched) / input_rows, 1) AS unmatched_pct",
     )

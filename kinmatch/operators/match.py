@@ -71,6 +71,7 @@ def with_address_score(
         scorers.ratio(f"IF({same_house}, _a, NULL)", "_b").alias("_whole"),
         scorers.token_set_ratio(f"IF({same_house}, _street_a, NULL)", "_street_b").alias("_streets"),
     )
+    # Shares and caps per branch, and 78 as the least likeness of two streets.
     score = """CASE _branch WHEN 'none' THEN CAST(NULL AS DOUBLE)
                             WHEN 'no house number' THEN _tokens
                             WHEN 'other unit' THEN 0D
@@ -153,7 +154,7 @@ def candidates(
     cutoffs = {s.name: CUTOFF_SHARE * thresholds.get(s.name, s.threshold) for s in specs}
     a_rows, b_rows = a.count(), b.count()
     cores = a.sparkSession.sparkContext.defaultParallelism
-    grid = Grid.plan(a_rows, b_rows, cores)
+    grid = Grid.plan(a_rows, b_rows, cores, len(specs))
     # The input's own columns travel with it, so only the master is looked up again.
     a_columns, b_columns = ([f"{c} AS {side}_{c}" for c in NAMES] for side in "ab")
     found = top_k_similar(search_rows(a, specs, cutoffs, a_columns), search_rows(b, specs), k, grid)

@@ -47,12 +47,12 @@ class Grid:
     left_rows: int | None = None
 
     @staticmethod
-    def plan(left_rows: int, right_rows: int, cores: int) -> Grid:
+    def plan(left_rows: int, right_rows: int, cores: int, kinds: int = 1) -> Grid:
         left = max(1, math.ceil(left_rows / LEFT_BLOCK))
         right = max(1, math.ceil(right_rows / RIGHT_BLOCK))
         # With few cells, cut the left side finer so that every core has some.  The right side
         # stays whole: the more a cell sees of it, the more its k-th best rules out.
-        spread = min(math.ceil(cores / right), math.ceil(left_rows / MIN_LEFT_BLOCK))
+        spread = min(math.ceil(1.25 * cores / (right * kinds)), math.ceil(left_rows / MIN_LEFT_BLOCK))
         return Grid(max(left, spread), right, left_rows)
 
     def partitions(self, cores: int) -> int:

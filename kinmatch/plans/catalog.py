@@ -128,10 +128,13 @@ def _roles(spark, sf_dir):
     a, b = _raw(spark, sf_dir)
     found = {"input": a, "master": b}
     input_name, master_name = tables.choose_roles(found)
-    counts = found[input_name].agg(F.count("*").alias("input_rows"))
-    masters = found[master_name].agg(F.count("*").alias("master_rows"))
-    return counts.join(masters).select(
-        F.lit(input_name).alias("input_table"), F.lit(master_name).alias("master_table"), "input_rows", "master_rows"
+    counts = coverage.row_counts(**found)
+    both = counts.agg(*(F.expr(f"max(IF(table_name = '{n}', rows, NULL)) AS `{n}`") for n in found))
+    return both.selectExpr(
+        f"'{input_name}' AS input_table",
+        f"'{master_name}' AS master_table",
+        f"`{input_name}` AS input_rows",
+        f"`{master_name}` AS master_rows",
     )
 
 

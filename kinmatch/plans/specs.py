@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from ..functions import text
 
+# Threshold of a match type that names none, candidates, and their cutoff.
 FALLBACK_THRESHOLD = 80.0
 CANDIDATES = 10  # rows that are rescored per input row
 CUTOFF_SHARE = 0.8  # of the threshold a candidate must reach to be rescored
@@ -30,6 +31,7 @@ class MatchSpec:
         return text.strip(joined) if len(self.search) > 1 else self.search[0]
 
 
+# The three match types and their thresholds.
 FULL_NAME = MatchSpec("FullName", ("First_Name", "Last_Name"), ("first", "last"), 85.0)
 LAST_NAME_ADDRESS = MatchSpec("LastNameAddress", ("Last_Name", "FullAddress"), ("last", "address"), 75.0)
 FULL_ADDRESS = MatchSpec("FullAddress", ("FullAddress",), ("address",), 80.0)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Names that mark result tables.
-RESULT_PREFIX = "results_"
 DEFAULT_EXCLUDED = ("results_", "Unmatched_")
 
 
@@ -90,28 +89,26 @@ def choose_roles(tables: dict[str, DataFrame], master: str | None = None) -> tup
     return (second if master == first else first), master
 
 
-def write_results(results: DataFrame, root: str, run_id: str | None = None, new_run: bool = False) -> str:
-    """Write match results partitioned by match type.
+def _in_score_order(results: DataFrame) -> DataFrame:
+    """Order inside every file: by match type, best scores first."""
+    return results.sortWithinPartitions("match_type", F.desc("match_score"), "a_row", "b_row")
 
-    By default the results replace those under ``root``.  With ``new_run`` (or a
-    ``run_id``) they go to a directory of their own and nothing is replaced.
-    A match type without results leaves no partition.
-    """
-    if run_id or new_run:
-        path = f"{root}/run_id={run_id or datetime.now().strftime('%Y%m%d_%H%M%S')}"
-        mode = "errorifexists"
-    else:
-        path, mode = root, "overwrite"
-    results.write.mode(mode).partitionBy("match_type").parquet(path)
-    return path
+
+def write_results(results: DataFrame, root: str) -> str:
+    """Write match results partitioned by match type, in place of earlier ones."""
+    _in_score_order(results).write.mode("overwrite").partitionBy("match_type").parquet(root)
+    return root
 
 
 def write_run(tables: dict[str, DataFrame], results: DataFrame, root: str, run_id: str | None = None) -> str:
-    """Write copies of the source tables and the results of one run to a new directory."""
+    """Write copies of the source tables and the results of one run to a new directory.
+
+    Nothing that exists is replaced.  A match type without results leaves no partition.
+    """
     run = f"{root}/run_id={run_id or datetime.now().strftime('%Y%m%d_%H%M%S')}"
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{run}/{name}")
-    results.write.mode("errorifexists").partitionBy("match_type").parquet(f"{run}/results")
+    _in_score_order(results).write.mode("errorifexists").partitionBy("match_type").parquet(f"{run}/results")
     return run
 
 

@@ -45,7 +45,7 @@ def _crowd(seed, n):
 def test_best_pairs_equal_brute_force(cutoff, k, monkeypatch):
     from kinmatch.functions import kernel
 
-    monkeypatch.setattr(kernel, "RIGHT_PART", 97)  # several parts, so the carried bar is used
+    monkeypatch.setattr(kernel, "PART", 97)  # several parts, so the carried bar is used
     left, right = _crowd(1, 40), _crowd(2, 400)
     order = np.random.default_rng(3).permutation(len(right))
     row, col, score = best_pairs(left, right, np.full(len(left), cutoff), order, k)
@@ -69,7 +69,7 @@ def test_pairs_between_equals_brute_force():
 def test_weighted_pairs_between_equal_brute_force(monkeypatch):
     from kinmatch.functions import kernel
 
-    monkeypatch.setattr(kernel, "RIGHT_PART", 61)
+    monkeypatch.setattr(kernel, "PART", 61)
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("ABCD") for _ in range(rnd.randint(1, 6)))
     make = lambda: "  ".join(word() for _ in range(rnd.choice([0, 1, 2, 3, 4, 15])))

@@ -112,7 +112,7 @@ def test_grid_is_bounded():
     assert grid.right * similarity_join.RIGHT_BLOCK >= 5_000_000_000
     assert grid.partitions(4000) <= 32 * 4000
     small = Grid.plan(1000, 15_000, 8)
-    assert small.right == 1 and small.left == 8
+    assert small.right == 1 and small.left == 10
 
 
 def test_repartitioning_does_not_change_results(tiny):
