@@ -157,6 +157,35 @@ class Sql:
             f"SELECT p0 AS p, q0 AS q, max(score) AS score FROM {windows} w JOIN {scores} r ON r.p = w.p AND r.q = w.q GROUP BY p0, q0",
         )
 
+    def weighted(self, name: str, pairs: str) -> str:
+        """(p, q, score) of the weighted score; strings must not be empty."""
+        sorted_ = "array_to_string(list_sort(list_filter(string_split_regex({c}, '\\s+'), lambda t: t <> '')), ' ')"
+        shaped = self.add(
+            f"{name}_shaped",
+            f"""SELECT p, q, greatest(length(p), length(q)) / CAST(least(length(p), length(q)) AS DOUBLE) AS apart,
+ list_has_any({tokens('p')}, {tokens('q')}) AS share, {sorted_.format(c='p')} AS sp, {sorted_.format(c='q')} AS sq,
+ array_to_string({tokens('p')}, ' ') AS kp, array_to_string({tokens('q')}, ' ') AS kq FROM (SELECT DISTINCT p, q FROM {pairs})""",
+        )
+
+        def step(kind, columns, where):
+            return self.add(f"{name}_{kind}_pairs", f"SELECT DISTINCT {columns} FROM {shaped} WHERE {where}")
+
+        r = self.ratio(f"{name}_r", shaped)
+        t = self.token_set(f"{name}_t", step("t", "p, q", "apart < 1.5"))
+        o = self.ratio(f"{name}_o", step("o", "sp AS p, sq AS q", "apart < 1.5"))
+        n = self.partial(f"{name}_n", step("n", "p, q", "apart >= 1.5"))
+        no = self.partial(f"{name}_no", step("no", "sp AS p, sq AS q", "apart >= 1.5 AND NOT share"))
+        nk = self.partial(f"{name}_nk", step("nk", "kp AS p, kq AS q", "apart >= 1.5 AND NOT share"))
+        scale = "CASE WHEN apart <= 8 THEN 9e-1 ELSE 6e-1 END"
+        return self.add(
+            name,
+            f"""SELECT s.p, s.q, CASE WHEN apart < 1.5 THEN greatest(r.score, greatest(o.score, t.score) * 95e-2)
+ ELSE greatest(r.score, n.score * {scale}, CASE WHEN share THEN 1e2 ELSE greatest(no.score, nk.score) END * 95e-2 * {scale}) END AS score
+ FROM {shaped} s JOIN {r} r ON r.p = s.p AND r.q = s.q LEFT JOIN {t} t ON t.p = s.p AND t.q = s.q
+ LEFT JOIN {o} o ON o.p = s.sp AND o.q = s.sq LEFT JOIN {n} n ON n.p = s.p AND n.q = s.q
+ LEFT JOIN {no} no ON no.p = s.sp AND no.q = s.sq LEFT JOIN {nk} nk ON nk.p = s.kp AND nk.q = s.kq""",
+        )
+
     def token_set(self, name: str, pairs: str) -> str:
         lists = self.add(
             f"{name}_lists",
@@ -216,7 +245,7 @@ class Sql:
         for t in types:
             columns = SPECS[t].search
             joined = strip(f"concat_ws(' ', {', '.join(columns)})") if len(columns) > 1 else columns[0]
-            parts.append(f"SELECT '{t}' AS kind, row_id AS id, {tokens(joined)} AS toks FROM {table}")
+            parts.append(f"SELECT '{t}' AS kind, row_id AS id, {joined} AS search, {tokens(joined)} AS toks FROM {table}")
         return self.add(f"search_{side}", " UNION ALL ".join(parts))
 
     def pair_scores(self, types) -> str:
@@ -440,23 +469,15 @@ def oracle_statements() -> dict[str, str]:
     pairs = s.add("pairs", f"SELECT pair_id, a AS p, b AS q FROM {s.partners()}")
     sorted_ = "array_to_string(list_sort(list_filter(string_split_regex({c}, '\\s+'), lambda t: t <> '')), ' ')"
     sorts = s.add("sorted_pairs", f"SELECT DISTINCT p AS a, q AS b, {sorted_.format(c='p')} AS p, {sorted_.format(c='q')} AS q FROM {pairs}")
-    keys = s.add("key_strings", f"SELECT DISTINCT p AS a, q AS b, array_to_string({tokens('p')}, ' ') AS p, array_to_string({tokens('q')}, ' ') AS q FROM {pairs}")
     r, t, o, d = s.ratio("r", pairs), s.token_set("t", pairs), s.ratio("o", sorts), s.address("d", pairs)
-    n, no, nk = s.partial("n", pairs), s.partial("no", sorts), s.partial("nk", keys)
-    all_ = s.add(
-        "all_scores",
-        f"""SELECT pair_id, x.p AS a, x.q AS b, r.score AS r, n.score AS n, o.score AS o, t.score AS t, d.score AS d,
- greatest(length(x.p), length(x.q)) / CAST(least(length(x.p), length(x.q)) AS DOUBLE) AS apart,
- CASE WHEN list_has_any({tokens('x.p')}, {tokens('x.q')}) THEN 1e2 ELSE greatest(no.score, nk.score) END AS w
- FROM {pairs} x JOIN {r} r ON r.p = x.p AND r.q = x.q JOIN {t} t ON t.p = x.p AND t.q = x.q JOIN {n} n ON n.p = x.p AND n.q = x.q
- JOIN {sorts} z ON z.a = x.p AND z.b = x.q JOIN {o} o ON o.p = z.p AND o.q = z.q JOIN {no} no ON no.p = z.p AND no.q = z.q
- JOIN {keys} k ON k.a = x.p AND k.b = x.q JOIN {nk} nk ON nk.p = k.p AND nk.q = k.q JOIN {d} d ON d.p = x.p AND d.q = x.q""",
-    )
-    scale = "CASE WHEN apart <= 8 THEN 9e-1 ELSE 6e-1 END"
-    weighted = f"CASE WHEN apart < 1.5 THEN greatest(r, greatest(o, t) * 95e-2) ELSE greatest(r, n * {scale}, w * 95e-2 * {scale}) END"
-    columns = {"ratio": "r", "partial": "n", "token_sort": "o", "token_set": "t", "weighted": weighted, "address": "d"}
+    n, w = s.partial("n", pairs), s.weighted("w", pairs)
+    columns = ("r ratio", "n partial", "o token_sort", "t token_set", "w weighted", "d address")
+    picked = ", ".join(f"round_even({x.split()[0]}.score, 2) AS {x.split()[1]}_score" for x in columns)
     out["score_pairs"] = s.query(
-        f"SELECT pair_id, a, b, {', '.join(f'round_even({x}, 2) AS {c}_score' for c, x in columns.items())} FROM {all_}"
+        f"""SELECT pair_id, x.p AS a, x.q AS b, {picked}
+ FROM {pairs} x JOIN {r} r ON r.p = x.p AND r.q = x.q JOIN {t} t ON t.p = x.p AND t.q = x.q JOIN {n} n ON n.p = x.p AND n.q = x.q
+ JOIN {sorts} z ON z.a = x.p AND z.b = x.q JOIN {o} o ON o.p = z.p AND o.q = z.q
+ JOIN {d} d ON d.p = x.p AND d.q = x.q JOIN {w} w ON w.p = x.p AND w.q = x.q"""
     )
 
     s = Sql()
@@ -570,17 +591,29 @@ def oracle_statements() -> dict[str, str]:
  WHERE side <> 'both' OR changed <> ''""",
         )
 
+    types = ("FullName", "FullAddress", "LastNameAddress")
+    order = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(types))
+    found = f"""s.score > 85 AND s.score < 99.99 ORDER BY a.id, b.id, CASE a.kind {order} END"""
+    columns = "a.id + 2 AS a_row, b.id + 2 AS b_row, a.kind AS match_type, round_even(s.score, 2) AS score"
     for name, limit in (("near_matches_token_set", 1), ("near_match_examples", 20)):
         s = Sql()
-        types = ("FullName", "FullAddress", "LastNameAddress")
-        scores = s.pair_scores(types)
-        a, b = s.search("input", types), s.search("master", types)
-        order = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(types))
+        scores, a, b = s.pair_scores(types), s.search("input", types), s.search("master", types)
         out[name] = s.query(
-            f"""SELECT a.id + 2 AS a_row, b.id + 2 AS b_row, a.kind AS match_type, round_even(s.score, 2) AS score
- FROM {a} a JOIN {scores} s ON s.kind = a.kind AND s.tp = a.toks JOIN {b} b ON b.kind = s.kind AND b.toks = s.tq
- WHERE s.score > 85 AND s.score < 99.99 ORDER BY a.id, b.id, CASE a.kind {order} END LIMIT {limit}"""
+            f"""SELECT {columns} FROM {a} a JOIN {scores} s ON s.kind = a.kind AND s.tp = a.toks
+ JOIN {b} b ON b.kind = s.kind AND b.toks = s.tq WHERE {found} LIMIT {limit}"""
         )
+    s = Sql()
+    a, b = s.search("input", types), s.search("master", types)
+    pairs = s.add(
+        "string_pairs",
+        f"""SELECT p, q FROM (SELECT DISTINCT kind, search AS p FROM {a} WHERE search <> '') a
+ JOIN (SELECT DISTINCT kind, search AS q FROM {b} WHERE search <> '') b ON a.kind = b.kind""",
+    )
+    scores = s.weighted("w", pairs)
+    out["near_matches"] = s.query(
+        f"""SELECT {columns} FROM {a} a JOIN {b} b ON b.kind = a.kind JOIN {scores} s ON s.p = a.search AND s.q = b.search
+ WHERE {found} LIMIT 1"""
+    )
 
     s = Sql()
     out["diff_tables"] = s.query(f"SELECT * FROM {diff(s)}")
