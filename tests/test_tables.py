@@ -27,6 +27,12 @@ def test_row_ids_follow_files(spark, tmp_path):
     assert got == list(enumerate([f"a{i}" for i in range(3)] + [f"b{i:05d}" for i in range(4000)]))
 
 
+def test_row_ids_of_parquet(spark, tmp_path):
+    spark.range(50).selectExpr("id AS x").coalesce(1).write.parquet(str(tmp_path / "p"))
+    got = tables.with_row_id(tables.read_table(spark, str(tmp_path / "p")))
+    assert rows(got, "row_id", "x") == sorted(((i, i) for i in range(50)), key=repr)
+
+
 @pytest.fixture()
 def folder(spark, tmp_path):
     for name, n in (("First", 3), ("Second", 3), ("Third", 9), ("results_FullName", 1), ("Unmatched_Rows", 1), ("Match_Results", 1)):
