@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scorers, text
 from ..plans.specs import CANDIDATES, CUTOFF_SHARE, SPECS, MatchSpec, spec_of
-from .similarity_join import Grid, top_k_similar
+from .similarity_join import Grid, most_tasks, top_k_similar
 
 # Candidate tables of up to this many rows are sent whole to the tasks that read the big table.
 BROADCAST_ROWS = 500_000
@@ -163,7 +163,7 @@ def candidates(
     small = a_rows * k * len(specs) <= BROADCAST_ROWS
     pairs = b.selectExpr("row_id AS b_id", *b_columns).join(F.broadcast(found) if small else found, "b_id")
     # Spread by input row before scoring: the best-row aggregation then needs no shuffle of its own.
-    tasks = min(32 * cores, max(cores, math.ceil(a_rows * k * len(specs) / PAIRS_PER_TASK)))
+    tasks = min(most_tasks(cores), max(cores, math.ceil(a_rows * k * len(specs) / PAIRS_PER_TASK)))
     pairs = pairs.repartition(tasks, "match_type", "a_id")
     return _with_scores(pairs, specs, **address_options)
 

@@ -35,6 +35,11 @@ HOT_KEY_ROWS = 100_000  # left rows of one key that one task may hold
 MIN_LEFT_BLOCK = 64  # smaller blocks cost more in overhead than they gain in spread
 
 
+def most_tasks(cores: int) -> int:
+    """Upper limit of tasks per stage; the floor is for clusters that start small and grow."""
+    return max(32 * cores, 8192)
+
+
 TOKEN_KEY = text.token_key("search")
 
 
@@ -57,7 +62,7 @@ class Grid:
 
     def partitions(self, cores: int) -> int:
         """Tasks that share the cells: enough to keep hashed cells apart, but not without end."""
-        return min(8 * self.left * self.right, 32 * cores)
+        return min(8 * self.left * self.right, most_tasks(cores))
 
 
 def grid_for(a: DataFrame, b: DataFrame) -> Grid:
