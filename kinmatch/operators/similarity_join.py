@@ -45,11 +45,12 @@ TOKEN_KEY = text.token_key("search")
 
 @dataclass(frozen=True)
 class Grid:
-    """Number of hash blocks per side."""
+    """Number of hash blocks per side, and what it was planned for."""
 
     left: int
     right: int
     left_rows: int | None = None
+    kinds: int = 1
 
     @staticmethod
     def plan(left_rows: int, right_rows: int, cores: int, kinds: int = 1) -> Grid:
@@ -58,11 +59,11 @@ class Grid:
         # With few cells, cut the left side finer so that every core has some.  The right side
         # stays whole: the more a cell sees of it, the more its k-th best rules out.
         spread = min(math.ceil(1.25 * cores / (right * kinds)), math.ceil(left_rows / MIN_LEFT_BLOCK))
-        return Grid(max(left, spread), right, left_rows)
+        return Grid(max(left, spread), right, left_rows, kinds)
 
     def partitions(self, cores: int) -> int:
         """Tasks that share the cells: enough to keep hashed cells apart, but not without end."""
-        return min(8 * self.left * self.right, most_tasks(cores))
+        return min(8 * self.left * self.right * self.kinds, most_tasks(cores))
 
 
 def grid_for(a: DataFrame, b: DataFrame) -> Grid:
