@@ -54,7 +54,8 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % 100_003)
     marked = marked.withColumn("_salt", salt.cast("long"))
-    slim = slim.withColumn("_cold", F.lit(0).cast("long"))
+    # Always 0, but not a literal: the optimizer would drop a literal from the join's keys.
+    slim = slim.withColumn("_cold", (F.col(f"_found.{size}") % 1).cast("long"))
     joined = marked.join(slim, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_cold")), "left")
     found = F.coalesce("_hot", "_found")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in values])

@@ -34,6 +34,38 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM shards
 """
 
+# Every pattern is written out once more; windows are scored one by one.
+_FIND = """
+SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'kind': {kind}, 'text': m[i], 'value': v[i],
+  'start': coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT}}), lambda s: {keep}) AS spans
+FROM (SELECT doc_id, regexp_extract_all(t, p) AS m, regexp_extract_all(t, p, {group}) AS v, string_split_regex(t, p) AS gaps FROM d, (SELECT {pattern} AS p))
+"""
+_ASSIGN = """'([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+_KEY_LIKE = """regexp_matches(s.text, '[0-9]') AND regexp_matches(s.text, '[A-Za-z]') AND NOT regexp_matches(s.text, '(?i)example|sample|dummy|placeholder|changeme')
+ AND NOT regexp_matches(s.text, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(s.text, '^([A-Z]?[a-z]{3,}[0-9]{0,4}[/_=-]?)+$')
+ AND list_max(list_transform(range(1, length(s.text) - 18), lambda k: list_aggregate(string_split(substr(s.text, k, 20), ''), 'entropy')))
+   >= CASE WHEN regexp_matches(s.text, '^[0-9a-fA-F]+$') THEN 2.9 WHEN regexp_matches(s.text, '^[A-Za-z0-9]+$') THEN 3.6 ELSE 3.8 END"""
+_PARTS = (
+    _FIND.format(kind=0, group=2, pattern=_ASSIGN, keep="length(s.value) >= 6"),
+    _FIND.format(kind=1, group=0, pattern="'AKIA[A-Z0-9]+'", keep="length(s.text) >= 20"),
+    _FIND.format(kind=2, group=0, pattern="'[0-9a-f]+'", keep="length(s.text) >= 24"),
+    _FIND.format(kind=3, group=0, pattern="'[A-Za-z0-9+/_=-]{20,}'", keep=_KEY_LIKE),
+)
+SECRET_SCAN = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, unnest(spans) AS s FROM ({" UNION ALL ".join(_PARTS)})),
+base AS (SELECT doc_id, s.kind AS k, s.start AS a, s.start + length(s.text) AS b FROM found WHERE s.kind < 3),
+more AS (SELECT doc_id, 3 AS k, s.start AS a, s.start + length(s.text) AS b FROM found WHERE s.kind = 3),
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = more.doc_id AND base.a < more.b AND more.a < base.b)
+),
+named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || a || ':' || b AS x FROM spans)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy,
+  sha256(coalesce(string_agg(x, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_DEDUP, "op10_sharding": SHARDING}
+    return {"op3_secret_scan": SECRET_SCAN, "op4_exact_dedup": EXACT_DEDUP, "op10_sharding": SHARDING}

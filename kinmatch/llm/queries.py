@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .secrets import count_of, joined, secret_spans
 from .sharding import byte_shards
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[count_of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "entropy")],
+        F.sha2(joined("_base"), 256).alias("base_sha256"),
+        joined("_all").alias("spans"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,4 +33,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_exact_dedup, op10_sharding)}
