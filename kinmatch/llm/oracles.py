@@ -8,6 +8,12 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(first_id, page_id) AS refers_to FROM f
+"""
+
 # DuckDB has no CRC-32: the table of the reflected polynomial is made by its eight shifts, then applied byte by byte.
 SHARDING = """
 WITH poly AS (
@@ -68,4 +74,4 @@ FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
 
 
 def statements() -> dict[str, str]:
-    return {"op3_secret_scan": SECRET_SCAN, "op4_exact_dedup": EXACT_DEDUP, "op10_sharding": SHARDING}
+    return {"op3_secret_scan": SECRET_SCAN, "op4_exact_dedup": EXACT_DEDUP, "op9_warc": WARC, "op10_sharding": SHARDING}
