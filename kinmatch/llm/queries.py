@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_duplicates
 from .packing import pack
+from .quality import score_documents
 from .secrets import count_of, joined, secret_spans
 from .sharding import byte_shards
 from .warc import archive_pages
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -50,4 +55,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_exact_dedup, op6_packing, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op6_packing, op9_warc, op10_sharding)}
