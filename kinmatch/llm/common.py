@@ -63,3 +63,28 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
     joined = marked.join(slim, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_cold")), "left")
     found = F.coalesce("_hot", "_found")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in values])
+
+
+def slot_bitmaps(slots: DataFrame) -> DataFrame:
+    """Numbers in column `slot` as bitmaps of 2^15 each: (bucket, bitmap)."""
+    bucket, bit = F.expr("bitmap_bucket_number(slot)"), F.expr("bitmap_bit_position(slot)")
+    return slots.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
+
+
+def slot_is_set(bitmap: str, slot: Column) -> Column:
+    """Whether the bit of `slot` is set; false without a bitmap."""
+    bit = F.call_function("bitmap_bit_position", slot).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    flag = F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)))
+    return F.coalesce(byte.bitwiseAND(flag) != 0, F.lit(False))
+
+
+def in_filter(rows: DataFrame, key: str, keys: DataFrame, bits: int = 25) -> DataFrame:
+    """`rows` without most of those whose key is not in `keys` (a column of the same name).
+
+    A filter of 2^bits bits at most is broadcast (4 MB by default); what it lets through must still be joined.
+    """
+    slot = F.xxhash64(F.col(key)).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    maps = slot_bitmaps(keys.select(slot.alias("slot"))).select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
+    found = rows.join(F.broadcast(maps), F.call_function("bitmap_bucket_number", slot) == F.col("_bucket"))
+    return found.where(slot_is_set("_bitmap", slot)).select(*rows.columns)

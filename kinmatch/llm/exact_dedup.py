@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, lookup, whole_text
+from .common import ascii_lower, checkpoint, lookup, slot_bitmaps, slot_is_set, whole_text
 
 #: log2 of the largest bit table: 2^30 bits are 128 MB, the bound of what is broadcast.
 LARGEST_TABLE = 30
@@ -39,17 +39,7 @@ def table_bits(rows: int, largest: int = LARGEST_TABLE) -> int:
 def repeated_slots(texts: DataFrame, bits: int) -> DataFrame:
     """Slots hit more than once, as bitmaps of 2^15 slots: (bucket, bitmap)."""
     hit = texts.select(F.explode(_slots(F.col("_text"), bits)).alias("slot"))
-    often = hit.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    bucket, bit = F.expr("bitmap_bucket_number(slot)"), F.expr("bitmap_bit_position(slot)")
-    return often.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
-
-
-def _is_set(bitmap: str, slot: Column) -> Column:
-    """Whether the bit of `slot` is set; false without a bitmap."""
-    bit = F.call_function("bitmap_bit_position", slot).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    flag = F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)))
-    return F.coalesce(byte.bitwiseAND(flag) != 0, F.lit(False))
+    return slot_bitmaps(hit.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1"))
 
 
 def may_repeat(texts: DataFrame, bits: int) -> DataFrame:
@@ -60,7 +50,7 @@ def may_repeat(texts: DataFrame, bits: int) -> DataFrame:
         side = F.broadcast(maps.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_bitmap{i}")))
         bucket = F.call_function("bitmap_bucket_number", F.col("_slots")[i])
         out = out.join(side, bucket == F.col(f"_bucket{i}"), "left")
-    both = _is_set("_bitmap0", F.col("_slots")[0]) & _is_set("_bitmap1", F.col("_slots")[1])
+    both = slot_is_set("_bitmap0", F.col("_slots")[0]) & slot_is_set("_bitmap1", F.col("_slots")[1])
     return out.select(*texts.columns, both.alias("_maybe"))
 
 

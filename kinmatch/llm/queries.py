@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score_documents
 from .secrets import count_of, joined, secret_spans
@@ -45,6 +46,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), length=4096, end_id=2)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -55,4 +61,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op6_packing, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op6_packing, op7_near_dedup, op9_warc, op10_sharding)}
