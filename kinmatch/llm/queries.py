@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .fingerprints import edited_fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score_documents
@@ -51,6 +52,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", "kept")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -61,4 +66,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op6_packing, op7_near_dedup, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding)}
