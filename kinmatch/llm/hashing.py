@@ -21,8 +21,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Byte values go to random 64-bit numbers, as sums of plain byte values would be predictable.
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def _spread(values: np.ndarray) -> np.ndarray:
+    """Small numbers as random 64-bit numbers, as sums of plain values would be predictable."""
+    return mix((values.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+
+
+BYTE = _spread(np.arange(256))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,10 +39,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums that give the hash of any range: see `range_hash`."""
+    """Sums over bytes or other numbers that give the hash of any range: see `range_hash`."""
     up, _ = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * up, out=sums[1:])
+    np.cumsum((BYTE[data] if data.dtype == np.uint8 else _spread(data)) * up, out=sums[1:])
     return sums
 
 

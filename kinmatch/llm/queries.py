@@ -15,6 +15,7 @@ from .packing import pack
 from .quality import score_documents
 from .secrets import count_of, joined, secret_spans
 from .sharding import byte_shards
+from .suffix_dedup import without_repeats
 from .warc import archive_pages
 
 
@@ -36,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def public_tokenizer(name: str) -> str:
     """Place of a public tokenizer's file."""
     import public_tokenizers
@@ -66,4 +71,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op5_suffix_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding)}
