@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
+#: Holds new pieces apart when they are encoded in one call.
+_APART = "|"
 #: Distinct pieces that a worker remembers; beyond that it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 400_000
 _HELD: dict[str, WordEncoder] = {}
 
 
@@ -26,18 +30,22 @@ class WordEncoder:
 
     If the tokenizer drops white space, the ids of a text are those of its pieces
     between blanks and line breaks, one after the other. New pieces are encoded in one
-    call, held apart by a special token. Other tokenizers encode whole texts.
+    call, held apart by a mark with an id of its own; pieces with that mark, or with what may be
+    a special token, are encoded alone. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        specials = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
-        self.apart = specials[-1] if specials else None
-        ids = self._ids(["a b\n\nc", "a", "b", "c"])
-        self.by_word = self.apart is not None and ids[0] == ids[1] + ids[2] + ids[3]
+        ids = self._ids(["a b\n\nc | d", "a", "b", "c", "d", _APART])
+        self.apart = ids[5][0]
+        self.by_word = len(ids[5]) == 1 and ids[0] == ids[1] + ids[2] + ids[3] + ids[5] + ids[4]
+        # Fewer distinct pieces, where case makes no difference.
+        ids = self._ids(["Ab É ab é", "ab é ab é"])
+        self.any_case = ids[0] == ids[1]
         self._clear()
 
     def _clear(self) -> None:
@@ -49,18 +57,17 @@ class WordEncoder:
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
         first = len(self.words) - len(new)
-        mark, mark_id = self.apart
-        plain = [w for w in new if "<|" not in w and mark not in w]
-        ids = np.array([i for part in self._ids([f" {mark} ".join(plain[i : i + 2000]) + f" {mark}" for i in range(0, len(plain), 2000)]) for i in part], np.int64)
-        ends = np.flatnonzero(ids == mark_id) if plain else ids[:0]
+        is_plain = np.array([_APART not in w and "<" not in w for w in new], bool)
+        plain = [w for w, p in zip(new, is_plain) if p]
+        parts = [self._ids([" | ".join(plain[i : i + 2000]) + " |"])[0] for i in range(0, len(plain), 2000)]
+        ids = np.array([i for part in parts for i in part], np.int64)
         counts = np.zeros(len(new), np.int64)
-        is_plain = np.array(["<|" not in w and mark not in w for w in new], bool)
-        counts[is_plain] = np.diff(ends, prepend=-1) - 1
+        counts[is_plain] = np.diff(np.flatnonzero(ids == self.apart), prepend=-1) - 1
         rest = self._ids([w for w, p in zip(new, is_plain) if not p])
         counts[~is_plain] = [len(r) for r in rest]
         flat = np.zeros(int(counts.sum()), self.dtype)
         starts = np.cumsum(counts) - counts
-        flat[np.repeat(is_plain, counts)] = ids[ids != mark_id]
+        flat[np.repeat(is_plain, counts)] = ids[ids != self.apart]
         for i, r in zip(np.flatnonzero(~is_plain), rest):
             flat[starts[i] : starts[i] + len(r)] = r
         self.starts, self.counts, self.pool = (_room(a, n) for a, n in ((self.starts, len(self.words)), (self.counts, len(self.words)), (self.pool, self.used + len(flat))))
@@ -69,13 +76,19 @@ class WordEncoder:
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 
+    def _plain(self, text: str) -> str:
+        """The text in a form that has the same ids."""
+        if self.any_case and "Σ" not in text:  # the one letter whose lower case depends on its place
+            text = text.lower()
+        return text
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(ids, self.dtype) for ids in self._ids(texts)]
         if len(self.words) > MOST_WORDS:
             self._clear()
         number = self.words.__getitem__
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
         at = np.fromiter((i for words in split for i in map(number, words)), np.int64, sum(map(len, split)))
         if self.words.new:
             self._learn()
@@ -99,7 +112,7 @@ def encoder(path: str) -> WordEncoder:
     return _HELD[path]
 
 
-def text_slices(column, most: int = 1_000_000):
+def text_slices(column, most: int = 500_000):
     """Ranges of rows of an Arrow text column with about `most` bytes each."""
     sizes = np.asarray(column.to_numpy(zero_copy_only=False))
     start = 0
