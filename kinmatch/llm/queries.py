@@ -13,12 +13,27 @@ from .fingerprints import edited_fingerprints
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score_documents
+from .sampling import decode, sample_segmentations
 from .secrets import count_of, joined, secret_spans
 from .sharding import byte_shards
 from .suffix_dedup import without_repeats
 from .warc import archive_pages
 
 
+def public_tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_segmentation_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizer("piece_bpe_32k.model")
+    samples = sample_segmentations(table(spark, sf_dir, "documents"), model, k=2)
+    told = decode(samples.withColumn("ids_crc32", F.crc32("ids")), model)
+    return told.select(F.col("key").alias("doc_id"), "sample", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,13 +56,6 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def public_tokenizer(name: str) -> str:
-    """Place of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), length=4096, end_id=2)
 
@@ -71,4 +79,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_secret_scan, op4_exact_dedup, op5_suffix_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_segmentation_sampling, op2_quality, op3_secret_scan, op4_exact_dedup, op5_suffix_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding)}
