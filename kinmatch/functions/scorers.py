@@ -68,24 +68,3 @@ def partial_ratio(a: str, b: str) -> Column:
 def weighted_ratio(a: str, b: str) -> Column:
     """Weighted maximum of the other scores, chosen by how much the lengths differ."""
     return _weighted(F.expr(a), F.expr(b))
-
-
-def lcs_native(a: str, b: str) -> Column:
-    """LCS length with built-in functions only, for strings of at most 61 characters.
-
-    Slower than the kernel; the tests use it as an independent check.
-    """
-    full = "shiftleft(1L, 61) - 1L"
-    mask = (
-        f"aggregate(sequence(1, length({a})), 0L, (m, i) -> "
-        f"IF(substr({a}, i, 1) = c, m | shiftleft(1L, i - 1), m))"
-    )
-    step = f"(((s + (s & {mask})) | (s - (s & {mask}))) & ({full}))"
-    chars = f"array_remove(split({b}, ''), '')"
-    end = f"aggregate({chars}, {full}, (s, c) -> {step})"
-    return F.expr(f"IF({a} = '' OR {b} = '', 0, CAST(61 - bit_count({end}) AS INT))")
-
-
-def round2(c: str) -> Column:
-    """Two decimals, ties to even, as Python's ``round``."""
-    return F.expr(f"bround({c}, 2)")

@@ -6,6 +6,12 @@ Every function takes SQL expressions and gives one back, for ``selectExpr`` or
 
 from __future__ import annotations
 
+import unicodedata
+
+# Decimal digits of all scripts but the ASCII ones, and their values.
+_DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd")
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
 # Unit words that may name a part of a building.
 UNIT_WORDS = (
     "APT", "APARTMENT", "UNIT", "TRLR", "TRAILER", "LOT", "BLDG", "BUILDING", "STE", "SUITE",
@@ -23,10 +29,10 @@ _WORDS = "|".join(UNIT_WORDS)
 # The four unit patterns that are compared side by side, as
 # (pattern, group of the type or 0 if it has none, group of the number).
 UNIT_PATTERNS = {
-    "loose": (rf"(?i)(?:{_WORDS})\s*([A-Z0-9]+)", 0, 1),
-    "word_boundary": (rf"(?i)\b(?:{_WORDS})\s*([A-Z0-9]+)", 0, 1),
-    "blank_before": (rf"(?i)\s(?:{_WORDS})\s*([A-Z0-9]+)", 0, 1),
-    "blank_both_sides": (rf"(?i)\s({_WORDS})\s+([A-Z0-9]+)", 1, 2),
+    "loose": (rf"(?iU)(?:{_WORDS})\s*([A-Z0-9]+)", 0, 1),
+    "word_boundary": (rf"(?iU)\b(?:{_WORDS})\s*([A-Z0-9]+)", 0, 1),
+    "blank_before": (rf"(?iU)\s(?:{_WORDS})\s*([A-Z0-9]+)", 0, 1),
+    "blank_both_sides": (rf"(?iU)\s({_WORDS})\s+([A-Z0-9]+)", 1, 2),
 }
 UNIT_PATTERN = UNIT_PATTERNS["blank_both_sides"][0]
 
@@ -67,8 +73,9 @@ def replace_all(c: str, pairs) -> str:
 
 def house_digits(address: str) -> str:
     """Leading digits without leading zeros; null if the address does not start with a digit."""
-    digits = rf"regexp_extract({strip(address)}, r'^0*(\d+)', 1)"
-    return f"nullif({digits}, '')"
+    digits = rf"regexp_extract({strip(address)}, r'(?U)^(\d+)', 1)"
+    plain = f"translate({digits}, '{_DIGITS}', '{_VALUES}')"
+    return f"nullif(regexp_replace({plain}, r'^0+(?=[0-9])', ''), '')"
 
 
 def house_number(address: str) -> str:
@@ -90,7 +97,7 @@ def unit_number(address: str) -> str:
 
 def unit(address: str) -> str:
     """Type and number as one text, '' if the address names no unit."""
-    return rf"upper(regexp_replace(regexp_extract({address}, r'{UNIT_PATTERN}', 0), r'\s+', ' '))"
+    return rf"upper(regexp_replace(regexp_extract({address}, r'{UNIT_PATTERN}', 0), r'(?U)\s+', ' '))"
 
 
 def unit_label(address: str) -> str:

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scorers, text
-from ..plans.specs import SPECS
 from .coverage import every_type
 
 # Score levels of the distribution report.
 LEVELS = (100, 95, 90, 85, 80, 75, 70)
 
 
-def score_summary(results: DataFrame, types=tuple(SPECS)) -> DataFrame:
+def score_summary(results: DataFrame, types=None) -> DataFrame:
     """Count, lowest, highest and mean score per match type; a type without results has count 0."""
     stats = results.groupBy("match_type").agg(
         F.expr("count(*) AS n"),
@@ -113,7 +112,7 @@ def findings(flagged: DataFrame) -> DataFrame:
     ).select("match_type", "problem", "score", "a_row", "b_row", "part_a", "part_b")
 
 
-def audit_summary(flagged: DataFrame, types=tuple(SPECS)) -> DataFrame:
+def audit_summary(flagged: DataFrame, types=None) -> DataFrame:
     """Matches, findings and success rate per match type; the rate counts findings, not rows."""
     counts = flagged.groupBy("match_type").agg(F.expr("count(*) AS m"), F.expr("sum(size(problems)) AS p"))
     return (

@@ -21,9 +21,18 @@ def _names(types) -> str:
     return "array(" + ", ".join(f"'{t}'" for t in types) + ")"
 
 
-def every_type(df: DataFrame, types) -> DataFrame:
-    """A row per match type, so that a type without any result still shows up."""
-    return df.sparkSession.range(1).selectExpr(f"explode({_names(types)}) AS match_type")
+def every_type(df: DataFrame, types=None) -> DataFrame:
+    """A row per match type, so that a type without any result still shows up.
+
+    Without ``types``: the built-in types and those that ``df`` has.
+    """
+    named = df.sparkSession.range(1).selectExpr(f"explode({_names(SPECS if types is None else types)}) AS match_type")
+    return named if types is not None else named.union(df.select("match_type")).where("match_type IS NOT NULL").distinct()
+
+
+def known_types(results: DataFrame, types=None) -> tuple[str, ...]:
+    """``types``, or the built-in types and those of the results; the latter reads the results once."""
+    return tuple(types) if types is not None else tuple(sorted(r[0] for r in every_type(results).collect()))
 
 
 def unmatched(raw_input: DataFrame, results: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -34,8 +43,9 @@ def unmatched(raw_input: DataFrame, results: DataFrame, row_id: str = "row_id")
     return left.selectExpr(f"`{row_id}` + 2 AS Original_Row_Number", *others)
 
 
-def coverage(records: DataFrame, results: DataFrame, types=tuple(SPECS)) -> DataFrame:
+def coverage(records: DataFrame, results: DataFrame, types=None) -> DataFrame:
     """Matched and unmatched input rows per match type, and over all types as ``ALL``."""
+    types = known_types(results, types)
     per_type = [F.expr(f"count_if(match_type = '{t}') AS `{t}`") for t in types]
     by_row = results.groupBy("a_row").agg(*per_type, F.expr("count(*) AS ALL"))
     # One row per input row; everything else is a count over those rows.
@@ -53,8 +63,9 @@ def coverage(records: DataFrame, results: DataFrame, types=tuple(SPECS)) -> Data
     )
 
 
-def unmatched_samples(records: DataFrame, results: DataFrame, n: int = 3, types=tuple(SPECS)) -> DataFrame:
+def unmatched_samples(records: DataFrame, results: DataFrame, n: int = 3, types=None) -> DataFrame:
     """The first ``n`` unmatched input rows per match type."""
+    types = known_types(results, types)
     matched = results.selectExpr("match_type", "a_row - 2 AS row_id")
     wanted = records.selectExpr(
         "row_id",
@@ -97,10 +108,11 @@ def at_thresholds(scored: DataFrame, levels: dict[str, list[float]]) -> DataFram
 
     ``scored`` comes from :func:`match.candidates` run at the lowest threshold.
     Each level repeats the candidate cutoff, which a plain filter on a lower
-    run's results would miss.
+    run's results would miss.  A match type without levels is an error.
     """
+    other = "ELSE raise_error(concat('No thresholds for match type ', match_type))"
     cases = " ".join(f"WHEN '{t}' THEN array({', '.join(f'{float(x)!r}D' for x in xs)})" for t, xs in levels.items())
-    leveled = scored.selectExpr("*", f"explode(CASE match_type {cases} END) AS threshold")
+    leveled = scored.selectExpr("*", f"explode(CASE match_type {cases} {other} END) AS threshold")
     able = leveled.where(f"stage1 >= {CUTOFF_SHARE}D * threshold")
     return best_of(able, "threshold", keys=("match_type", "a_id", "threshold"))
 

@@ -156,16 +156,16 @@ def registered() -> dict[str, Query]:
         "match_full_address_any_score": _match("FullAddress", 0.0),
         "score_pairs": _score_pairs,
         "unmatched": _unmatched,
-        "coverage": lambda s, d: coverage.coverage(_records(s, d)[0], _results(s, d)),
-        "unmatched_samples": lambda s, d: coverage.unmatched_samples(_records(s, d)[0], _results(s, d)),
-        "score_summary": _on_results(audit.score_summary),
+        "coverage": lambda s, d: coverage.coverage(_records(s, d)[0], _results(s, d), tuple(SPECS)),
+        "unmatched_samples": lambda s, d: coverage.unmatched_samples(_records(s, d)[0], _results(s, d), types=tuple(SPECS)),
+        "score_summary": _on_results(lambda r: audit.score_summary(r, tuple(SPECS))),
         "score_distribution": _on_results(audit.score_distribution),
         "below_perfect": _on_results(coverage.below_perfect),
         "lowest_matches": _on_results(coverage.lowest_matches),
         "audit_first": _on_results(lambda r: audit.findings(audit.audit_first(r))),
-        "audit_first_summary": _on_results(lambda r: audit.audit_summary(audit.audit_first(r))),
+        "audit_first_summary": _on_results(lambda r: audit.audit_summary(audit.audit_first(r), tuple(SPECS))),
         "audit_revised": _on_results(lambda r: audit.findings(audit.audit_revised(r))),
-        "audit_revised_summary": _on_results(lambda r: audit.audit_summary(audit.audit_revised(r))),
+        "audit_revised_summary": _on_results(lambda r: audit.audit_summary(audit.audit_revised(r), tuple(SPECS))),
         "problem_counts": _on_results(lambda r: audit.problem_counts(audit.findings(audit.audit_first(r)))),
         "problem_samples": _on_results(lambda r: audit.problem_samples(audit.findings(audit.audit_first(r)))),
         "threshold_sweep": lambda s, d: coverage.threshold_sweep(_swept(s, d)),

@@ -6,13 +6,27 @@ the steps; each helper adds those it needs and names the result.
 
 from __future__ import annotations
 
-from ..functions.text import AUDIT_ABBREVIATIONS, MATCH_ABBREVIATIONS, UNIT_PATTERN, UNIT_PATTERNS
-from ..operators.audit import LEVELS
 from ..operators.cosine import ADDRESS, GRID, NAME
-from ..operators.coverage import LOWER_THRESHOLDS
 from .people import INPUT_SQL, MASTER_SQL
 from .specs import SPECS
 
+# Fixed values, written out once more, so that a wrong one in the library shows up.
+UNITS = "APT|APARTMENT|UNIT|TRLR|TRAILER|LOT|BLDG|BUILDING|STE|SUITE|FLOOR|FL|RM|ROOM|SPACE|SPC|#"
+BLANK = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNIT_PATTERN = rf"(?i){BLANK}({UNITS}){BLANK}+([A-Z0-9]+)"
+UNIT_PATTERNS = {
+    "loose": (rf"(?i)(?:{UNITS})\s*([A-Z0-9]+)", 0, 1),
+    "word_boundary": (rf"(?i)\b(?:{UNITS})\s*([A-Z0-9]+)", 0, 1),
+    "blank_before": (rf"(?i)\s(?:{UNITS})\s*([A-Z0-9]+)", 0, 1),
+    "blank_both_sides": (rf"(?i)\s({UNITS})\s+([A-Z0-9]+)", 1, 2),
+}
+MATCH_ABBREVIATIONS = (
+    (" STREET", " ST"), (" ROAD", " RD"), (" AVENUE", " AVE"), (" LANE", " LN"), (" DRIVE", " DR"), (" COURT", " CT"), (" PLACE", " PL"),
+)
+AUDIT_ABBREVIATIONS = (("ROAD", "RD"), ("STREET", "ST"), ("AVENUE", "AVE"), ("LANE", "LN"))
+LEVELS = (100, 95, 90, 85, 80, 75, 70)
+LOWER_THRESHOLDS = {"FullName": 70.0, "LastNameAddress": 60.0, "FullAddress": 65.0}
+
 STANDARD = ("First_Name", "Last_Name", "Address1", "City", "State", "Zip")
 
 

@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Names that mark result tables.
 DEFAULT_EXCLUDED = ("results_", "Unmatched_")
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+# A null is an empty field without quotes, an empty text is one in quotes.
+_NOT_A_FIELD = "\x00"
+
+
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame:
     """Read a CSV or Parquet table.
 
     CSV columns all come as strings: inference would drop leading zeros of ZIPs.
+    Quotes are doubled inside quotes.  Values may hold line breaks, which keeps
+    Spark from splitting a file; ``multi_line=False`` lets it split large files
+    and fails on rows that a quoted line break has torn.
     """
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        return spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+        options = {"header": True, "encoding": "UTF-8", "escape": '"', "nullValue": _NOT_A_FIELD, "multiLine": multi_line}
+        return spark.read.options(**options, mode="PERMISSIVE" if multi_line else "FAILFAST").csv(path)
     return spark.read.format(fmt).load(path)
 
 
@@ -44,12 +52,17 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return placed.join(offsets, ["_file", "_start"]).select(number.alias(name), *kept)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def _list_tables(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     """(table name, path) of every table directly under ``root``, by name."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, folder = _folder(spark, root)
     found = []
-    for status in fs.listStatus(hadoop_path):
+    for status in fs.listStatus(folder):
         file = status.getPath().getName()
         if not file.startswith(("_", ".")):
             stem, _, ending = file.rpartition(".")
@@ -94,9 +107,23 @@ def _in_score_order(results: DataFrame) -> DataFrame:
     return results.sortWithinPartitions("match_type", F.desc("match_score"), "a_row", "b_row")
 
 
-def write_results(results: DataFrame, root: str) -> str:
-    """Write match results partitioned by match type, in place of earlier ones."""
-    _in_score_order(results).write.mode("overwrite").partitionBy("match_type").parquet(root)
+def write_results(results: DataFrame, root: str, types=()) -> str:
+    """Write match results partitioned by match type, each in place of earlier ones of its type.
+
+    Other types' results stay.  ``types`` names the types that were run: earlier
+    results of those that found nothing this time go as well.
+    """
+    counts = Observation()
+    wanted = list(dict.fromkeys(types))
+    seen = results.observe(counts, F.count("*").alias("n"), *[F.count_if(F.col("match_type") == t).alias(f"n{i}") for i, t in enumerate(wanted)])
+    writer = _in_score_order(seen).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("match_type").parquet(root)
+    if wanted:
+        fs, folder = _folder(results.sparkSession, root)
+        for i, t in enumerate(wanted):
+            if not counts.get[f"n{i}"]:
+                escaped = results.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(t)
+                fs.delete(folder.suffix(f"/match_type={escaped}"), True)
     return root
 
 
@@ -112,13 +139,24 @@ def write_run(tables: dict[str, DataFrame], results: DataFrame, root: str, run_i
     return run
 
 
+# Columns of results, for a run that found nothing.
+RESULT_SCHEMA = (
+    "match_score double, a_row long, b_row long, name_a string, name_b string, address_a string, address_b string, match_type string"
+)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results as written; without any, an empty table of their columns."""
+    fs, folder = _folder(spark, path)
+    if not any(s.getPath().getName().startswith("match_type=") for s in fs.listStatus(folder)):
+        return spark.createDataFrame([], RESULT_SCHEMA)
     return spark.read.parquet(path)
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    """Write a table as CSV with a header line."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write a table as CSV with a header line; ``read_table`` reads back the same values."""
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**exact).csv(path)
     return path
 
 

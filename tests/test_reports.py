@@ -148,3 +148,22 @@ def test_diff(spark):
     assert tuple(diff_summary(left, right).first()) == (False, 3, 1)
     assert tuple(diff_summary(left, left).first()) == (True, 0, None)
     assert diff_summary(left, left.withColumn("z", left.y)).first().is_identical is False
+
+
+def test_other_match_types_are_reported(people, spark):
+    from kinmatch.operators.match import candidates, match
+    from kinmatch.plans.specs import MatchSpec
+
+    a = people(("PIA", "HOLLIS", "1 A ST", "X", "OH", "1"), ("OTTO", "KRAMER", "2 B ST", "X", "OH", "1"))
+    b = people(("ANN", "HOLLIS", "9 C ST", "X", "OH", "1"))
+    spec = MatchSpec("LastName", ("Last_Name",), ("last",), 80.0)
+    results = match(a, b, spec)
+    assert {r.match_type: r.matched for r in coverage.coverage(a, results).collect()} == {"FullAddress": 0, "FullName": 0, "LastName": 1, "LastNameAddress": 0, "ALL": 1}
+    assert {r.match_type: r.matches for r in audit.score_summary(results).collect()}["LastName"] == 1
+    assert {r.match_type: r.matches for r in audit.audit_summary(audit.audit_first(results)).collect()}["LastName"] == 1
+    assert ("LastName", 3) in rows(coverage.unmatched_samples(a, results), "match_type", "a_row")
+    scored = candidates(a, b, [spec])
+    with pytest.raises(Exception, match="No thresholds for match type LastName"):
+        coverage.threshold_sweep(scored).collect()
+    both = {"LastName": 80.0}, {"LastName": 60.0}
+    assert [r.at_current for r in coverage.threshold_sweep(scored, *both).collect()] == [1]

@@ -64,12 +64,19 @@ def test_profile_and_head(spark, folder):
     assert [r.row_id for r in tables.head(found["Third"]).collect()] == [0, 1, 2, 3, 4]
 
 
+RESULTS = "match_type string, match_score double, a_row long, b_row long"
+
+
 def test_results_round_trip(spark, tmp_path):
     root = str(tmp_path / "out")
-    df = spark.createDataFrame([("FullName", 90.0, 2, 3), ("FullAddress", 80.0, 4, 5)], "match_type string, match_score double, a_row long, b_row long")
+    df = spark.createDataFrame([("FullName", 90.0, 2, 3), ("FullAddress", 80.0, 4, 5)], RESULTS)
+    kinds = lambda: rows(tables.read_results(spark, root), "match_type", "a_row")
     tables.write_results(df, root)
-    tables.write_results(df.limit(1), root)
-    assert tables.read_results(spark, root).count() == 1
+    tables.write_results(spark.createDataFrame([("LastName", 70.0, 6, 7)], RESULTS), root)
+    tables.write_results(spark.createDataFrame([("FullName", 91.0, 8, 3)], RESULTS), root)
+    assert kinds() == [("FullAddress", 4), ("FullName", 8), ("LastName", 6)]
+    tables.write_results(df.where("match_type = 'FullAddress'"), root, types=["FullName", "FullAddress"])
+    assert kinds() == [("FullAddress", 4), ("LastName", 6)]  # FullName was run and found nothing
     run = tables.write_run({"people": df}, df, root + "_runs", run_id="1")
     assert tables.read_results(spark, f"{run}/results").count() == 2
     assert spark.read.parquet(f"{run}/people").count() == 2
@@ -77,6 +84,29 @@ def test_results_round_trip(spark, tmp_path):
         tables.write_run({"people": df}, df, root + "_runs", run_id="1")
 
 
+def test_run_without_results(spark, people, tmp_path):
+    from kinmatch.operators.coverage import coverage, unmatched
+
+    a = people(("ANN", "LEE", "1 A ST", "X", "OH", "1"), ("BEA", "RAY", "2 B ST", "X", "OH", "1"))
+    none = spark.createDataFrame([], tables.RESULT_SCHEMA)
+    found = tables.read_results(spark, tables.write_results(none, str(tmp_path / "r"), types=["FullName"]))
+    run = tables.write_run({}, none, str(tmp_path / "runs"), run_id="1")
+    for results in (found, tables.read_results(spark, f"{run}/results")):
+        assert results.count() == 0 and unmatched(a, results).count() == 2
+        assert {r.unmatched_pct for r in coverage(a, results).collect()} == {100.0}
+
+
+def test_csv_keeps_values(spark, tmp_path):
+    values = ['p, "q"', "two\nlines", "  blanks  ", "back\\slash", "a,b", "", None, '"', "é", "plain"]
+    df = spark.createDataFrame([(str(i), v, v) for i, v in enumerate(values)], "id string, v string, w string")
+    path = tables.export_csv(df.coalesce(1), str(tmp_path / "t.csv"))
+    assert rows(tables.read_table(spark, path)) == sorted(((str(i), v, v) for i, v in enumerate(values)), key=repr)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|ailed"):
+        tables.read_table(spark, path, multi_line=False).collect()
+    plain = tables.export_csv(df.where("v not like '%lines'"), str(tmp_path / "u.csv"))
+    assert tables.read_table(spark, plain, multi_line=False).count() == len(values) - 2
+
+
 def test_export(spark, folder, tmp_path):
     found = tables.read_table_set(spark, folder, exclude=("Match_Results", "Extra"))
     paths = tables.export_first_two(found, str(tmp_path / "csv"))
