@@ -13,13 +13,15 @@ limit is such that about k ln k + 2k darts fall in a document, whatever its
 weight; where a coordinate stays empty, that document's limit is doubled.
 
 Joining. Signatures are cut into bands; documents that agree in a band are in one bucket.
-1. Every member of a bucket is compared with the bucket's first member.
+1. Every member of a bucket is compared with the bucket's first member, the one that
+   shares the most buckets with others.
 2. Likeness gives a distance that obeys the triangle inequality, so two members can be
    alike only if their distances to the first one differ by no more than 1 - threshold.
    Members unlike the first one are compared with those others for which that
-   holds, unless they are in one class by now.
-All comparisons are exact, on the weighted sets, and none is left out, so a link between two texts
-is lost only if they agree in no band at all: at likeness 0.8 that is 3 in a million.
+   holds, unless they are in one class by now or their signatures agree in so few coordinates
+   that it would be five standard deviations from the threshold.
+All comparisons are exact, on the weighted sets, so a link between two texts is lost only
+if they agree in no band at all or by that margin: at likeness 0.8 that is less than 1 in 100,000.
 Classes are the connected components of the links.
 
 Defined cases: null text is empty; words are split at ASCII blanks, in lower case; a text of fewer than
@@ -80,9 +82,9 @@ def dart_signatures(units: np.ndarray, row: np.ndarray, rows: int, k: int) -> np
         mine = number[row] >= 0
         unit, at = units[mine], number[row[mine]]
         most = limit[open_]
-        rank, nth, keys, ranks, darts = np.zeros(len(unit)), np.uint64(1), [], [], []
+        rank, nth, keys, ranks, darts = np.zeros(len(unit)), np.ones(1, np.uint64), [], [], []
         while len(unit):
-            gap = mix(unit + nth * np.uint64(0xA0761D6478BD642F))
+            gap = mix(unit + mix(nth))
             rank = rank - np.log(_uniform(gap))
             inside = rank < most[at]
             unit, at, rank = unit[inside], at[inside], rank[inside]
@@ -114,8 +116,18 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """The upper byte of each coordinate."""
+    return (signatures >> np.uint64(56)).astype(np.uint8)
+
+
+def least_agreement(k: int, threshold: float) -> int:
+    """Five standard deviations below the agreement expected at the threshold."""
+    return math.floor(k * threshold - 5 * math.sqrt(k * threshold * (1 - threshold)))
+
+
 def _sign(bands: int, rows_per_band: int, shingle: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_md5", pa.string()), ("content", pa.binary()), ("bands", pa.list_(pa.int64())), ("size", pa.int64()), ("units", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_md5", pa.string()), ("content", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int64()), ("units", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -125,33 +137,37 @@ def _sign(bands: int, rows_per_band: int, shingle: int):
                 words, counts = word_hashes(*text_bytes(pc.utf8_lower(texts.slice(a, b - a))))
                 hashes, row = shingle_hashes(words, counts, shingle)
                 units, row = weighted_units(hashes, row)
-                keys = band_keys(dart_signatures(units, row, b - a, bands * rows_per_band), bands)
+                signatures = dart_signatures(units, row, b - a, bands * rows_per_band)
                 ends, word_ends = np.cumsum(np.bincount(row, minlength=b - a)), np.cumsum(counts)
                 short = (units >> np.uint64(32)).astype(np.uint32)
                 sets = [np.sort(x) for x in np.split(short, ends[:-1])]
                 content = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in np.split(words, word_ends[:-1])]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(band_keys(signatures, bands).ravel()))
+                sketch = pa.array([x.tobytes() for x in sketches(signatures)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("text_md5").slice(a, b - a), pa.array(content, pa.binary()), lists, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema
+                    [batch.column("doc_id").slice(a, b - a), batch.column("text_md5").slice(a, b - a), pa.array(content, pa.binary()), lists, sketch, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema
                 )
 
     return run
 
 
 def signed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """Written rows: node (row number), doc_id, text_md5, content, bands, size and units (the weighted set as sorted 32-bit numbers)."""
+    """Written rows: node (row number), doc_id, text_md5, content, bands, sketch, size and units (the weighted set as sorted 32-bit numbers)."""
     text = whole_text(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"), text.alias("text"))
-    out = slim.mapInArrow(_sign(bands, rows, shingle), "doc_id long, text_md5 string, content binary, bands array<long>, size long, units binary")
+    out = slim.mapInArrow(_sign(bands, rows, shingle), "doc_id long, text_md5 string, content binary, bands array<long>, sketch binary, size long, units binary")
     return checkpoint(out.withColumn("node", F.monotonically_increasing_id()))
 
 
 def common_units(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of equal elements of two sorted arrays, each repeated element counting as often as in both."""
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    if len(both) == len(np.unique(a)) + len(np.unique(b)):
-        return int((both[1:] == both[:-1]).sum())
+    """Number of common elements of two sorted arrays; a repeated one (two units with one number) counts once for each in both."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    same = b[np.minimum(at, len(b) - 1)] == a
+    twice = np.flatnonzero(same[1:] & (a[1:] == a[:-1]))
+    if not len(twice):
+        return int(same.sum())
     values, in_a = np.unique(a, return_counts=True)
     values_b, in_b = np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(values, values_b, assume_unique=True, return_indices=True)
@@ -206,13 +222,18 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD, k: int = BANDS * ROWS) -> DataFrame:
     """Links (a, b) between nodes of different content; `firsts` has one node per content."""
     sets = signatures.select("node", "units")
     entries = signatures.select("node", "size", "bands").join(firsts.select("node"), "node").select("node", "size", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    stars = lookup(entries, buckets, "key", "n").where("head is not null")
-    stars = checkpoint(stars.select("key", "node", "size", "head"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpoint(lookup(entries, buckets, "key", "n").where("n is not null"))
+    # The member that meets most others, over all of its buckets, comes first: of a text and its edited copies the text itself.
+    met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+    shared = shared.drop("n").join(met, "node")
+    heads = shared.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("node"))).alias("first"), F.count("*").alias("n"))
+    heads = heads.select("key", (-F.col("first.node")).alias("head"), "n")
+    stars = checkpoint(lookup(shared.drop("met"), heads, "key", "n").select("key", "node", "size", "head"))
     tested = likeness(stars.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets)
     links = tested.where(F.col("sim") >= threshold).select("a", "b")
     roots = components(links)
@@ -220,15 +241,76 @@ def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOL
     known = stars.join(tested.select(F.col("a").alias("head"), F.col("b").alias("node"), "sim"), ["head", "node"], "left")
     known = known.join(roots, "node", "left").select("key", "node", "head", "size", F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
     mixed = known.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.max("d").alias("far")).where("mixed and far > 0")
-    known = checkpoint(known.join(mixed.select("key"), "key"))
+    known = known.join(mixed.select("key"), "key").where("node <> head")
+    return links.unionByName(_within_buckets(checkpoint(known), signatures, threshold, k))
+
+
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
+
+
+def _within_buckets(known: DataFrame, signatures: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Links between members of a bucket of which one at least is unlike the first member.
+
+    Both sides are dealt to blocks, and a pair of blocks meets in one cell. Only
+    links come out of a cell, and a pair that shares several buckets is compared in one.
+    """
     reach = 1 - threshold + 1e-9
-    x = known.where(F.col("d") > reach).select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "size", "d", "root")])
-    y = known.where("node <> head")
-    apart = (F.col("root") != F.col("root_x")) & (F.abs(F.col("d") - F.col("d_x")) <= reach) & ((F.col("d") <= reach) | (F.col("node") > F.col("node_x")))
-    sized = F.least("size", "size_x") >= F.greatest("size", "size_x") * (threshold - 1e-9)
-    more = x.join(y, "key").where(apart & sized).select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
-    more = likeness(more, sets).where(F.col("sim") >= threshold).select("a", "b")
-    return links.unionByName(more)
+    sizes = known.groupBy("key").agg(F.ceil(F.count(F.when(F.col("d") > reach, 1)) / BLOCK).alias("blocks_x"), F.ceil(F.count("*") / BLOCK).alias("blocks_y"))
+    rows = known.join(sizes.where("blocks_x > 0"), "key").join(signatures.select("node", "bands", "sketch", "units"), "node")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
+    other = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    data = ("node", "size", "d", "root", "bands", "sketch", "units")
+    x = rows.where(F.col("d") > reach).select("key", block("blocks_x").alias("i"), other("blocks_y").alias("j"), F.lit(True).alias("query"), *data)
+    y = rows.select("key", block("blocks_y").alias("j"), other("blocks_x").alias("i"), F.lit(False).alias("query"), *data)
+    cells = x.unionByName(y).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return checkpoint(cells.mapInArrow(_cells(threshold, reach, least_agreement(k, threshold)), "a long, b long")).distinct()
+
+
+def _cells(threshold: float, reach: float, least: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(key: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        sides, of_side = [], [[r for r in rows if r[3] == query] for query in (True, False)]
+        if not all(of_side):
+            return []
+        for side in of_side:
+            columns = [np.array([r[c] for r in side]) for c in (4, 5, 6, 7)]
+            bands = np.array([r[8] for r in side], np.int64).reshape(len(side), -1)
+            sketch = np.frombuffer(b"".join(r[9] for r in side), np.uint8).reshape(len(side), -1)
+            sides.append((*columns, bands, sketch, [np.frombuffer(r[10], np.uint32) for r in side]))
+        (node, size, d, root, bands, sketch, units), (node_y, size_y, d_y, root_y, bands_y, sketch_y, units_y) = sides
+        out = []
+        for i in range(len(node)):
+            may = (root_y != root[i]) & (np.abs(d_y - d[i]) <= reach) & ((d_y <= reach) | (node_y > node[i]))
+            may &= np.minimum(size_y, size[i]) >= np.maximum(size_y, size[i]) * (threshold - 1e-9)
+            j = np.flatnonzero(may)
+            j = j[(sketch_y[j] == sketch[i]).sum(1) >= least] if len(j) else j
+            # The first bucket that both are in.
+            j = j[bands[i][(bands_y[j] == bands[i]).argmax(1)] == key] if len(j) else j
+            if len(j):
+                common = np.array([common_units(units[i], units_y[y]) for y in j])
+                alike = j[common >= threshold * (size[i] + size_y[j] - common)]
+                out += [(min(int(node[i]), int(node_y[y])), max(int(node[i]), int(node_y[y]))) for y in alike]
+        return out
+
+    def run(batches):
+        held, cell = [], None
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:3] != cell and held:
+                    found = links(cell[0], held)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+                    held = []
+                cell = row[:3]
+                held.append(row)
+        if held:
+            found = links(cell[0], held)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
@@ -237,7 +319,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     contents = rows_.groupBy("content").agg(F.min("node").alias("node"), F.min(order).alias("low"), F.count("*").alias("copies"))
     contents = checkpoint(contents)
-    roots = components(linked(rows_, contents, threshold))
+    roots = components(linked(rows_, contents, threshold, bands * rows))
     contents = contents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = contents.groupBy("root").agg(F.min("low").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("contents"))
     contents = lookup(contents, classes, "root", "contents").select("content", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("kept_node"), "class_size")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch.llm import near_dedup
 from kinmatch.llm.hashing import shingle_hashes, text_bytes, word_hashes
 from kinmatch.llm.near_dedup import common_units, components, dart_signatures, near_duplicates, one_of_each, weighted_units
 
@@ -90,7 +91,9 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_classes_equal_brute_force(spark, documents):
+@pytest.mark.parametrize("block", [256, 5])
+def test_classes_equal_brute_force(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows, n = [], 0
@@ -107,6 +110,13 @@ def test_classes_equal_brute_force(spark, documents):
         chain[rng.randrange(100)] = word()
         rows.append((n, " ".join(chain)))
         n += 1
+    base = [word() for _ in range(120)]
+    for _ in range(60):  # edited more or less, so alike or not
+        edited = base[:]
+        for i in rng.sample(range(120), rng.randrange(9)):
+            edited[i] = word()
+        rows.append((n, " ".join(edited)))
+        n += 1
     rows += [(n, None), (n + 1, " \n"), (n + 2, ""), (n + 3, rows[0][1].upper()), (n + 4, "tok " * 30_000), (n + 5, "tok " * 29_000)]
     df = documents(*rows).withColumn("bands", F.lit(1)).withColumn("node", F.lit("x"))
     got = near_duplicates(df).collect()
