@@ -146,4 +146,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col
     named = docs.select(row, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     features = checkpoint(text_features(named, "text", ("doc_id",)))
     model = fit(training_rows(features, labels), fit_rows)
-    return text_features(named, "text", ("_doc",)).where(model.score() >= model.cut).select("_doc.*")
+    # A filter on the score itself would be pushed below the features and repeat their expressions within each other.
+    scored = text_features(named, "text", ("_doc",)).select("_doc", F.explode(F.array(model.score())).alias("_score"))
+    return scored.where(F.col("_score") >= model.cut).select("_doc.*")
