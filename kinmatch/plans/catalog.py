@@ -26,6 +26,15 @@ def _records(spark, sf_dir):
     return standardize(a), standardize(b)
 
 
+def _unicode_parts(spark, sf_dir):
+    """House and unit numbers of addresses with digits of another script and a no-break space."""
+    digits = "translate(CAST(c_custkey AS STRING), '0123456789', '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669')"
+    made = tables.read_table(spark, f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey", f"concat({digits}, ' MILL ST\u00a0APT\u00a0', CAST(c_nationkey AS STRING), ', X') AS a"
+    )
+    return made.selectExpr("c_custkey", f"CAST({text.house_number('a')} AS BIGINT) AS house", f"{text.unit_number('a')} AS unit_number")
+
+
 def _both(spark, sf_dir, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     a, b = _records(spark, sf_dir)
     first, second = (f(df).selectExpr(f"'{side}' AS side", "*") for side, df in (("input", a), ("master", b)))
@@ -179,6 +188,10 @@ def registered() -> dict[str, Query]:
         "diff_summary": lambda s, d: compare.diff_summary(*_records(s, d)),
         "profile_tables": lambda s, d: tables.profile_tables(dict(zip(("input", "master"), _raw(s, d)))),
         "row_counts": lambda s, d: coverage.row_counts(**dict(zip(("input", "master"), _records(s, d)))),
+        "table_set": lambda s, d: coverage.row_counts(**tables.read_table_set(s, d)),
+        "table_set_by_prefix": lambda s, d: coverage.row_counts(**tables.read_table_set(s, d, only_prefix="c")),
+        "row_ids": lambda s, d: tables.with_row_id(tables.read_table(s, f"{d}/customer.parquet")).select("row_id", "c_custkey"),
+        "unicode_parts": _unicode_parts,
         "first_rows": lambda s, d: tables.head(_records(s, d)[1]),
         "choose_roles": _roles,
         "unit_patterns": lambda s, d: compare.compare_unit_patterns(_records(s, d)[1], "row_id", "FullAddress"),

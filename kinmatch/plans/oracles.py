@@ -670,6 +670,16 @@ def oracle_statements() -> dict[str, str]:
     ]
     out["unit_patterns"] = s.query(" UNION ALL ".join(parts))
 
+    given = (
+        "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+        "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
+    )
+    counted = [f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in given]
+    out["table_set"] = " UNION ALL ".join(counted)
+    out["table_set_by_prefix"] = " UNION ALL ".join(c for c in counted if "'c" in c)
+    out["row_ids"] = "SELECT row_number() OVER () - 1 AS row_id, c_custkey FROM customer"
+    out["unicode_parts"] = "SELECT c_custkey, c_custkey AS house, CAST(c_nationkey AS VARCHAR) AS unit_number FROM customer"
+
     s = Sql()
     out["cosine_address"] = s.cosine(s.partners(), "a", "b", (ADDRESS,))
     s = Sql()

@@ -15,8 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 def duck():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("customer", "supplier"):
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
+    for file in os.listdir(SF_DIR):
+        con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF_DIR}/{file}'")
     return con
 
 
