@@ -141,10 +141,14 @@ def candidates(
     match_types=None,
     thresholds: dict[str, float] | None = None,
     k: int = CANDIDATES,
+    rows: tuple[int, int] | None = None,
     **address_options,
 ) -> DataFrame:
     """The ``k`` best master rows per input row and match type, rescored.
 
+    ``rows`` gives the row counts of both sides where they are known; otherwise
+    they are counted, which reads a table that is not Parquet.
+
     Both sides are standard records.  Rows below 0.8 · threshold in the first
     stage are left out.  Returns (match_type, a_id, b_id, stage1, rank, score)
     and both records' columns with prefixes ``a_`` and ``b_``.
@@ -152,7 +156,7 @@ def candidates(
     specs = _specs(match_types)
     thresholds = thresholds or {}
     cutoffs = {s.name: CUTOFF_SHARE * thresholds.get(s.name, s.threshold) for s in specs}
-    a_rows, b_rows = a.count(), b.count()
+    a_rows, b_rows = rows or (a.count(), b.count())
     cores = a.sparkSession.sparkContext.defaultParallelism
     grid = Grid.plan(a_rows, b_rows, cores, len(specs))
     # The input's own columns travel with it, so only the master is looked up again.
@@ -162,7 +166,7 @@ def candidates(
     # A candidate table of known small size goes to the master's tasks; a larger one is left to the optimizer.
     small = a_rows * k * len(specs) <= BROADCAST_ROWS
     pairs = b.selectExpr("row_id AS b_id", *b_columns).join(F.broadcast(found) if small else found, "b_id")
-    # Spread by input row before scoring: the best-row aggregation then needs no shuffle of its own.
+    # Spread by input row, so that scoring has as many tasks as it has work, however the join left the rows.
     tasks = min(most_tasks(cores), max(cores, math.ceil(a_rows * k * len(specs) / PAIRS_PER_TASK)))
     pairs = pairs.repartition(tasks, "match_type", "a_id")
     return _with_scores(pairs, specs, **address_options)
