@@ -27,6 +27,8 @@ SHINGLE = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 KEPT_BITS = 8
+#: Bins that an empty one tries before all others are ordered.
+TRIES = 6
 #: Documents a bucket of neighbouring ids should have, and the most buckets there are.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 14
 
@@ -38,7 +40,9 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     words, hashes, runs, least, full = (f"_{x}_{name}" for x in ("words", "hashes", "runs", "least", "full"))
     bin_of = lambda x: F.shiftright(x, _SHIFT)
     positive = lambda h: h.bitwiseAND(F.lit((1 << 63) - 1))
-    out = rows.withColumn(words, F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
+    out = rows.withColumn(words, F.split(F.lower(F.col(text)), r"\s+"))
+    # Only white space at either end leaves an empty word.
+    out = out.withColumn(words, F.when(F.array_contains(words, ""), F.array_remove(words, "")).otherwise(F.col(words)))
     out = out.withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     at = F.sequence(F.lit(0), F.size(hashes) - SHINGLE)
     run = lambda i: positive(F.xxhash64(*[F.get(F.col(hashes), i + j) for j in range(SHINGLE)]))
@@ -49,8 +53,10 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     out = out.withColumn(full, F.when(F.size(least) < BINS, F.map_from_entries(F.transform(least, lambda x: F.struct(bin_of(x), x)))))
 
     def filled(b: Column) -> Column:
+        # The order of bins that belongs to an empty one: some are tried by number, the rest come by a hash.
+        tried = [F.try_element_at(F.col(full), F.xxhash64(b, F.lit(i)).bitwiseAND(F.lit(BINS - 1).cast("long"))) for i in range(TRIES)]
         lent = F.array_min(F.transform(least, lambda x: F.struct(F.xxhash64(b, bin_of(x)).alias("order"), x.alias("hash"))))
-        return F.coalesce(F.try_element_at(F.col(full), b), lent["hash"])
+        return F.coalesce(F.try_element_at(F.col(full), b), *tried, lent["hash"])
 
     bins = F.when(F.size(least) == BINS, F.col(least)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), filled))
     digits = F.transform(bins, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit((1 << KEPT_BITS) - 1).cast("long")))), KEPT_BITS // 4, "0"))
