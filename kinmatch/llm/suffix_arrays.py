@@ -7,12 +7,6 @@ import numpy as np
 from .hashing import prefix_sums, range_hash
 
 
-def _buckets(text: np.ndarray, size: int) -> tuple[list[int], list[int]]:
-    """First and past-the-last place of each symbol's bucket."""
-    ends = np.cumsum(np.bincount(text, minlength=size))
-    return np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()
-
-
 def _types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one after it (S); equal symbols take the type of the next different one."""
     n = len(text)
@@ -24,35 +18,80 @@ def _types(text: np.ndarray) -> np.ndarray:
     return rises[following] > 0
 
 
-def _induce(symbols: list[int], small: list[bool], leftmost: list[int], first: list[int], last: list[int], n: int) -> list[int]:
-    """All suffixes in order, given the leftmost smaller ones in an order that is right for their purpose."""
-    order = [-1] * n
-    tail = last[:]
-    for i in reversed(leftmost):
-        c = symbols[i]
-        tail[c] -= 1
-        order[tail[c]] = i
-    head = first[:]
+def _deal(symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many equal symbols come before each one, and the number of each symbol."""
+    order = np.argsort(symbols, kind="stable")
+    counts = np.bincount(symbols, minlength=size)
+    nth = np.empty(len(symbols), np.int64)
+    nth[order] = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return nth, counts
+
+
+def _induce(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All suffixes in order, given the leftmost smaller ones in an order that is right for their purpose.
+
+    Works bucket by bucket: what a bucket holds is put in front of other buckets' free places
+    all at once; only runs of one symbol need further turns in their own bucket.
+    """
+    n, size = len(text), len(first)
+    order = np.full(n, -1)
+    symbols = text[leftmost]
+    nth, given = _deal(symbols, size)
+    order[last[symbols] - given[symbols] + nth] = leftmost
+    seeds = [order[last[c] - given[c] : last[c]].copy() if given[c] else () for c in range(size)]
+
+    def send(found: np.ndarray, free: np.ndarray, kind: bool) -> None:
+        """Put the suffixes one place before `found`, if of this kind, to the free ends of their buckets."""
+        j = found - 1
+        j = j[j >= 0]
+        j = j[small[j] == kind]
+        if len(j):
+            c = text[j]
+            nth, counts = _deal(c, size)
+            order[free[c] - 1 - nth if kind else free[c] + nth] = j
+            free += -counts if kind else counts
+
+    used = np.flatnonzero(last > first)
+    head = first.copy()
     # The suffix before the (empty) end of the text comes first of its bucket.
-    c = symbols[n - 1]
-    order[head[c]] = n - 1
-    head[c] += 1
-    for i in range(n):
-        j = order[i] - 1
-        if j >= 0 and not small[j]:
-            c = symbols[j]
-            order[head[c]] = j
-            head[c] += 1
-    tail = last[:]
-    for i in range(n - 1, -1, -1):
-        j = order[i] - 1
-        if j >= 0 and small[j]:
-            c = symbols[j]
-            tail[c] -= 1
-            order[tail[c]] = j
+    order[head[text[n - 1]]] = n - 1
+    head[text[n - 1]] += 1
+    for c in used:
+        at = first[c]
+        while at < head[c]:
+            now, at = order[at : head[c]].copy(), head[c]
+            send(now, head, False)
+        if len(seeds[c]):
+            send(seeds[c], head, False)
+    tail = last.copy()
+    for c in used[::-1]:
+        at = last[c]
+        while at > tail[c]:
+            now, at = order[tail[c] : at][::-1].copy(), tail[c]
+            send(now, tail, True)
+        if head[c] > first[c]:
+            send(order[first[c] : head[c]][::-1].copy(), tail, True)
     return order
 
 
+def _by_doubling(names: np.ndarray) -> np.ndarray:
+    """Suffixes of a text of many names in order: ranks of ever longer prefixes until all differ."""
+    rank, step, n = names.astype(np.int64), 1, len(names)
+    while True:
+        after = np.zeros(n, np.int64)
+        after[:-step] = rank[step:] + 1
+        _, new = np.unique(rank * (n + 1) + after, return_inverse=True)
+        rank, step = new, step * 2
+        if rank.max() == n - 1:
+            return np.argsort(rank)
+        if step >= n:
+            raise AssertionError("suffixes of one text differ")
+
+
+#: Reduced texts of more names are ordered by doubling: their buckets hold next to nothing.
+MOST_NAMES = 1024
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes of `text` (small non-negative numbers) in order; the end counts as smaller than any symbol."""
     n = len(text)
@@ -61,10 +100,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     small = _types(text)
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     size = int(text.max()) + 1
-    first, last = _buckets(text, size)
-    symbols, flags = text.tolist(), small.tolist()
+    last = np.cumsum(np.bincount(text, minlength=size))
+    first = np.concatenate(([0], last[:-1]))
     if len(leftmost) > 1:
-        order = np.array(_induce(symbols, flags, leftmost.tolist(), first, last, n))
+        order = _induce(text, small, leftmost, first, last)
         # Substrings from one leftmost smaller suffix to the next are in order now; equal ones get equal names.
         is_leftmost = np.zeros(n, bool)
         is_leftmost[leftmost] = True
@@ -82,8 +121,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if new.all():
             leftmost = sorted_
         else:
-            leftmost = leftmost[suffix_array(reduced)]
-    return np.array(_induce(symbols, flags, leftmost.tolist(), first, last, n))
+            leftmost = leftmost[suffix_array(reduced) if names.max() < MOST_NAMES else _by_doubling(reduced)]
+    return _induce(text, small, leftmost, first, last)
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 127) -> np.ndarray:

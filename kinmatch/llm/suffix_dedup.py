@@ -6,8 +6,8 @@ A byte goes if it is covered by a string of `LENGTH` bytes that also starts earl
    hash, so equal windows have equal anchors. Neighbouring windows with the same anchor form
    one stretch of text. Windows of anchors that occur once repeat nothing; a bounded bit
    table of the others tells which stretches to gather.
-2. Equal stretches are merged before they are shuffled. All but the earliest of them repeat
-   it as a whole.
+2. All but the earliest of equal stretches repeat it as a whole. Those within a document are
+   found where it lies; across documents the stretches meet by two 64-bit hashes, without their text.
 3. Different stretches of one anchor go to one shard. Its suffix array is built by induced
    sorting, with permuted common prefixes, and of each class of suffixes that
    agree in `LENGTH` bytes all but the earliest are repeats.
@@ -41,7 +41,8 @@ TABLE_BITS = 27
 MOST_STRETCHES = 2000
 #: Bytes of text for one suffix array.
 SHARD_BYTES = 1 << 18
-_KEY = "anchor long, stretch long"
+#: Spreads the places within one document over the bit table.
+STEP = 40_503
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -73,39 +74,55 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return hashes[anchor[new]], row, start, count
 
 
+def own_hashes(data: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the stretches' bytes, and whether each is the first with these bytes in its row."""
+    own = range_hash(prefix_sums(data), start, start + n + length - 1)
+    first = np.zeros(len(own), bool)
+    first[np.unique(mix(own + mix(row.astype(np.uint64))), return_index=True)[1]] = True
+    return own, first
+
+
 def _anchors(batches):
     schema = pa.schema([("anchor", pa.int64())])
     for batch in batches:
         texts = batch.column("text")
         _, offsets = text_bytes(texts)
         for a, b in row_slices(offsets):
-            hashes, *_ = stretches(*text_bytes(texts.slice(a, b - a)))
+            data, at = text_bytes(texts.slice(a, b - a))
+            hashes, row, start, n = stretches(data, at)
+            hashes = hashes[own_hashes(data, row, start, n)[1]]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], schema=schema)
 
 
-def _gather(table, bits: int, whole: bool):
-    """Stretches whose anchor is in the bit table; with their bytes if `whole`."""
+def _is_set(flags: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _gather(anchors, bits: int, places=None):
+    """The first of equal stretches of each row, if its anchor is in a bit table; with a table of places, only those there, with their bytes."""
     fields = [(c, pa.int64()) for c in ("anchor", "stretch", "doc", "tie", "start", "n")]
-    schema = pa.schema(fields + ([("bytes", pa.binary())] if whole else []))
+    schema = pa.schema(fields + ([("bytes", pa.binary())] if places else []))
 
     def run(batches):
-        flags = table.value
+        mask = (1 << bits) - 1
         for batch in batches:
             texts, doc, tie = batch.column("text"), batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             _, offsets = text_bytes(texts)
             for a, b in row_slices(offsets):
                 data, at = text_bytes(texts.slice(a, b - a))
                 hashes, row, start, n = stretches(data, at)
-                slot = (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
-                kept = (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-                hashes, row, start, n = hashes[kept], row[kept], start[kept], n[kept]
+                own, kept = own_hashes(data, row, start, n)
+                inside = start - at[row]
+                kept &= _is_set(anchors.value, (hashes & np.uint64(mask)).astype(np.int64))
+                if places:
+                    kept &= _is_set(places.value, (tie[a:b][row] ^ (inside * STEP)) & mask)
+                hashes, own, row, start, n, inside = (x[kept] for x in (hashes, own, row, start, n, inside))
                 if not len(n):
                     continue
-                size = n + LENGTH - 1
-                own = range_hash(prefix_sums(data), start, start + size)
-                columns = [hashes.view(np.int64), own.view(np.int64), doc[a:b][row], tie[a:b][row], start - at[row], n]
+                columns = [hashes.view(np.int64), own.view(np.int64), doc[a:b][row], tie[a:b][row], inside, n]
                 arrays = [pa.array(c) for c in columns]
-                if whole:
+                if places:
+                    size = n + LENGTH - 1
                     ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                     flat = data[np.repeat(start - ends[:-1], size) + np.arange(int(ends[-1]))]
                     arrays.append(pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
@@ -155,38 +172,51 @@ def _shards(batches):
         yield flush()
 
 
-def repeated_ranges(texts: DataFrame, bits: int = TABLE_BITS, most: int = MOST_STRETCHES) -> DataFrame:
-    """Ranges (doc, tie, start, stop) of bytes to remove, which may overlap, from rows (doc, tie, text)."""
-    spark = texts.sparkSession
-    often = texts.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    slots = slot_bitmaps(often.select((F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + 1).alias("slot")))
+def _bit_table(slots: DataFrame, bits: int):
+    """Numbers below 2^bits, in column `slot`, as a broadcast bit table."""
     flags = np.zeros(max(1 << bits, 1 << 15) // 8, np.uint8)
-    for r in slots.toLocalIterator():  # 2^bits bits in all
+    for r in slot_bitmaps(slots.select((F.col("slot") + 1).alias("slot"))).toLocalIterator():  # 2^bits bits in all
         at = (r["bucket"] - 1) * 4096
         flags[at : at + 4096] = np.frombuffer(bytes(r["bitmap"]), np.uint8)[: len(flags) - at]
-    table = spark.sparkContext.broadcast(flags)
-    place = "doc long, tie long, start long, n long"
+    return slots.sparkSession.sparkContext.broadcast(flags)
+
+
+def repeated_ranges(texts: DataFrame, bits: int = TABLE_BITS, most: int = MOST_STRETCHES) -> DataFrame:
+    """Ranges (doc, tie, start, stop) of bytes to remove, which may overlap, from rows (doc, tie, text).
+
+    Without those stretches that repeat another one of their own document.
+    """
+    mask = F.lit((1 << bits) - 1).cast("long")
+    often = texts.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    anchors = _bit_table(often.select(F.col("anchor").bitwiseAND(mask).alias("slot")), bits)
+    place = "anchor long, stretch long, doc long, tie long, start long, n long"
+    found = texts.mapInArrow(_gather(anchors, bits), place)
     first = F.struct("doc", "tie", "start")
-    whole = texts.mapInArrow(_gather(table, bits, True), f"{_KEY}, {place}, bytes binary")
-    merged = whole.groupBy("anchor", "stretch").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.max("n").alias("windows"), F.max("bytes").alias("bytes"))
-    merged = checkpoint(merged)
+    merged = checkpoint(found.groupBy("anchor", "stretch").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
     # All but the earliest of equal stretches.
-    copies = merged.where("n > 1").select(F.struct("anchor", "stretch").alias("key"), "first", F.col("n").alias("copies"))
-    places = texts.mapInArrow(_gather(table, bits, False), f"{_KEY}, {place}").select(F.struct("anchor", "stretch").alias("key"), "doc", "tie", "start", "n")
-    later = lookup(places, copies, "key", "copies").where(F.col("first").isNotNull() & (first != F.col("first")))
+    several = merged.where("copies > 1").select(F.struct("anchor", "stretch").alias("key"), "first", "copies")
+    later = lookup(found.select(F.struct("anchor", "stretch").alias("key"), "doc", "tie", "start", "n"), several, "key", "copies")
+    later = later.where(F.col("first").isNotNull() & (first != F.col("first")))
     ranges = later.select("doc", "tie", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
-    # Different stretches of one anchor.
-    anchors = merged.groupBy("anchor").agg(F.count("*").alias("stretches")).where("stretches > 1")
-    several = lookup(merged, anchors, "anchor", "stretches").where("stretches is not null").select("anchor", "first.*", "windows", "bytes", "stretches")
-    several = checkpoint(several)
-    sharded = several.where(F.col("stretches") <= most).repartition("anchor").sortWithinPartitions("anchor")
+    # Different stretches of one anchor, each at its earliest place.
+    counts = merged.groupBy("anchor").agg(F.count("*").alias("stretches")).where("stretches > 1")
+    chosen = lookup(merged, counts, "anchor", "stretches").where("stretches is not null").select("anchor", "stretch", "first", "stretches")
+    chosen = checkpoint(chosen)
+    slot = F.col("first.tie").bitwiseXOR(F.col("first.start") * STEP).bitwiseAND(mask)
+
+    def with_bytes(part: DataFrame) -> DataFrame:
+        places = _bit_table(part.select(slot.alias("slot")), bits)
+        return texts.mapInArrow(_gather(anchors, bits, places), f"{place}, bytes binary").join(part, ["anchor", "stretch"]).where(first == F.col("first"))
+
+    few, many = chosen.where(F.col("stretches") <= most), chosen.where(F.col("stretches") > most)
+    sharded = with_bytes(few).repartition("anchor").sortWithinPartitions("anchor")
     ranges = ranges.unionByName(sharded.select("anchor", "doc", "tie", "start", "bytes").mapInArrow(_shards, "doc long, tie long, start long, stop long"))
-    return ranges.unionByName(_by_window(several.where(F.col("stretches") > most)))
+    return ranges if many.isEmpty() else ranges.unionByName(_by_window(with_bytes(many)))
 
 
 def _by_window(several: DataFrame) -> DataFrame:
     """The same for anchors with very many stretches: equal windows meet by their digest."""
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)).alias("at")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("at")
     windows = several.select("doc", "tie", "start", "bytes", at)
     window = F.substring(F.col("bytes"), (F.col("at") + 1).cast("int"), F.lit(LENGTH))
     windows = windows.select("doc", "tie", (F.col("start") + F.col("at")).alias("start"), F.sha2(window, 256).alias("window"))
@@ -202,13 +232,21 @@ def _without(batches):
         texts, starts, stops = batch.column("text"), batch.column("starts"), batch.column("stops")
         data, offsets = text_bytes(texts)
         for a, b in row_slices(offsets):
+            part, at = text_bytes(texts.slice(a, b - a))
+            _, row, start, n = stretches(part, at)
+            again = ~own_hashes(part, row, start, n)[1]
+            row, start, n = row[again], (start - at[row])[again], n[again]
+            bounds = np.searchsorted(row, np.arange(b - a + 1))
             rows = []
             for i in range(a, b):
+                own = slice(bounds[i - a], bounds[i - a + 1])
                 text = data[offsets[i] : offsets[i + 1]]
                 depth = np.zeros(len(text) + 1, np.int32)
                 if starts[i].is_valid:
                     np.add.at(depth, starts[i].values.to_numpy(), 1)
                     np.add.at(depth, stops[i].values.to_numpy(), -1)
+                np.add.at(depth, start[own], 1)
+                np.add.at(depth, start[own] + n[own] + LENGTH - 1, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 kept = text[~gone].tobytes()
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
