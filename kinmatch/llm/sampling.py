@@ -53,6 +53,23 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53
 
 
+class _Grown:
+    """An array that values are added to; its room is doubled when it is full."""
+
+    def __init__(self, dtype: type, *values) -> None:
+        self.data, self.used = np.zeros(1 << 12, dtype), 0
+        self.add(np.array(values, dtype))
+
+    def add(self, values: np.ndarray, over: int = 0) -> np.ndarray:
+        """All values after `values` were put in place of the last `over` ones."""
+        start = self.used - over
+        self.used = start + len(values)
+        if self.used > len(self.data):
+            self.data = np.concatenate((self.data[:start], np.zeros(2 * self.used - start, self.data.dtype)))
+        self.data[start : self.used] = values
+        return self.data[: self.used]
+
+
 class Lattices:
     """Word lattices of a SentencePiece model as flat arrays of arcs.
 
@@ -88,7 +105,9 @@ class Lattices:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
+        self.grown = {n: _Grown(t) for n, t in (("first_state", np.int64), ("cumulative", np.float64), ("log_p", np.float64), ("target", np.int64), ("emits", np.int64))}
         self.first_state = np.zeros(0, np.int64)  # by word
+        self.grown["first_arc"] = _Grown(np.int64, 0)
         self.first_arc = np.zeros(1, np.int64)  # by state, one more at the end
         self.cumulative, self.log_p, self.target, self.emits = (np.zeros(0, t) for t in (np.float64, np.float64, np.int64, np.int64))
         # What arcs emit: ids below the number of pieces stand for themselves, the rest for the bytes of a character.
@@ -155,12 +174,16 @@ class Lattices:
         cumulative[first + counts - 1] = 1.0
         state, arc = len(self.first_arc) - 1, len(self.target)
         self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
-        self.first_state = np.append(self.first_state, state + ends - sizes)
-        self.first_arc = np.append(self.first_arc[:-1], np.append(arc + first, arc + len(start)))
-        self.target = np.append(self.target, np.where(closing, -1, state + start + length))
-        self.cumulative, self.log_p, self.emits = np.append(self.cumulative, cumulative), np.append(self.log_p, np.minimum(log_p, 0.0)), np.append(self.emits, emit)
+        grown = self.grown
+        self.first_state = grown["first_state"].add(state + ends - sizes)
+        self.first_arc = grown["first_arc"].add(np.append(arc + first, arc + len(start)), over=1)
+        self.target = grown["target"].add(np.where(closing, -1, state + start + length))
+        self.cumulative, self.emits = grown["cumulative"].add(cumulative), grown["emits"].add(emit)
+        self.log_p = grown["log_p"].add(np.minimum(log_p, 0.0))
 
     def _spell(self, char: str) -> int:
+        if char < "\x80":
+            return self.byte_ids[ord(char)]
         if char not in self.spelled:
             self.spelled[char] = len(self.bytes) + len(self.spellings)
             self.spellings.append([self.byte_ids[b] for b in char.encode()])
