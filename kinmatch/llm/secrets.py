@@ -5,8 +5,8 @@ Candidates for the entropy test are maximal runs of 20 or more characters of
 per step (one enters, one leaves), and with them the sum of c*log2(c), from which
 the window's Shannon entropy follows. A candidate is a secret if some window
 reaches the threshold of the candidate's character class and no allow-list
-pattern matches it. Entropy spans that overlap a span of a fixed pattern are not
-reported again.
+pattern matches it. Entropy spans that spans of fixed patterns cover fully are not
+reported again; those that reach beyond them are.
 
 Defined cases: null text is empty; offsets are code points, end exclusive; matches of one
 pattern don't overlap, those of different patterns may; repeated rows are scanned
@@ -98,6 +98,12 @@ def is_key_like(run: Column) -> Column:
     return F.when(mixed, window_entropy(run) >= threshold).otherwise(False)
 
 
+def _covered(span: Column, base: Column | str) -> Column:
+    """Whether spans in order of their starts leave nothing of `span` free."""
+    reach = lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
+    return F.aggregate(base, span["start"], reach) >= span["end"]
+
+
 def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with _base and _all: arrays of (start, kind, end), ordered by start, then kind."""
     text = F.col("_text")
@@ -110,8 +116,8 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _spans(text, 3, CANDIDATE, lambda m, v: is_key_like(m)).alias("_entropy"),
     )
     found = found.withColumn("_base", F.sort_array(F.concat("_assign", "_access", "_hex")))
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    found = found.withColumn("_all", F.sort_array(F.concat("_base", F.filter("_entropy", apart))))
+    more = F.filter("_entropy", lambda x: ~_covered(x, "_base"))
+    found = found.withColumn("_all", F.sort_array(F.concat("_base", more)))
     return found.drop("_assign", "_access", "_hex", "_entropy")
 
 
