@@ -5,7 +5,8 @@ Candidates for the entropy test are maximal runs of 20 or more characters of
 per step (one enters, one leaves), and with them the sum of c*log2(c), from which
 the window's Shannon entropy follows. A candidate is a secret if some window
 reaches the threshold of the candidate's character class and no allow-list
-pattern matches it. Entropy spans that spans of fixed patterns cover fully are not
+pattern matches it. Where a part between '=' and '/' holds an example word, no window counts
+that touches this part; what lies between such parts is tested like a candidate. Entropy spans that spans of fixed patterns cover fully are not
 reported again; those that reach beyond them are.
 
 Defined cases: null text is empty; offsets are code points, end exclusive; matches of one
@@ -32,12 +33,13 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits by character class. A class without letters or without digits holds words and numbers, no keys.
-THRESHOLDS = (("[0-9a-fA-F]+", 2.9), ("[A-Za-z0-9]+", 3.6), ("[A-Za-z0-9+/_=-]+", 3.8))
+#: Bits by character class. Without a digit, letters of both cases need more; one case alone holds words, and no letters numbers.
+THRESHOLDS = (("[A-Za-z]+", 3.7), ("[A-Za-z+/_=-]+", 3.85), ("[0-9a-fA-F]+", 2.9), ("[A-Za-z0-9]+", 3.6), ("[A-Za-z0-9+/_=-]+", 3.8))
+EXAMPLE = "(?i)example|sample|dummy|placeholder|changeme"
 ALLOWED = (
-    "(?i)example|sample|dummy|placeholder|changeme",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^([A-Z]?[a-z]{3,}+[0-9]{0,4}[/_=-]?)+$",
+    "^([A-Z]?[a-z]{2,}+[/_=-]?)+$",
 )
 MARK = "[SECRET]"
 
@@ -87,9 +89,16 @@ def window_entropy(run: Column, window: int = WINDOW, alphabet: str = ALPHABET)
     return F.aggregate(steps, start, step, lambda state: state["best"])
 
 
+def without_examples(run: Column) -> Column:
+    """What is left of a candidate, at least a window long each, around its parts with example words."""
+    parts = F.transform(F.split(run, "(?<=[=/])"), lambda p: F.when(p.rlike(EXAMPLE), " ").otherwise(p))
+    left = F.transform(F.split(F.array_join(parts, ""), " "), lambda p: F.regexp_replace(p, "[=/]++$", ""))
+    return F.when(run.rlike(EXAMPLE), F.filter(left, lambda p: F.length(p) >= WINDOW)).otherwise(F.array(run))
+
+
 def is_key_like(run: Column) -> Column:
-    """Whether a candidate's entropy reaches its class's threshold and nothing allows it."""
-    mixed = run.rlike("[0-9]") & run.rlike("[A-Za-z]")
+    """Whether entropy reaches its class's threshold and nothing allows it."""
+    mixed = run.rlike("[A-Za-z]") & (run.rlike("[0-9]") | (run.rlike("[a-z]") & run.rlike("[A-Z]")))
     for pattern in ALLOWED:
         mixed = mixed & ~run.rlike(pattern)
     threshold = F.lit(None).cast("double")
@@ -113,7 +122,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _spans(text, 0, ASSIGN, lambda m, v: F.length(v) >= LEAST_VALUE).alias("_assign"),
         _spans(text, 1, ACCESS, yes).alias("_access"),
         _spans(text, 2, HEX, yes).alias("_hex"),
-        _spans(text, 3, CANDIDATE, lambda m, v: is_key_like(m)).alias("_entropy"),
+        _spans(text, 3, CANDIDATE, lambda m, v: F.exists(without_examples(m), is_key_like)).alias("_entropy"),
     )
     found = found.withColumn("_base", F.sort_array(F.concat("_assign", "_access", "_hex")))
     more = F.filter("_entropy", lambda x: ~_covered(x, "_base"))

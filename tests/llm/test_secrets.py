@@ -1,6 +1,8 @@
 """Secret scans on made-up cases."""
 
 import math
+import random
+import string
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -40,6 +42,26 @@ def test_entropy_beyond_a_fixed_pattern_is_kept(documents):
     assert got[4][1] == "access:2:22,entropy:2:53,assign:23:53"
 
 
+def test_keys_without_digits(documents):
+    rng = random.Random(1)
+    letters = ["".join(rng.choice(string.ascii_letters) for _ in range(20)) for _ in range(100)]
+    base64 = ["".join(rng.choice(string.ascii_letters + "+/") for _ in range(40)) for _ in range(100)]
+    words = ["SomeWordsAndOtherThings", "AbstractSingletonProxyFactoryBean", "Donaudampfschifffahrtsgesellschaft", "thanbleshaningtionnt", "THEQUICKBROWNFOXJUMPSOVER"]
+    got = scan(documents(*enumerate(letters + base64 + words)))
+    assert sum(got[i][2] == MARK for i in range(100)) >= 90
+    assert sum(got[i][2] == MARK for i in range(100, 200)) >= 95
+    assert all(got[200 + i][1] == "" for i in range(len(words)))
+
+
+def test_example_words_allow_their_own_part(documents):
+    key = "q7Zp0XkV3mB9tLw2Rj8HsN5c"
+    found = [f"sample_id={key}", f"example/{key}", f"{key}/dummy", f"a/sample/{key}/example=x", f"x=placeholder/{key}=="]
+    allowed = [f"example_{key}", f"{key[:12]}sample{key[12:]}/x", f"sample/{key[:12]}=dummy/{key[12:]}", "sample_id=1b9d6bcd-bbfd-4b2d-9b5d-ab8dfbbd4bed", "example/Some/path/with/words2024/and/more"]
+    got = scan(documents(*enumerate(found + allowed)))
+    assert all(got[i][2] == MARK for i in range(len(found)))
+    assert all(got[len(found) + i][1] == "" for i in range(len(allowed)))
+
+
 def test_window_entropy_equals_direct_count(spark):
     runs = ["abcdefghij0123456789", "aaaaaaaaaaaaaaaaaaaa", "aB3+" * 9, "zzzzzzzzzzzzzzzzzzzz0123456789ABCDEFGHIJ"]
     df = spark.createDataFrame([(r,) for r in runs], "run string")
