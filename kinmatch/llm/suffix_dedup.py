@@ -152,9 +152,12 @@ def shard_repeats(stretch_rows: list[tuple], length: int = LENGTH) -> list[tuple
 
 
 def _shards(batches):
-    """Rows come by anchor; whole anchors are put together up to the size of a shard."""
+    """Rows come by anchor and stretch; whole anchors are put together up to the size of a shard.
+
+    A row that is there several times brings its stretches as often; each counts once.
+    """
     schema = pa.schema([(c, pa.int64()) for c in ("doc", "tie", "start", "stop")])
-    held, size, last = [], 0, None
+    held, size, last = [], 0, (None, None)
 
     def flush():
         found = shard_repeats(held)
@@ -162,12 +165,14 @@ def _shards(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     for batch in batches:
-        for anchor, doc, tie, start, data in zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc", "tie", "start", "bytes")]):
-            if anchor != last and size >= SHARD_BYTES:
+        for anchor, stretch, doc, tie, start, data in zip(*[batch.column(c).to_pylist() for c in ("anchor", "stretch", "doc", "tie", "start", "bytes")]):
+            if (anchor, stretch) == last:
+                continue
+            if anchor != last[0] and size >= SHARD_BYTES:
                 yield flush()
                 held, size = [], 0
             held.append((doc, tie, start, data))
-            size, last = size + len(data), anchor
+            size, last = size + len(data), (anchor, stretch)
     if held:
         yield flush()
 
@@ -209,8 +214,8 @@ def repeated_ranges(texts: DataFrame, bits: int = TABLE_BITS, most: int = MOST_S
         return texts.mapInArrow(_gather(anchors, bits, places), f"{place}, bytes binary").join(part, ["anchor", "stretch"]).where(first == F.col("first"))
 
     few, many = chosen.where(F.col("stretches") <= most), chosen.where(F.col("stretches") > most)
-    sharded = with_bytes(few).repartition("anchor").sortWithinPartitions("anchor")
-    ranges = ranges.unionByName(sharded.select("anchor", "doc", "tie", "start", "bytes").mapInArrow(_shards, "doc long, tie long, start long, stop long"))
+    sharded = with_bytes(few).repartition("anchor").sortWithinPartitions("anchor", "stretch")
+    ranges = ranges.unionByName(sharded.select("anchor", "stretch", "doc", "tie", "start", "bytes").mapInArrow(_shards, "doc long, tie long, start long, stop long"))
     return ranges if many.isEmpty() else ranges.unionByName(_by_window(with_bytes(many)))
 
 
@@ -261,7 +266,8 @@ def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     texts = texts.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("tie", F.xxhash64("text"))
     ranges = repeated_ranges(texts.select("doc", "tie", "text"), bits, most)
-    # A document's ranges are no more than its windows.
-    lists = ranges.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    # A document's ranges are no more than its windows, however often its row is there.
+    lists = ranges.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    lists = lists.select("_doc", "_tie", F.col("ranges.start").alias("starts"), F.col("ranges.stop").alias("stops"))
     joined = texts.join(lists, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
     return joined.select("doc_id", "text", "starts", "stops").mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

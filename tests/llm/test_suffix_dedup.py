@@ -70,6 +70,18 @@ def test_empty_table_and_repeated_rows(spark, documents):
     assert without_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [2000, 1])
+def test_repeated_rows_that_share_a_passage(documents, most):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(300)
+    rows = [(i, text(150) + passage + text(150)) for i in range(6)] + [(9, text(400))]
+    df = documents(*rows, rows[0], rows[0], rows[3], rows[6]).repartition(3)
+    got, expected = without_repeats(df, most=most), by_hand(rows)
+    assert result(got) == expected and got.count() == len(rows) + 4
+    assert {r.n_removed for r in got.where("doc_id = 0").collect()} == {0}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
