@@ -9,15 +9,21 @@ number of tokens that lie before each of their documents. What the rounds serve
 one stream, cut every `length` tokens. A queue that has run dry leaves its part of
 the round to the others. Only the very last sequence is padded.
 
+Sources with weights of their own have queues of their own, as have those with a 256th of all bytes
+or more. The others share the queue `*rest*`, in the order of each document's fractional
+place in its own source, so that at every place of the queue each source has served its
+share of what it has, to within one document.
+
 Defined cases: null text is empty and packs to the end id alone; a null source is
-the queue of the empty name; sources with less than a 256th of all bytes share one
-queue; repeated rows are packed each; an empty table gives no rows. Input columns other than the
+the queue of the empty name; a source named `*rest*` is one of those that share the queue, and a weight of
+that name is the queue's; a weight for a source without documents does nothing; repeated rows are packed each; an empty table gives no rows. Input columns other than the
 id, text and source are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,51 +36,79 @@ from .words import encoder, text_slices
 
 LENGTH = 4096
 END_ID = 2
-#: A source needs this share of all bytes for a queue of its own, so there are at most 256 and one for the rest.
+#: A source without a weight needs this share of all bytes for a queue of its own, so there are at most 256 of them.
 LEAST_SHARE = 1 / 256
+#: Weights that can be given.
+MOST_WEIGHTS = 256
 #: Weights are rounded to this many parts, which keeps round numbers times weights in 64 bits for 10^13 tokens.
 PARTS = 1 << 18
+#: Rounds times queues that are looked at together.
+MOST_CELLS = 1 << 21
 _REST = "*rest*"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
-def queues_of(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> list[str]:
-    """Sources with a queue of their own, largest first; at most 256."""
+def queues_of(docs: DataFrame, text_col: str = "text", source_col: str = "source", named: Iterable[str] = ()) -> list[str]:
+    """Sources with a queue of their own: those named, at most 256, then the largest, at most 256."""
+    named = sorted(set(named) - {_REST})
+    if len(named) > MOST_WEIGHTS:
+        raise ValueError(f"weights for {len(named)} sources; there can be {MOST_WEIGHTS}")
     size = F.sum(F.octet_length(whole_text(text_col)) + 1).alias("size")
     sources = docs.groupBy(whole_text(source_col).alias("source")).agg(size)
     total = sources.agg(F.sum("size")).first()[0] or 0
-    return [r["source"] for r in sources.where(F.col("size") >= total * LEAST_SHARE).orderBy(F.desc("size"), "source").limit(256).collect()]
+    large = sources.where((F.col("size") >= total * LEAST_SHARE) & (F.col("source") != _REST)).orderBy(F.desc("size"), "source").limit(256).collect()
+    return named + [r["source"] for r in large if r["source"] not in named]
 
 
 def _tokenize(path: str, end_id: int):
-    schema = pa.schema([("part", pa.int32()), ("queue", pa.string()), ("inside", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("queue", pa.string()), ("source", pa.string()), ("inside", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        part, served, words = TaskContext.get().partitionId(), {}, encoder(path)
+        part, row, served, words = TaskContext.get().partitionId(), 0, {}, encoder(path)
         for batch in batches:
-            texts, queues, ids = batch.column("text"), batch.column("queue").to_pylist(), batch.column("doc_id")
+            texts, ids = batch.column("text"), batch.column("doc_id")
+            queues, sources = (batch.column(c).to_pylist() for c in ("queue", "source"))
             for a, b in text_slices(batch.column("size")):
                 found = words.encode(texts.slice(a, b - a).to_pylist())
                 rows = []
-                for tokens, queue in zip(found, queues[a:b]):
+                for tokens, queue, source in zip(found, queues[a:b], sources[a:b]):
                     n = len(tokens) + 1
-                    rows.append((part, queue, served.get(queue, 0), n, tokens.tobytes() + np.array([end_id], words.dtype).tobytes()))
-                    served[queue] = served.get(queue, 0) + n
-                parts, names, inside, counts, data = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(names), pa.array(inside), ids.slice(a, b - a), pa.array(counts), pa.array(data, pa.binary())], schema=schema)
+                    rows.append((part, row, queue, source, served.get(source, 0), n, tokens.tobytes() + np.array([end_id], words.dtype).tobytes()))
+                    row, served[source] = row + 1, served.get(source, 0) + n
+                parts, numbers, names, own, inside, counts, data = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(numbers, pa.int64()), pa.array(names), pa.array(own), pa.array(inside), ids.slice(a, b - a), pa.array(counts), pa.array(data, pa.binary())], schema=schema)
 
     return run
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """Written token rows: part, queue, inside (tokens of the queue before it in its part), doc_id, n, ids (packed)."""
-    own = queues_of(docs, text_col, source_col)
-    queue = whole_text(source_col)
-    queue = F.when(queue.isin(own), queue).otherwise(_REST)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), queue.alias("queue"))
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", named: Iterable[str] = ()) -> DataFrame:
+    """Written token rows: part, row (in its part), queue, source, inside (tokens of the source before it in its part), doc_id, n, ids (packed)."""
+    own = queues_of(docs, text_col, source_col, named)
+    source = whole_text(source_col)
+    queue = F.when(source.isin(own), source).otherwise(_REST)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), queue.alias("queue"), source.alias("source"))
     rows = rows.withColumn("size", F.octet_length("text"))
-    return checkpoint(rows.mapInArrow(_tokenize(tokenizer, end_id), "part int, queue string, inside long, doc_id long, n long, ids binary"))
+    return checkpoint(rows.mapInArrow(_tokenize(tokenizer, end_id), "part int, row long, queue string, source string, inside long, doc_id long, n long, ids binary"))
+
+
+def _interleaved(rest: DataFrame, bases: DataFrame, parts: int) -> DataFrame:
+    """`rest` with `first`, its rows in the order of their fractional places in their sources.
+
+    A document takes up a part of its source, in which a hash of the source picks its place; so
+    sources of one document each are spread too. Every bucket of places holds about as many tokens.
+    """
+    total = F.sum("tokens").over(Window.partitionBy("source"))
+    slim = rest.select("part", "row", "source", "inside", "n").join(bases.withColumn("total", total), ["part", "source"])
+    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
+    at = (F.col("base") + F.col("inside") + phase * F.col("n")) / F.col("total")
+    slim = slim.select("part", "row", "source", "n", at.alias("at"), F.floor(at * parts).alias("bucket"))
+    sums = slim.groupBy("bucket").agg(F.sum("n").alias("tokens"))  # one row per bucket
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("bucket", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("bucket").orderBy("at", "source", "part", "row").rowsBetween(Window.unboundedPreceding, -1)
+    slim = slim.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(sums, "bucket")
+    return rest.join(slim.select("part", "row", (F.col("before") + F.col("within")).alias("first")), ["part", "row"])
 
 
 def served(rounds: np.ndarray, weights: np.ndarray, totals: np.ndarray, length: int) -> np.ndarray:
@@ -94,15 +128,19 @@ def place(first: np.ndarray, count: np.ndarray, queue: np.ndarray, weights: np.n
     low = -(-((first + 1) * unit) // (length * share))
     high = -(-((first + count) * unit) // (length * share))
     n = high - low + 1
-    doc = np.repeat(np.arange(len(first)), n)
+    every = np.repeat(np.arange(len(first)), n)
     rounds = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    after, before = served(rounds, weights, totals, length), served(rounds - 1, weights, totals, length)
-    at = np.arange(len(doc)), queue[doc]
-    a, b = np.maximum(first[doc], before[at]), np.minimum((first + count)[doc], after[at])
-    given = after - before
-    place_ = before.sum(1) + (np.cumsum(given, 1) - given)[at] + a - before[at]
-    keep = b > a
-    doc, a, b, place_ = doc[keep], a[keep], b[keep], place_[keep]
+    found, most = [], max(1, MOST_CELLS // len(weights))
+    for i in range(0, len(every), most):
+        doc = every[i : i + most]
+        after, before = (served(rounds[i : i + most] - k, weights, totals, length) for k in (0, 1))
+        at = np.arange(len(doc)), queue[doc]
+        a, b = np.maximum(first[doc], before[at]), np.minimum((first + count)[doc], after[at])
+        given = after - before
+        place_ = before.sum(1) + (np.cumsum(given, 1) - given)[at] + a - before[at]
+        keep = b > a
+        found.append((doc[keep], a[keep], b[keep], place_[keep]))
+    doc, a, b, place_ = (np.concatenate(x) for x in zip(*found))
     # A queue's share is at most one sequence, so a piece crosses one cut at most.
     room = length - place_ % length
     over = b - a > room
@@ -142,15 +180,21 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, weights: dict[st
     `weights` gives target token shares by source; sources without one get the share of
     tokens they have. By default all do, so every sequence has the mixture of the whole.
     """
-    tokens = tokenized(docs, tokenizer, end_id, **columns)
-    totals = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))  # one row per part and queue
-    queues = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # 257 at most
+    tokens = tokenized(docs, tokenizer, end_id, named=weights or (), **columns)
+    totals = tokens.groupBy("part", "queue", "source").agg(F.sum("n").alias("tokens"))  # one row per part and source
+    queues = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("tokens").alias("n")).collect()}  # 513 at most
     names = sorted(queues)
     total = sum(queues.values()) or 1
     shares = [float((weights or {}).get(q, queues[q] / total)) for q in names]
     parts = np.array([max(1, round(PARTS * s / (sum(shares) or 1))) for s in shares], np.int64)
     sums = np.array([queues[q] for q in names], np.int64)
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = tokens.join(bases, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("inside")).alias("first"), "n", "ids")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", "source", "queue", "tokens", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    rest = F.col("queue") == _REST
+    own = tokens.where(~rest).join(bases.where(~rest).select("part", "source", "base"), ["part", "source"])
+    rows = own.select("doc_id", "queue", (F.col("base") + F.col("inside")).alias("first"), "n", "ids")
+    if _REST in queues:
+        buckets = max(1, tokens.rdd.getNumPartitions())
+        mixed = _interleaved(tokens.where(rest), bases.where(rest).select("part", "source", "tokens", "base"), buckets)
+        rows = rows.unionByName(mixed.select("doc_id", "queue", "first", "n", "ids"))
     return rows.mapInArrow(_cut(names, parts, sums, length, encoder(tokenizer).dtype), PIECES)

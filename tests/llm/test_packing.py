@@ -73,3 +73,34 @@ def test_pack(spark, documents):
     assert pack(df.limit(0), PATH).count() == 0
     weighted = pack(df, PATH, length=64, weights={"big": 0.5, "small": 0.5}).where("sequence_id < 20").groupBy("queue").sum("length").collect()
     assert all(abs(n - 640) < 64 for q, n in weighted if q in ("big", "small"))
+
+
+def test_small_sources_keep_their_shares(spark, documents):
+    sources = [f"site{s}" for s in range(300)]
+    rows = [(40 * s + d, f"word{d} text " * 6, source) for s, source in enumerate(sources) for d in range(4)]
+    rows += [(20_000 + s, "one text only " * 4, f"single{s}") for s in range(100)]
+    df = documents(*rows).repartitionByRange(3, "doc_id")
+    got = [r.asDict() for r in pack(df, PATH, length=256).collect()]
+    assert {r["queue"] for r in got} == {"*rest*"} and {r["doc_id"] for r in got} == {r[0] for r in rows}
+    cells = sorted((r["sequence_id"] * 256 + r["offset"], r["length"]) for r in got)
+    assert all(at + n == next_ for (at, n), (next_, _) in zip(cells, cells[1:])) and cells[0][0] == 0
+    # In each quarter of the stream each source has served a quarter, to within one document.
+    end = sum(cells[-1])
+    for quarter in (0.25, 0.5, 0.75):
+        counts = defaultdict(int)
+        for r in got:
+            if r["sequence_id"] * 256 + r["offset"] < quarter * end:
+                counts[r["doc_id"] // 40] += r["length"]
+        size = max(r["doc_tokens"] for r in got)
+        assert all(abs(counts[s] - quarter * 4 * size) <= 1.5 * size for s in range(300))
+        singles = sum(1 for r in got if r["doc_id"] >= 20_000 and r["start"] == 0 and r["sequence_id"] * 256 + r["offset"] < quarter * end)
+        assert abs(singles - 100 * quarter) <= 20
+
+
+def test_weights_of_rare_sources(spark, documents):
+    rows = [(i, f"word{i} text " * 5, f"site{i % 300}") for i in range(900)] + [(2000 + i, "rare words here", "rare") for i in range(5)]
+    df = documents(*rows).repartition(2)
+    got = pack(df, PATH, length=64, weights={"rare": 0.25, "*rest*": 0.75}).collect()
+    assert sum(r.length for r in got if r.queue == "rare" and r.sequence_id == 0) == 16
+    with pytest.raises(ValueError, match="257"):
+        pack(df, PATH, weights={f"site{i}": 1.0 for i in range(257)})
