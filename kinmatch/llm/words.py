@@ -78,7 +78,8 @@ class WordEncoder:
 
     def _plain(self, text: str) -> str:
         """The text in a form that has the same ids."""
-        if self.any_case and "Σ" not in text:  # the one letter whose lower case depends on its place
+        # Special tokens are met in the raw text; Σ is the one letter whose lower case depends on its place.
+        if self.any_case and "<" not in text and "Σ" not in text:
             text = text.lower()
         return text
 

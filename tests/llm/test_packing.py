@@ -28,6 +28,11 @@ def test_ids_equal_the_tokenizer():
         assert [list(map(int, ids)) for ids in words.encode(TEXTS)] == [direct(t) for t in TEXTS]
 
 
+def test_special_tokens_in_other_cases_are_ordinary_text():
+    texts = ["x<|ENDOFTEXT|>y", "<|EndOfText|> and <|endoftext|>", "Plain ONE < two <|STARTOFTEXT|>"]
+    assert [list(map(int, ids)) for ids in WordEncoder(PATH).encode(texts)] == [direct(t) for t in texts]
+
+
 def test_place_covers_the_stream_in_proportion():
     rng = np.random.default_rng(1)
     totals, weights, length = np.array([50_000, 9_000, 700, 3]), np.array([200_000, 50_000, 12_000, 1]), 512
