@@ -16,18 +16,11 @@ def spark():
     session.stop()
 
 
-def rows(df, *columns):
-    """Sorted plain tuples of a DataFrame."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)
-
-
-RECORD = "row_id long, First_Name string, Last_Name string, Address1 string, City string, State string, Zip string"
-
-
 @pytest.fixture(scope="session")
 def people(spark):
     """Build standard records from (first, last, street, city, state, zip) tuples, numbered from 0."""
+    from helpers import RECORD
+
     from kinmatch.operators.standardize import standardize
 
     def build(*records):

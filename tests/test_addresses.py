@@ -1,6 +1,6 @@
 import pytest
 import textbook
-from conftest import rows
+from helpers import rows
 
 from kinmatch.functions import text
 from kinmatch.operators.compare import compare_unit_patterns

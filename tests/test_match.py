@@ -2,7 +2,7 @@ import random
 
 import pytest
 import textbook
-from conftest import rows
+from helpers import rows
 
 from kinmatch.operators import similarity_join
 from kinmatch.operators.match import by_score, candidates, match, match_all

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from kinmatch.operators import audit, calibrate, coverage
 from kinmatch.operators.compare import diff_summary, diff_tables
