@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import linked_ids
 from .common import table
 from .exact_dedup import exact_duplicates
 from .fingerprints import edited_fingerprints
@@ -99,5 +100,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_ids(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_segmentation_sampling, op2_quality, op3_secret_scan, op4_exact_dedup, op5_suffix_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding, op11_line_dedup, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_segmentation_sampling, op2_quality, op3_secret_scan, op4_exact_dedup, op5_suffix_dedup, op6_packing, op7_near_dedup, op8_fingerprints, op9_warc, op10_sharding, op11_line_dedup, op12_merkle_manifest, op13_token_alignment)}
