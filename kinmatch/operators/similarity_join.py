@@ -10,10 +10,12 @@ The plan, for any size of either side:
 2. Lay the keys out on a grid of (left block, right block) cells by hash.  The
    block counts come from the table sizes, so a cell's size is bounded however
    large the tables are.  Both sides meet by an equi-join on the cell.
-3. In a cell, character counts and shared tokens give an upper bound for each
+3. Where the tables are large, rare tokens give each left key a bar first, and keys with a high bar leave the
+   grid: see :mod:`closed_keys`.
+4. In a cell, character counts and shared tokens give an upper bound for each
    pair; only pairs that may reach the cutoff and the running k-th best are
    scored.  A cell gives out at most ``k`` rows per left key, never its pairs.
-4. Rank the cells' rows per left key, keep ``k``, and give them back to the left
+5. Rank the cells' rows per left key, keep ``k``, and give them back to the left
    rows of that key.  Keys with very many left rows are salted for that join.
 """
 
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.kernel import best_pairs, pairs_between
+from ..session import written
+from .closed_keys import Closing, split_closed
 
 LEFT_BLOCK = 16384
 RIGHT_BLOCK = 131072
 HOT_KEY_ROWS = 100_000  # left rows of one key that one task may hold
+CLOSE_FROM = 4_000_000_000  # pairs of rows from which bars and prefixes are worth their joins
 MIN_LEFT_BLOCK = 64  # smaller blocks cost more in overhead than they gain in spread
 
 
@@ -45,12 +50,13 @@ TOKEN_KEY = text.token_key("search")
 
 @dataclass(frozen=True)
 class Grid:
-    """Number of hash blocks per side, and what it was planned for."""
+    """Number of hash blocks per side, what it was planned for, and which keys may leave it."""
 
     left: int
     right: int
     left_rows: int | None = None
     kinds: int = 1
+    closing: Closing | None = None
 
     @staticmethod
     def plan(left_rows: int, right_rows: int, cores: int, kinds: int = 1) -> Grid:
@@ -59,7 +65,8 @@ class Grid:
         # With few cells, cut the left side finer so that every core has some.  The right side
         # stays whole: the more a cell sees of it, the more its k-th best rules out.
         spread = min(math.ceil(1.25 * cores / (right * kinds)), math.ceil(left_rows / MIN_LEFT_BLOCK))
-        return Grid(max(left, spread), right, left_rows, kinds)
+        closing = Closing() if left_rows * right_rows >= CLOSE_FROM else None
+        return Grid(max(left, spread), right, left_rows, kinds, closing)
 
     def partitions(self, cores: int) -> int:
         """Tasks that share the cells: enough to keep hashed cells apart, but not without end."""
@@ -158,8 +165,12 @@ def _grid_join(
     grid = grid or grid_for(a, b)
     carried = [f"`{c}`" for c in a.columns if c not in ("kind", "id", "search", "cutoff")]
     left_rows = _keyed(a, key, "cutoff", *carried)
-    left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"))
+    left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"), F.expr("min(id) AS no"))
     right = _distinct_keys(_keyed(b, key), k)
+    closed = None
+    if best_first and grid.closing:
+        right = written(right.withColumn("no", F.expr("element_at(ids, 1)")))
+        left, closed = split_closed(left, right, k, grid.closing)
 
     cell = ["kind", "left_block", "right_block"]
     cells = left.selectExpr(
@@ -181,6 +192,8 @@ def _grid_join(
         .cogroup(blocks.repartition(partitions, *cell).groupBy(*cell))
         .applyInArrow(_cell_function(choose), f"kind string, token_key string, ids array<{id_type}>, score double")
     )
+    if closed is not None:
+        scored = scored.unionByName(closed)
     by_key = "PARTITION BY kind, token_key ORDER BY" + (" score DESC," if best_first else "")
     best_keys = scored.selectExpr("*", f"row_number() OVER ({by_key} element_at(ids, 1)) AS place").where(
         f"place <= {int(k)}"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int | None = None, name: str = "kinmatch") -> SparkSession:
@@ -20,3 +22,18 @@ def local_session(cores: int | str = "*", partitions: int | None = None, name: s
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the folder that driver and executors share, and continue from there.
+
+    The folder is the session's ``spark.checkpoint.dir``.  Only on one machine, where it is unset, a
+    temporary folder does; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it names a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
