@@ -162,6 +162,7 @@ class Pieces(dict):
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the texts' pieces, and how many pieces each text has."""
         if len(self) > MOST_PIECES or max(p.used for p in self.pools) > MOST_IDS:
+            self.clear()
             self.__init__(*self.coders)
         found = [list(map(self.__getitem__, _CUT.split(t))) for t in texts]
         new, self.new = self.new, []

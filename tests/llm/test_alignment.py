@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kinmatch.llm import alignment
 from kinmatch.llm.alignment import Aligned, Coder, byte_level, gallop, least_count, linked_ids, piece_bytes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -96,6 +97,15 @@ def test_bytes_of_all_ids():
     assert all(b.bytes) and a.size.min() > 0
 
 
+def test_memory_is_bounded(monkeypatch, encoders):
+    pieces, _ = alignment._encoder(FIRST, SECOND)
+    monkeypatch.setattr(alignment, "MOST_PIECES", 3)
+    for text in ("one two three", "four five", "one five six seven eight", "a\tb  c"):
+        numbers, counts = pieces.numbers([text])
+        assert [p.of(numbers).tolist() for p in pieces.pools] == [[i for i, _ in e(text)] for e in encoders]
+        assert len(pieces) <= 8 and list(counts) == [len(alignment._CUT.split(text))]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(1, 6), min_size=1, max_size=90), st.integers(0, 2**30)), min_size=1, max_size=6))
 def test_groups_and_links(docs):
