@@ -227,8 +227,8 @@ def _remainder_lcs(a, b, alphabet, row, col, in_a, in_b):
 
 
 def _parts(texts: list[str]):
-    """Split strings into runs of like token count, so that a few long ones do not widen all tables."""
-    counts = np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+    """Split strings into runs of like size, so that a few long ones do not widen all tables."""
+    counts = np.fromiter((max(t.count(" ") + 1, len(t) // 16) for t in texts), np.int64, len(texts))
     order = np.argsort(counts, kind="stable")
     begin = 0
     while begin < len(order):
@@ -347,11 +347,17 @@ def weighted_scores(left: list[str], right: list[str]) -> np.ndarray:
     return result
 
 
+#: Character counts kept for each string.
+MOST_COUNTS = 256
+
+
 class _Bounds:
     """Upper bounds of the token-set ratio from character counts and shared tokens."""
 
     def __init__(self, a: Block, b: Block, alphabet: int):
         self.a, self.b = a, b
+        # Rare characters share a count; the bounds only grow by that.
+        alphabet = min(alphabet, MOST_COUNTS)
         small = max(a.total.max(initial=0), b.total.max(initial=0)) < 256
         self.kind = np.uint8 if small else np.int32
         self.a_count = self._count(a, alphabet)
@@ -374,7 +380,7 @@ class _Bounds:
 
     def _count(self, block, alphabet):
         owner, _, spot = block.spots(np.arange(block.n))
-        flat = np.bincount(owner * alphabet + block.char[spot], minlength=block.n * alphabet)
+        flat = np.bincount(owner * alphabet + block.char[spot] % alphabet, minlength=block.n * alphabet)
         return flat.reshape(block.n, alphabet).astype(self.kind)
 
     def of(self, rows: slice) -> np.ndarray:

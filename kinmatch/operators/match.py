@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scorers, text
 from ..plans.specs import CANDIDATES, CUTOFF_SHARE, SPECS, MatchSpec, spec_of
-from .similarity_join import Grid, most_tasks, top_k_similar
+from ..session import written
+from .lookup import look_up
+from .similarity_join import Grid, most_tasks, side_of, top_k_similar
 
-# Candidate tables of up to this many rows are sent whole to the tasks that read the big table.
-BROADCAST_ROWS = 500_000
+# Candidate tables of up to this many bytes are sent whole to the tasks that read the big table.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 128  # of a candidate besides its texts, with what Spark adds
 PAIRS_PER_TASK = 20_000
 
 RESULT_COLUMNS = ("match_type", "match_score", "a_row", "b_row", "name_a", "name_b", "address_a", "address_b")
@@ -135,19 +138,24 @@ def top_k(a: DataFrame, b: DataFrame, spec: MatchSpec, k: int = CANDIDATES, cuto
     return found.withColumnRenamed("kind", "match_type")
 
 
+def _measured(df: DataFrame) -> tuple[int, int, int]:
+    """Rows, bytes of the texts, and a bound of the longest search string."""
+    sizes = [f"coalesce(octet_length({c}), 0)" for c in NAMES]
+    told = df.selectExpr(f"{' + '.join(sizes)} AS n").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    return told[0], told[1] or 0, (told[2] or 0) + len(NAMES)
+
+
 def candidates(
     a: DataFrame,
     b: DataFrame,
     match_types=None,
     thresholds: dict[str, float] | None = None,
     k: int = CANDIDATES,
-    rows: tuple[int, int] | None = None,
     **address_options,
 ) -> DataFrame:
     """The ``k`` best master rows per input row and match type, rescored.
 
-    ``rows`` gives the row counts of both sides where they are known; otherwise
-    they are counted, which reads a table that is not Parquet.
+    Both sides are measured while the plan is built: rows, bytes and longest texts, in one pass each.
 
     Both sides are standard records.  Rows below 0.8 · threshold in the first
     stage are left out.  Returns (match_type, a_id, b_id, stage1, rank, score)
@@ -156,19 +164,24 @@ def candidates(
     specs = _specs(match_types)
     thresholds = thresholds or {}
     cutoffs = {s.name: CUTOFF_SHARE * thresholds.get(s.name, s.threshold) for s in specs}
-    a_rows, b_rows = rows or (a.count(), b.count())
-    cores = a.sparkSession.sparkContext.defaultParallelism
-    grid = Grid.plan(a_rows, b_rows, cores, len(specs))
     # The input's own columns travel with it, so only the master is looked up again.
     a_columns, b_columns = ([f"{c} AS {side}_{c}" for c in NAMES] for side in "ab")
-    found = top_k_similar(search_rows(a, specs, cutoffs, a_columns), search_rows(b, specs), k, grid)
+    a_rows, a_bytes, a_longest = _measured(a)
+    b_rows, _, b_longest = _measured(b)
+    cores = a.sparkSession.sparkContext.defaultParallelism
+    left, right = search_rows(a, specs, cutoffs, a_columns), search_rows(b, specs)
+    grid = Grid.plan(side_of(left, a_rows, a_longest), side_of(right, b_rows, b_longest), cores, len(specs))
+    found = top_k_similar(left, right, k, grid)
     found = found.withColumnRenamed("kind", "match_type")
-    # A candidate table of known small size goes to the master's tasks; a larger one is left to the optimizer.
-    small = a_rows * k * len(specs) <= BROADCAST_ROWS
-    pairs = b.selectExpr("row_id AS b_id", *b_columns).join(F.broadcast(found) if small else found, "b_id")
-    # Spread by input row, so that scoring has as many tasks as it has work, however the join left the rows.
-    tasks = min(most_tasks(cores), max(cores, math.ceil(a_rows * k * len(specs) / PAIRS_PER_TASK)))
-    pairs = pairs.repartition(tasks, "match_type", "a_id")
+    master = b.selectExpr("row_id AS b_id", *b_columns)
+    # Every input row is in k candidates a match type at most, which bounds the table's bytes.
+    if k * len(specs) * (a_bytes + ROW_BYTES * a_rows) <= BROADCAST_BYTES:
+        pairs = master.join(F.broadcast(found), "b_id")
+        # Spread by input row, so that scoring has as many tasks as it has work, however the master was read.
+        tasks = min(most_tasks(cores), max(cores, math.ceil(a_rows * k * len(specs) / PAIRS_PER_TASK)))
+        pairs = pairs.repartition(tasks, "match_type", "a_id")
+    else:
+        pairs = look_up(written(found), master, "b_id", "a_id", a_rows * k * len(specs))
     return _with_scores(pairs, specs, **address_options)
 
 

@@ -8,8 +8,8 @@ The plan, for any size of either side:
    ``k`` rows before the shuffle as well as after it, so a key that holds a
    third of the table costs no more than any other.
 2. Lay the keys out on a grid of (left block, right block) cells by hash.  The
-   block counts come from the table sizes, so a cell's size is bounded however
-   large the tables are.  Both sides meet by an equi-join on the cell.
+   block counts come from the tables' rows and, where strings are long, their lengths, so a cell's
+   characters are bounded however large the tables are.  Both sides meet by an equi-join on the cell.
 3. Where the tables are large, rare tokens give each left key a bar first, and keys with a high bar leave the
    grid: see :mod:`closed_keys`.
 4. In a cell, character counts and shared tokens give an upper bound for each
@@ -32,10 +32,11 @@ from ..functions import text
 from ..functions.kernel import best_pairs, pairs_between
 from ..session import written
 from .closed_keys import Closing, split_closed
+from .lookup import HOT_KEY_ROWS, salted_join
 
 LEFT_BLOCK = 16384
 RIGHT_BLOCK = 131072
-HOT_KEY_ROWS = 100_000  # left rows of one key that one task may hold
+SHORT = 256  # characters of a string that counts as one of a block; longer strings count as several
 CLOSE_FROM = 4_000_000_000  # pairs of rows from which bars and prefixes are worth their joins
 MIN_LEFT_BLOCK = 64  # smaller blocks cost more in overhead than they gain in spread
 
@@ -48,6 +49,37 @@ def most_tasks(cores: int) -> int:
 TOKEN_KEY = text.token_key("search")
 
 
+@dataclass(frozen=True)
+class Side:
+    """Size of one side: its rows and, from the shortest strings up, the rows of each length class.
+
+    Class 0 has strings of up to ``SHORT`` characters, and each further class strings twice as long.
+    """
+
+    rows: int
+    classes: tuple[int, ...] = ()
+
+    def blocks(self, block: int) -> tuple[int, ...]:
+        """Blocks per class, none with more characters than ``block`` strings of class 0."""
+        return tuple(math.ceil(n * 2**c / block) for c, n in enumerate(self.classes or (self.rows,)))
+
+
+def length_class(length: str) -> str:
+    return f"CAST(ceil(log2(greatest({length}, {SHORT}) / {SHORT}D)) AS INT)"
+
+
+def side_of(strings: DataFrame, rows: int, longest: int) -> Side:
+    """The size of rows (kind, search): without a further look at them if none is long."""
+    if longest <= SHORT:
+        return Side(rows)
+    counted = strings.groupBy("kind", F.expr(length_class("length(search)")).alias("class")).count()
+    most = counted.groupBy("class").agg(F.max("count").alias("n")).collect()  # a row per power of two
+    classes = [0] * (max((r["class"] for r in most), default=0) + 1)
+    for r in most:
+        classes[r["class"]] = r["n"]
+    return Side(rows, tuple(classes))
+
+
 @dataclass(frozen=True)
 class Grid:
     """Number of hash blocks per side, what it was planned for, and which keys may leave it."""
@@ -57,25 +89,48 @@ class Grid:
     left_rows: int | None = None
     kinds: int = 1
     closing: Closing | None = None
+    #: Blocks per length class, where there are long strings; they add up to ``left`` and ``right``.
+    left_classes: tuple[int, ...] = ()
+    right_classes: tuple[int, ...] = ()
 
     @staticmethod
-    def plan(left_rows: int, right_rows: int, cores: int, kinds: int = 1) -> Grid:
-        left = max(1, math.ceil(left_rows / LEFT_BLOCK))
-        right = max(1, math.ceil(right_rows / RIGHT_BLOCK))
+    def plan(left: int | Side, right: int | Side, cores: int, kinds: int = 1) -> Grid:
+        left, right = (Side(x) if isinstance(x, int) else x for x in (left, right))
+        lefts, rights = list(left.blocks(LEFT_BLOCK)), right.blocks(RIGHT_BLOCK)
         # With few cells, cut the left side finer so that every core has some.  The right side
         # stays whole: the more a cell sees of it, the more its k-th best rules out.
-        spread = min(math.ceil(1.25 * cores / (right * kinds)), math.ceil(left_rows / MIN_LEFT_BLOCK))
-        closing = Closing() if left_rows * right_rows >= CLOSE_FROM else None
-        return Grid(max(left, spread), right, left_rows, kinds, closing)
+        spread = min(math.ceil(1.25 * cores / (max(1, sum(rights)) * kinds)), math.ceil(left.rows / MIN_LEFT_BLOCK))
+        lefts[0] = max(lefts[0], spread)
+        closing = Closing() if left.rows * right.rows >= CLOSE_FROM else None
+        classes = tuple(x if len(x) > 1 else () for x in (tuple(lefts), rights))
+        return Grid(max(1, sum(lefts)), max(1, sum(rights)), left.rows, kinds, closing, *classes)
 
     def partitions(self, cores: int) -> int:
         """Tasks that share the cells: enough to keep hashed cells apart, but not without end."""
         return min(8 * self.left * self.right * self.kinds, most_tasks(cores))
 
+    def block(self, side: str) -> str:
+        """The block of a key, as SQL."""
+        hashed = "xxhash64(token_key)"
+        classes = self.left_classes if side == "left" else self.right_classes
+        if not classes:
+            return f"CAST(pmod({hashed}, {self.left if side == 'left' else self.right}) AS INT)"
+        first, cases = 0, ""
+        for c, n in enumerate(classes):
+            if n:
+                cases += f" WHEN {c} THEN {first} + pmod({hashed}, {n})"
+                first += n
+        # A key can be shorter than its string, and so of a class without blocks: any block of a longer class will do.
+        return f"CAST(coalesce(CASE {length_class('length(token_key)')}{cases} END, pmod({hashed}, {first})) AS INT)"
+
 
 def grid_for(a: DataFrame, b: DataFrame) -> Grid:
-    """Plan a grid from the row counts of the two sides (a metadata read on Parquet)."""
-    return Grid.plan(a.count(), b.count(), a.sparkSession.sparkContext.defaultParallelism)
+    """Plan a grid from the sizes of two sides with a column ``search``."""
+    sides = []
+    for strings in (a, b):
+        rows, longest = strings.agg(F.count("*"), F.coalesce(F.max(F.length("search")), F.lit(0))).first()
+        sides.append(side_of(strings, rows, longest))
+    return Grid.plan(*sides, a.sparkSession.sparkContext.defaultParallelism)
 
 
 def _keyed(rows: DataFrame, key: str, *others: str) -> DataFrame:
@@ -117,16 +172,7 @@ def _join_back(left_rows: DataFrame, best_rows: DataFrame, rows: int | None) ->
     key = ["kind", "token_key"]
     if rows is not None and rows <= HOT_KEY_ROWS:
         return left_rows.join(best_rows, key)
-    # Of n rows at most n / HOT_KEY_ROWS keys can be hot, so their list is short.
-    parts = f"CAST(ceil(count(*) / {HOT_KEY_ROWS}) AS INT) AS parts"
-    hot = F.broadcast(left_rows.groupBy(*key).agg(F.expr(parts)).where("parts > 1"))
-    salted = left_rows.join(hot, key, "left").selectExpr(
-        *(f"`{c}`" for c in left_rows.columns), "CAST(pmod(xxhash64(id), coalesce(parts, 1)) AS INT) AS salt"
-    )
-    spread = best_rows.join(hot, key, "left").selectExpr(
-        *(f"`{c}`" for c in best_rows.columns), "explode(sequence(0, coalesce(parts, 1) - 1)) AS salt"
-    )
-    return salted.join(spread, [*key, "salt"]).drop("salt")
+    return salted_join(left_rows, best_rows, key, "id", HOT_KEY_ROWS)
 
 
 def top_k_similar(a: DataFrame, b: DataFrame, k: int = 10, grid: Grid | None = None) -> DataFrame:
@@ -141,32 +187,33 @@ def top_k_similar(a: DataFrame, b: DataFrame, k: int = 10, grid: Grid | None = N
     def choose(keys, cutoffs, right_keys, first_ids):
         return best_pairs(keys, right_keys, cutoffs, first_ids, k)
 
-    return _grid_join(a, b, k, grid, choose, best_first=True)
+    return _grid_join(a, _distinct_keys(_keyed(b, TOKEN_KEY), k), k, grid or grid_for(a, b), choose, best_first=True)
+
+
+def right_keys(b: DataFrame, n: int, weighted: bool = False) -> DataFrame:
+    """Written keys of ``b`` with their ``n`` lowest ids, for several calls of :func:`similar_between`."""
+    return written(_distinct_keys(_keyed(b, "search" if weighted else TOKEN_KEY), n))
 
 
 def similar_between(
-    a: DataFrame, b: DataFrame, low: float, high: float, n: int, weighted: bool = False, grid: Grid | None = None
+    a: DataFrame, keys: DataFrame, grid: Grid, low: float, high: float, n: int, weighted: bool = False
 ) -> DataFrame:
     """For every row of ``a`` the first ``n`` rows of ``b`` that score between the bounds, both exclusive.
 
-    The score is the token-set ratio or, if ``weighted``, the weighted one,
-    which depends on the whole strings.  Columns as in :func:`top_k_similar`.
+    ``keys`` are the :func:`right_keys` of ``b``.  The score is the token-set ratio or, if ``weighted``,
+    the weighted one, which depends on the whole strings.  Columns as in :func:`top_k_similar`.
     """
 
     def choose(keys, cutoffs, right_keys, first_ids):
         return pairs_between(keys, right_keys, low, high, first_ids, n, weighted)
 
-    return _grid_join(a, b, n, grid, choose, best_first=False, key="search" if weighted else TOKEN_KEY)
+    return _grid_join(a, keys, n, grid, choose, best_first=False, key="search" if weighted else TOKEN_KEY)
 
 
-def _grid_join(
-    a: DataFrame, b: DataFrame, k: int, grid: Grid | None, choose, best_first: bool, key: str = TOKEN_KEY
-) -> DataFrame:
-    grid = grid or grid_for(a, b)
+def _grid_join(a: DataFrame, right: DataFrame, k: int, grid: Grid, choose, best_first: bool, key: str = TOKEN_KEY) -> DataFrame:
     carried = [f"`{c}`" for c in a.columns if c not in ("kind", "id", "search", "cutoff")]
     left_rows = _keyed(a, key, "cutoff", *carried)
     left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"), F.expr("min(id) AS no"))
-    right = _distinct_keys(_keyed(b, key), k)
     closed = None
     if best_first and grid.closing:
         right = written(right.withColumn("no", F.expr("element_at(ids, 1)")))
@@ -175,17 +222,17 @@ def _grid_join(
     cell = ["kind", "left_block", "right_block"]
     cells = left.selectExpr(
         "*",
-        f"CAST(pmod(xxhash64(token_key), {grid.left}) AS INT) AS left_block",
+        f"{grid.block('left')} AS left_block",
         f"explode(sequence(0, {grid.right - 1})) AS right_block",
     )
     blocks = right.selectExpr(
         "*",
         "element_at(ids, 1) AS first_id",
-        f"CAST(pmod(xxhash64(token_key), {grid.right}) AS INT) AS right_block",
+        f"{grid.block('right')} AS right_block",
         f"explode(sequence(0, {grid.left - 1})) AS left_block",
     )
     partitions = grid.partitions(a.sparkSession.sparkContext.defaultParallelism)
-    id_type = b.schema["id"].dataType.simpleString()
+    id_type = right.schema["ids"].dataType.elementType.simpleString()
     scored = (
         cells.repartition(partitions, *cell)
         .groupBy(*cell)

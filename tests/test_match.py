@@ -136,3 +136,55 @@ def test_near_matches(people):
     by_tokens = near_matches(a, b, limit=2, weighted=False).collect()
     assert [(r.a_row, r.b_row, r.match_type) for r in by_tokens][0] == (3, 3, "FullName")
     assert near_matches(a, b, input_rows=1).count() == 0
+
+
+def test_near_matches_by_rounds(people):
+    """Hits far down the table, gaps in the row numbers, and as many as asked for."""
+    a = people(*[("ZED", f"Q{i}", f"{i} Y ST", *TOWN) for i in range(150)], ("PIA", "HOLLIS", "771 CEDAR ST", *TOWN), ("RUBEN", "VANCE", "18 TANNER DR", *SOME))
+    b = people(("PIA", "HOLLYS", "9 CEDAR ST", *SOME), ("RUBIN", "VANCE", "77 TANNER DR", *TOWN), ("RUBEN", "VANCES", "1 TAN DR", *TOWN))
+    spread = a.selectExpr("row_id * 1000003 AS row_id", *a.columns[1:]) if a.columns[0] == "row_id" else a.withColumn("row_id", a.row_id * 1000003)
+    for weighted in (True, False):
+        whole = [(i, j, t) for i, x in enumerate(_strings(a)) for j, y in enumerate(_strings(b)) for t in ("FullName", "FullAddress", "LastNameAddress")
+                 if 85 < (textbook.weighted if weighted else textbook.token_set)(x[t], y[t]) < 99.99]
+        assert len(whole) >= 3
+        for limit in (1, 2, 20):
+            got = near_matches(a, b, limit=limit, weighted=weighted).collect()
+            assert [(r.a_row - 2, r.b_row - 2, r.match_type) for r in got] == whole[:limit]
+        got = near_matches(spread, b, limit=2, weighted=weighted).collect()
+        assert [((r.a_row - 2) // 1000003, r.b_row - 2, r.match_type) for r in got] == whole[:2]
+    assert near_matches(a.where("false"), b).count() == 0 and near_matches(a, b.where("false"), limit=3).count() == 0
+
+
+def _strings(df):
+    rows_ = sorted(df.collect(), key=lambda r: r.row_id)
+    return [{"FullName": f"{r.First_Name} {r.Last_Name}", "FullAddress": r.FullAddress, "LastNameAddress": f"{r.Last_Name} {r.FullAddress}"} for r in rows_]
+
+
+def test_long_strings_and_many_letters(spark):
+    """Strings of 20,000 characters over a large alphabet, among short ones, in cells that hold few characters."""
+    rnd = random.Random(6)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    word = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    long_ = [" ".join(word(9) for _ in range(2000)) for _ in range(3)]
+    short = [f"{word(3)} {word(4)}" for _ in range(60)]
+    left = list(enumerate([long_[0], short[0], short[1], short[2][:-1], ""]))
+    right = list(enumerate([*short, long_[0], long_[1], " ".join(long_[0].split()[5:]), ""]))
+    a, b = (spark.createDataFrame([("K", i, t) for i, t in side], "kind string, id long, search string") for side in (left, right))
+    got = top_k_similar(a.selectExpr("*", "80D AS cutoff"), b, 3).select("a_id", "b_id", "stage1").collect()
+    found = {(r.a_id, r.b_id): r.stage1 for r in got}
+    assert set(found) == {(0, 60), (0, 62), (1, 0), (2, 1), (3, 2)}
+    assert found[0, 60] == found[0, 62] == found[1, 0] == 100 and found[3, 2] == textbook.token_set(left[3][1], right[2][1])
+
+
+def test_blocks_hold_few_characters(spark):
+    from kinmatch.operators.similarity_join import RIGHT_BLOCK, SHORT, Side, side_of
+
+    strings = spark.range(1000).selectExpr("'K' AS kind", "id", "repeat('x', CAST(IF(id < 10, 20000, 30) AS INT)) AS search")
+    side = side_of(strings, 1000, 20_000)
+    assert side.rows == 1000 and side.classes[0] == 990 and side.classes[-1] == 10 and len(side.classes) == 8
+    huge = Side(10**9, (0,) * 7 + (10**9,)).blocks(RIGHT_BLOCK)
+    assert huge[7] * RIGHT_BLOCK * SHORT >= 10**9 * 20_000
+    assert side_of(strings, 1000, 100).classes == ()
+    grid = Grid.plan(side, Side(50), 8)
+    used = strings.selectExpr(f"search AS token_key").selectExpr(f"{grid.block('left')} AS block", "length(token_key) AS n").groupBy("n").agg({"block": "max"}).collect()
+    assert max(r[1] for r in used) < grid.left
