@@ -37,6 +37,12 @@ UNIT_PATTERNS = {
 UNIT_PATTERN = UNIT_PATTERNS["blank_both_sides"][0]
 
 
+def literal(value: str) -> str:
+    """A text as an SQL literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def strip(c: str) -> str:
     """Remove white space, Unicode included, from both ends (``trim`` only removes blanks)."""
     return rf"regexp_replace({c}, r'(?U)^\s+|\s+$', '')"

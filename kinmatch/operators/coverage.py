@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.specs import CUTOFF_SHARE, SPECS
-from .match import best_of, by_type, to_results
+from .match import by_type, to_results
 
 # The lower thresholds a sweep compares with the default ones.
 LOWER_THRESHOLDS = {"FullName": 70.0, "LastNameAddress": 60.0, "FullAddress": 65.0}
@@ -18,7 +18,7 @@ def _default_thresholds() -> dict[str, float]:
 
 
 def _names(types) -> str:
-    return "array(" + ", ".join(f"'{t}'" for t in types) + ")"
+    return "array(" + ", ".join(map(text.literal, types)) + ")"
 
 
 def every_type(df: DataFrame, types=None) -> DataFrame:
@@ -46,14 +46,14 @@ def unmatched(raw_input: DataFrame, results: DataFrame, row_id: str = "row_id")
 def coverage(records: DataFrame, results: DataFrame, types=None) -> DataFrame:
     """Matched and unmatched input rows per match type, and over all types as ``ALL``."""
     types = known_types(results, types)
-    per_type = [F.expr(f"count_if(match_type = '{t}') AS `{t}`") for t in types]
-    by_row = results.groupBy("a_row").agg(*per_type, F.expr("count(*) AS ALL"))
+    per_type = [F.expr(f"count_if(match_type = {text.literal(t)}) AS n{i}") for i, t in enumerate(types)]
+    by_row = results.groupBy("a_row").agg(*per_type, F.expr(f"count(*) AS n{len(types)}"))
     # One row per input row; everything else is a count over those rows.
     every_row = records.selectExpr("row_id + 2 AS a_row").join(by_row, "a_row", "left")
     entries = ", ".join(
-        f"struct('{t}' AS match_type, count(*) AS input_rows, coalesce(sum(`{t}`), 0L) AS results, "
-        f"count_if(`{t}` > 0) AS matched)"
-        for t in (*types, "ALL")
+        f"struct({text.literal(t)} AS match_type, count(*) AS input_rows, coalesce(sum(n{i}), 0L) AS results, "
+        f"count_if(n{i} > 0) AS matched)"
+        for i, t in enumerate((*types, "ALL"))
     )
     counts = every_row.agg(F.expr(f"array({entries}) AS entries")).selectExpr("inline(entries)")
     return counts.selectExpr(
@@ -83,7 +83,7 @@ def unmatched_samples(records: DataFrame, results: DataFrame, n: int = 3, types=
 
 def row_counts(**tables: DataFrame) -> DataFrame:
     """Row count of each table."""
-    counts = [df.agg(F.expr("count(*) AS rows")).selectExpr(f"'{n}' AS table_name", "rows") for n, df in tables.items()]
+    counts = [df.agg(F.expr("count(*) AS rows")).selectExpr(f"{text.literal(n)} AS table_name", "rows") for n, df in tables.items()]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -103,6 +103,35 @@ def below_perfect(results: DataFrame) -> DataFrame:
 # --- thresholds ----------------------------------------------------------
 
 
+def _levels(levels: dict[str, list[float]]) -> str:
+    """The thresholds of a row's match type, from the lowest up; a match type without any is an error."""
+    other = "ELSE raise_error(concat('No thresholds for match type ', match_type))"
+    sorted_ = {t: sorted({float(x) for x in xs}) for t, xs in levels.items()}
+    cases = " ".join(f"WHEN {text.literal(t)} THEN CAST(array({', '.join(f'{x!r}D' for x in xs)}) AS ARRAY<DOUBLE>)" for t, xs in sorted_.items())
+    return f"CASE match_type {cases} {other} END"
+
+
+def threshold_steps(scored: DataFrame, levels: dict[str, list[float]]) -> DataFrame:
+    """Candidates that are the best of their input row at some threshold, with the thresholds from ``first`` to ``last``.
+
+    A lower threshold lets candidates in by their first-stage scores, which is the order of their ranks.  Each one that
+    scores more than all before it is the best until the next such one comes in, and counts where it reaches the threshold
+    itself.  So a row's best candidate is a step function of the threshold, whatever the number of thresholds.
+    ``first`` and ``last`` are places from 1 in the sorted thresholds of the match type.
+    """
+    row = "PARTITION BY match_type, a_id ORDER BY rank"
+    before = f"coalesce(max(score) OVER ({row} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D)"
+    steps = scored.selectExpr("*", f"{before} AS _before").where("score > _before").drop("_before")
+    steps = steps.selectExpr("*", f"lead(stage1) OVER ({row}) AS _next", f"{_levels(levels)} AS _levels")
+    let_in = f"size(filter(_levels, t -> {CUTOFF_SHARE}D * t <= %s))"
+    placed = steps.selectExpr(
+        "*",
+        f"coalesce({let_in % '_next'}, 0) + 1 AS first",
+        f"least({let_in % 'stage1'}, size(filter(_levels, t -> t <= score))) AS last",
+    )
+    return placed.where("first <= last").drop("_next")
+
+
 def at_thresholds(scored: DataFrame, levels: dict[str, list[float]]) -> DataFrame:
     """Best matches of one scored candidate set at several thresholds.
 
@@ -110,32 +139,34 @@ def at_thresholds(scored: DataFrame, levels: dict[str, list[float]]) -> DataFram
     Each level repeats the candidate cutoff, which a plain filter on a lower
     run's results would miss.  A match type without levels is an error.
     """
-    other = "ELSE raise_error(concat('No thresholds for match type ', match_type))"
-    cases = " ".join(f"WHEN '{t}' THEN array({', '.join(f'{float(x)!r}D' for x in xs)})" for t, xs in levels.items())
-    leveled = scored.selectExpr("*", f"explode(CASE match_type {cases} {other} END) AS threshold")
-    able = leveled.where(f"stage1 >= {CUTOFF_SHARE}D * threshold")
-    return best_of(able, "threshold", keys=("match_type", "a_id", "threshold"))
+    steps = threshold_steps(scored, levels)
+    return steps.selectExpr(*(f"`{c}`" for c in scored.columns), "explode(slice(_levels, first, last - first + 1)) AS threshold")
+
+
+def matches_at(scored: DataFrame, levels: dict[str, list[float]]) -> DataFrame:
+    """Number of matches per match type and threshold, in one pass for any number of thresholds."""
+    steps = threshold_steps(scored, levels)
+    ends = steps.selectExpr("match_type", "inline(array(struct(first AS place, 1L AS n), struct(last + 1 AS place, -1L AS n)))")
+    changes = ends.groupBy("match_type", "place").agg(F.sum("n").alias("n"))
+    every = every_type(scored, levels).selectExpr("match_type", f"posexplode({_levels(levels)}) AS (place, threshold)").selectExpr("match_type", "place + 1 AS place", "threshold")
+    counted = every.join(changes, ["match_type", "place"], "left")
+    # One row per match type and threshold.
+    return counted.selectExpr("match_type", "threshold", "sum(coalesce(n, 0L)) OVER (PARTITION BY match_type ORDER BY place) AS matches")
 
 
 def threshold_sweep(scored: DataFrame, current: dict[str, float] | None = None, lower=None) -> DataFrame:
     """Matches at the current and at the lower threshold per match type, and how many are gained."""
     current, lower = current or _default_thresholds(), lower or LOWER_THRESHOLDS
-    best = at_thresholds(scored, {t: [current[t], lower[t]] for t in current})
-    counts = best.groupBy("match_type").agg(
-        F.expr(f"count_if(threshold = {by_type(current)}) AS n_current"),
-        F.expr(f"count_if(threshold = {by_type(lower)}) AS n_lower"),
-    )
-    return (
-        every_type(scored, current)
-        .join(counts, "match_type", "left")
-        .selectExpr(
-            "match_type",
-            f"{by_type(current)} AS current_threshold",
-            f"{by_type(lower)} AS lower_threshold",
-            "coalesce(n_current, 0L) AS at_current",
-            "coalesce(n_lower, 0L) AS at_lower",
-            "coalesce(n_lower, 0L) - coalesce(n_current, 0L) AS gained",
-        )
+    found = matches_at(scored, {t: [current[t], lower[t]] for t in current})
+    at = lambda values: f"coalesce(max(matches) FILTER (WHERE threshold = {by_type(values)}), 0L)"
+    counts = found.groupBy("match_type").agg(F.expr(f"{at(current)} AS at_current"), F.expr(f"{at(lower)} AS at_lower"))
+    return counts.selectExpr(
+        "match_type",
+        f"{by_type(current)} AS current_threshold",
+        f"{by_type(lower)} AS lower_threshold",
+        "at_current",
+        "at_lower",
+        "at_lower - at_current AS gained",
     )
 
 

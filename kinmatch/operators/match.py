@@ -102,7 +102,7 @@ def _with_scores(pairs: DataFrame, specs: list[MatchSpec], **address_options) ->
     """Add the final score of every (match_type, record a, record b) row."""
 
     def wanted(part: str, column: str) -> str:
-        types = ", ".join(f"'{s.name}'" for s in specs if part in s.parts)
+        types = ", ".join(text.literal(s.name) for s in specs if part in s.parts)
         return f"IF(match_type IN ({types}), {column}, NULL)"
 
     needed = {p for s in specs for p in s.parts}
@@ -113,7 +113,7 @@ def _with_scores(pairs: DataFrame, specs: list[MatchSpec], **address_options) ->
         pairs = pairs.select(
             "*", *(scorers.token_set_ratio(wanted(p, f"a_{c}"), f"b_{c}").alias(f"{p}_score") for p, c in names)
         )
-    cases = " ".join(f"WHEN '{s.name}' THEN {combined_score(f'{p}_score' for p in s.parts)}" for s in specs)
+    cases = " ".join(f"WHEN {text.literal(s.name)} THEN {combined_score(f'{p}_score' for p in s.parts)}" for s in specs)
     return pairs.selectExpr("*", f"CASE match_type {cases} END AS score")
 
 
@@ -127,7 +127,7 @@ def search_rows(
     entries = []
     for s in specs:
         cutoff = f", {float(cutoffs[s.name])!r}D AS cutoff" if cutoffs is not None else ""
-        entries.append(f"struct('{s.name}' AS kind, {s.search_string()} AS search{cutoff})")
+        entries.append(f"struct({text.literal(s.name)} AS kind, {s.search_string()} AS search{cutoff})")
     return df.selectExpr("row_id AS id", *carry, f"inline(array({', '.join(entries)}))")
 
 
@@ -195,7 +195,7 @@ def best_of(scored: DataFrame, threshold: str, keys=("match_type", "a_id")) -> D
 
 def by_type(values: dict[str, float]) -> str:
     """SQL expression for a number that depends on the match type."""
-    cases = " ".join(f"WHEN '{t}' THEN {float(x)!r}D" for t, x in values.items())
+    cases = " ".join(f"WHEN {text.literal(t)} THEN {float(x)!r}D" for t, x in values.items())
     return f"CASE match_type {cases} END"
 
 

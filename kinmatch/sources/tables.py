@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Names that mark result tables.
 DEFAULT_EXCLUDED = ("results_", "Unmatched_")
@@ -15,19 +18,41 @@ DEFAULT_EXCLUDED = ("results_", "Unmatched_")
 _NOT_A_FIELD = "\x00"
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True, ragged: str = "raise") -> DataFrame:
     """Read a CSV or Parquet table.
 
     CSV columns all come as strings: inference would drop leading zeros of ZIPs.
     Quotes are doubled inside quotes.  Values may hold line breaks, which keeps
     Spark from splitting a file; ``multi_line=False`` lets it split large files
-    and fails on rows that a quoted line break has torn.
+    and takes rows that a quoted line break has torn for ragged ones.
+
+    A row with more or fewer fields than the header is an error when it is read.  ``ragged="mark"`` returns
+    such rows as well, with their text in the column ``_ragged``, which is null for all others: see :func:`split_ragged`.
     """
+    if ragged not in ("raise", "mark"):
+        raise ValueError(f"Neither raise nor mark: {ragged}")
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
-    if fmt == "csv":
-        options = {"header": True, "encoding": "UTF-8", "escape": '"', "nullValue": _NOT_A_FIELD, "multiLine": multi_line}
-        return spark.read.options(**options, mode="PERMISSIVE" if multi_line else "FAILFAST").csv(path)
-    return spark.read.format(fmt).load(path)
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    # Fields are counted only if all of them are read.
+    options = {"header": True, "encoding": "UTF-8", "escape": '"', "nullValue": _NOT_A_FIELD, "multiLine": multi_line, "columnPruning": False}
+    if ragged == "raise":
+        return spark.read.options(**options, mode="FAILFAST").csv(path)
+    columns = spark.read.options(**options).csv(path).schema
+    names = [f"`{c}`" for c in columns.names]
+    marked = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_torn").schema(columns.add("_torn", "string")).csv(path)
+    # The second part is always null; Spark reads no file for the sake of that column alone.
+    return marked.selectExpr(*names, f"coalesce(_torn, nullif({names[0]}, {names[0]})) AS {RAGGED}")
+
+
+#: The column that holds the text of ragged rows.
+RAGGED = "_ragged"
+
+
+def split_ragged(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with as many fields as the header, texts of the others) of a table read with ``ragged="mark"``."""
+    kept = [f"`{c}`" for c in marked.columns if c != RAGGED]
+    return marked.where(f"{RAGGED} IS NULL").selectExpr(*kept), marked.where(f"{RAGGED} IS NOT NULL").select(RAGGED)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -107,34 +132,85 @@ def _in_score_order(results: DataFrame) -> DataFrame:
     return results.sortWithinPartitions("match_type", F.desc("match_score"), "a_row", "b_row")
 
 
+# Results are written to a folder of their own.  A manifest, published last under the next number, says which folder
+# holds which match type, so readers see all of a run or nothing of it.
+_MANIFEST = "_manifest-"
+
+
+def _manifests(spark: SparkSession, root: str) -> list[str]:
+    """Names of the manifests under ``root``, the oldest first."""
+    fs, folder = _folder(spark, root)
+    if not fs.exists(folder):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.startswith(_MANIFEST))
+
+
+def read_manifest(spark: SparkSession, root: str, name: str | None = None) -> dict[str, dict]:
+    """Per match type: ``rows`` and the ``folder`` under ``root`` that holds them; of the last run, or as ``name`` says."""
+    names = _manifests(spark, root)
+    if not names:
+        return {}
+    fs, folder = _folder(spark, root)
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(folder, name or names[-1]))
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, root: str, manifest: dict[str, dict]) -> None:
+    fs, folder = _folder(spark, root)
+    names = _manifests(spark, root)
+    number = int(names[-1].removeprefix(_MANIFEST)) + 1 if names else 1
+    draft, final = (spark._jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f"_draft-{uuid.uuid4().hex}", f"{_MANIFEST}{number:010d}"))
+    out = fs.create(draft)
+    out.write(json.dumps(manifest).encode())
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise RuntimeError(f"Results under {root} were written by another run at the same time")
+
+
+def _drop_unused(spark: SparkSession, root: str) -> None:
+    """Delete what neither the last manifest nor the one before it names, as readers may still follow that one."""
+    fs, folder = _folder(spark, root)
+    names = _manifests(spark, root)
+    used = {e["folder"] for n in names[-2:] for e in read_manifest(spark, root, n).values()}
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if (name.startswith("run-") and name not in used) or name in names[:-2]:
+            fs.delete(status.getPath(), True)
+
+
 def write_results(results: DataFrame, root: str, types=()) -> str:
-    """Write match results partitioned by match type, each in place of earlier ones of its type.
+    """Write match results, each type's in place of earlier ones of its type; :func:`read_results` reads them.
 
     Other types' results stay.  ``types`` names the types that were run: earlier
-    results of those that found nothing this time go as well.
+    results of those that found nothing this time go as well.  A run that ends half-way leaves the
+    earlier results as they were.
     """
-    counts = Observation()
-    wanted = list(dict.fromkeys(types))
-    seen = results.observe(counts, F.count("*").alias("n"), *[F.count_if(F.col("match_type") == t).alias(f"n{i}") for i, t in enumerate(wanted)])
-    writer = _in_score_order(seen).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("match_type").parquet(root)
-    if wanted:
-        fs, folder = _folder(results.sparkSession, root)
-        for i, t in enumerate(wanted):
-            if not counts.get[f"n{i}"]:
-                escaped = results.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(t)
-                fs.delete(folder.suffix(f"/match_type={escaped}"), True)
+    spark, name = results.sparkSession, f"run-{uuid.uuid4().hex}"
+    _in_score_order(results).write.partitionBy("match_type").parquet(f"{root}/{name}")
+    # One row per match type, counted in the files' footers.
+    written = _read_partitions(spark, f"{root}/{name}").groupBy("match_type").count().collect()
+    manifest = read_manifest(spark, root)
+    manifest |= {t: {"folder": None, "rows": 0} for t in types}
+    manifest |= {r["match_type"]: {"folder": name, "rows": r["count"]} for r in written}
+    _publish(spark, root, manifest)
+    _drop_unused(spark, root)
     return root
 
 
-def write_run(tables: dict[str, DataFrame], results: DataFrame, root: str, run_id: str | None = None) -> str:
-    """Write copies of the source tables and the results of one run to a new directory.
+def write_run(tables: dict[str, DataFrame], results: DataFrame, root: str, run_id: str | None = None, unmatched: DataFrame | None = None) -> str:
+    """Write copies of the source tables, the results of one run and, if given, its unmatched rows to a new directory.
 
     Nothing that exists is replaced.  A match type without results leaves no partition.
     """
     run = f"{root}/run_id={run_id or datetime.now().strftime('%Y%m%d_%H%M%S')}"
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{run}/{name}")
+    if unmatched is not None:
+        unmatched.write.mode("errorifexists").parquet(f"{run}/Unmatched_Rows")
     _in_score_order(results).write.mode("errorifexists").partitionBy("match_type").parquet(f"{run}/results")
     return run
 
@@ -145,12 +221,26 @@ RESULT_SCHEMA = (
 )
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Results as written; without any, an empty table of their columns."""
+def _read_partitions(spark: SparkSession, path: str) -> DataFrame:
+    """Results in partitions by match type, whose names are texts whatever they look like."""
     fs, folder = _folder(spark, path)
     if not any(s.getPath().getName().startswith("match_type=") for s in fs.listStatus(folder)):
         return spark.createDataFrame([], RESULT_SCHEMA)
-    return spark.read.parquet(path)
+    found = spark.read.parquet(path)
+    types = StructType([StructField(f.name, StringType() if f.name == "match_type" else f.dataType) for f in found.schema])
+    return spark.read.schema(types).parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results as last written, of a run or of ``write_results``; without any, an empty table of their columns."""
+    if not _manifests(spark, path):
+        return _read_partitions(spark, path)
+    found, manifest = None, read_manifest(spark, path)
+    for folder in sorted({e["folder"] for e in manifest.values() if e["folder"]}):
+        mine = [t for t, e in manifest.items() if e["folder"] == folder]
+        part = _read_partitions(spark, f"{path}/{folder}").where(F.col("match_type").isin(mine))
+        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], RESULT_SCHEMA) if found is None else found
 
 
 def export_csv(df: DataFrame, path: str) -> str:

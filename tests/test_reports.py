@@ -167,3 +167,70 @@ def test_other_match_types_are_reported(people, spark):
         coverage.threshold_sweep(scored).collect()
     both = {"LastName": 80.0}, {"LastName": 60.0}
     assert [r.at_current for r in coverage.threshold_sweep(scored, *both).collect()] == [1]
+
+
+def test_names_with_quotes(people):
+    from kinmatch.operators import coverage as reports
+    from kinmatch.operators.match import match_all
+    from kinmatch.plans.specs import MatchSpec
+
+    a = people(("ANN", "LEE", "1 A ST", "X", "OH", "1"), ("BEA", "RAY", "2 B ST", "X", "OH", "1"))
+    spec = MatchSpec("O'Neil \\ `x`", ("First_Name", "Last_Name"), ("first", "last", "address"), 80.0)
+    results = match_all(a, a, [spec])
+    assert rows(results, "match_type", "a_row") == [(spec.name, 2), (spec.name, 3)]
+    told = {r.match_type: (r.results, r.matched) for r in reports.coverage(a, results.where("a_row = 2")).collect()}
+    assert told[spec.name] == (1, 1) and told["ALL"] == (1, 1) and told["FullName"] == (0, 0)
+    assert rows(reports.unmatched_samples(a, results.where("a_row = 2"), types=[spec.name]), "match_type", "a_row") == [(spec.name, 3)]
+    assert rows(reports.row_counts(**{spec.name: a})) == [(spec.name, 2)]
+
+
+def test_any_number_of_thresholds_equals_single_runs(spark):
+    """The step function against one run per level, with equal scores, equal first stages and zeros."""
+    import random
+
+    from kinmatch.operators import coverage as reports
+    from kinmatch.operators.match import best_of
+
+    rnd = random.Random(3)
+    data = []
+    for kind in ("FullName", "FullAddress"):
+        for a in range(60):
+            stages = sorted((rnd.choice([40.0, 56.0, 64.0, 72.5, 80.0, rnd.uniform(30, 100)]) for _ in range(rnd.randint(0, 10))), reverse=True)
+            data += [(kind, a, i * 7, s, i + 1, rnd.choice([0.0, 50.0, 70.0, 80.0, rnd.uniform(0, 100)])) for i, s in enumerate(stages)]
+    scored = spark.createDataFrame(data, "match_type string, a_id int, b_id int, stage1 double, rank int, score double")
+    levels = [0.0, *[2.0 * i for i in range(1, 50)], 70.0, 80.0]
+    found = reports.at_thresholds(scored, {"FullName": levels, "FullAddress": levels[::-1]})
+    assert found.columns == [*scored.columns, "threshold"]
+    counts = {(r.match_type, r.threshold): r.matches for r in reports.matches_at(scored, {"FullName": levels, "FullAddress": levels}).collect()}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.threshold, set()).add((r.match_type, r.a_id, r.b_id, r.score))
+    for t in set(levels):
+        able = [r for r in data if r[3] >= 0.8 * t]
+        best = {}
+        for r in able:
+            if r[5] > best.get(r[:2], (0, 0, 0, 0, 0, 0.0))[5]:
+                best[r[:2]] = r
+        expected = {(r[0], r[1], r[2], r[5]) for r in best.values() if r[5] >= t}
+        assert got.get(t, set()) == expected, t
+        for kind in ("FullName", "FullAddress"):
+            assert counts[kind, t] == sum(x[0] == kind for x in expected)
+    assert "Expand" not in reports.matches_at(scored, {"FullName": levels, "FullAddress": levels})._jdf.queryExecution().executedPlan().toString()
+    assert best_of(scored.where("false"), "1").count() == 0
+
+
+def test_diff_by_blocks(spark):
+    """Digests change nothing: gaps, repeated and missing numbers, nulls, and only differing blocks are joined."""
+    from kinmatch.operators import compare
+
+    rows_ = [(i * 700, f"v{i}", None if i % 3 else i) for i in range(60)] + [(None, "n", 1), (5, "twice", 1), (5, "twice", 1)]
+    other = [r for r in rows_ if r[0] != 1400]
+    other = [(5, "TWICE", 1) if r[0] == 5 else (*r[:2], 9) if r[0] == 21000 else r for r in other] + [(10**12, "late", None)]
+    a, b = (spark.createDataFrame(x, "row_id long, t string, n int") for x in (rows_, other))
+    got = rows(compare.diff_tables(a, b), "row_id", "side", "changed")
+    assert got == sorted([(1400, "left", "t"), (21000, "both", "n"), (10**12, "right", "t"), (None, "left", "n,t"), (None, "right", "n,t"), *[(5, "both", "t")] * 4], key=repr)
+    blocks = {r[0] for r in compare.differing_blocks(a, b, ["t", "n"]).collect()}
+    assert blocks == {None, 0, 21000 // compare.BLOCK, 10**12 // compare.BLOCK}
+    whole = a.where("row_id is not null")
+    assert compare.diff_tables(whole, whole.repartition(3)).count() == 0
+    assert [tuple(r) for r in compare.diff_summary(whole, whole).collect()] == [(True, 0, None)]

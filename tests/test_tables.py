@@ -113,3 +113,59 @@ def test_export(spark, folder, tmp_path):
     assert [tables.read_table(spark, p, "csv").count() for p in paths] == [3, 3]
     with pytest.raises(ValueError):
         tables.export_first_two({"a": found["First"]}, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_ragged_rows_are_never_cut(spark, tmp_path, multi_line):
+    path = str(tmp_path / "r.csv")
+    (tmp_path / "r.csv").write_text('a,b\n1,2\n3,4,5\n6\n"7,x",8\n')
+    for read in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("a").collect()):
+        with pytest.raises(Exception, match="MALFORMED|FAILFAST|ailed"):
+            read(tables.read_table(spark, path, multi_line=multi_line))
+    marked = tables.read_table(spark, path, multi_line=multi_line, ragged="mark")
+    good, others = tables.split_ragged(marked)
+    assert good.columns == ["a", "b"] and rows(good) == [("1", "2"), ("7,x", "8")]
+    assert good.count() == 2 and others.count() == 2
+    assert sorted(r[0].strip() for r in others.collect()) == ["3,4,5", "6"]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, path, ragged="cut")
+
+
+def test_interrupted_write_leaves_old_results(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    old = spark.createDataFrame([("FullName", 90.0, 2, 3), ("007", 80.0, 4, 5), ("A/b'c", 70.0, 6, 7)], RESULTS)
+    new = spark.createDataFrame([("FullName", 91.0, 8, 9)], RESULTS)
+    kinds = lambda: rows(tables.read_results(spark, root), "match_type", "a_row")
+    tables.write_results(old, root)
+    before = kinds()
+    assert before == sorted([("007", 4), ("A/b'c", 6), ("FullName", 2)], key=repr)
+
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    for step in ("_publish", "read_manifest"):  # after the data are written, before anything says so
+        with monkeypatch.context() as patch:
+            patch.setattr(tables, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                tables.write_results(new, root, types=["007"])
+        assert kinds() == before
+    with monkeypatch.context() as patch:  # between publishing and cleaning up
+        patch.setattr(tables, "_drop_unused", stop)
+        with pytest.raises(KeyboardInterrupt):
+            tables.write_results(new, root, types=["007"])
+    assert kinds() == sorted([("A/b'c", 6), ("FullName", 8)], key=repr)
+    assert tables.read_manifest(spark, root)["007"] == {"folder": None, "rows": 0}
+    held = tables.read_results(spark, root)
+    tables.write_results(old.where("match_type = '007'"), root)
+    assert held.count() == 2  # who reads the run before is not disturbed
+    tables.write_results(new.where("false"), root, types=["FullName"])
+    assert kinds() == sorted([("007", 4), ("A/b'c", 6)], key=repr)
+    folders = {e["folder"] for e in tables.read_manifest(spark, root).values()} - {None}
+    assert len(list((tmp_path / "out").glob("run-*"))) <= len(folders) + 2
+
+
+def test_unmatched_rows_of_a_run(spark, tmp_path):
+    df = spark.createDataFrame([("FullName", 90.0, 2, 3)], RESULTS)
+    run = tables.write_run({}, df, str(tmp_path / "runs"), run_id="2", unmatched=spark.range(3).selectExpr("id + 2 AS Original_Row_Number"))
+    assert spark.read.parquet(f"{run}/Unmatched_Rows").count() == 3
+    assert list(tables.read_table_set(spark, run)) == ["results"]
