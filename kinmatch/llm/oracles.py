@@ -47,10 +47,17 @@ SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{'kin
 FROM (SELECT doc_id, regexp_extract_all(t, p) AS m, regexp_extract_all(t, p, {group}) AS v, string_split_regex(t, p) AS gaps FROM d, (SELECT {pattern} AS p))
 """
 _ASSIGN = """'([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
-_KEY_LIKE = """regexp_matches(s.text, '[0-9]') AND regexp_matches(s.text, '[A-Za-z]') AND NOT regexp_matches(s.text, '(?i)example|sample|dummy|placeholder|changeme')
- AND NOT regexp_matches(s.text, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(s.text, '^([A-Z]?[a-z]{3,}[0-9]{0,4}[/_=-]?)+$')
- AND list_max(list_transform(range(1, length(s.text) - 18), lambda k: list_aggregate(string_split(substr(s.text, k, 20), ''), 'entropy')))
-   >= CASE WHEN regexp_matches(s.text, '^[0-9a-fA-F]+$') THEN 2.9 WHEN regexp_matches(s.text, '^[A-Za-z0-9]+$') THEN 3.6 ELSE 3.8 END"""
+_EXAMPLE = "'(?i)example|sample|dummy|placeholder|changeme'"
+# What is left of a run around its parts, each up to a '=' or '/', that hold example words.
+_LEFT = f"""CASE WHEN regexp_matches(s.text, {_EXAMPLE}) THEN list_filter(list_transform(string_split(array_to_string(
+    list_transform(regexp_extract_all(s.text, '[^=/]*[=/]|[^=/]+'), lambda p: CASE WHEN regexp_matches(p, {_EXAMPLE}) THEN ' ' ELSE p END), ''), ' '),
+    lambda p: regexp_replace(p, '[=/]+$', '')), lambda p: length(p) >= 20) ELSE [s.text] END"""
+_KEY_LIKE = f"""len(list_filter({_LEFT}, lambda r: regexp_matches(r, '[A-Za-z]') AND (regexp_matches(r, '[0-9]') OR (regexp_matches(r, '[a-z]') AND regexp_matches(r, '[A-Z]')))
+ AND NOT regexp_matches(r, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$')
+ AND NOT regexp_matches(r, '^([A-Z]?[a-z]{{3,}}[0-9]{{0,4}}[/_=-]?)+$') AND NOT regexp_matches(r, '^([A-Z]?[a-z]{{2,}}[/_=-]?)+$')
+ AND list_max(list_transform(range(1, length(r) - 18), lambda k: list_aggregate(string_split(substr(r, k, 20), ''), 'entropy')))
+   >= CASE WHEN regexp_matches(r, '^[A-Za-z]+$') THEN 3.7 WHEN regexp_matches(r, '^[A-Za-z+/_=-]+$') THEN 3.85
+     WHEN regexp_matches(r, '^[0-9a-fA-F]+$') THEN 2.9 WHEN regexp_matches(r, '^[A-Za-z0-9]+$') THEN 3.6 ELSE 3.8 END)) > 0"""
 _PARTS = (
     _FIND.format(kind=0, group=2, pattern=_ASSIGN, keep="length(s.value) >= 6"),
     _FIND.format(kind=1, group=0, pattern="'AKIA[A-Z0-9]+'", keep="length(s.text) >= 20"),
@@ -62,10 +69,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT doc_id, unnest(spans) AS s FROM ({" UNION ALL ".join(_PARTS)})),
 base AS (SELECT doc_id, s.kind AS k, s.start AS a, s.start + length(s.text) AS b FROM found WHERE s.kind < 3),
 more AS (SELECT doc_id, 3 AS k, s.start AS a, s.start + length(s.text) AS b FROM found WHERE s.kind = 3),
-spans AS (
-  SELECT * FROM base UNION ALL
-  SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = more.doc_id AND base.a < more.b AND more.a < base.b)
+bases AS (SELECT doc_id, list({{'a': a, 'b': b}} ORDER BY a, k, b) AS spans FROM base GROUP BY doc_id),
+reached AS (
+  SELECT more.*, list_reduce(list_prepend({{'a': a, 'b': a}}, coalesce(bases.spans, [])), lambda r, x: CASE WHEN x.a <= r.b THEN {{'a': r.a, 'b': greatest(r.b, x.b)}} ELSE r END).b AS reach
+  FROM more LEFT JOIN bases USING (doc_id)
 ),
+spans AS (SELECT * FROM base UNION ALL SELECT doc_id, k, a, b FROM reached WHERE reach < b),
 named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || a || ':' || b AS x FROM spans)
 SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy,
   sha256(coalesce(string_agg(x, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY a, k), '') AS spans

@@ -77,3 +77,27 @@ def test_very_long_text_and_clashing_columns(spark):
     got = secret_spans(df).select(joined("_all"), "spans").collect()
     assert got == [("assign:100001:100013", "a")]
     assert secret_spans(df.limit(0)).count() == 0
+
+
+def test_query_equals_sql_on_odd_runs(spark, documents, tmp_path):
+    """The SQL has the rules for keys without digits, for example words and for spans that fixed patterns cover in part."""
+    import duckdb
+
+    from kinmatch.llm.oracles import SECRET_SCAN
+    from kinmatch.llm.queries import op3_secret_scan
+
+    rnd = random.Random(9)
+    key = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    mixed, both = string.ascii_letters + string.digits, string.ascii_letters
+    runs = [lambda: key(24, both), lambda: key(30, both + "+/_-="), lambda: key(40, mixed), lambda: "sample_id=" + key(24, mixed), lambda: "example/" + key(26, mixed) + "/dummy=" + key(22, mixed),
+            lambda: key(24, "0123456789abcdef") + "/" + key(24, mixed), lambda: "AKIA" + key(16, string.ascii_uppercase) + "/" + key(30, mixed), lambda: key(25, mixed) + "_token=" + key(8, mixed), lambda: "token=" + key(30, mixed),
+            lambda: "placeholder" + key(20, mixed), lambda: "SomeWordsThatAreLongEnough", lambda: "some/path/with/long/words2024/here", lambda: key(32, "0123456789abcdef"), lambda: "a" * 40, lambda: "changeme=" * 5]
+    texts = [" ".join(rnd.choice(runs)() for _ in range(rnd.randint(1, 6))) + rnd.choice(["", " é\n", "."]) for _ in range(150)]
+    documents(*enumerate([None, "", *texts])).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(SECRET_SCAN)
+    columns = [c[0] for c in cursor.description]
+    got = sorted(map(tuple, op3_secret_scan(spark, str(tmp_path)).select(*columns).collect()))
+    assert got == sorted(cursor.fetchall())
+    assert sum(r[columns.index("n_entropy")] for r in got) > 100
