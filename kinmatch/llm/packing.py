@@ -174,18 +174,29 @@ def _cut(names: list[str], weights: np.ndarray, totals: np.ndarray, length: int,
     return run
 
 
+def target_shares(own: dict[str, float], weights: dict[str, float]) -> dict[str, float]:
+    """The given shares, and for the other queues, in proportion to what they have, what is left of the whole.
+
+    Where nothing is left, the others are served by the least part.
+    """
+    given = {q: float(weights[q]) for q in own if q in weights}
+    left, others = max(0.0, 1 - sum(given.values())), sum(n for q, n in own.items() if q not in given)
+    return {q: given[q] if q in given else n * left / (others or 1) for q, n in own.items()}
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, weights: dict[str, float] | None = None, end_id: int = END_ID, **columns: str) -> DataFrame:
     """One row per piece of a document.
 
-    `weights` gives target token shares by source; sources without one get the share of
-    tokens they have. By default all do, so every sequence has the mixture of the whole.
+    `weights` gives target token shares by source; sources without one share what is left, in
+    proportion to the tokens they have. By default all do, so every sequence has the mixture of the whole.
     """
     tokens = tokenized(docs, tokenizer, end_id, named=weights or (), **columns)
     totals = tokens.groupBy("part", "queue", "source").agg(F.sum("n").alias("tokens"))  # one row per part and source
     queues = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("tokens").alias("n")).collect()}  # 513 at most
     names = sorted(queues)
     total = sum(queues.values()) or 1
-    shares = [float((weights or {}).get(q, queues[q] / total)) for q in names]
+    shares = target_shares({q: n / total for q, n in queues.items()}, weights or {})
+    shares = [shares[q] for q in names]
     parts = np.array([max(1, round(PARTS * s / (sum(shares) or 1))) for s in shares], np.int64)
     sums = np.array([queues[q] for q in names], np.int64)
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from kinmatch.llm.packing import pack, place
+from kinmatch.llm.packing import pack, place, target_shares
 from kinmatch.llm.words import WordEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -109,3 +109,36 @@ def test_weights_of_rare_sources(spark, documents):
     assert sum(r.length for r in got if r.queue == "rare" and r.sequence_id == 0) == 16
     with pytest.raises(ValueError, match="257"):
         pack(df, PATH, weights={f"site{i}": 1.0 for i in range(257)})
+
+
+def test_given_shares_hold_beside_others(spark, documents):
+    rows = [(i, f"word{i} text here " * 6, "common") for i in range(400)] + [(1000 + i, f"word{i} rare " * 9, "rare") for i in range(40)]
+    got = pack(documents(*rows), PATH, length=256, weights={"rare": 0.5}).where("sequence_id < 3").groupBy("queue").sum("length").collect()
+    assert dict(map(tuple, got)) == {"rare": 384, "common": 384}
+    shares = target_shares({"a": 0.7, "b": 0.2, "c": 0.1}, {"c": 0.4, "other": 0.3})
+    assert shares == pytest.approx({"a": 0.6 * 7 / 9, "b": 0.6 * 2 / 9, "c": 0.4})
+    assert target_shares({"a": 0.5, "b": 0.5}, {"a": 2.0}) == {"a": 2.0, "b": 0.0} and target_shares({}, {}) == {}
+
+
+def test_rounds_by_hand():
+    """The closed form against the rounds, one after the other."""
+    rnd = np.random.default_rng(4)
+    for length in (16, 64):
+        weights = rnd.integers(1, 40, 5)
+        sizes = [[int(x) for x in rnd.integers(1, 90, n)] for n in rnd.integers(1, 30, 5)]
+        totals = np.array([sum(s) for s in sizes], np.int64)
+        stream, served_, earned = [], [0] * 5, 0
+        while any(n < t for n, t in zip(served_, totals)):
+            earned += 1
+            for q in range(5):
+                upto = min(earned * length * int(weights[q]) // int(weights.sum()), int(totals[q]))
+                stream += [(q, x) for x in range(served_[q], upto)]
+                served_[q] = upto
+        first = np.concatenate([np.cumsum(s) - s for s in sizes])
+        count = np.concatenate([np.array(s) for s in sizes])
+        queue = np.repeat(np.arange(5), [len(s) for s in sizes])
+        doc, start, size, at = place(first, count, queue, weights, totals, length)
+        got = {}
+        for d, s, n, p in zip(doc, start, size, at):
+            got.update({int(p + i): (int(queue[d]), int(first[d] + s + i)) for i in range(n)})
+        assert [got[i] for i in range(len(stream))] == stream and len(got) == len(stream)
