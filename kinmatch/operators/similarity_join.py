@@ -37,7 +37,7 @@ from .lookup import HOT_KEY_ROWS, salted_join
 LEFT_BLOCK = 16384
 RIGHT_BLOCK = 131072
 SHORT = 256  # characters of a string that counts as one of a block; longer strings count as several
-CLOSE_FROM = 4_000_000_000  # pairs of rows from which bars and prefixes are worth their joins
+CLOSE_FROM = 100_000_000_000  # pairs of rows from which bars and prefixes are worth their joins
 MIN_LEFT_BLOCK = 64  # smaller blocks cost more in overhead than they gain in spread
 
 
