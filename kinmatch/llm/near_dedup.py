@@ -20,8 +20,9 @@ Joining. Signatures are cut into bands; documents that agree in a band are in on
    Members unlike the first one are compared with those others for which that
    holds, unless they are in one class by now or their signatures agree in so few coordinates
    that it would be five standard deviations from the threshold.
-All comparisons are exact, on the weighted sets, so a link between two texts is lost only
-if they agree in no band at all or by that margin: at likeness 0.8 that is less than 1 in 100,000.
+Comparisons are on the whole weighted sets, their units as 32-bit numbers, so a link between two texts is lost only
+if they agree in no band at all or by that margin: at likeness 0.8 that is less than 1 in 100,000. `cut=False` compares
+whatever the agreement.
 Classes are the connected components of the links.
 
 Defined cases: null text is empty; words are split at ASCII blanks, in lower case; a text of fewer than
@@ -203,7 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, in which nodes link to the smallest
     neighbour, until nothing changes.
     """
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+    def state(e: DataFrame):
+        """Number of edges and two 64-bit sums of all of them, which tell equal sets of edges from others."""
+        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
+
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = state(e)
     while True:
@@ -222,8 +226,11 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD, k: int = BANDS * ROWS) -> DataFrame:
-    """Links (a, b) between nodes of different content; `firsts` has one node per content."""
+def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD, least: int = 0) -> DataFrame:
+    """Links (a, b) between nodes of different content; `firsts` has one node per content.
+
+    Of members unlike the first one, pairs that agree in fewer than `least` coordinates are not compared.
+    """
     sets = signatures.select("node", "units")
     entries = signatures.select("node", "size", "bands").join(firsts.select("node"), "node").select("node", "size", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -240,86 +247,101 @@ def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOL
     # Members with their distance to the first one and their class so far.
     known = stars.join(tested.select(F.col("a").alias("head"), F.col("b").alias("node"), "sim"), ["head", "node"], "left")
     known = known.join(roots, "node", "left").select("key", "node", "head", "size", F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed"), F.max("d").alias("far")).where("mixed and far > 0")
-    known = known.join(mixed.select("key"), "key").where("node <> head")
-    return links.unionByName(_within_buckets(checkpoint(known), signatures, threshold, k))
+    return links.unionByName(_within_buckets(checkpoint(known), signatures, threshold, least))
 
 
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Bytes of members of a bucket that one task holds on either side, and what a member takes besides its set.
+BLOCK_BYTES, MEMBER_BYTES = 8 << 20, 400
 
 
-def _within_buckets(known: DataFrame, signatures: DataFrame, threshold: float, k: int) -> DataFrame:
+def _within_buckets(known: DataFrame, signatures: DataFrame, threshold: float, least: int) -> DataFrame:
     """Links between members of a bucket of which one at least is unlike the first member.
 
-    Both sides are dealt to blocks, and a pair of blocks meets in one cell. Only
-    links come out of a cell, and a pair that shares several buckets is compared in one.
+    Members are dealt to blocks of bounded size, of which most buckets have one; each pair of blocks meets in one cell.
+    Only links come out of a cell, and a pair that shares several buckets is compared in one.
     """
     reach = 1 - threshold + 1e-9
-    sizes = known.groupBy("key").agg(F.ceil(F.count(F.when(F.col("d") > reach, 1)) / BLOCK).alias("blocks_x"), F.ceil(F.count("*") / BLOCK).alias("blocks_y"))
-    rows = known.join(sizes.where("blocks_x > 0"), "key").join(signatures.select("node", "bands", "sketch", "units"), "node")
-    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
-    other = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    data = ("node", "size", "d", "root", "bands", "sketch", "units")
-    x = rows.where(F.col("d") > reach).select("key", block("blocks_x").alias("i"), other("blocks_y").alias("j"), F.lit(True).alias("query"), *data)
-    y = rows.select("key", block("blocks_y").alias("j"), other("blocks_x").alias("i"), F.lit(False).alias("query"), *data)
-    cells = x.unionByName(y).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return checkpoint(cells.mapInArrow(_cells(threshold, reach, least_agreement(k, threshold)), "a long, b long")).distinct()
+    buckets = known.groupBy("key").agg(
+        F.count(F.when(F.col("d") > reach, 1)).alias("unlike"),
+        F.ceil(F.sum(F.col("size") * 4 + MEMBER_BYTES) / BLOCK_BYTES).alias("blocks"),
+        (F.min("root") != F.max("root")).alias("mixed"),
+        F.count("*").alias("n"),
+    )
+    rows = lookup(known, buckets.where("mixed and unlike > 0"), "key", "n").where("blocks is not null and node <> head")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    rows = rows.withColumn("block", block).select("key", "node", "size", "d", "root", "block", F.explode(pairs).alias("cell"))
+    rows = rows.select("key", "cell.i", "cell.j", "node", "size", "d", "root", "block")
+    sets = in_filter(signatures.select("node", "bands", "sketch", "units"), "node", known.where(F.col("d") > 0).select("node"))
+    rows = rows.join(sets, "node").select("key", "i", "j", "node", "size", "d", "root", "block", "bands", "sketch", "units")
+    cells = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return checkpoint(cells.mapInArrow(_cells(threshold, reach, least), "a long, b long")).distinct()
+
+
+def _cell_links(cell: pa.Table, threshold: float, reach: float, least: int) -> list[tuple[int, int]]:
+    """Links (smaller node, larger node) of one cell."""
+    key = cell.column("key")[0].as_py()
+    node, size, d, root, block = (cell.column(c).to_numpy() for c in ("node", "size", "d", "root", "block"))
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+    units = [np.frombuffer(u, np.uint32) for u in cell.column("units").to_pylist()]
+    across = cell.column("i")[0] != cell.column("j")[0]
+    out = []
+    for i in np.flatnonzero(d > reach):
+        # Of two members unlike the first one, the lower node looks for the other.
+        may = (root != root[i]) & (np.abs(d - d[i]) <= reach) & ((d <= reach) | (node > node[i]))
+        may &= np.minimum(size, size[i]) >= np.maximum(size, size[i]) * (threshold - 1e-9)
+        if across:
+            may &= block != block[i]
+        j = np.flatnonzero(may)
+        j = j[(sketch[j] == sketch[i]).sum(1) >= least] if least and len(j) else j
+        # The first bucket that both are in.
+        j = j[bands[i][(bands[j] == bands[i]).argmax(1)] == key] if len(j) else j
+        if len(j):
+            common = np.array([common_units(units[i], units[y]) for y in j])
+            alike = j[common >= threshold * (size[i] + size[j] - common)]
+            out += [(min(int(node[i]), int(node[y])), max(int(node[i]), int(node[y]))) for y in alike]
+    return out
 
 
 def _cells(threshold: float, reach: float, least: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(key: int, rows: list[tuple]) -> list[tuple[int, int]]:
-        sides, of_side = [], [[r for r in rows if r[3] == query] for query in (True, False)]
-        if not all(of_side):
-            return []
-        for side in of_side:
-            columns = [np.array([r[c] for r in side]) for c in (4, 5, 6, 7)]
-            bands = np.array([r[8] for r in side], np.int64).reshape(len(side), -1)
-            sketch = np.frombuffer(b"".join(r[9] for r in side), np.uint8).reshape(len(side), -1)
-            sides.append((*columns, bands, sketch, [np.frombuffer(r[10], np.uint32) for r in side]))
-        (node, size, d, root, bands, sketch, units), (node_y, size_y, d_y, root_y, bands_y, sketch_y, units_y) = sides
-        out = []
-        for i in range(len(node)):
-            may = (root_y != root[i]) & (np.abs(d_y - d[i]) <= reach) & ((d_y <= reach) | (node_y > node[i]))
-            may &= np.minimum(size_y, size[i]) >= np.maximum(size_y, size[i]) * (threshold - 1e-9)
-            j = np.flatnonzero(may)
-            j = j[(sketch_y[j] == sketch[i]).sum(1) >= least] if len(j) else j
-            # The first bucket that both are in.
-            j = j[bands[i][(bands_y[j] == bands[i]).argmax(1)] == key] if len(j) else j
-            if len(j):
-                common = np.array([common_units(units[i], units_y[y]) for y in j])
-                alike = j[common >= threshold * (size[i] + size_y[j] - common)]
-                out += [(min(int(node[i]), int(node_y[y])), max(int(node[i]), int(node_y[y]))) for y in alike]
-        return out
+    def told(parts: list[pa.RecordBatch]):
+        found = _cell_links(pa.Table.from_batches(parts), threshold, reach, least)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
 
     def run(batches):
-        held, cell = [], None
+        held, of = [], None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:3] != cell and held:
-                    found = links(cell[0], held)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            starts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(1))))
+            for a, b in zip(starts, [*starts[1:], len(ids)]):
+                if held and tuple(ids[a]) != of:
+                    yield from told(held)
                     held = []
-                cell = row[:3]
-                held.append(row)
+                of = tuple(ids[a])
+                held.append(batch.slice(a, b - a))
         if held:
-            found = links(cell[0], held)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=schema)
+            yield from told(held)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, text_md5, class_id, class_size, kept (true for one of each class)."""
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, cut: bool = True) -> DataFrame:
+    """One row per document: doc_id, text_md5, class_id, class_size, kept (true for one of each class).
+
+    Without `cut`, members of a bucket that are unlike its first one are compared however few coordinates agree.
+    """
     rows_ = signed(docs, text_col, id_col, bands, rows, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     contents = rows_.groupBy("content").agg(F.min("node").alias("node"), F.min(order).alias("low"), F.count("*").alias("copies"))
     contents = checkpoint(contents)
-    roots = components(linked(rows_, contents, threshold, bands * rows))
+    least = least_agreement(bands * rows, threshold) if cut else 0
+    roots = components(linked(rows_, contents, threshold, least))
     contents = contents.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = contents.groupBy("root").agg(F.min("low").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("contents"))
     contents = lookup(contents, classes, "root", "contents").select("content", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("kept_node"), "class_size")

@@ -91,9 +91,9 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("block", [256, 5])
-def test_classes_equal_brute_force(spark, documents, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize("block,cut", [(8 << 20, True), (3000, False)])
+def test_classes_equal_brute_force(spark, documents, monkeypatch, block, cut):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows, n = [], 0
@@ -119,7 +119,7 @@ def test_classes_equal_brute_force(spark, documents, monkeypatch, block):
         n += 1
     rows += [(n, None), (n + 1, " \n"), (n + 2, ""), (n + 3, rows[0][1].upper()), (n + 4, "tok " * 30_000), (n + 5, "tok " * 29_000)]
     df = documents(*rows).withColumn("bands", F.lit(1)).withColumn("node", F.lit("x"))
-    got = near_duplicates(df).collect()
+    got = near_duplicates(df, cut=cut).collect()
     assert {r.doc_id: r.class_id for r in got} == classes_by_hand(rows)
     sizes = Counter(r.class_id for r in got)
     assert all(r.class_size == sizes[r.class_id] for r in got)
