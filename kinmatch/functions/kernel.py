@@ -443,7 +443,9 @@ def best_pairs(left: list[str], right: list[str], cutoff: np.ndarray, order: np.
         fresh = []
         for first in range(0, a.n, step):
             rows = slice(first, min(first + step, a.n))
-            fresh.append(_promising(a, b, alphabet, bounds, rows, bar[rows], high[rows], k))
+            scored = _promising(a, b, alphabet, bounds, rows, bar[rows], high[rows], k)
+            # Only the best are held: all that were scored may be as many as the pairs of the parts.
+            fresh.append(_keep_best(*scored, bar, order[rights], k))
         best[lefts] = high
         row, col, score = (np.concatenate(x) for x in zip(*fresh))
         found.append(_keep_best(lefts[row], rights[col], score, cutoff, order, k))

@@ -58,6 +58,27 @@ def test_best_pairs_equal_brute_force(cutoff, k, monkeypatch):
         assert got.get(i, []) == sorted(s for s in scores if -s[0] >= cutoff)[:k]
 
 
+def test_best_pairs_hold_no_more_than_the_best():
+    import tracemalloc
+
+    # Right strings of one length and mostly equal bounds: nearly all pairs are scored.
+    rnd = random.Random(6)
+    right = sorted({"".join(rnd.sample("ABCDEFGHIJ", 10)) for _ in range(3000)})
+    order = np.arange(len(right))
+
+    def peak(n):
+        left = ["".join(rnd.sample("ABCDEFGHIJ", 10)) for _ in range(n)]
+        tracemalloc.start()
+        row, _, _ = best_pairs(left, right, np.zeros(n), order, 10)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, len(row)
+
+    small, large = peak(300), peak(1500)
+    assert (small[1], large[1]) == (3000, 15_000)
+    assert large[0] < 1.5 * small[0]
+
+
 def test_pairs_between_equals_brute_force():
     left, right = _crowd(4, 30), _crowd(5, 200)
     order = np.arange(len(right))[::-1].copy()
