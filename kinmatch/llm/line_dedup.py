@@ -72,11 +72,12 @@ def drop_repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "
     gone = found.where(F.col("_docs").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")))
     gone = gone.groupBy(F.col("_id").alias("_of_id"), F.col("_digest").alias("_of_digest")).agg(F.collect_set("_at").alias("_gone"))
     same = F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_digest") == F.col("_of_digest"))
-    marked = rows.join(gone, same, "left")
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(_without(_lines(F.col("_text")), F.col("_gone")))
+    # Split once, in a column of its own: within the function of an array it would be split again for each line.
+    marked = rows.join(gone, same, "left").select("_doc", "_text", "_gone", _lines(F.col("_text")).alias("_lines"))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(_without(F.col("_lines"), F.col("_gone")))
     return marked.select(
         "_doc",
-        F.size(_lines(F.col("_text"))).cast("long").alias("_n_lines"),
+        F.size("_lines").cast("long").alias("_n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"),
         text.alias("_kept"),
     )

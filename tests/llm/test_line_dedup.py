@@ -75,3 +75,8 @@ def test_common_line(spark, copies):
 def test_no_python_in_the_plan(spark, documents):
     plan = drop_repeated_lines(documents((1, "a"), (2, "b")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_text_is_not_split_for_each_line(spark, documents):
+    plan = drop_repeated_lines(documents((1, "a line that repeats"), (2, "a line that repeats\nb")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan and "lambdafunction(split" not in plan
