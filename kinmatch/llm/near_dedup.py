@@ -198,37 +198,45 @@ def likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpoint(joined.mapInArrow(_compare, "a long, b long, sim double"))
 
 
+#: Edges that one task reads at least, where there are more tasks than cores.
+EDGES_PER_TASK = 1 << 17
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root) for all nodes of edges, root being the smallest.
 
     Alternates large-star and small-star steps, in which nodes link to the smallest
-    neighbour, until nothing changes.
+    neighbour, until every node has one link and no node that is linked to has another.
     """
-    def state(e: DataFrame):
-        """Number of edges and two 64-bit sums of all of them, which tell equal sets of edges from others."""
-        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first()
-
-    e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = state(e)
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+    spark = edges.sparkSession
+
+    def written(e: DataFrame) -> tuple[DataFrame, bool]:
+        """Distinct edges (u, v) with u > v, in no more parts than their number asks for, and whether they are stars around their smallest nodes."""
+        e = checkpoint(e.where("u <> v").distinct())
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))).alias("end")).select("end.*")
+        seen = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+        found = seen.agg(F.sum("down").alias("edges"), F.max((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("least") == 0))).alias("more")).first()
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil((found["edges"] or 0) / EDGES_PER_TASK))
+        return e.coalesce(parts), not found["more"]
+
+    e, done = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while not done:
+        # Both directions, and each node with itself, for which its smallest neighbour becomes an edge.
+        pairs = [F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("uv", "vu", "uu", "vv")]
+        both = e.select(F.explode(F.array(*pairs)).alias("end")).select("end.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v >= u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = state(e)
-        if now == before:
-            break
-        before = now
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("end"))
+        e, done = written(small.select("end.*"))
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD, least: int = 0) -> DataFrame:
-    """Links (a, b) between nodes of different content; `firsts` has one node per content.
+    """Links (a, b) that join the nodes of each class of different contents; `firsts` has one node per content.
 
+    Every node is linked with the root of its class by the first members, and such roots with one another.
     Of members unlike the first one, pairs that agree in fewer than `least` coordinates are not compared.
     """
     sets = signatures.select("node", "units")
@@ -247,7 +255,8 @@ def linked(signatures: DataFrame, firsts: DataFrame, threshold: float = THRESHOL
     # Members with their distance to the first one and their class so far.
     known = stars.join(tested.select(F.col("a").alias("head"), F.col("b").alias("node"), "sim"), ["head", "node"], "left")
     known = known.join(roots, "node", "left").select("key", "node", "head", "size", F.coalesce(1 - F.col("sim"), F.lit(0.0)).alias("d"), F.coalesce("root", "node").alias("root"))
-    return links.unionByName(_within_buckets(checkpoint(known), signatures, threshold, least))
+    classes = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return classes.unionByName(_within_buckets(checkpoint(known), signatures, threshold, least))
 
 
 #: Bytes of members of a bucket that one task holds on either side, and what a member takes besides its set.
@@ -255,7 +264,7 @@ BLOCK_BYTES, MEMBER_BYTES = 8 << 20, 400
 
 
 def _within_buckets(known: DataFrame, signatures: DataFrame, threshold: float, least: int) -> DataFrame:
-    """Links between members of a bucket of which one at least is unlike the first member.
+    """Links between the classes so far of members of a bucket of which one at least is unlike the first member.
 
     Members are dealt to blocks of bounded size, of which most buckets have one; each pair of blocks meets in one cell.
     Only links come out of a cell, and a pair that shares several buckets is compared in one.
@@ -279,14 +288,14 @@ def _within_buckets(known: DataFrame, signatures: DataFrame, threshold: float, l
 
 
 def _cell_links(cell: pa.Table, threshold: float, reach: float, least: int) -> list[tuple[int, int]]:
-    """Links (smaller node, larger node) of one cell."""
+    """Links (smaller root, larger root) between classes, each once, that members of one cell find."""
     key = cell.column("key")[0].as_py()
     node, size, d, root, block = (cell.column(c).to_numpy() for c in ("node", "size", "d", "root", "block"))
     bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
     units = [np.frombuffer(u, np.uint32) for u in cell.column("units").to_pylist()]
     across = cell.column("i")[0] != cell.column("j")[0]
-    out = []
+    out = set()
     for i in np.flatnonzero(d > reach):
         # Of two members unlike the first one, the lower node looks for the other.
         may = (root != root[i]) & (np.abs(d - d[i]) <= reach) & ((d <= reach) | (node > node[i]))
@@ -300,8 +309,8 @@ def _cell_links(cell: pa.Table, threshold: float, reach: float, least: int) -> l
         if len(j):
             common = np.array([common_units(units[i], units[y]) for y in j])
             alike = j[common >= threshold * (size[i] + size[j] - common)]
-            out += [(min(int(node[i]), int(node[y])), max(int(node[i]), int(node[y]))) for y in alike]
-    return out
+            out.update((min(int(root[i]), int(root[y])), max(int(root[i]), int(root[y]))) for y in alike)
+    return sorted(out)
 
 
 def _cells(threshold: float, reach: float, least: int):

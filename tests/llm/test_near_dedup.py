@@ -91,6 +91,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    """No round is run on edges that are stars around their smallest nodes, and none to see that nothing changes."""
+    written, plain = [], near_dedup.checkpoint
+    monkeypatch.setattr(near_dedup, "checkpoint", lambda df: written.append(1) or plain(df))
+    stars = [(10 * i, 10 * i + j) for i in range(20) for j in range(1, 10)]
+    found = components(spark.createDataFrame(stars + stars[:5], "a long, b long").repartition(40))
+    assert len(written) == 1 and found.count() == 200
+    assert found.rdd.getNumPartitions() < 40 + spark.sparkContext.defaultParallelism
+    written.clear()
+    assert components(spark.createDataFrame([(9, 1), (9, 2)], "a long, b long")).where("root = 1").count() == 3
+    assert len(written) == 2
+
+
 @pytest.mark.parametrize("block,cut", [(8 << 20, True), (3000, False)])
 def test_classes_equal_brute_force(spark, documents, monkeypatch, block, cut):
     monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
