@@ -27,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 
 import numpy as np
@@ -40,6 +41,8 @@ from .hashing import mix, prefix_sums, range_hash, row_slices, text_bytes
 MARK = "▁"
 #: Distinct words that a worker remembers; beyond that it starts anew.
 MOST_WORDS = 150_000
+#: log2 of the size of the tables that tell most strings from pieces and their beginnings.
+FILTER_BITS = 20
 #: Log-weight of a byte piece.
 BYTE_WEIGHT = -20.0
 _WORD = re.compile(r" *[^ \n]+|\n| +")
@@ -53,12 +56,21 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53
 
 
+def _upper(keys: np.ndarray) -> np.ndarray:
+    """The upper bits of hashes."""
+    return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _small_order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative numbers."""
+    return np.argsort(values.astype(np.uint16) if len(values) and values.max() < 1 << 16 else values, kind="stable")
+
+
 class _Grown:
     """An array that values are added to; its room is doubled when it is full."""
 
-    def __init__(self, dtype: type, *values) -> None:
+    def __init__(self, dtype: type) -> None:
         self.data, self.used = np.zeros(1 << 12, dtype), 0
-        self.add(np.array(values, dtype))
 
     def add(self, values: np.ndarray, over: int = 0) -> np.ndarray:
         """All values after `values` were put in place of the last `over` ones."""
@@ -91,6 +103,12 @@ class Lattices:
         order = np.argsort(keys)
         self.keys, self.ids, self.weights = keys[order], np.array(plain, np.int64)[order], weights[order]
         self.longest = max(map(len, texts))
+        stems = list({t[:i] for t in texts for i in range(1, len(t))})
+        stem_keys = np.array([self._hashes(t, np.array([0]), np.array([len(t)]))[0] for t in stems], np.uint64)
+        # By the upper bits of a key: whether some piece, or the beginning of a longer one, has them.
+        self.may_be_piece, self.may_go_on = (np.zeros(1 << FILTER_BITS, bool) for _ in range(2))
+        self.may_be_piece[_upper(self.keys)] = True
+        self.may_go_on[_upper(stem_keys)] = True
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         if len(self.byte_ids) < 256:
             raise ValueError("the model has no byte pieces")
@@ -105,9 +123,12 @@ class Lattices:
 
     def clear(self) -> None:
         self.words: dict[str, int] = {}
-        self.grown = {n: _Grown(t) for n, t in (("first_state", np.int64), ("cumulative", np.float64), ("log_p", np.float64), ("target", np.int64), ("emits", np.int64))}
+        types = {"first_state": np.int64, "cumulative": np.float64, "log_p": np.float64, "target": np.int64, "emits": np.int64, "first_arc": np.int64}
+        self.grown = getattr(self, "grown", None) or {n: _Grown(t) for n, t in types.items()}
+        for grown in self.grown.values():
+            grown.used = 0  # the room stays
         self.first_state = np.zeros(0, np.int64)  # by word
-        self.grown["first_arc"] = _Grown(np.int64, 0)
+        self.grown["first_arc"].add(np.zeros(1, np.int64))
         self.first_arc = np.zeros(1, np.int64)  # by state, one more at the end
         self.cumulative, self.log_p, self.target, self.emits = (np.zeros(0, t) for t in (np.float64, np.float64, np.int64, np.int64))
         # What arcs emit: ids below the number of pieces stand for themselves, the rest for the bytes of a character.
@@ -121,10 +142,10 @@ class Lattices:
     def numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of words, whose lattices are built where they are new."""
         known = self.words
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = list(dict.fromkeys(itertools.filterfalse(known.__contains__, words)))
         for i in range(0, len(new), 20_000):
             self._build(new[i : i + 20_000])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.array(list(map(known.__getitem__, words)), np.int64)
 
     def _build(self, new: list[str]) -> None:
         text, sizes = "".join(new), np.array([len(w) for w in new])
@@ -132,42 +153,53 @@ class Lattices:
         left = np.repeat(ends, sizes) - np.arange(n)  # characters to the word's end
         sums = prefix_sums(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64))
         starts, lengths, emits, weights = [], [], [], []
+        at = np.arange(n)
         for size in range(1, self.longest + 1):
-            at = np.flatnonzero(left >= size)
+            at = at[left[at] >= size]
             if not len(at):
                 break
             keys = range_hash(sums, at, at + size)
-            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[found] == keys
+            upper = _upper(keys)
+            may = np.flatnonzero(self.may_be_piece[upper])
+            found = np.minimum(np.searchsorted(self.keys, keys[may]), len(self.keys) - 1)
+            is_piece = self.keys[found] == keys[may]
+            hit, found = may[is_piece], found[is_piece]
             if size == 1:
-                for p in at[~hit].tolist():  # no piece: the character's bytes
+                for p in np.delete(at, hit).tolist():  # no piece: the character's bytes
                     starts.append([p])
                     lengths.append([1])
                     emits.append([self._spell(text[p])])
                     weights.append([BYTE_WEIGHT * len(text[p].encode())])
             starts.append(at[hit])
-            lengths.append(np.full(int(hit.sum()), size))
-            emits.append(self.ids[found[hit]])
-            weights.append(self.weights[found[hit]])
+            lengths.append(np.full(len(hit), size))
+            emits.append(self.ids[found])
+            weights.append(self.weights[found])
+            at = at[self.may_go_on[upper]]
         start, length, emit, weight = (np.concatenate(x) for x in (starts, lengths, emits, weights))
         start, length, emit = start.astype(np.int64), length.astype(np.int64), emit.astype(np.int64)
-        # Sums of weights to the word's end, from the states nearest to it on.
-        order = np.lexsort((start, left[start]))
+        order = np.argsort(start, kind="stable")  # runs that are in order, one for each size
         start, length, emit, weight = start[order], length[order], emit[order], weight[order]
-        total = np.zeros(n + 1)
+        counts = np.bincount(start, minlength=n)
+        first = np.cumsum(counts) - counts
         near = left[start]
-        cuts = np.flatnonzero(np.diff(near, prepend=0))
         closing = length == near
+        # Sums of weights to the word's end, from the states nearest to it on.
+        order = _small_order(near)
+        total = np.zeros(n + 1)
+        cuts = np.flatnonzero(np.diff(near[order], prepend=0))
+        starts, closes, goes, weights = start[order], closing[order], (start + length)[order], weight[order]
         for a, b in zip(cuts, np.append(cuts[1:], len(near))):
-            s = start[a:b]
-            value = weight[a:b] + np.where(closing[a:b], 0.0, total[s + length[a:b]])
+            s = starts[a:b]
+            value = weights[a:b] + np.where(closes[a:b], 0.0, total[goes[a:b]])
             begin = np.flatnonzero(np.diff(s, prepend=-1))
             total[s[begin]] = np.logaddexp.reduceat(value, begin)
         log_p = weight + np.where(closing, 0.0, total[start + length]) - total[start]
-        order = np.lexsort((-log_p, start))
-        start, length, emit, log_p, closing = start[order], length[order], emit[order], log_p[order], closing[order]
-        counts = np.bincount(start, minlength=n)
-        first = np.cumsum(counts) - counts
+        order = np.arange(len(start))
+        for c in np.flatnonzero(np.bincount(counts)):
+            if c > 1:  # states with so many arcs, likeliest first
+                arcs = first[counts == c][:, None] + np.arange(c)
+                order[arcs] = np.take_along_axis(arcs, np.argsort(-log_p[arcs], axis=1, kind="stable"), 1)
+        length, emit, log_p, closing = length[order], emit[order], log_p[order], closing[order]
         p = np.exp(log_p)
         cumulative = np.cumsum(p)
         cumulative -= np.repeat(cumulative[first] - p[first], counts)
@@ -248,20 +280,31 @@ def _follow(lat: Lattices, words: np.ndarray, starts: list[tuple]) -> list[_Chai
     return out
 
 
-def _branches(lat: Lattices, chain: _Chain, begin: int, value: float, seed: int, most: int) -> list[tuple[float, int]]:
-    """The largest values of sets that leave the chain at or after `begin`: (value, place in the chain)."""
-    arcs = chain.arcs[begin:]
-    if not len(arcs):
-        return []
+def _branches(lat: Lattices, parts: list[tuple], most: int) -> list[list[tuple[float, int]]]:
+    """For each chain the largest values of sets that leave it at or after some place: (value, place in the chain).
+
+    `parts` has for each chain: the place, its arcs and log-probabilities before from there on, its value and a hash for random numbers.
+    """
+    out: list[list[tuple[float, int]]] = [[] for _ in parts]
+    sizes = np.array([len(p[1]) for p in parts], np.int64)
+    if not sizes.sum():
+        return out
+    begin, value, seed = (np.repeat(np.array([p[i] for p in parts], t), sizes) for i, t in ((0, np.int64), (3, np.float64), (4, np.uint64)))
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    place = begin + np.arange(cuts[-1]) - np.repeat(cuts[:-1], sizes)
+    arcs, before = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     with np.errstate(divide="ignore"):
         rest = np.log(-np.expm1(lat.log_p[arcs]))
-        noise = np.log(-np.log(_uniform(np.uint64(seed) + mix(np.arange(begin, begin + len(arcs), dtype=np.uint64)))))
-    values = -np.logaddexp(noise - (chain.before[begin:] + rest), -value)
-    best = np.argpartition(-values, most - 1)[:most] if len(values) > most else np.arange(len(values))
+        noise = np.log(-np.log(_uniform(seed + mix(place.astype(np.uint64)))))
+    values = -np.logaddexp(noise - (before + rest), -value)
+    best = [a + (np.argpartition(-values[a:b], most - 1)[:most] if b - a > most else np.arange(b - a)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    at, own = np.concatenate(best), np.repeat(np.arange(len(parts)), [len(x) for x in best])
     # A state with one arc has nothing else.
-    state = np.searchsorted(lat.first_arc, arcs[best], "right") - 1
-    alone = lat.first_arc[state + 1] - lat.first_arc[state] == 1
-    return [(float(values[i]), begin + int(i)) for i, one in zip(best, alone) if not one and np.isfinite(values[i])]
+    state = np.searchsorted(lat.first_arc, arcs[at], "right") - 1
+    goes = (lat.first_arc[state + 1] - lat.first_arc[state] > 1) & np.isfinite(values[at])
+    for i, v, x in zip(own[goes].tolist(), values[at[goes]].tolist(), place[at[goes]].tolist()):
+        out[i].append((v, x))
+    return out
 
 
 def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int = 0) -> list[list[tuple]]:
@@ -273,23 +316,28 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int, seed:
     ends = np.cumsum(np.array([len(ws) for ws in split], np.int64))
     bounds = list(zip((ends - [len(ws) for ws in split]).tolist(), ends.tolist()))
     roots = mix(np.array([key & (1 << 64) - 1 for key in keys], np.uint64) + mix(np.full(1, seed, np.uint64)))
-    draw = lambda i, turn, what: int(mix(roots[i : i + 1] + mix(np.array([turn * 4 + what], np.uint64)))[0])
-    single = lambda h: float(_uniform(np.array([h], np.uint64))[0])
+    draws = lambda turn, what: mix(roots + mix(np.array([turn * 4 + what], np.uint64)))
     chains: list[list[_Chain]] = [[] for _ in texts]
     queues: list[list] = [[] for _ in texts]
-    todo = [(i, bounds[i][0], -1, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0.0, -float(np.log(-np.log(single(draw(i, 0, 1)))))) for i in range(len(texts))]
+    none = np.zeros(0, np.int64)
+    todo = [(i, a, -1, none, none, np.zeros(0), 0.0, -g) for i, ((a, _), g) in enumerate(zip(bounds, np.log(-np.log(_uniform(draws(0, 1)))).tolist()))]
     for turn in range(k):
-        found = _follow(lat, words, [(word, bounds[i][1], state, (bounds[i][0],), draw(i, turn, 0), log_p) for i, word, state, *_, log_p, _ in todo])
-        for (i, *_, arcs, own, before, _, value), chain in zip(todo, found):
-            begin = len(arcs)
-            chain.arcs, chain.words, chain.before = np.append(arcs, chain.arcs), np.append(own, chain.words), np.append(before, chain.before)
+        if not todo:
+            break
+        steps, leaving = draws(turn, 0), draws(turn, 2)
+        found = _follow(lat, words, [(word, bounds[i][1], state, (bounds[i][0],), steps[i], log_p) for i, word, state, *_, log_p, _ in todo])
+        branches = _branches(lat, [(len(arcs), chain.arcs, chain.before, value, leaving[i]) for (i, *_, arcs, _, _, _, value), chain in zip(todo, found)], k)
+        for (i, *_, arcs, own, before, _, value), chain, sets in zip(todo, found, branches):
+            if len(arcs):
+                chain.arcs, chain.words, chain.before = np.append(arcs, chain.arcs), np.append(own, chain.words), np.append(before, chain.before)
             chain.value = value
-            for v, at in _branches(lat, chain, begin, value, draw(i, turn, 2), k):
+            for v, at in sets:
                 heapq.heappush(queues[i], (-v, turn, at, (int(chain.arcs[at]),)))
             chains[i].append(chain)
         todo = []
         if turn == k - 1:
             break
+        choice, gumbel = _uniform(draws(turn + 1, 3)).tolist(), np.log(-np.log(_uniform(draws(turn + 1, 1)))).tolist()
         for i, queue in enumerate(queues):
             if not queue:
                 continue
@@ -298,13 +346,12 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int, seed:
             state = int(np.searchsorted(lat.first_arc, taken[0], "right")) - 1
             arcs = [a for a in range(int(lat.first_arc[state]), int(lat.first_arc[state + 1])) if a not in taken]
             p = np.cumsum(np.exp(lat.log_p[arcs]))
-            pick = min(int(np.searchsorted(p, single(draw(i, turn + 1, 3)) * p[-1])), len(arcs) - 1)
+            pick = min(int(np.searchsorted(p, choice[i] * p[-1])), len(arcs) - 1)
             arc, rest = arcs[pick], [a for a in arcs if a != arcs[pick]]
             before = float(chain.before[at])
             if rest:
                 mass = float(np.logaddexp.reduce(lat.log_p[rest]))
-                noise = np.log(-np.log(single(draw(i, turn + 1, 1))))
-                heapq.heappush(queue, (float(np.logaddexp(noise - (before + mass), value)), of, at, (*taken, arc)))
+                heapq.heappush(queue, (float(np.logaddexp(gumbel[i] - (before + mass), value)), of, at, (*taken, arc)))
             word, goes = int(chain.words[at]), int(lat.target[arc])
             todo.append((i, word if goes >= 0 else word + 1, goes, np.append(chain.arcs[:at], arc), chain.words[: at + 1], chain.before[: at + 1], before + float(lat.log_p[arc]), -value))
     out = []

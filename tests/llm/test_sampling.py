@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch.llm import sampling
 from kinmatch.llm.sampling import Lattices, decode, sample_segmentations, sample_texts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -69,6 +70,22 @@ def test_all_segmentations_of_a_short_text():
     assert [len(s) for s in sample_texts(lat, ["", "a"], [1, 1], 3)][0] == 1
 
 
+def test_random_numbers_are_drawn_for_all_texts_at_once(monkeypatch):
+    """The number of calls of the hash depends on the turns and the longest word, not on the number of texts."""
+    calls, plain = [], sampling.mix
+    monkeypatch.setattr(sampling, "mix", lambda x: calls.append(len(x)) or plain(x))
+    lat = Lattices(MODEL)
+    calls.clear()
+    found = sample_texts(lat, [f"some words of text {i}" for i in range(200)], list(range(200)), 2)
+    assert len(found) == 200 and len(calls) < 100
+    # The order in which texts come, and what is remembered of others, change nothing.
+    again = sample_texts(lat, [f"some words of text {i}" for i in range(199, -1, -1)], list(range(199, -1, -1)), 2)[::-1]
+    lat.clear()
+    fresh = [s for i in range(5) for s in sample_texts(lat, [f"some words of text {i}"], [i], 2)]
+    assert [[s[3] for s in r] for r in again] == [[s[3] for s in r] for r in found]
+    assert [[s[3] for s in r] for r in fresh] == [[s[3] for s in r] for r in found[:5]]
+
+
 def test_round_trip(spark):
     texts = ["", " ", "  two  blanks\n\n and\ttabs \n", "▁ mark ▁▁", "é 漢字 👍🏽 ́", "x" * 3000 + " long " * 5000, None, "<s> <0x41> </s>"]
     df = spark.createDataFrame([(i, t, 1, "") for i, t in enumerate(texts)] + [(None, "no key", 1, ""), (3, texts[3], 1, "")], "doc_id long, text string, sample int, ids string")
