@@ -27,8 +27,6 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
-import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +35,17 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 from .hashing import mix, prefix_sums, range_hash, row_slices, text_bytes
+from .words import Numbered
 
 MARK = "▁"
-#: Distinct words that a worker remembers; beyond that it starts anew.
-MOST_WORDS = 150_000
+#: Distinct words that a worker remembers; beyond that it keeps the most used half, of words met more than once.
+MOST_WORDS = 200_000
+#: New words whose lattices are built at once.
+NEW_WORDS = 2_000
 #: log2 of the size of the tables that tell most strings from pieces and their beginnings.
 FILTER_BITS = 20
 #: Log-weight of a byte piece.
 BYTE_WEIGHT = -20.0
-_WORD = re.compile(r" *[^ \n]+|\n| +")
 _HELD: dict[tuple, Lattices] = {}
 
 SAMPLES = "key long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids binary"
@@ -61,11 +61,35 @@ def _upper(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts that a blank is put before, and how many each text has; empty texts have none.
+
+    A word is a run of other characters with the blanks before it, a line break, or blanks that nothing follows.
+    """
+    parts = [(" " + t).encode() if t else b"" for t in texts]
+    joined = b"".join(parts)
+    data, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(p) for p in parts], dtype=np.int64)
+    blank, line = data == 32, data == 10
+    begins = line | blank
+    begins[1:] &= line[1:] | ~blank[:-1]
+    begins[1:] |= line[:-1]
+    begins[ends[:-1][ends[:-1] < len(data)]] = True
+    starts = np.flatnonzero(begins)
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(joined)), counts
+
+
 def _small_order(values: np.ndarray) -> np.ndarray:
     """Stable order of small non-negative numbers."""
     return np.argsort(values.astype(np.uint16) if len(values) and values.max() < 1 << 16 else values, kind="stable")
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class _Grown:
     """An array that values are added to; its room is doubled when it is full."""
 
@@ -99,16 +123,19 @@ class Lattices:
         ranks = np.all(scores == np.round(scores)) and scores.min() <= -len(plain) / 2
         weights = alpha * (-np.log(1 - scores) if ranks else scores)
         texts = [model.id_to_piece(i).replace(MARK, " ") for i in plain]
-        keys = np.array([self._hashes(t, np.array([0]), np.array([len(t)]))[0] for t in texts], np.uint64)
+        keys = self._hashes(texts)
         order = np.argsort(keys)
         self.keys, self.ids, self.weights = keys[order], np.array(plain, np.int64)[order], weights[order]
+        # By the upper bits of a key: the first piece with no smaller ones; and the most pieces with the same.
+        upper = _upper(self.keys)
+        self.first_key = np.minimum(np.searchsorted(upper, np.arange(1 << FILTER_BITS)), len(upper) - 1).astype(np.int32)
+        self.most_alike = int(np.bincount(upper).max())
         self.longest = max(map(len, texts))
         stems = list({t[:i] for t in texts for i in range(1, len(t))})
-        stem_keys = np.array([self._hashes(t, np.array([0]), np.array([len(t)]))[0] for t in stems], np.uint64)
         # By the upper bits of a key: whether some piece, or the beginning of a longer one, has them.
         self.may_be_piece, self.may_go_on = (np.zeros(1 << FILTER_BITS, bool) for _ in range(2))
-        self.may_be_piece[_upper(self.keys)] = True
-        self.may_go_on[_upper(stem_keys)] = True
+        self.may_be_piece[upper] = True
+        self.may_go_on[_upper(self._hashes(stems))] = True
         self.byte_ids = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         if len(self.byte_ids) < 256:
             raise ValueError("the model has no byte pieces")
@@ -122,30 +149,61 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        types = {"first_state": np.int64, "cumulative": np.float64, "log_p": np.float64, "target": np.int64, "emits": np.int64, "first_arc": np.int64}
+        self.words, self.uses = Numbered(), np.zeros(0, np.int64)
+        types = {"first_state": np.int64, "cumulative": np.float64, "log_p": np.float64, "target": np.int32, "emits": np.int32, "first_arc": np.int64}
         self.grown = getattr(self, "grown", None) or {n: _Grown(t) for n, t in types.items()}
         for grown in self.grown.values():
             grown.used = 0  # the room stays
         self.first_state = np.zeros(0, np.int64)  # by word
         self.grown["first_arc"].add(np.zeros(1, np.int64))
         self.first_arc = np.zeros(1, np.int64)  # by state, one more at the end
-        self.cumulative, self.log_p, self.target, self.emits = (np.zeros(0, t) for t in (np.float64, np.float64, np.int64, np.int64))
+        self.cumulative, self.log_p, self.target, self.emits = (np.zeros(0, t) for t in (np.float64, np.float64, np.int32, np.int32))
         # What arcs emit: ids below the number of pieces stand for themselves, the rest for the bytes of a character.
         self.spelled: dict[str, int] = {}
         self.spellings: list[list[int]] = []
 
     @staticmethod
-    def _hashes(text: str, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return range_hash(prefix_sums(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)), start, stop)
+    def _hashes(texts: list[str]) -> np.ndarray:
+        stop = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        sums = prefix_sums(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64))
+        return range_hash(sums, np.concatenate(([0], stop))[:-1], stop)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: pa.Array) -> np.ndarray:
         """Numbers of words, whose lattices are built where they are new."""
-        known = self.words
-        new = list(dict.fromkeys(itertools.filterfalse(known.__contains__, words)))
-        for i in range(0, len(new), 20_000):
-            self._build(new[i : i + 20_000])
-        return np.array(list(map(known.__getitem__, words)), np.int64)
+        encoded = words.dictionary_encode()
+        distinct = encoded.dictionary.to_pylist()
+        found = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[encoded.indices.to_numpy()]
+        new, self.words.new = self.words.new, []
+        for i in range(0, len(new), NEW_WORDS):
+            self._build(new[i : i + NEW_WORDS])
+        uses = np.bincount(found, minlength=len(self.words))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        return found
+
+    def forget(self, most: int) -> None:
+        """Keep the `most` most used words at most, none that was met once; their uses count half from now on."""
+        texts, uses = list(self.words), self.uses
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[:most]])
+        # Words have their states, and states their arcs, side by side and in order.
+        states = np.append(self.first_state, len(self.first_arc) - 1)
+        state_counts = states[kept + 1] - states[kept]
+        state = _ranges(states[kept], state_counts)
+        arc_counts = self.first_arc[state + 1] - self.first_arc[state]
+        arc = _ranges(self.first_arc[state], arc_counts)
+        moved = np.zeros(len(self.first_arc), np.int32)
+        moved[state] = np.arange(len(state))
+        target, emits, cumulative, log_p = self.target[arc], self.emits[arc], self.cumulative[arc], self.log_p[arc]
+        spelled, spellings, grown = self.spelled, self.spellings, self.grown
+        self.clear()
+        self.spelled, self.spellings, self.uses = spelled, spellings, (uses[kept] + 1) // 2
+        self.words.update((texts[i], n) for n, i in enumerate(kept.tolist()))
+        self.first_state = grown["first_state"].add(np.cumsum(state_counts) - state_counts)
+        self.first_arc = grown["first_arc"].add(np.cumsum(arc_counts), over=0)
+        self.target = grown["target"].add(np.where(target < 0, target, moved[target]))
+        self.emits, self.cumulative, self.log_p = grown["emits"].add(emits), grown["cumulative"].add(cumulative), grown["log_p"].add(log_p)
 
     def _build(self, new: list[str]) -> None:
         text, sizes = "".join(new), np.array([len(w) for w in new])
@@ -161,23 +219,28 @@ class Lattices:
             keys = range_hash(sums, at, at + size)
             upper = _upper(keys)
             may = np.flatnonzero(self.may_be_piece[upper])
-            found = np.minimum(np.searchsorted(self.keys, keys[may]), len(self.keys) - 1)
-            is_piece = self.keys[found] == keys[may]
-            hit, found = may[is_piece], found[is_piece]
+            found, wanted = self.first_key[upper[may]], keys[may]
+            is_piece = self.keys[found] == wanted
+            for _ in range(self.most_alike - 1):
+                miss = np.flatnonzero(~is_piece)
+                found[miss] = np.minimum(found[miss] + 1, len(self.keys) - 1)
+                is_piece[miss] = self.keys[found[miss]] == wanted[miss]
+            may, found = may[is_piece], found[is_piece]
+            hit = at[may]
             if size == 1:
-                for p in np.delete(at, hit).tolist():  # no piece: the character's bytes
+                for p in np.delete(at, may).tolist():  # no piece: the character's bytes
                     starts.append([p])
                     lengths.append([1])
                     emits.append([self._spell(text[p])])
                     weights.append([BYTE_WEIGHT * len(text[p].encode())])
-            starts.append(at[hit])
+            starts.append(hit)
             lengths.append(np.full(len(hit), size))
             emits.append(self.ids[found])
             weights.append(self.weights[found])
             at = at[self.may_go_on[upper]]
         start, length, emit, weight = (np.concatenate(x) for x in (starts, lengths, emits, weights))
         start, length, emit = start.astype(np.int64), length.astype(np.int64), emit.astype(np.int64)
-        order = np.argsort(start, kind="stable")  # runs that are in order, one for each size
+        order = _small_order(start)
         start, length, emit, weight = start[order], length[order], emit[order], weight[order]
         counts = np.bincount(start, minlength=n)
         first = np.cumsum(counts) - counts
@@ -194,18 +257,14 @@ class Lattices:
             begin = np.flatnonzero(np.diff(s, prepend=-1))
             total[s[begin]] = np.logaddexp.reduceat(value, begin)
         log_p = weight + np.where(closing, 0.0, total[start + length]) - total[start]
-        order = np.arange(len(start))
+        order, cumulative = np.arange(len(start)), np.ones(len(start))
         for c in np.flatnonzero(np.bincount(counts)):
             if c > 1:  # states with so many arcs, likeliest first
                 arcs = first[counts == c][:, None] + np.arange(c)
-                order[arcs] = np.take_along_axis(arcs, np.argsort(-log_p[arcs], axis=1, kind="stable"), 1)
+                order[arcs] = best = np.take_along_axis(arcs, np.argsort(-log_p[arcs], axis=1, kind="stable"), 1)
+                cumulative[arcs[:, :-1]] = np.cumsum(np.exp(log_p[best[:, :-1]]), axis=1)
         length, emit, log_p, closing = length[order], emit[order], log_p[order], closing[order]
-        p = np.exp(log_p)
-        cumulative = np.cumsum(p)
-        cumulative -= np.repeat(cumulative[first] - p[first], counts)
-        cumulative[first + counts - 1] = 1.0
         state, arc = len(self.first_arc) - 1, len(self.target)
-        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
         grown = self.grown
         self.first_state = grown["first_state"].add(state + ends - sizes)
         self.first_arc = grown["first_arc"].add(np.append(arc + first, arc + len(start)), over=1)
@@ -296,13 +355,14 @@ def _branches(lat: Lattices, parts: list[tuple], most: int) -> list[list[tuple[f
     with np.errstate(divide="ignore"):
         rest = np.log(-np.expm1(lat.log_p[arcs]))
         noise = np.log(-np.log(_uniform(seed + mix(place.astype(np.uint64)))))
-    values = -np.logaddexp(noise - (before + rest), -value)
-    best = [a + (np.argpartition(-values[a:b], most - 1)[:most] if b - a > most else np.arange(b - a)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    below = noise - (before + rest)  # the less, the larger the value
+    best = [a + (np.argpartition(below[a:b], most - 1)[:most] if b - a > most else np.arange(b - a)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     at, own = np.concatenate(best), np.repeat(np.arange(len(parts)), [len(x) for x in best])
     # A state with one arc has nothing else.
+    values = -np.logaddexp(below[at], -value[at])
     state = np.searchsorted(lat.first_arc, arcs[at], "right") - 1
-    goes = (lat.first_arc[state + 1] - lat.first_arc[state] > 1) & np.isfinite(values[at])
-    for i, v, x in zip(own[goes].tolist(), values[at[goes]].tolist(), place[at[goes]].tolist()):
+    goes = (lat.first_arc[state + 1] - lat.first_arc[state] > 1) & np.isfinite(values)
+    for i, v, x in zip(own[goes].tolist(), values[goes].tolist(), place[at[goes]].tolist()):
         out[i].append((v, x))
     return out
 
@@ -310,11 +370,11 @@ def _branches(lat: Lattices, parts: list[tuple], most: int) -> list[list[tuple[f
 def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int, seed: int = 0) -> list[list[tuple]]:
     """For each text up to k tuples (log_prob, perturbed, log_inclusion, packed ids), largest perturbed value first."""
     if len(lat.words) > MOST_WORDS:
-        lat.clear()
-    split = [_WORD.findall(" " + t) if t else [] for t in texts]
-    words = lat.numbers([w for ws in split for w in ws])
-    ends = np.cumsum(np.array([len(ws) for ws in split], np.int64))
-    bounds = list(zip((ends - [len(ws) for ws in split]).tolist(), ends.tolist()))
+        lat.forget(MOST_WORDS // 2)
+    words, counts = words_of(texts)
+    words = lat.numbers(words)
+    ends = np.cumsum(counts)
+    bounds = list(zip((ends - counts).tolist(), ends.tolist()))
     roots = mix(np.array([key & (1 << 64) - 1 for key in keys], np.uint64) + mix(np.full(1, seed, np.uint64)))
     draws = lambda turn, what: mix(roots + mix(np.array([turn * 4 + what], np.uint64)))
     chains: list[list[_Chain]] = [[] for _ in texts]

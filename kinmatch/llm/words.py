@@ -24,7 +24,7 @@ def _is_plain_word(word: str) -> bool:
     return word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250")
 
 
-class _Numbered(dict):
+class Numbered(dict):
     """Numbers new words as they are asked for."""
 
     def __init__(self) -> None:
@@ -66,7 +66,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.words, self.starts, self.counts, self.pool, self.used = _Numbered(), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, self.dtype), 0
+        self.words, self.starts, self.counts, self.pool, self.used = Numbered(), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, self.dtype), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -86,6 +86,18 @@ def test_random_numbers_are_drawn_for_all_texts_at_once(monkeypatch):
     assert [[s[3] for s in r] for r in fresh] == [[s[3] for s in r] for r in found[:5]]
 
 
+def test_words_met_often_are_kept(monkeypatch):
+    built, build = [], Lattices._build
+    monkeypatch.setattr(Lattices, "_build", lambda self, new: (built.extend(new), build(self, new)))
+    texts = [f"the common word{i} wörd{i * 7} \u4e00{i} the\n  of" for i in range(60)]
+    expected = [sample_texts(Lattices(MODEL), [t], [i], 2)[0] for i, t in enumerate(texts)]
+    built.clear()
+    monkeypatch.setattr(sampling, "MOST_WORDS", 20)
+    lat = Lattices(MODEL)
+    assert [sample_texts(lat, [t], [i], 2)[0] for i, t in enumerate(texts)] == expected
+    assert built.count(" the") == built.count(" common") == 1 and len(lat.words) < 30
+
+
 def test_round_trip(spark):
     texts = ["", " ", "  two  blanks\n\n and\ttabs \n", "▁ mark ▁▁", "é 漢字 👍🏽 ́", "x" * 3000 + " long " * 5000, None, "<s> <0x41> </s>"]
     df = spark.createDataFrame([(i, t, 1, "") for i, t in enumerate(texts)] + [(None, "no key", 1, ""), (3, texts[3], 1, "")], "doc_id long, text string, sample int, ids string")
