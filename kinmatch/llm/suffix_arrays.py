@@ -125,19 +125,24 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return _induce(text, small, leftmost, first, last)
 
 
-def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 127) -> np.ndarray:
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 127, least: int = 0) -> np.ndarray:
     """For each place of the text, how far its suffix agrees with the one before it in order, `most` at most.
 
-    `most` is a power of two less one; prefixes are compared by their hashes, by halving lengths.
+    Less than `least` counts as 0. Prefixes are compared by their hashes, by halving lengths.
     """
     n = len(text)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     at = np.flatnonzero(before >= 0)
     other, sums = before[at], prefix_sums(text)
-    agreed, step = np.zeros(len(at), np.int64), (most + 1) // 2
+    if least:  # one look at most places
+        fits = np.flatnonzero(np.maximum(at, other) + least <= n)
+        a, b = at[fits], other[fits]
+        fits = fits[range_hash(sums, a, a + least) == range_hash(sums, b, b + least)]
+        at, other = at[fits], other[fits]
+    agreed, step = np.full(len(at), least), 1 << (most - least).bit_length() >> 1
     while step:
-        fits = np.maximum(at, other) + agreed + step <= n
+        fits = (np.maximum(at, other) + agreed + step <= n) & (agreed + step <= most)
         a, b = at[fits] + agreed[fits], other[fits] + agreed[fits]
         agreed[np.flatnonzero(fits)[range_hash(sums, a, a + step) == range_hash(sums, b, b + step)]] += step
         step //= 2
@@ -149,7 +154,7 @@ def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int = 12
 def repeats_earlier(text: np.ndarray, length: int) -> np.ndarray:
     """For each place, whether the `length` (127 at most) symbols from there also start at an earlier place."""
     order = suffix_array(text)
-    alike = permuted_common_prefixes(text, order)[order] >= length
+    alike = permuted_common_prefixes(text, order, least=length)[order] >= length
     out = np.zeros(len(text), bool)
     if len(text):
         begins = np.flatnonzero(~alike)

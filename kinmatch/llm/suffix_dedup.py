@@ -11,9 +11,10 @@ A byte goes if it is covered by a string of `LENGTH` bytes that also starts earl
 3. Different stretches of one anchor go to one shard. Its suffix array is built by induced
    sorting, with permuted common prefixes, and of each class of suffixes that
    agree in `LENGTH` bytes all but the earliest are repeats.
-4. Anchors with more than `MOST_STRETCHES` different stretches (the edge of a passage that
-   very many documents share) are dealt out window by window instead, so that no task
-   gets one whole.
+4. Anchors with more than `MOST_STRETCHES` different stretches (a common phrase, or the edge of a passage
+   that very many documents share) are dealt out again by anchors of `FINER` bytes, by the same steps: what
+   surrounds a phrase tells most of its places apart. Where a longer anchor still has as many,
+   its windows are dealt out one by one, so that no task gets one whole.
 
 Defined cases: null text is empty; matches never cross documents; a text of fewer than `LENGTH` bytes
 stays whole; a null id counts as the smallest; rows with equal ids are ordered
@@ -27,22 +28,27 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lookup, slot_bitmaps, whole_text
+from .common import checkpoint, in_filter, lookup, slot_bitmaps, whole_text
 from .hashing import powers, prefix_sums, mix, range_hash, row_slices, text_bytes
 from .suffix_arrays import repeats_earlier
 
 LENGTH = 100
 GRAM = 32
+#: Bytes of the anchors that very frequent ones are dealt out by.
+FINER = 72
 #: log2 of the bit table's size: 16 MB.
 TABLE_BITS = 27
 MOST_STRETCHES = 2000
 #: Bytes of text for one suffix array.
 SHARD_BYTES = 1 << 18
+#: Bytes of text whose stretches are found at once; their arrays stay in a core's cache.
+SLICE_BYTES = 1 << 17
 #: Spreads the places within one document over the bit table.
 STEP = 40_503
+STRETCH = "anchor long, stretch long, doc long, tie long, start long, n long"
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -87,7 +93,7 @@ def _anchors(batches):
     for batch in batches:
         texts = batch.column("text")
         _, offsets = text_bytes(texts)
-        for a, b in row_slices(offsets):
+        for a, b in row_slices(offsets, SLICE_BYTES):
             data, at = text_bytes(texts.slice(a, b - a))
             hashes, row, start, n = stretches(data, at)
             hashes = hashes[own_hashes(data, row, start, n)[1]]
@@ -98,6 +104,14 @@ def _is_set(flags: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
+def _cut(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The bytes of stretches."""
+    size = n + LENGTH - 1
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    flat = data[np.repeat(start - ends[:-1], size) + np.arange(int(ends[-1]))]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
 def _gather(anchors, bits: int, places=None):
     """The first of equal stretches of each row, if its anchor is in a bit table; with a table of places, only those there, with their bytes."""
     fields = [(c, pa.int64()) for c in ("anchor", "stretch", "doc", "tie", "start", "n")]
@@ -108,7 +122,7 @@ def _gather(anchors, bits: int, places=None):
         for batch in batches:
             texts, doc, tie = batch.column("text"), batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
             _, offsets = text_bytes(texts)
-            for a, b in row_slices(offsets):
+            for a, b in row_slices(offsets, SLICE_BYTES):
                 data, at = text_bytes(texts.slice(a, b - a))
                 hashes, row, start, n = stretches(data, at)
                 own, kept = own_hashes(data, row, start, n)
@@ -122,15 +136,26 @@ def _gather(anchors, bits: int, places=None):
                 columns = [hashes.view(np.int64), own.view(np.int64), doc[a:b][row], tie[a:b][row], inside, n]
                 arrays = [pa.array(c) for c in columns]
                 if places:
-                    size = n + LENGTH - 1
-                    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                    flat = data[np.repeat(start - ends[:-1], size) + np.arange(int(ends[-1]))]
-                    arrays.append(pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
+                    arrays.append(_cut(data, start, n))
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
+def _finer(batches):
+    """Stretches by longer anchors, from those by shorter ones."""
+    schema = pa.schema([*[(c, pa.int64()) for c in ("anchor", "stretch", "doc", "tie", "start", "n")], ("bytes", pa.binary())])
+    for batch in batches:
+        texts, doc, tie, first = batch.column("bytes"), *[batch.column(c).to_numpy() for c in ("doc", "tie", "start")]
+        _, offsets = text_bytes(texts)
+        for a, b in row_slices(offsets, SLICE_BYTES):
+            data, at = text_bytes(texts.slice(a, b - a))
+            hashes, row, start, n = stretches(data, at, gram=FINER)
+            own = range_hash(prefix_sums(data), start, start + n + LENGTH - 1)
+            columns = [hashes.view(np.int64), own.view(np.int64), doc[a:b][row], tie[a:b][row], first[a:b][row] + start - at[row], n]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _cut(data, start, n)], schema=schema)
+
+
 def shard_repeats(stretch_rows: list[tuple], length: int = LENGTH) -> list[tuple]:
     """Ranges (doc, tie, start, stop) of repeats in stretches (doc, tie, start, bytes), each from its earliest place."""
     rows = sorted(stretch_rows, key=lambda r: r[:3])
@@ -194,29 +219,59 @@ def repeated_ranges(texts: DataFrame, bits: int = TABLE_BITS, most: int = MOST_S
     mask = F.lit((1 << bits) - 1).cast("long")
     often = texts.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     anchors = _bit_table(often.select(F.col("anchor").bitwiseAND(mask).alias("slot")), bits)
-    place = "anchor long, stretch long, doc long, tie long, start long, n long"
-    found = texts.mapInArrow(_gather(anchors, bits), place)
-    first = F.struct("doc", "tie", "start")
-    merged = checkpoint(found.groupBy("anchor", "stretch").agg(F.min(first).alias("first"), F.count("*").alias("copies")))
-    # All but the earliest of equal stretches.
-    several = merged.where("copies > 1").select(F.struct("anchor", "stretch").alias("key"), "first", "copies")
-    later = lookup(found.select(F.struct("anchor", "stretch").alias("key"), "doc", "tie", "start", "n"), several, "key", "copies")
-    later = later.where(F.col("first").isNotNull() & (first != F.col("first")))
-    ranges = later.select("doc", "tie", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
-    # Different stretches of one anchor, each at its earliest place.
-    counts = merged.groupBy("anchor").agg(F.count("*").alias("stretches")).where("stretches > 1")
-    chosen = lookup(merged, counts, "anchor", "stretches").where("stretches is not null").select("anchor", "stretch", "first", "stretches")
-    chosen = checkpoint(chosen)
+    found = texts.mapInArrow(_gather(anchors, bits), STRETCH)
+    merged = checkpoint(_merged(found))
+    chosen = checkpoint(_different(merged))
     slot = F.col("first.tie").bitwiseXOR(F.col("first.start") * STEP).bitwiseAND(mask)
 
-    def with_bytes(part: DataFrame) -> DataFrame:
+    def with_bytes(part: DataFrame, rows: DataFrame) -> DataFrame:
         places = _bit_table(part.select(slot.alias("slot")), bits)
-        return texts.mapInArrow(_gather(anchors, bits, places), f"{place}, bytes binary").join(part, ["anchor", "stretch"]).where(first == F.col("first"))
+        return _at_first(rows.mapInArrow(_gather(anchors, bits, places), f"{STRETCH}, bytes binary"), part)
 
     few, many = chosen.where(F.col("stretches") <= most), chosen.where(F.col("stretches") > most)
-    sharded = with_bytes(few).repartition("anchor").sortWithinPartitions("anchor", "stretch")
-    ranges = ranges.unionByName(sharded.select("anchor", "stretch", "doc", "tie", "start", "bytes").mapInArrow(_shards, "doc long, tie long, start long, stop long"))
-    return ranges if many.isEmpty() else ranges.unionByName(_by_window(with_bytes(many)))
+    ranges = _copies(found, merged).unionByName(_sharded(with_bytes(few, texts)))
+    if many.isEmpty():
+        return ranges
+    parts = with_bytes(many, in_filter(texts, "tie", many.select("first.tie"))).select("doc", "tie", "start", "bytes")
+    parts = checkpoint(parts.mapInArrow(_finer, f"{STRETCH}, bytes binary"))
+    merged = checkpoint(_merged(parts))
+    chosen = checkpoint(_different(merged))
+    few, many = (_at_first(parts, chosen.where(c)) for c in (F.col("stretches") <= most, F.col("stretches") > most))
+    ranges = ranges.unionByName(_copies(parts, merged)).unionByName(_sharded(few))
+    return ranges if many.isEmpty() else ranges.unionByName(_by_window(many))
+
+
+def _place() -> Column:
+    return F.struct("doc", "tie", "start")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """Equal stretches of an anchor: the earliest place and the number of places."""
+    return found.groupBy("anchor", "stretch").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"))
+
+
+def _copies(found: DataFrame, merged: DataFrame) -> DataFrame:
+    """Ranges of all but the earliest of equal stretches."""
+    several = merged.where("copies > 1").select(F.struct("anchor", "stretch").alias("key"), "first", "copies")
+    later = lookup(found.select(F.struct("anchor", "stretch").alias("key"), "doc", "tie", "start", "n"), several, "key", "copies")
+    later = later.where(F.col("first").isNotNull() & (_place() != F.col("first")))
+    return later.select("doc", "tie", "start", (F.col("start") + F.col("n") + (LENGTH - 1)).alias("stop"))
+
+
+def _different(merged: DataFrame) -> DataFrame:
+    """Different stretches of one anchor, each at its earliest place."""
+    counts = merged.groupBy("anchor").agg(F.count("*").alias("stretches")).where("stretches > 1")
+    return lookup(merged, counts, "anchor", "stretches").where("stretches is not null").select("anchor", "stretch", "first", "stretches")
+
+
+def _at_first(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    return found.join(chosen, ["anchor", "stretch"]).where(_place() == F.col("first"))
+
+
+def _sharded(several: DataFrame) -> DataFrame:
+    """Ranges of repeats among different stretches of one anchor, by suffix arrays."""
+    dealt = several.select("anchor", "stretch", "doc", "tie", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor", "stretch")
+    return dealt.mapInArrow(_shards, "doc long, tie long, start long, stop long")
 
 
 def _by_window(several: DataFrame) -> DataFrame:
@@ -225,9 +280,8 @@ def _by_window(several: DataFrame) -> DataFrame:
     windows = several.select("doc", "tie", "start", "bytes", at)
     window = F.substring(F.col("bytes"), (F.col("at") + 1).cast("int"), F.lit(LENGTH))
     windows = windows.select("doc", "tie", (F.col("start") + F.col("at")).alias("start"), F.sha2(window, 256).alias("window"))
-    place = F.struct("doc", "tie", "start")
-    earliest = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = lookup(windows, earliest, "window", "n").where(F.col("first").isNotNull() & (place != F.col("first")))
+    earliest = windows.groupBy("window").agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = lookup(windows, earliest, "window", "n").where(F.col("first").isNotNull() & (_place() != F.col("first")))
     return later.select("doc", "tie", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
@@ -236,7 +290,7 @@ def _without(batches):
     for batch in batches:
         texts, starts, stops = batch.column("text"), batch.column("starts"), batch.column("stops")
         data, offsets = text_bytes(texts)
-        for a, b in row_slices(offsets):
+        for a, b in row_slices(offsets, SLICE_BYTES):
             part, at = text_bytes(texts.slice(a, b - a))
             _, row, start, n = stretches(part, at)
             again = ~own_hashes(part, row, start, n)[1]

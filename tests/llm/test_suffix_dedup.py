@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch.llm import suffix_dedup
 from kinmatch.llm.suffix_arrays import repeats_earlier, suffix_array
 from kinmatch.llm.suffix_dedup import without_repeats
 
@@ -82,6 +83,21 @@ def test_repeated_rows_that_share_a_passage(documents, most):
     assert {r.n_removed for r in got.where("doc_id = 0").collect()} == {0}
 
 
+def test_a_common_phrase_is_not_dealt_out_window_by_window(documents, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, around = text(64), text(60)
+    rows = [(i, text(200) + phrase + text(200)) for i in range(30)]
+    rows += [(40 + i, text(150) + around + phrase + text(100)) for i in range(2)] + [(50, rows[3][1][120:330])]
+
+    def by_window(several):
+        raise AssertionError("no longer anchor has that many stretches")
+
+    monkeypatch.setattr(suffix_dedup, "_by_window", by_window)
+    got = result(without_repeats(documents(*rows).repartition(3), most=3))
+    assert got == by_hand(rows) and got[41][1] > 0 and got[50][1] == 210
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
