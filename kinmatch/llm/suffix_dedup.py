@@ -66,18 +66,18 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:windows], least[grams - span : grams - span + windows])
-    inside = np.zeros(len(data) + 1, np.int64)
-    fits = np.diff(offsets) >= length
-    np.add.at(inside, offsets[:-1][fits], 1)
-    np.add.at(inside, offsets[1:][fits] - length + 1, -1)
-    window = np.flatnonzero(np.cumsum(inside[:windows]) > 0)
-    anchor = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(window), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
-    start = window[new]
-    count = np.diff(np.append(np.flatnonzero(new), len(window)))
+    anchor = least.astype(np.uint32)  # the lower half
+    new = np.ones(windows, bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    # Rows end stretches; windows that reach beyond their row's end are dropped.
+    for edge in (offsets, offsets[1:] - length + 1):
+        new[edge[(edge >= 0) & (edge < windows)]] = True
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, windows))
     row = np.searchsorted(offsets, start, "right") - 1
-    return hashes[anchor[new]], row, start, count
+    inside = start + length <= offsets[row + 1]
+    row, start, count = row[inside], start[inside], count[inside]
+    return hashes[anchor[start]], row, start, count
 
 
 def own_hashes(data: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +125,14 @@ def _gather(anchors, bits: int, places=None):
             for a, b in row_slices(offsets, SLICE_BYTES):
                 data, at = text_bytes(texts.slice(a, b - a))
                 hashes, row, start, n = stretches(data, at)
-                own, kept = own_hashes(data, row, start, n)
                 inside = start - at[row]
-                kept &= _is_set(anchors.value, (hashes & np.uint64(mask)).astype(np.int64))
+                kept = _is_set(anchors.value, (hashes & np.uint64(mask)).astype(np.int64))
                 if places:
                     kept &= _is_set(places.value, (tie[a:b][row] ^ (inside * STEP)) & mask)
-                hashes, own, row, start, n, inside = (x[kept] for x in (hashes, own, row, start, n, inside))
+                hashes, row, start, n, inside = (x[kept] for x in (hashes, row, start, n, inside))
+                own, kept = own_hashes(data, row, start, n)  # equal stretches have equal anchors, and all passed
+                if not places:
+                    hashes, own, row, start, n, inside = (x[kept] for x in (hashes, own, row, start, n, inside))
                 if not len(n):
                     continue
                 columns = [hashes.view(np.int64), own.view(np.int64), doc[a:b][row], tie[a:b][row], inside, n]
