@@ -354,7 +354,7 @@ MOST_COUNTS = 256
 class _Bounds:
     """Upper bounds of the token-set ratio from character counts and shared tokens."""
 
-    def __init__(self, a: Block, b: Block, alphabet: int):
+    def __init__(self, a: Block, b: Block, alphabet: int, capped: bool = True):
         self.a, self.b = a, b
         # Rare characters share a count; the bounds only grow by that.
         alphabet = min(alphabet, MOST_COUNTS)
@@ -363,7 +363,7 @@ class _Bounds:
         self.a_count = self._count(a, alphabet)
         self.b_count = np.ascontiguousarray(self._count(b, alphabet).T)
         # capped[c][j - 1] is min(count in the right string, j), for the small counts j the left side has.
-        most = np.minimum(self.a_count.max(axis=0, initial=0), 8)
+        most = np.minimum(self.a_count.max(axis=0, initial=0), 8 if capped else 0)
         self.capped = [[np.minimum(self.b_count[c], self.kind(j + 1)) for j in range(m)] for c, m in enumerate(most)]
         used = b.token >= 0
         owner = np.broadcast_to(np.arange(b.n), b.token.shape)[used]
@@ -383,15 +383,11 @@ class _Bounds:
         flat = np.bincount(owner * alphabet + block.char[spot] % alphabet, minlength=block.n * alphabet)
         return flat.reshape(block.n, alphabet).astype(self.kind)
 
-    def of(self, rows: slice) -> np.ndarray:
+    def _shared(self, rows: slice) -> np.ndarray:
+        """Characters of common tokens, blanks in front included."""
         a, b = self.a, self.b
-        counts = self.a_count[rows]
-        overlap = np.zeros((len(counts), b.n), self.kind)
-        for i, c in zip(*np.nonzero(counts)):
-            count, levels = counts[i, c], self.capped[c]
-            overlap[i] += levels[count - 1] if count <= len(levels) else np.minimum(self.b_count[c], count)
-        shared = np.zeros((len(counts), b.n), np.int32)
         token, size = a.token[:, rows].T, a.size[:, rows].T
+        shared = np.zeros((len(token), b.n), np.int32)
         low = np.searchsorted(self.posting_token, token, side="left")
         high = np.searchsorted(self.posting_token, token, side="right")
         for i, slot in zip(*np.nonzero((size > 0) & (high > low))):
@@ -400,6 +396,20 @@ class _Bounds:
                 shared[i] += here * size[i, slot]
             else:
                 shared[i, self.posting_row[low[i, slot] : high[i, slot]]] += size[i, slot]
+        return shared
+
+    def _overlap(self, rows: slice) -> np.ndarray:
+        """Common characters, blanks in front included."""
+        counts = self.a_count[rows]
+        overlap = np.zeros((len(counts), self.b.n), self.kind)
+        for i, c in zip(*np.nonzero(counts)):
+            count, levels = counts[i, c], self.capped[c]
+            overlap[i] += levels[count - 1] if count <= len(levels) else np.minimum(self.b_count[c], count)
+        return overlap
+
+    def of(self, rows: slice) -> np.ndarray:
+        a, b = self.a, self.b
+        overlap, shared = self._overlap(rows), self._shared(rows)
         len_a = a.total[rows].astype(np.float32)[:, None]
         len_b = b.total.astype(np.float32)
         # The overlap counts the blank in front, so one less is the most the LCS can be.

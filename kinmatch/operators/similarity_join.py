@@ -15,6 +15,8 @@ The plan, for any size of either side:
 4. In a cell, character counts and shared tokens give an upper bound for each
    pair; only pairs that may reach the cutoff and the running k-th best are
    scored.  A cell gives out at most ``k`` rows per left key, never its pairs.
+   From :data:`RUNS_FROM` pairs of rows on, tables without long strings are searched in runs of like keys instead,
+   most of which a bound rules out for a left key: see :mod:`like_runs`.
 5. Rank the cells' rows per left key, keep ``k``, and give them back to the left
    rows of that key.  Keys with very many left rows are salted for that join.
 """
@@ -32,12 +34,14 @@ from ..functions import text
 from ..functions.kernel import best_pairs, pairs_between
 from ..session import written
 from .closed_keys import Closing, split_closed
+from .like_runs import Runs, best_by_runs, pairs_schema, pairs_table
 from .lookup import HOT_KEY_ROWS, salted_join
 
 LEFT_BLOCK = 16384
 RIGHT_BLOCK = 131072
 SHORT = 256  # characters of a string that counts as one of a block; longer strings count as several
 CLOSE_FROM = 100_000_000_000  # pairs of rows from which bars and prefixes are worth their joins
+RUNS_FROM = 1_000_000_000  # pairs of rows from which runs of like keys take the grid's place
 MIN_LEFT_BLOCK = 64  # smaller blocks cost more in overhead than they gain in spread
 
 
@@ -89,6 +93,8 @@ class Grid:
     left_rows: int | None = None
     kinds: int = 1
     closing: Closing | None = None
+    #: If given, the best rows are looked for in runs of like keys and not in the grid.
+    runs: Runs | None = None
     #: Blocks per length class, where there are long strings; they add up to ``left`` and ``right``.
     left_classes: tuple[int, ...] = ()
     right_classes: tuple[int, ...] = ()
@@ -101,9 +107,12 @@ class Grid:
         # stays whole: the more a cell sees of it, the more its k-th best rules out.
         spread = min(math.ceil(1.25 * cores / (max(1, sum(rights)) * kinds)), math.ceil(left.rows / MIN_LEFT_BLOCK))
         lefts[0] = max(lefts[0], spread)
-        closing = Closing() if left.rows * right.rows >= CLOSE_FROM else None
+        pairs = left.rows * right.rows
+        closing = Closing() if pairs >= CLOSE_FROM else None
         classes = tuple(x if len(x) > 1 else () for x in (tuple(lefts), rights))
-        return Grid(max(1, sum(lefts)), max(1, sum(rights)), left.rows, kinds, closing, *classes)
+        # Runs count keys, not characters, so tables with long strings are left to the grid.
+        runs = Runs() if pairs >= RUNS_FROM and not any(classes) else None
+        return Grid(max(1, sum(lefts)), max(1, sum(rights)), left.rows, kinds, closing, runs, *classes)
 
     def partitions(self, cores: int) -> int:
         """Tasks that share the cells: enough to keep hashed cells apart, but not without end."""
@@ -154,15 +163,7 @@ def _cell_function(choose):
             right["token_key"].to_pylist(),
             right["first_id"].to_numpy(),
         )
-        ids = right["ids"].take(pa.array(col))
-        return pa.table(
-            {
-                "kind": left["kind"].take(pa.array(row)),
-                "token_key": left["token_key"].take(pa.array(row)),
-                "ids": ids.cast(pa.list_(pa.field("element", ids.type.value_type))),
-                "score": pa.array(score),
-            }
-        )
+        return pairs_table(left, right, row, col, score)
 
     return cell
 
@@ -210,10 +211,8 @@ def similar_between(
     return _grid_join(a, keys, n, grid, choose, best_first=False, key="search" if weighted else TOKEN_KEY)
 
 
-def _grid_join(a: DataFrame, right: DataFrame, k: int, grid: Grid, choose, best_first: bool, key: str = TOKEN_KEY) -> DataFrame:
-    carried = [f"`{c}`" for c in a.columns if c not in ("kind", "id", "search", "cutoff")]
-    left_rows = _keyed(a, key, "cutoff", *carried)
-    left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"), F.expr("min(id) AS no"))
+def _in_cells(left: DataFrame, right: DataFrame, k: int, grid: Grid, choose, best_first: bool) -> DataFrame:
+    """(kind, token_key, ids, score): the chosen pairs of every cell."""
     closed = None
     if best_first and grid.closing:
         right = written(right.withColumn("no", F.expr("element_at(ids, 1)")))
@@ -231,16 +230,25 @@ def _grid_join(a: DataFrame, right: DataFrame, k: int, grid: Grid, choose, best_
         f"{grid.block('right')} AS right_block",
         f"explode(sequence(0, {grid.left - 1})) AS left_block",
     )
-    partitions = grid.partitions(a.sparkSession.sparkContext.defaultParallelism)
-    id_type = right.schema["ids"].dataType.elementType.simpleString()
+    partitions = grid.partitions(left.sparkSession.sparkContext.defaultParallelism)
     scored = (
         cells.repartition(partitions, *cell)
         .groupBy(*cell)
         .cogroup(blocks.repartition(partitions, *cell).groupBy(*cell))
-        .applyInArrow(_cell_function(choose), f"kind string, token_key string, ids array<{id_type}>, score double")
+        .applyInArrow(_cell_function(choose), pairs_schema(right))
     )
-    if closed is not None:
-        scored = scored.unionByName(closed)
+    return scored if closed is None else scored.unionByName(closed)
+
+
+def _grid_join(a: DataFrame, right: DataFrame, k: int, grid: Grid, choose, best_first: bool, key: str = TOKEN_KEY) -> DataFrame:
+    carried = [f"`{c}`" for c in a.columns if c not in ("kind", "id", "search", "cutoff")]
+    left_rows = _keyed(a, key, "cutoff", *carried)
+    left = left_rows.groupBy("kind", "token_key").agg(F.expr("min(cutoff) AS cutoff"), F.expr("min(id) AS no"))
+    if best_first and grid.runs:
+        cores = a.sparkSession.sparkContext.defaultParallelism
+        scored = best_by_runs(left, right, k, grid.runs, most_tasks(cores))
+    else:
+        scored = _in_cells(left, right, k, grid, choose, best_first)
     by_key = "PARTITION BY kind, token_key ORDER BY" + (" score DESC," if best_first else "")
     best_keys = scored.selectExpr("*", f"row_number() OVER ({by_key} element_at(ids, 1)) AS place").where(
         f"place <= {int(k)}"
