@@ -15,7 +15,7 @@ CHARS = 64  # characters that agree in the lower six bits share a count; those f
 BUCKETS = 2048  # tokens are told apart by that many hashes
 LONGEST = 250  # left keys from this length on are bounded by no run
 GROUP = 32  # runs bounded together at first
-TOGETHER = 32  # left keys that share a look at the union of their runs
+TOGETHER = 16  # left keys that share a look at the union of their runs
 
 
 def _bucket(word: str) -> int:
@@ -214,8 +214,8 @@ def best_in_runs(left: list[str], right: list[str], cutoff: np.ndarray, order: n
     :func:`kernel.best_pairs`: only scores of at least ``cutoff`` count, ties go to the lower ``order``, and the result
     is (left index, right index, score).
     """
-    # Strings with like lists of runs are looked at together.
-    by_runs = sorted(range(len(left)), key=lambda i: np.asarray(wanted[i], ">i8").tobytes())
+    # Strings with lists of runs that are alike, and about as long, are looked at together.
+    by_runs = sorted(range(len(left)), key=lambda i: (len(wanted[i]).bit_length(), np.asarray(wanted[i], ">i8").tobytes()))
     left, cutoff, wanted = [left[i] for i in by_runs], cutoff[by_runs], [wanted[i] for i in by_runs]
     a, b, alphabet = encode(left, right, tokens=True)
     whole = _Bounds(a, b, alphabet, capped=False)

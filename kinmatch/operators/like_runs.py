@@ -3,7 +3,7 @@
 Every left key can reach its bar only in few places if like right keys stand together:
 
 1. Right keys are ordered by their tokens, frequent ones first, and cut into *runs* of some 32 keys; a *block* holds
-   32,768 keys.  The summaries of the runs (:mod:`..functions.runs`) are collected; there are 65,536 at most, as runs
+   32,768 keys.  The summaries of the runs (:mod:`..functions.runs`) are collected; there are 131,072 at most, as runs
    grow with the table.
 2. Each left key is compared with the runs it seems to be most like.  The ``k``-th best row found is its *bar*.
 3. Each left key goes to all runs where a key may reach its bar, and is compared with them; no other key matters.
@@ -40,7 +40,7 @@ class Runs:
     """Sizes; the result is the same for any values.  All but ``most`` and ``near`` are powers of two."""
 
     run: int = 32  # right keys of a run, if there are no more than ``most`` runs
-    most: int = 65_536
+    most: int = 131_072
     block: int = 32_768  # right keys of a cell
     near: int = 512  # right keys that give a left key its bar
     left: int = 16_384  # left keys of a cell
